@@ -1,0 +1 @@
+"""Nothing here: all work on an estate is batch, so the library has no streaming operator."""
