@@ -196,6 +196,8 @@ def with_views(sql: str, sf_dir: str | None = None) -> str:
             ctes.append(f"{name} AS ({body})")
         elif spark:
             ctes.append(f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)")
+    if sql.startswith("WITH "):
+        return f"WITH {', '.join(ctes)}, {sql[5:]}" if ctes else sql
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 

@@ -28,8 +28,8 @@ def schema_enabled(properties: Column | str) -> Column:
 
 
 def encoded(c: Column | str) -> Column:
-    """Base64 of the UTF-8 text."""
-    return F.base64(c)
+    """Base64 of the UTF-8 text on one line."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
 
 
 def elapsed_seconds(start: Column | str, end: Column | str) -> Column:

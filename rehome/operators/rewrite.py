@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rehome.functions import references as R
 from rehome.functions.names import is_guid
@@ -123,17 +124,17 @@ def reference_edits(status: DataFrame, endpoints: DataFrame | None = None) -> Da
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _swapped(text: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([R.swap(t, e) for t, e in zip(text, edits)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cleared(text: pd.Series) -> pd.Series:
     return pd.Series([R.clear_lakehouse(t) for t in text], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _warehouse_set(text: pd.Series, old_id: pd.Series, new_id: pd.Series) -> pd.Series:
     return pd.Series(
         [None if t is None else R.set_warehouse(t, o, n) for t, o, n in zip(text, old_id, new_id)],

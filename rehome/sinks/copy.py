@@ -34,6 +34,7 @@ def copy_plan(objects: DataFrame, recovery: DataFrame, **rename) -> DataFrame:
     """
     stores = recovery.select(
         F.col("primary_id").alias("item_id"),
+        "primary_id",
         "primary_ws_id",
         "primary_ws_name",
         "primary_name",
