@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rehome.functions.names import LIKE, LITERAL, has_suffix, is_guid, strip_suffix
-from rehome.operators.picks import first_rows
+from rehome.operators.picks import first_rows, join_lookup
 from rehome.operators.scope import protect, scope
 
 NOT_EXISTS = "NotExists"
@@ -73,7 +73,7 @@ def unique_workspace_map(snapshot: DataFrame, current: DataFrame, suffix: str, *
     match = options.pop("match", LITERAL)
     new = _new_side(current, suffix, match, **options)
     one = _picked(new, ["old_ws_name"], "new_ws_id", ["new_ws_name"])
-    return _old_side(snapshot).join(one, "old_ws_name").select(
+    return join_lookup(_old_side(snapshot), one, ["old_ws_name"], "inner").select(
         "old_ws_id",
         "old_ws_name",
         F.col("picks")[0]["new_ws_id"].alias("new_ws_id"),
@@ -188,7 +188,7 @@ def unique_map(
         & (p["new_ws_name"] != F.col("old_ws_name")),
     )
     return (
-        old.join(picked, ITEM_KEY)
+        join_lookup(old, picked, ITEM_KEY, "inner")
         .withColumn("picks", others)
         .filter(F.size("picks") > 0)
         .select(
@@ -382,7 +382,7 @@ def resolve_item(
         F.col("id").alias(output), *[F.col(there).alias(here) for here, there in keys.items()]
     )
     one = first_rows(listed, list(keys), [output])
-    return requests.join(one, list(keys), "left").withColumn(
+    return join_lookup(requests, one, list(keys)).withColumn(
         output, F.coalesce(output, F.lit(NOT_EXISTS))
     )
 
@@ -404,11 +404,9 @@ def model_sources(models: DataFrame, endpoints: DataFrame, listing: DataFrame) -
     )
     stores = first_rows(stores, ["workspace_id", "source_name"], ["source_id"])
     endpoints = first_rows(endpoints, ["workspace_id", "model_name"], ["endpoint_id"])
-    return (
-        models.join(endpoints, ["workspace_id", "model_name"], "left")
-        .join(doors, ["workspace_id", "endpoint_id"], "left")
-        .join(stores, ["workspace_id", "source_name"], "left")
-    )
+    found = join_lookup(models, endpoints, ["workspace_id", "model_name"])
+    found = found.join(doors, ["workspace_id", "endpoint_id"], "left")
+    return join_lookup(found, stores, ["workspace_id", "source_name"])
 
 
 def resolve_connections(pairs: list[tuple[str, str]], connections: DataFrame) -> DataFrame:
@@ -480,11 +478,8 @@ def endpoint_lookup(stores: DataFrame, endpoints: DataFrame, listing: DataFrame)
         .when(F.col("endpoint_id").isNull(), "no_endpoint")
         .otherwise("ok")
     )
-    return (
-        stores.join(strings, ["workspace_id", "item_id"], "left")
-        .join(doors, ["workspace_id", "item_name"], "left")
-        .withColumn("status", status)
-    )
+    found = join_lookup(stores, strings, ["workspace_id", "item_id"])
+    return join_lookup(found, doors, ["workspace_id", "item_name"]).withColumn("status", status)
 
 
 def report_map(

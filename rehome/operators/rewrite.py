@@ -15,7 +15,7 @@ from rehome.functions import references as R
 from rehome.functions.names import is_guid
 from rehome.functions.text import has_key
 from rehome.operators.mapping import AMBIGUOUS, MAPPED, NOT_EXISTS, PARAMETER, UNMAPPED
-from rehome.operators.picks import first_rows
+from rehome.operators.picks import first_rows, join_lookup
 
 REF_SCHEMA = (
     "doc_id STRING, path STRING, kind STRING, old_id STRING, workspace_id STRING, endpoint STRING"
@@ -118,7 +118,7 @@ def reference_edits(status: DataFrame, endpoints: DataFrame | None = None) -> Da
         ["new_endpoint"],
     )
     return (
-        ready.join(strings, ["new_ws_id", "new_id"], "left")
+        join_lookup(ready, strings, ["new_ws_id", "new_id"])
         .filter((F.col("kind") != R.WAREHOUSE) | F.col("new_endpoint").isNotNull())
         .select("doc_id", "kind", "old_id", "new_id", "new_ws_id", "new_endpoint")
     )
@@ -235,9 +235,9 @@ def notebook_warehouse_plan(notebooks: DataFrame, old_items: DataFrame, items: D
     )
     ready = F.col("status") == MAPPED
     new = _warehouse_set(F.when(ready, F.col("definition")), F.col("old_item_id"), F.col("target_id"))
+    found = mine.join(found, "old_item_id", "left")
     return (
-        mine.join(found, "old_item_id", "left")
-        .join(targets, ["new_ws_id", "old_item_name"], "left")
+        join_lookup(found, targets, ["new_ws_id", "old_item_name"])
         .withColumn("status", status)
         .withColumn("new_definition", F.when(ready, new).otherwise(F.col("definition")))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rehome.functions.names import compose_name
+from rehome.operators.picks import join_lookup
 from rehome.sinks.snapshot import STAGING, Saved, outcome_frame
 
 # Loads at a time, further attempts and the wait between them.
@@ -68,6 +69,10 @@ def _converted(df: DataFrame, field: T.StructField) -> Column:
         return column
     if isinstance(source, T.BooleanType) and isinstance(field.dataType, T.NumericType):
         return F.lit(None).cast(field.dataType)
+    if isinstance(source, T.StringType) and isinstance(field.dataType, T.IntegralType):
+        # Text without a digit, or with a letter, is no whole number. Telling so first is much
+        # faster than the error that try_cast would raise and catch for every such value.
+        column = F.when(column.rlike("[0-9]") & ~column.rlike("[A-Za-z]"), column)
     return column.try_cast(field.dataType)
 
 
@@ -165,7 +170,7 @@ def tables_to_copy_json(
     )
     chunk = F.pmod(F.xxhash64("schema", "name"), F.col("_chunks")).cast("int")
     return (
-        entries.join(sizes, store)
+        join_lookup(entries, sizes, [store], "inner")
         .withColumn("chunk", chunk)
         .groupBy(store, "chunk")
         .agg(

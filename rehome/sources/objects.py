@@ -120,39 +120,39 @@ def _type_of(kind: str):
     return F.lower(F.left(F.col(kind), F.length(kind) - F.lit(1))).alias("type")
 
 
+def _below(column: str, folders: str):
+    """(what lies before the first of the folders, that folder, the steps after it)."""
+    halves = F.split(column, f"/(?:{folders})/", 2)
+    base = F.get(halves, 0)
+    kind = F.substring_index(F.substring(F.col(column), F.length(base) + F.lit(2), F.lit(9)), "/", 1)
+    return base, kind, F.split(F.get(halves, 1), "/")
+
+
 def objects_from_paths(paths: DataFrame, column: str = "path") -> DataFrame:
     """The listing of an inventory that already holds paths: base_path, name, type, src_path.
 
     For estates whose storage publishes an inventory table: no listing call at all. Deeper paths
-    count for the object they belong to.
+    count for the object they belong to. Paths are folded to objects in every task, before the
+    shuffle.
     """
-    parts = F.regexp_extract(F.col(column), r"^(.*?)/(Tables|Files)/([^/]+)", 0)
-    base, kind, name = (
-        F.regexp_extract(F.col(column), r"^(.*?)/(Tables|Files)/([^/]+)", i) for i in (1, 2, 3)
-    )
-    return (
-        paths.select(base.alias("base_path"), kind.alias("kind"), name.alias("name"), parts.alias("src_path"))
-        .filter(F.col("src_path") != "")
-        .distinct()
-        .select("base_path", "name", _type_of("kind"), "src_path")
-    )
+    base, kind, steps = _below(column, "Tables|Files")
+    found = paths.select(base.alias("base_path"), kind.alias("kind"), F.get(steps, 0).alias("name"))
+    found = found.filter(F.col("name") != "").distinct()
+    whole = F.concat_ws("/", "base_path", "kind", "name")
+    return found.select("base_path", "name", _type_of("kind"), whole.alias("src_path"))
 
 
 def tables_from_paths(
     paths: DataFrame, column: str = "path", schemas: list[str] | None = None
 ) -> DataFrame:
     """As objects_from_paths for schema-qualified tables: base_path, schema, name, type, src_path."""
-    base, schema, name = (
-        F.regexp_extract(F.col(column), r"^(.*?)/Tables/([^/]+)/([^/]+)", i) for i in (1, 2, 3)
-    )
-    whole = F.regexp_extract(F.col(column), r"^(.*?)/Tables/([^/]+)/([^/]+)", 0)
+    base, _, steps = _below(column, "Tables")
     found = paths.select(
-        base.alias("base_path"),
-        schema.alias("schema"),
-        name.alias("name"),
-        F.lit("table").alias("type"),
-        whole.alias("src_path"),
-    ).filter(F.col("src_path") != "")
+        base.alias("base_path"), F.get(steps, 0).alias("schema"), F.get(steps, 1).alias("name")
+    ).filter((F.col("schema") != "") & (F.col("name") != ""))
     if schemas is not None:
         found = found.filter(F.col("schema").isin(schemas))
-    return found.distinct()
+    whole = F.concat_ws("/", "base_path", F.lit("Tables"), "schema", "name")
+    return found.distinct().select(
+        "base_path", "schema", "name", F.lit("table").alias("type"), whole.alias("src_path")
+    )
