@@ -130,7 +130,7 @@ def _swap_batches(batches):
         pdf = pdf.astype({"error": object}).where(pdf.notna(), None)
         out = []
         for row in pdf.itertuples(index=False):
-            start = row.start_time or _now()
+            start = _now() if pd.isna(row.start_time) else row.start_time
             try:
                 status, error = _put_in_place(row)
             except OSError as problem:
