@@ -903,11 +903,12 @@ def _connections(e: Estate) -> DataFrame:
 
 
 def _status(e: Estate) -> DataFrame:
-    return R.ref_status(R.extract_refs(e.definitions), _unique_map(e), _connections(e))
+    refs = R.extract_refs(e.definitions)
+    return R.ref_status(refs, _unique_map(e), _connections(e), e.endpoints)
 
 
-def _swap(e: Estate, *kinds: str) -> DataFrame:
-    return R.swap_references(e.definitions, R.reference_edits(_status(e), e.endpoints), kinds)
+def _swap(e: Estate, *kinds: str, only_edited: bool = False) -> DataFrame:
+    return R.swap_references(e.definitions, R.reference_edits(_status(e)), kinds, only_edited)
 
 
 def _refs_after(e: Estate, *kinds: str) -> DataFrame:
@@ -957,7 +958,8 @@ def swap_all(e):
     OR s.kind = 'warehouse' AND s.endpoint IS DISTINCT FROM s.new_endpoint)"""
 )
 def changed_definitions(e):
-    changed = R.changed_definitions(_swap(e, "warehouse", "lakehouse", "notebook", "connection"))
+    kinds = ("warehouse", "lakehouse", "notebook", "connection")
+    changed = R.changed_definitions(_swap(e, *kinds, only_edited=True))
     return changed.select("doc_id", "kind", F.length("definition").cast("bigint").alias("old_length"))
 
 

@@ -135,7 +135,7 @@ VIEWS = {
   '","gitConnectionState":"ConnectedAndInitialized","gitProviderDetails":{{"gitProviderType":"AzureDevOps",' ||
   '"repositoryName":"repo_' || c_mktsegment || '"}},"gitSyncDetails":{{"head":"' || cast(c_nationkey AS STRING) ||
   '"}}}}' AS value FROM customer""",
-    "pipeline_definitions": f"""SELECT i.id AS doc_id, 'DataPipeline' AS kind,
+    "activity_definitions": f"""SELECT i.id AS doc_id, 'DataPipeline' AS kind,
   '{{"properties":{{"activities":[' || coalesce(d.top, '') || CASE WHEN d.top IS NULL THEN '' ELSE ',' END ||
   '{{"name":"loop","type":"ForEach","typeProperties":{{"batchCount":20,"activities":[' || coalesce(d.inner_, '') ||
   ']}}}}],"annotations":["kept"],"ratio":1.5}}}}' AS definition
@@ -155,7 +155,7 @@ VIEWS = {
   FROM items i JOIN (SELECT {guid("l_orderkey", "b1")} AS order_id, count(*) AS n_lines,
     min(l_partkey) AS low, max(l_partkey) AS high FROM lineitem GROUP BY l_orderkey) d
   ON substr(i.id,1,8) = substr(d.order_id,1,8) WHERE i.type = 'Notebook'""",
-    "definitions": """SELECT doc_id, kind, definition FROM pipeline_definitions
+    "definitions": """SELECT doc_id, kind, definition FROM activity_definitions
   UNION ALL SELECT doc_id, kind, definition FROM notebook_definitions""",
 }
 

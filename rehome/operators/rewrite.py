@@ -6,6 +6,9 @@ and crosses a shuffle once, to meet its own edits.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +52,45 @@ def _extract(batches):
         )
 
 
+def may_refer(column: Column | str = "definition") -> Column:
+    """False only for a text that cannot hold a reference; such a text need not go to Python.
+
+    A key is there in plain letters, or else spelt with a backslash-u escape.
+    """
+    text = F.col(column) if isinstance(column, str) else column
+    words = (R.LINK_KEY, R.NOTEBOOK_ACTIVITY, R.EXTERNAL_KEY, "\\u")
+    return reduce(or_, [text.contains(word) for word in words])
+
+
 def extract_refs(definitions: DataFrame) -> DataFrame:
     """One row for each reference at any depth: doc_id, path, kind, old_id, workspace_id, endpoint."""
-    return definitions.select("doc_id", "definition").mapInPandas(_extract, REF_SCHEMA)
+    texts = definitions.select("doc_id", "definition").filter(may_refer())
+    return texts.mapInPandas(_extract, REF_SCHEMA)
+
+
+@F.pandas_udf(T.BooleanType())
+def _is_unreadable(text: pd.Series) -> pd.Series:
+    return pd.Series([R.parse(t) is None for t in text])
+
 
+def unreadable_definitions(definitions: DataFrame) -> DataFrame:
+    """Documents that are no JSON object or array; every step leaves them as they are."""
+    return definitions.filter(_is_unreadable("definition"))
 
-def ref_status(refs: DataFrame, id_map: DataFrame, connections: DataFrame | None = None) -> DataFrame:
-    """References with their target and status.
 
-    ``id_map`` is ``unique_map``; ``connections`` is ``connection_targets``. ``parameter`` is an
-    id that is an expression, ``ambiguous`` one whose target had rivals.
+def ref_status(
+    refs: DataFrame,
+    id_map: DataFrame,
+    connections: DataFrame | None = None,
+    endpoints: DataFrame | None = None,
+) -> DataFrame:
+    """References with their target and status: new_id, new_ws_id, new_endpoint, status.
+
+    ``id_map`` is ``unique_map``; ``connections`` is ``connection_targets``; ``endpoints``
+    (workspace_id, item_id, connection_string) meet the map, which is smaller than the references.
+    ``parameter`` is an id that is an expression, ``ambiguous`` one whose target had rivals.
     """
-    is_conn = F.col("kind") == R.CONNECTION
+    text = F.lit(None).cast("string")
     targets = id_map.select(
         F.lit(False).alias("_conn"),
         F.col("old_item_id").alias("old_id"),
@@ -68,88 +98,90 @@ def ref_status(refs: DataFrame, id_map: DataFrame, connections: DataFrame | None
         "new_ws_id",
         "ambiguous",
     )
+    if endpoints is None:
+        targets = targets.withColumn("new_endpoint", text)
+    else:
+        strings = endpoints.filter(F.col("connection_string").isNotNull()).select(
+            F.col("workspace_id").alias("new_ws_id"),
+            F.col("item_id").alias("new_id"),
+            F.col("connection_string").alias("new_endpoint"),
+        )
+        keys = ["new_ws_id", "new_id"]
+        targets = join_lookup(targets, first_rows(strings, keys, ["new_endpoint"]), keys)
     if connections is not None:
         targets = targets.unionByName(
             connections.select(
                 F.lit(True).alias("_conn"),
                 "old_id",
                 "new_id",
-                F.lit(None).cast("string").alias("new_ws_id"),
+                text.alias("new_ws_id"),
                 F.lit(False).alias("ambiguous"),
+                text.alias("new_endpoint"),
             )
         )
-    found = F.col("new_id").isNotNull()
     guid = is_guid("old_id")
+    found = F.col("new_id").isNotNull() & (guid | F.col("_conn"))
     status = (
-        F.when(found & (guid | F.col("_conn")) & F.col("ambiguous"), AMBIGUOUS)
-        .when(found & (guid | F.col("_conn")), MAPPED)
+        F.when(found & F.col("ambiguous"), AMBIGUOUS)
+        .when(found, MAPPED)
         .when(guid, UNMAPPED)
         .otherwise(PARAMETER)
     )
     return (
-        refs.withColumn("_conn", is_conn)
+        refs.withColumn("_conn", F.col("kind") == R.CONNECTION)
         .join(targets, ["_conn", "old_id"], "left")
         .withColumn("status", status)
         .drop("_conn", "ambiguous")
     )
 
 
-def reference_edits(status: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+def reference_edits(status: DataFrame) -> DataFrame:
     """What to write where: doc_id, kind, old_id, new_id, new_ws_id, new_endpoint.
 
     A warehouse reference needs the target's connection string; without one it is left alone.
     """
-    ready = (
-        status.filter(F.col("status").isin(MAPPED, AMBIGUOUS))
-        .select("doc_id", "kind", "old_id", "new_id", "new_ws_id")
-        .distinct()
-    )
-    if endpoints is None:
-        return ready.filter(F.col("kind") != R.WAREHOUSE).withColumn(
-            "new_endpoint", F.lit(None).cast("string")
-        )
-    strings = first_rows(
-        endpoints.filter(F.col("connection_string").isNotNull()).select(
-            F.col("workspace_id").alias("new_ws_id"),
-            F.col("item_id").alias("new_id"),
-            F.col("connection_string").alias("new_endpoint"),
-        ),
-        ["new_ws_id", "new_id"],
-        ["new_endpoint"],
-    )
-    return (
-        join_lookup(ready, strings, ["new_ws_id", "new_id"])
-        .filter((F.col("kind") != R.WAREHOUSE) | F.col("new_endpoint").isNotNull())
-        .select("doc_id", "kind", "old_id", "new_id", "new_ws_id", "new_endpoint")
+    ready = F.col("status").isin(MAPPED, AMBIGUOUS) & (
+        (F.col("kind") != R.WAREHOUSE) | F.col("new_endpoint").isNotNull()
     )
+    columns = ("doc_id", "kind", "old_id", "new_id", "new_ws_id", "new_endpoint")
+    return status.filter(ready).select(*columns).distinct()
+
+
+def _once(fn):
+    """A text function for columns. Spark may repeat a deterministic one for each use of its
+    result, a filter on it included; this one is run once for each row."""
+    return F.pandas_udf(fn, T.StringType()).asNondeterministic()
 
 
-@F.pandas_udf(T.StringType())
-def _swapped(text: pd.Series, edits: pd.Series) -> pd.Series:
+def _swap_texts(text: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([R.swap(t, e) for t, e in zip(text, edits)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _cleared(text: pd.Series) -> pd.Series:
+def _clear_texts(text: pd.Series) -> pd.Series:
     return pd.Series([R.clear_lakehouse(t) for t in text], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _warehouse_set(text: pd.Series, old_id: pd.Series, new_id: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if t is None else R.set_warehouse(t, o, n) for t, o, n in zip(text, old_id, new_id)],
-        dtype=object,
-    )
+def _set_texts(text: pd.Series, old_id: pd.Series, new_id: pd.Series) -> pd.Series:
+    return pd.Series([R.set_warehouse(*row) for row in zip(text, old_id, new_id)], dtype=object)
+
+
+_swapped, _cleared, _warehouse_set = _once(_swap_texts), _once(_clear_texts), _once(_set_texts)
 
 
 def swap_references(
-    definitions: DataFrame, edits: DataFrame, kinds: tuple[str, ...] = R.KINDS
+    definitions: DataFrame,
+    edits: DataFrame,
+    kinds: tuple[str, ...] = R.KINDS,
+    only_edited: bool = False,
 ) -> DataFrame:
     """Definitions with ``new_definition``; documents without edits keep their text.
 
     The group of a document holds its own distinct references, so it is never larger than the
-    document. Only texts with edits are sent to Python.
+    document. Only texts with edits are sent to Python. With ``only_edited`` the others are left
+    out, and texts that cannot hold a reference are not shuffled.
     """
+    if only_edited:
+        definitions = definitions.filter(may_refer())
     edit = F.struct("kind", "old_id", "new_id", "new_ws_id", F.col("new_endpoint").alias("endpoint"))
     per_doc = (
         edits.filter(F.col("kind").isin(list(kinds)))
@@ -159,7 +191,7 @@ def swap_references(
     has_edits = F.col("_edits").isNotNull()
     new = _swapped(F.when(has_edits, F.col("definition")), F.col("_edits"))
     return (
-        definitions.join(per_doc, "doc_id", "left")
+        definitions.join(per_doc, "doc_id", "inner" if only_edited else "left")
         .withColumn("new_definition", F.when(has_edits, new).otherwise(F.col("definition")))
         .drop("_edits")
     )

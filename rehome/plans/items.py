@@ -37,8 +37,9 @@ def definition_plan(
     kinds: tuple[str, ...] = ("warehouse", "lakehouse", "notebook", "connection"),
 ) -> DataFrame:
     """Changed definitions with the body of their update request."""
-    edits = reference_edits(ref_status(extract_refs(definitions), id_map, connections), endpoints)
-    changed = changed_definitions(swap_references(definitions, edits, kinds))
+    status = ref_status(extract_refs(definitions), id_map, connections, endpoints)
+    swapped = swap_references(definitions, reference_edits(status), kinds, only_edited=True)
+    changed = changed_definitions(swapped)
     return changed.withColumn("payload", update_body("new_definition"))
 
 

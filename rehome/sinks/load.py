@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rehome.functions.names import compose_name
 from rehome.operators.picks import join_lookup
-from rehome.sinks.snapshot import STAGING, Saved, outcome_frame
+from rehome.sinks.snapshot import Saved, outcome_frame, put_in_place, write_staging
 
 # Loads at a time, further attempts and the wait between them.
 LOADS_AT_A_TIME = 20
@@ -132,16 +132,13 @@ def bulk_load(
 
     def load(pointer: str) -> Saved:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", POOL)
-        target, staging = (f"{target_database}.`{pointer}{end}`" for end in ("", STAGING))
+        target = f"{target_database}.`{pointer}`"
 
         def once() -> int:
             rows = spark.table(f"{source_database}.`{pointer}`")
             if target_schemas and pointer in target_schemas:
                 rows = convert_types(rows, target_schemas[pointer])
-            spark.sql(f"DROP TABLE IF EXISTS {staging}")
-            rows.write.format(fmt).saveAsTable(staging)
-            spark.sql(f"DROP TABLE IF EXISTS {target}")
-            spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
+            put_in_place(spark, write_staging(rows, target, fmt), target)
             return spark.table(target).count()
 
         try:

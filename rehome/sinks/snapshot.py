@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rehome.functions.names import sanitize_columns
 
 STAMP = "metaTimestamp"
-STAGING = "__staging"
+STAGING, BEFORE = "__staging", "__before"
 OUTCOME_SCHEMA = "table STRING, rows LONG, status STRING, error STRING"
 
 
@@ -49,18 +49,41 @@ def save_snapshot(
     return _replace(rows, name, fmt)
 
 
-def _replace(rows: DataFrame, name: str, fmt: str) -> Saved:
+def beside(name: str, ending: str) -> str:
+    """The name of a table next to another; the name may be quoted."""
+    return f"{name[:-1]}{ending}`" if name.endswith("`") else name + ending
+
+
+def write_staging(rows: DataFrame, name: str, fmt: str) -> str:
+    """Write the rows next to a table; a table that an interrupted run moved aside comes back."""
     spark = rows.sparkSession
-    staging = name + STAGING
+    staging, before = beside(name, STAGING), beside(name, BEFORE)
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(before):
+        spark.sql(f"ALTER TABLE {before} RENAME TO {name}")
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
     rows.write.format(fmt).saveAsTable(staging)
+    return staging
+
+
+def put_in_place(spark: SparkSession, staging: str, name: str) -> None:
+    """Let the staged table take the place of the old one, which is dropped last."""
+    before = beside(name, BEFORE)
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+
+
+def _replace(rows: DataFrame, name: str, fmt: str) -> Saved:
+    spark = rows.sparkSession
+    staging = write_staging(rows, name, fmt)
     # Counted from the staged files' footers: the source is not evaluated again.
     count = spark.table(staging).count()
     if count == 0:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
         return Saved(name, 0, "empty")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    put_in_place(spark, staging, name)
     return Saved(name, count, "saved")
 
 

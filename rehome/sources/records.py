@@ -134,3 +134,38 @@ def scan_path(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 def preview(df: DataFrame, *keys: str, n: int = 1000) -> DataFrame:
     """The first n rows by key: each task keeps its own n, no full sort."""
     return df.orderBy(*keys).limit(n)
+
+
+# Listings as they land, one JSON object a line.
+LANDED = {
+    "capacities": "Id STRING, `Display Name` STRING, Sku STRING, Region STRING, State STRING",
+    "workspaces": "Id STRING, Type STRING, Name STRING, `Capacity Id` STRING",
+    "items": "id STRING, type STRING, displayName STRING, description STRING, workspaceId STRING",
+    "gitconnections": """workspaceId STRING, workspaceName STRING, gitConnectionState STRING,
+      gitProviderDetails MAP<STRING, STRING>, gitSyncDetails MAP<STRING, STRING>""",
+    "wsroleassignments": ROLE_SCHEMA,
+    "reports": "Id STRING, Name STRING, `Dataset Id` STRING, Subscriptions STRING, Users STRING",
+}
+REJECTED = "_rejected"
+
+
+def landed_frames(spark: SparkSession, base_path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The estate's tables from ``<base_path>/<name>``, ready to be saved.
+
+    Lines that are no JSON object are kept in ``<name>_rejected``.
+    """
+    frames = {}
+    for name in names or LANDED:
+        lines = spark.read.text(f"{base_path.rstrip('/')}/{name}")
+        records = from_json_records(lines, "value", LANDED[name])
+        frames[name] = _shaped(name, valid(records))
+        frames[name + REJECTED] = quarantined(records).select(CORRUPT)
+    return frames
+
+
+def _shaped(name: str, rows: DataFrame) -> DataFrame:
+    if name == "gitconnections":
+        return git_connections(rows)
+    if name == "wsroleassignments":
+        return flatten_roles(rows)
+    return rows.drop("Subscriptions", "Users")

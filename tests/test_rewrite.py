@@ -101,6 +101,14 @@ def test_odd_documents_have_no_references(spark, text):
     edits = W.reference_edits(W.ref_status(W.extract_refs(docs), id_map(spark, 1)))
     swapped = W.swap_references(docs, edits).first()
     assert swapped["new_definition"] == text
+    readable = isinstance(R.parse(text), (dict, list))
+    assert W.unreadable_definitions(docs).isEmpty() is readable
+
+
+def test_escaped_keys(spark):
+    text = json.dumps({"a": link("Lakehouse", gid(2))}).replace("linked", "l\\u0069nked")
+    assert "linkedService" not in text
+    assert W.extract_refs(definitions(spark, text)).first()["old_id"] == gid(2)
 
 
 def test_deep_documents(spark):
@@ -169,10 +177,11 @@ def test_swap_keeps_everything_else(spark):
 
 def test_kinds_and_missing_endpoint(spark):
     docs = definitions(spark, DOC)
-    status = W.ref_status(W.extract_refs(docs), id_map(spark, 1, 2, 3), conns(spark))
+    refs = W.extract_refs(docs)
 
     def after(ends, *kinds):
-        new = W.swap_references(docs, W.reference_edits(status, ends), kinds).first()["new_definition"]
+        status = W.ref_status(refs, id_map(spark, 1, 2, 3), conns(spark), ends)
+        new = W.swap_references(docs, W.reference_edits(status), kinds).first()["new_definition"]
         return sorted(x for x in brute(json.loads(new)) if x not in brute(DOC))
 
     assert after(endpoints(spark, 1), "notebook") == [("notebook", gid(3, "b2"))]

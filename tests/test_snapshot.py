@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from rehome.plans.estate import restore_estate, snapshot_estate
+from rehome.sources.records import landed_frames
 from rehome.sinks.snapshot import STAMP, drop_snapshot, save_snapshot
 
 AS_OF = datetime(2024, 1, 2, 3, 4, 5)
@@ -44,6 +45,14 @@ def test_a_failed_save_leaves_the_old_table(spark, table):
     assert [r["k"] for r in spark.table(table).collect()] == [1]
 
 
+def test_an_interrupted_swap_is_taken_back(spark, table):
+    save_snapshot(spark.createDataFrame([(1,)], "k INT"), table)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}__before")
+    assert save_snapshot(spark.createDataFrame([], "k INT"), table).status == "empty"
+    assert spark.table(table).count() == 1
+    assert not spark.catalog.tableExists(f"{table}__before")
+
+
 def test_saving_a_table_over_itself(spark, table):
     save_snapshot(spark.createDataFrame([(1,), (2,)], "k INT"), table)
     assert save_snapshot(spark.table(table).filter("k = 2").select("k"), table).rows == 1
@@ -80,3 +89,32 @@ def test_snapshot_and_restore(spark, tmp_path, rows):
     assert rows(spark.table("est_items_recovered")) == rows(spark.table("est_items"))
     for name in ("est_items", "est_caps", "est_items_recovered", "est_caps_recovered"):
         drop_snapshot(spark, name)
+
+
+LANDED = {
+    "capacities": '{"Id":"c","Display Name":"East","State":"Active"}',
+    "workspaces": '{"Id":"w","Type":"Workspace","Name":"W","Capacity Id":"c"}',
+    "items": '{"id":"i","type":"Lakehouse","displayName":"L","workspaceId":"w"}\n{broken',
+    "gitconnections": '{"workspaceId":"w","workspaceName":"W","gitConnectionState":"S","gitProviderDetails":{"repo":"r"},"gitSyncDetails":{}}',
+    "wsroleassignments": '{"role":"Admin","principal":{"id":"p","type":"User"},"workspaceId":"w","workspaceName":"W"}',
+    "reports": '{"Id":"r","Name":"R","Dataset Id":"d","Subscriptions":[{"a":1}],"Users":[]}',
+}
+
+
+def test_landed_estate(spark, tmp_path):
+    for name, text in LANDED.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text(text + "\n")
+    frames = {f"land_{name}": df for name, df in landed_frames(spark, str(tmp_path)).items()}
+    saved = {r["table"]: (r["status"], r["rows"]) for r in snapshot_estate(spark, frames).collect()}
+    assert {t: s for t, s in saved.items() if not t.endswith("_rejected")} == {
+        f"land_{name}": ("saved", 1) for name in LANDED
+    }
+    assert saved["land_items_rejected"] == ("saved", 1) and saved["land_reports_rejected"] == ("empty", 0)
+    assert spark.table("land_reports").columns == ["Id", "Name", "Dataset_Id", STAMP]
+    assert spark.table("land_workspaces").columns == ["Id", "Type", "Name", "Capacity_Id", STAMP]
+    assert spark.table("land_gitconnections").first()["gitProviderDetails"] == '{"repo":"r"}'
+    assert spark.table("land_wsroleassignments").first()["principalId"] == "p"
+    assert spark.table("land_items_rejected").first()[0] == "{broken"
+    for name in frames:
+        drop_snapshot(spark, name)
