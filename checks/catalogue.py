@@ -112,7 +112,7 @@ def _unique_map(e: Estate) -> DataFrame:
     return M.unique_map(*_map_inputs(e), self_id=SELF_ID, **LISTS)
 
 
-def _recovery(e: Estate) -> DataFrame:
+def _recovery(e: Estate, unique: bool = False) -> DataFrame:
     return M.recovery_map(
         e.items_recovered,
         e.workspaces_recovered,
@@ -121,6 +121,7 @@ def _recovery(e: Estate) -> DataFrame:
         e.workspaces,
         SUFFIX,
         self_id=SELF_ID,
+        unique=unique,
     )
 
 
@@ -417,6 +418,14 @@ def recovery_map(e):
     return _recovery(e)
 
 
+@query(
+    f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY primary_id ORDER BY secondary_id) AS rn,
+  count(*) OVER (PARTITION BY primary_id) > 1 AS ambiguous FROM ({RECOVERY_MAP})) WHERE rn = 1"""
+)
+def unique_recovery_map(e):
+    return _recovery(e, unique=True)
+
+
 @query(
     f"""SELECT primary_ws_name, primary_type, primary_name, secondary_ws_name, secondary_name, secondary_ws_id,
   capacity_name FROM ({RECOVERY_MAP}) ORDER BY primary_type, primary_ws_name, primary_id, secondary_id"""
@@ -618,6 +627,24 @@ def report_plan(e):
     return PI.report_plan(reports, _unique_old(e), new)
 
 
+@query(
+    f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY new_rep_id ORDER BY old_rep_id) AS rn,
+  count(*) OVER (PARTITION BY new_rep_id) > 1 AS ambiguous FROM ({REPORT_MAP})) WHERE rn = 1"""
+)
+def unique_report_map(e):
+    return M.report_map(
+        e.reports,
+        e.items,
+        e.workspaces,
+        e.reports_recovered,
+        e.items_recovered,
+        e.workspaces_recovered,
+        SUFFIX,
+        unique=True,
+        **LISTS,
+    )
+
+
 _STORES = "SELECT workspaceId AS workspace_id, id AS item_id, displayName AS item_name FROM items WHERE type = 'Lakehouse'"
 
 
@@ -697,28 +724,32 @@ def copy_audit(e):
     return C.copy_audit(e.copy_times)
 
 
-_LOAD = "l_orderkey STRING, l_quantity INT, l_extendedprice BIGINT, l_returnflag INT, l_shipdate DATE, l_tax DOUBLE"
+_LOAD = "l_orderkey STRING, l_quantity INT, l_extendedprice BIGINT, l_code INT, l_shipdate DATE, l_tax DOUBLE"
+# A text column of which a part is a number.
+_CODED = """SELECT *, CASE WHEN l_linestatus = 'O' THEN cast(l_partkey AS STRING) ELSE l_returnflag END AS l_code
+  FROM lineitem"""
 
 
 @query(
-    """SELECT l_orderkey::VARCHAR AS l_orderkey, trunc(l_quantity)::INT AS l_quantity,
-  trunc(l_extendedprice)::BIGINT AS l_extendedprice, try_cast(l_returnflag AS INT) AS l_returnflag,
-  l_shipdate::DATE AS l_shipdate, l_tax FROM lineitem"""
+    f"""SELECT l_orderkey::VARCHAR AS l_orderkey, trunc(l_quantity)::INT AS l_quantity,
+  trunc(l_extendedprice)::BIGINT AS l_extendedprice, coalesce(try_cast(l_code AS INT)::VARCHAR, 'lost') AS l_code,
+  l_shipdate::DATE AS l_shipdate, l_tax FROM ({_CODED})"""
 )
 def load_type_conversion(e):
-    return L.convert_types(e.lineitem, _LOAD)
+    code = F.coalesce(F.col("l_code").cast("string"), F.lit("lost"))
+    return L.convert_types(e.sql(_CODED), _LOAD).withColumn("l_code", code)
 
 
 @query(
-    """SELECT 'l_orderkey' AS column_name, count(l_orderkey) AS n_values, 0::BIGINT AS n_lost FROM lineitem
+    f"""SELECT 'l_orderkey' AS column_name, count(l_orderkey) AS n_values, 0::BIGINT AS n_lost FROM lineitem
   UNION ALL SELECT 'l_quantity', count(l_quantity), 0 FROM lineitem
   UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), 0 FROM lineitem
-  UNION ALL SELECT 'l_returnflag', count(l_returnflag), count(*) FILTER (try_cast(l_returnflag AS INT) IS NULL) FROM lineitem
+  UNION ALL SELECT 'l_code', count(l_code), count(*) FILTER (try_cast(l_code AS INT) IS NULL) FROM ({_CODED})
   UNION ALL SELECT 'l_shipdate', count(l_shipdate), 0 FROM lineitem
   UNION ALL SELECT 'l_tax', count(l_tax), 0 FROM lineitem"""
 )
 def load_conversion_losses(e):
-    return L.conversion_losses(e.lineitem, _LOAD)
+    return L.conversion_losses(e.sql(_CODED), _LOAD)
 
 
 _EXISTING = """SELECT w.id AS secondary_id, s.pointer FROM items w

@@ -161,6 +161,29 @@ def item_id_map(
     )
 
 
+def _unique_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old items with the candidate of the smallest id, and ``ambiguous``.
+
+    Candidates are reduced before the join, so a name that a third of all items share costs one
+    row on the new side and no pairs. Three are kept: one may be the old item itself, and two
+    others tell that the pick had a rival.
+    """
+    picked = _picked(new, ITEM_KEY, "new_item_id", ["new_ws_id", "new_ws_name"], n=3)
+    others = F.filter(
+        "picks",
+        lambda p: (p["new_item_id"] != F.col("old_item_id"))
+        & (p["new_ws_name"] != F.col("old_ws_name")),
+    )
+    found = join_lookup(old, picked, ITEM_KEY, "inner").withColumn("picks", others)
+    return found.filter(F.size("picks") > 0).select(
+        *old.columns,
+        F.col("picks")[0]["new_item_id"].alias("new_item_id"),
+        F.col("picks")[0]["new_ws_id"].alias("new_ws_id"),
+        F.col("picks")[0]["new_ws_name"].alias("new_ws_name"),
+        (F.size("picks") > 1).alias("ambiguous"),
+    )
+
+
 def unique_map(
     snapshot_items: DataFrame,
     snapshot_ws: DataFrame,
@@ -172,36 +195,19 @@ def unique_map(
     match: str = LITERAL,
     **lists,
 ) -> DataFrame:
-    """One row for each old item: the candidate with the smallest id, and ``ambiguous``.
-
-    Candidates are reduced before the join, so a name that a third of all items share costs one
-    row on the new side and no pairs. Three are kept: one may be the old item itself, and two
-    others tell that the pick had a rival.
-    """
+    """As item_id_map with one row for each old item, and ``ambiguous``."""
     new_ws = _new_side(workspaces, suffix, match, self_id, lists=lists, renamed=True)
     old = _old_items(snapshot_items, _old_side(snapshot_ws))
-    new = _new_items(items, new_ws)
-    picked = _picked(new, ITEM_KEY, "new_item_id", ["new_ws_id", "new_ws_name"], n=3)
-    others = F.filter(
-        "picks",
-        lambda p: (p["new_item_id"] != F.col("old_item_id"))
-        & (p["new_ws_name"] != F.col("old_ws_name")),
-    )
-    return (
-        join_lookup(old, picked, ITEM_KEY, "inner")
-        .withColumn("picks", others)
-        .filter(F.size("picks") > 0)
-        .select(
-            "type",
-            "old_item_id",
-            F.col("picks")[0]["new_item_id"].alias("new_item_id"),
-            "itm_name",
-            "old_ws_id",
-            "old_ws_name",
-            F.col("picks")[0]["new_ws_id"].alias("new_ws_id"),
-            F.col("picks")[0]["new_ws_name"].alias("new_ws_name"),
-            (F.size("picks") > 1).alias("ambiguous"),
-        )
+    return _unique_pairs(old, _new_items(items, new_ws)).select(
+        "type",
+        "old_item_id",
+        "new_item_id",
+        "itm_name",
+        "old_ws_id",
+        "old_ws_name",
+        "new_ws_id",
+        "new_ws_name",
+        "ambiguous",
     )
 
 
@@ -216,8 +222,13 @@ def recovery_map(
     self_id: str | None = None,
     include: list[str] = (),
     match: str = LITERAL,
+    unique: bool = False,
 ) -> DataFrame:
-    """Stores whose data is to be moved, primary and secondary side by side."""
+    """Stores whose data is to be moved, primary and secondary side by side.
+
+    A store whose name occurs twice has several rows; with ``unique`` each has one, and a further
+    column ``ambiguous``.
+    """
     new_ws = _new_side(workspaces, suffix, match, self_id)
     cap = capacities.select(
         F.col("Id").alias("Capacity_Id"), F.col("display_name").alias("capacity_name")
@@ -228,7 +239,8 @@ def recovery_map(
     stores = F.col("type").isin(list(DATA_TYPES))
     old = _old_items(snapshot_items.filter(stores), old_ws)
     new = _new_items(items.filter(stores), new_ws)
-    return old.join(new, ITEM_KEY).select(
+    pairs = _unique_pairs(old, new) if unique else old.join(new, ITEM_KEY)
+    return pairs.select(
         F.col("old_ws_name").alias("primary_ws_name"),
         F.col("type").alias("primary_type"),
         F.col("itm_name").alias("primary_name"),
@@ -239,6 +251,7 @@ def recovery_map(
         F.col("new_item_id").alias("secondary_id"),
         F.col("itm_name").alias("secondary_name"),
         "capacity_name",
+        *(["ambiguous"] if unique else []),
     )
 
 
@@ -492,9 +505,14 @@ def report_map(
     suffix: str,
     *,
     match: str = LITERAL,
+    unique: bool = False,
     **lists,
 ) -> DataFrame:
-    """Present reports with the snapshot report of the same workspace and name."""
+    """Present reports with the snapshot report of the same workspace and name.
+
+    With ``unique`` a present report has one row, with the smallest snapshot id, and a further
+    column ``ambiguous``; the snapshot side is then reduced before the join.
+    """
     new_ws = _new_side(workspaces, suffix, match, lists=lists, renamed=True)
     new = (
         reports.select(F.col("Id").alias("new_rep_id"), "Name", F.col("Dataset_Id").alias("old_dataset_id"))
@@ -509,10 +527,7 @@ def report_map(
         )
         .join(_old_side(snapshot_ws), "old_ws_id")
     )
-    pairs = new.join(old, ["old_ws_name", "Name"])
-    return pairs.filter(
-        (F.col("old_rep_id") != F.col("new_rep_id")) & (F.col("new_ws_name") != F.col("old_ws_name"))
-    ).select(
+    columns = [
         "Name",
         "old_dataset_id",
         "old_rep_id",
@@ -521,4 +536,18 @@ def report_map(
         "old_ws_name",
         "new_ws_id",
         "new_ws_name",
+    ]
+    keys = ["old_ws_name", "Name"]
+    renamed = F.col("new_ws_name") != F.col("old_ws_name")
+    if not unique:
+        pairs = new.join(old, keys)
+        return pairs.filter(renamed & (F.col("old_rep_id") != F.col("new_rep_id"))).select(columns)
+    picked = _picked(old, keys, "old_rep_id", ["old_ws_id"], n=3)
+    others = F.filter("picks", lambda p: p["old_rep_id"] != F.col("new_rep_id"))
+    found = join_lookup(new, picked, keys, "inner").withColumn("picks", others)
+    return (
+        found.filter(renamed & (F.size("picks") > 0))
+        .withColumn("old_rep_id", F.col("picks")[0]["old_rep_id"])
+        .withColumn("old_ws_id", F.col("picks")[0]["old_ws_id"])
+        .select(*columns, (F.size("picks") > 1).alias("ambiguous"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rehome.functions.names import compose_name
 from rehome.operators.mapping import NOT_EXISTS, endpoint_lookup, resolve_item
+from rehome.operators.picks import first_rows, join_lookup
 from rehome.sinks.load import pointer_name, tables_to_copy_json
 
 # How the helper items of a warehouse load are named.
@@ -120,10 +121,14 @@ def load_plan(
         F.col("endpoint_id").alias("staging_endpoint_id"),
         F.col("connection_string").alias("staging_connection"),
     )
-    target = endpoints.select(
-        F.col("workspace_id").alias("secondary_ws_id"),
-        F.col("item_id").alias("secondary_id"),
-        F.col("connection_string").alias("target_connection"),
+    target = first_rows(
+        endpoints.select(
+            F.col("workspace_id").alias("secondary_ws_id"),
+            F.col("item_id").alias("secondary_id"),
+            F.col("connection_string").alias("target_connection"),
+        ),
+        ["secondary_ws_id", "secondary_id"],
+        ["target_connection"],
     )
     lists = tables_to_copy_json(objects.filter(F.col("type") == "table")).withColumnRenamed(
         "item_id", "primary_id"
@@ -136,7 +141,7 @@ def load_plan(
         .otherwise("ready")
     )
     return (
-        source.join(target, ["secondary_ws_id", "secondary_id"], "left")
+        join_lookup(source, target, ["secondary_ws_id", "secondary_id"])
         .join(lists, "primary_id")
         .withColumn("status", status)
         .withColumn("payload", F.when(F.col("status") == "ready", _load_body()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rehome.functions.names import LITERAL, strip_suffix
 from rehome.functions.text import encoded
 from rehome.operators.mapping import MAPPED, UNMAPPED, model_sources
+from rehome.operators.picks import first_rows, join_lookup
 from rehome.operators.rewrite import (
     changed_definitions,
     extract_refs,
@@ -60,9 +61,9 @@ def model_plan(
     mine = (
         models.filter(~F.col("is_default"))
         .withColumn("old_ws_name", strip_suffix("new_workspace_name", suffix, match))
-        .join(old, "old_ws_name", "left")
         .withColumnRenamed("displayName", "model_name")
     )
+    mine = join_lookup(mine, first_rows(old, ["old_ws_name"], ["workspace_id"]), ["old_ws_name"])
     found = model_sources(mine, endpoints, listing)
     return found.withColumn("status", F.when(F.col("source_id").isNull(), UNMAPPED).otherwise(MAPPED))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rehome.functions.names import LITERAL, add_suffix, has_suffix, is_guid, strip_suffix
+from rehome.operators.picks import first_rows, join_lookup
 from rehome.operators.scope import WORKSPACE, in_scope, protect, scope
 
 # A capacity that cannot take a workspace, and a connection worth restoring.
@@ -28,9 +29,9 @@ def capacity_gate(targets: DataFrame, capacities: DataFrame, column: str = "capa
         .when(F.col("state") == INACTIVE, "inactive")
         .otherwise("ok")
     )
-    return (
-        targets.withColumn("_ref", ref).join(by_ref, "_ref", "left").withColumn("gate", gate).drop("_ref")
-    )
+    one = first_rows(by_ref, ["_ref"], ["capacity_id"])
+    found = join_lookup(targets.withColumn("_ref", ref), one, ["_ref"])
+    return found.withColumn("gate", gate).drop("_ref")
 
 
 def recreate_plan(

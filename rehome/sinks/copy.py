@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rehome.functions.names import move_path
 from rehome.functions.text import clock_text, elapsed_seconds
 from rehome.lineage import cut
-from rehome.sources.objects import leaf_files, open_path, width
+from rehome.operators.picks import first_rows, union_frames
+from rehome.sources.objects import FAILURES, leaf_files, open_path, width
 
 INCOMING = "__incoming"
 CHUNK = 8 << 20
@@ -85,10 +86,11 @@ def _stream(source: str, target: str) -> int:
 def _copy_batches(batches):
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            start, size, error = _now(), 0, None
+            start, size, error = _now(), 0, row.error
             try:
-                size = _stream(row.path, row.target)
-            except OSError as problem:
+                if error is None:
+                    size = _stream(row.path, row.target)
+            except FAILURES as problem:
                 error = str(problem)
             yield pd.DataFrame(
                 [(row.src_path, row.dst_path, size, start, _now(), error)],
@@ -133,7 +135,7 @@ def _swap_batches(batches):
             start = _now() if pd.isna(row.start_time) else row.start_time
             try:
                 status, error = _put_in_place(row)
-            except OSError as problem:
+            except FAILURES as problem:
                 status, error = "failed", str(problem)
             out.append((row.src_path, row.dst_path, row.files, row.bytes, start, _now(), status, error))
         yield pd.DataFrame(
@@ -149,15 +151,18 @@ def copy_objects(plan: DataFrame, *, parallelism: int | None = None) -> DataFram
 
     Files are listed and streamed in tasks of their own, so one object with most of the files is
     copied by all of them. An object is put in place when all its files have arrived; if one
-    fails the old target stays. Both steps are written out, so reading the audit copies nothing.
+    fails the old target stays. Where several sources have one target, the first by path is
+    copied, and the others are reported as ``collision``. Both steps are written out, so reading
+    the audit copies nothing.
     """
     spark = plan.sparkSession
-    plan = plan.select("src_path", "dst_path").distinct()
+    plan = cut(plan.select("src_path", "dst_path").distinct())
+    single = first_rows(plan, ["dst_path"], ["src_path"])
     n = parallelism or width(spark)
-    files = leaf_files(plan.withColumn("path", F.col("src_path")))
+    files = leaf_files(single.withColumn("path", F.col("src_path")))
     inside = F.substring(F.col("path"), F.length("src_path") + F.lit(1), F.length("path"))
     target = F.concat("dst_path", F.lit(INCOMING), inside)
-    work = files.select("src_path", "dst_path", "path", target.alias("target"))
+    work = files.select("src_path", "dst_path", "path", target.alias("target"), "error")
     copied = cut(work.repartition(n, "path").mapInPandas(_copy_batches, FILE_SCHEMA))
     objects = copied.groupBy("src_path", "dst_path").agg(
         F.count(F.lit(1)).alias("files"),
@@ -165,9 +170,12 @@ def copy_objects(plan: DataFrame, *, parallelism: int | None = None) -> DataFram
         F.min("start_time").alias("start_time"),
         F.max("error").alias("error"),
     )
-    filled = plan.join(objects, ["src_path", "dst_path"], "left").fillna(0, ["files", "bytes"])
+    filled = single.join(objects, ["src_path", "dst_path"], "left").fillna(0, ["files", "bytes"])
     done = cut(filled.repartition(n, "dst_path").mapInPandas(_swap_batches, SWAP_SCHEMA))
-    return copy_audit(done)
+    rivals = plan.join(single, ["src_path", "dst_path"], "left_anti").select(
+        "src_path", "dst_path", F.lit("collision").alias("status")
+    )
+    return copy_audit(union_frames(done, rivals))
 
 
 def copy_audit(timed: DataFrame, start: str = "start_time", end: str = "end_time") -> DataFrame:

@@ -18,6 +18,9 @@ from rehome.lineage import cut
 
 KINDS = ("Tables", "Files")
 BATCH = 10_000
+# What a storage call raises: the store's own errors, and a path that no filesystem understands.
+FAILURES = (OSError, ValueError)
+LISTED = {"name": None, "size": 0, "is_dir": False, "error": None}
 
 
 def open_path(path: str):
@@ -34,46 +37,58 @@ def width(spark: SparkSession) -> int:
     )
 
 
-def _list_batches(batches):
-    """Children of every row's ``path``; a file lists itself, an absent path lists nothing."""
-    for pdf in batches:
-        carried = pdf.to_dict("records")
-        for row in carried:
-            system, inside = open_path(row["path"])
-            info = system.get_file_info(inside)
-            if info.type == fs.FileType.File:
-                yield pd.DataFrame([row | {"name": info.base_name, "size": info.size, "is_dir": False}])
-                continue
-            found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
-            base = row["path"].rstrip("/")
-            for start in range(0, len(found), BATCH):
-                yield pd.DataFrame(
-                    [
-                        row
-                        | {
-                            "path": f"{base}/{child.base_name}",
-                            "name": child.base_name,
-                            "size": child.size or 0,
-                            "is_dir": child.type == fs.FileType.Directory,
-                        }
-                        for child in found[start : start + BATCH]
-                    ]
-                )
-
-
-def children(dirs: DataFrame) -> DataFrame:
-    """One level below every ``path``: the input columns with path replaced, name, size, is_dir."""
-    keep = [f for f in dirs.schema.fields if f.name not in ("name", "size", "is_dir")]
+def _entries(path: str) -> list[dict]:
+    """What lies at a path: a file is itself, a folder its children, an absent path nothing."""
+    system, inside = open_path(path)
+    info = system.get_file_info(inside)
+    if info.type == fs.FileType.File:
+        return [{"name": info.base_name, "size": info.size, "is_dir": False}]
+    base = path.rstrip("/")
+    return [
+        {
+            "path": f"{base}/{child.base_name}",
+            "name": child.base_name,
+            "size": child.size or 0,
+            "is_dir": child.type == fs.FileType.Directory,
+        }
+        for child in system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+    ]
+
+
+def _lister(strict: bool):
+    def list_batches(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                try:
+                    found = _entries(row["path"])
+                except FAILURES as problem:
+                    if strict:
+                        raise
+                    found = [{"size": 0, "is_dir": False, "error": str(problem)}]
+                for start in range(0, len(found), BATCH):
+                    part = [row | LISTED | entry for entry in found[start : start + BATCH]]
+                    yield pd.DataFrame(part).astype({"name": object, "error": object})
+
+    return list_batches
+
+
+def children(dirs: DataFrame, strict: bool = True) -> DataFrame:
+    """One level below every ``path``: the input columns with path replaced, name, size, is_dir, error.
+
+    A path that cannot be listed stops the job, or is a row with an error if not ``strict``.
+    """
+    keep = [f for f in dirs.schema.fields if f.name not in LISTED]
     schema = T.StructType(
         keep
         + [
             T.StructField("name", T.StringType()),
             T.StructField("size", T.LongType()),
             T.StructField("is_dir", T.BooleanType()),
+            T.StructField("error", T.StringType()),
         ]
     )
     spread = dirs.select(*[f.name for f in keep]).repartition(width(dirs.sparkSession), "path")
-    return spread.mapInPandas(_list_batches, schema)
+    return spread.mapInPandas(_lister(strict), schema)
 
 
 def list_objects(stores: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
@@ -103,11 +118,12 @@ def leaf_files(roots: DataFrame) -> DataFrame:
     """Every file below each ``path``; other input columns are carried along.
 
     One round for each directory level, so a table with most of the files is shared out again at
-    every level. Levels are written out: a later round does not repeat the earlier ones.
+    every level. Levels are written out: a later round does not repeat the earlier ones. A folder
+    that cannot be listed is a row with an ``error``.
     """
     level, found = roots, None
     while True:
-        listed = cut(children(level))
+        listed = cut(children(level, strict=False))
         files = listed.filter(~F.col("is_dir")).drop("is_dir")
         found = files if found is None else found.unionByName(files)
         level = listed.filter("is_dir").drop("is_dir")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +47,14 @@ def infer_record_schema(df: DataFrame, column: str) -> T.StructType:
     """
     shape = F.schema_of_variant_agg(F.try_parse_json(column))
     text = df.agg(shape.alias("shape")).first()["shape"]
-    return df.sparkSession.range(0).select(
+    empty = df.sparkSession.range(0).select(
         F.from_json(F.lit(None).cast("string"), text.replace("OBJECT<", "STRUCT<")).alias("r")
-    ).schema["r"].dataType
+    )
+    # A field that is null in every record is text: no table format stores the null type.
+    found = empty.schema["r"].dataType.json()
+    for part in ("type", "elementType"):
+        found = found.replace(f'"{part}":"void"', f'"{part}":"string"')
+    return T.StructType.fromJson(json.loads(found))
 
 
 def quarantined(records: DataFrame) -> DataFrame:

@@ -136,6 +136,23 @@ def test_a_failed_file_leaves_the_old_target(spark, store, tmp_path):
     assert tree(out) == {"old.parquet": "old"} and not os.path.exists(str(out) + INCOMING)
 
 
+def test_two_sources_of_one_target(spark, store, tmp_path):
+    out = tmp_path / "both"
+    audit = copy_objects(plan(spark, (store / "Tables/sales/orders", out), (store / "Tables/dbo/trips", out))).collect()
+    got = {os.path.basename(r["src_path"]): r["status"] for r in audit}
+    assert got == {"trips": "copied", "orders": "collision"}
+    assert tree(out) == tree(store / "Tables/dbo/trips")
+
+
+def test_a_source_that_cannot_be_listed(spark, store, tmp_path):
+    audit = copy_objects(
+        plan(spark, ("nowhere://w/s/Tables/t", tmp_path / "t"), (store / "Tables/sales/orders", tmp_path / "o"))
+    )
+    got = {os.path.basename(r["src_path"]): (r["status"], r["error"] is None) for r in audit.collect()}
+    assert got == {"orders": ("copied", True), "t": ("failed", False)}
+    assert not (tmp_path / "t").exists()
+
+
 def test_recover_data(spark, store, tmp_path):
     plain = tmp_path / "w1" / "s2"
     put(plain, "Tables/flat/part-0", "f")

@@ -58,3 +58,10 @@ def test_local_rows_tables_and_preview(spark):
     assert S.scan_table(spark, "local_rows").count() == 3
     assert S.table_exists(spark, "local_rows") and not S.table_exists(spark, "no_rows")
     assert S.constant_columns(df, a="x").first()["a"] == "x"
+
+
+def test_fields_without_a_value_are_text(spark):
+    raw = spark.createDataFrame([('{"a b":null,"c":{"e":[null]},"x":1}',), ('{"x":2.5}',)], "value STRING")
+    schema = S.infer_record_schema(raw, "value")
+    assert schema.simpleString() == "struct<a b:string,c:struct<e:array<string>>,x:decimal(21,1)>"
+    assert S.valid(S.from_json_records(raw, "value", schema)).count() == 2
