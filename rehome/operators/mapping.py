@@ -169,21 +169,24 @@ def _unique_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     others tell that the pick had a rival.
     """
     picked = _picked(new, ITEM_KEY, "new_item_id", ["new_ws_id", "new_ws_name"], n=3)
-    others = F.filter(
-        "picks",
-        lambda p: (p["new_item_id"] != F.col("old_item_id"))
-        & (p["new_ws_name"] != F.col("old_ws_name")),
-    )
-    found = join_lookup(old, picked, ITEM_KEY, "inner").withColumn("picks", others)
-    return found.filter(F.size("picks") > 0).select(
-        *old.columns,
-        F.col("picks")[0]["new_item_id"].alias("new_item_id"),
-        F.col("picks")[0]["new_ws_id"].alias("new_ws_id"),
-        F.col("picks")[0]["new_ws_name"].alias("new_ws_name"),
-        (F.size("picks") > 1).alias("ambiguous"),
+    found = _with_pick(join_lookup(old, picked, ITEM_KEY, "inner"), "new_item_id", "old_item_id")
+    return found.filter(F.col("pick.new_ws_name") != F.col("old_ws_name")).select(
+        *old.columns, "pick.new_item_id", "pick.new_ws_id", "pick.new_ws_name", "ambiguous"
     )
 
 
+def _with_pick(df: DataFrame, id: str, own: str) -> DataFrame:
+    """Rows with the first of their ``picks`` that is not the row itself, and ``ambiguous``.
+
+    Plain expressions keep this in generated code, which counts where one task has a hot key.
+    """
+    first = F.get("picks", F.lit(0))
+    pick = F.when(first[id] == F.col(own), F.get("picks", F.lit(1))).otherwise(first)
+    others = F.size("picks") - F.array_contains(F.col(f"picks.{id}"), F.col(own)).cast("int")
+    found = df.withColumns({"pick": pick, "ambiguous": others > 1})
+    return found.filter(F.col("pick").isNotNull())
+
+
 def unique_map(
     snapshot_items: DataFrame,
     snapshot_ws: DataFrame,
@@ -543,11 +546,6 @@ def report_map(
         pairs = new.join(old, keys)
         return pairs.filter(renamed & (F.col("old_rep_id") != F.col("new_rep_id"))).select(columns)
     picked = _picked(old, keys, "old_rep_id", ["old_ws_id"], n=3)
-    others = F.filter("picks", lambda p: p["old_rep_id"] != F.col("new_rep_id"))
-    found = join_lookup(new, picked, keys, "inner").withColumn("picks", others)
-    return (
-        found.filter(renamed & (F.size("picks") > 0))
-        .withColumn("old_rep_id", F.col("picks")[0]["old_rep_id"])
-        .withColumn("old_ws_id", F.col("picks")[0]["old_ws_id"])
-        .select(*columns, (F.size("picks") > 1).alias("ambiguous"))
-    )
+    found = _with_pick(join_lookup(new, picked, keys, "inner"), "old_rep_id", "new_rep_id")
+    found = found.select("*", "pick.old_rep_id", "pick.old_ws_id")
+    return found.filter(renamed).select(*columns, "ambiguous")
