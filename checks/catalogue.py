@@ -24,7 +24,7 @@ from rehome.functions.text import encoded, error_message, has_key, schema_enable
 from rehome.operators import mapping as M
 from rehome.operators import rewrite as R
 from rehome.operators.picks import first_rows, split_by, union_frames
-from rehome.operators.scope import distinct_workspaces, of_type, scope
+from rehome.operators.scope import distinct_workspaces, scope
 from rehome.plans import data as PD
 from rehome.plans import items as PI
 from rehome.plans import workspaces as PW

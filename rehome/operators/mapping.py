@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rehome.functions.names import LIKE, LITERAL, has_suffix, is_guid, strip_suffix
 from rehome.operators.picks import first_rows, join_lookup
-from rehome.operators.scope import protect, scope
+from rehome.operators.scope import of_type, protect, scope
 
 NOT_EXISTS = "NotExists"
 MAPPED, UNMAPPED, PARAMETER, AMBIGUOUS = "mapped", "unmapped", "parameter", "ambiguous"
@@ -239,9 +239,8 @@ def recovery_map(
     old_ws = _old_side(scope(snapshot_ws, include=include), F.col("Capacity_Id")).join(
         cap, "Capacity_Id"
     )
-    stores = F.col("type").isin(list(DATA_TYPES))
-    old = _old_items(snapshot_items.filter(stores), old_ws)
-    new = _new_items(items.filter(stores), new_ws)
+    old = _old_items(of_type(snapshot_items, *DATA_TYPES), old_ws)
+    new = _new_items(of_type(items, *DATA_TYPES), new_ws)
     pairs = _unique_pairs(old, new) if unique else old.join(new, ITEM_KEY)
     return pairs.select(
         F.col("old_ws_name").alias("primary_ws_name"),
