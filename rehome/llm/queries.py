@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rehome.llm.mixing import fair_mix
 from rehome.llm.shared import table
+from rehome.llm.shards import kd_shards
 from rehome.llm.topk import top_products
 from rehome.llm.url_model import Rule, judge_urls
 from rehome.llm.vector_groups import near_vectors
@@ -41,11 +43,39 @@ def op3_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+@query()
+def op5_kd_shards(spark, sf_dir):
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    size, crc = F.octet_length(text) + 8, F.crc32(text)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = kd_shards(docs, 24, size, [size, crc], crc)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", F.col("grp").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query()
 def op7_vector_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY source),
+  w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM s),
+  r AS (SELECT *, cap / weight AS ratio, sum(cap) OVER o - cap AS held, sum(weight) OVER () - sum(weight) OVER o + weight AS left_weight,
+      sum(source_size) OVER () AS total FROM w WINDOW o AS (ORDER BY cap / weight, place)),
+  l AS (SELECT arg_min((total - held)::DOUBLE / left_weight, ratio) FILTER ((total - held)::DOUBLE / left_weight < ratio) AS level FROM r),
+  t AS (SELECT source, place, source_size, least(cap::DOUBLE, level * weight) AS target FROM w, l),
+  q AS (SELECT doc_id, d.source, size, source_size, target, place, sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || doc_id), size)::BIGINT AS words
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  p AS (SELECT *, (turn * source_size + words)::DOUBLE / target AS finish FROM q, range(3) x(turn) WHERE size > 0 AND target > 0 AND turn * source_size <= target),
+  c AS (SELECT *, sum(size) OVER (ORDER BY finish, place, turn, words) AS total FROM p),
+  n AS (SELECT doc_id, count(*) AS times FROM c WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+  SELECT doc_id, source, size, source_size, target, (coalesce(times, 0) * size)::BIGINT AS taken FROM q LEFT JOIN n USING (doc_id)""")
+def op8_fair_mix(spark, sf_dir):
+    return fair_mix(table(spark, sf_dir, "documents"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
   SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id, score,

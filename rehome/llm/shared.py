@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The bytes that part words, as the regular expression of a word.
@@ -89,3 +89,23 @@ def components(edges: DataFrame) -> DataFrame:
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     return found.select("id", F.col("root").alias("component"))
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parts: int) -> DataFrame:
+    """The rows with, for each ``new: column``, the column's running sum in a global order, itself included.
+
+    The rows are range-sorted into parts and written; totals of the parts, one row each, give every part
+    its start, and a window runs inside each part. No task sees more than its range of the order, so
+    the order should end in something that tells rows apart.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
+    ranged = cut(keyed.repartitionByRange(parts, *names).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    starts = totals.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_s_" + n) for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    with_sums = ranged.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()]).join(starts, "_part")
+    for n in sums:
+        with_sums = with_sums.withColumn(n, F.col(n) + F.col("_s_" + n))
+    return with_sums.drop("_part", *names, *["_s_" + n for n in sums])
