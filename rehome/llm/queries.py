@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rehome.llm.language import predict_language
 from rehome.llm.mixing import fair_mix
+from rehome.llm.quality import judge_quality
 from rehome.llm.shared import table
 from rehome.llm.shards import kd_shards
+from rehome.llm.simhash import simhash_groups
 from rehome.llm.topk import top_products
 from rehome.llm.url_model import Rule, judge_urls
 from rehome.llm.vector_groups import near_vectors
@@ -38,11 +41,22 @@ RULES = [
 ]
 
 
+@query()
+def op2_quality_votes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"])
+
+
 @query()
 def op3_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+@query()
+def op4_language_gru(spark, sf_dir):
+    return predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
 @query()
 def op5_kd_shards(spark, sf_dir):
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -76,6 +90,11 @@ def op8_fair_mix(spark, sf_dir):
     return fair_mix(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
   SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id, score,

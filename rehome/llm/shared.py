@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The bytes that part words, as the regular expression of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,3 +110,26 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parts
     for n in sums:
         with_sums = with_sums.withColumn(n, F.col(n) + F.col("_s_" + n))
     return with_sums.drop("_part", *names, *["_s_" + n for n in sums])
+
+
+def with_scores(docs: DataFrame, text_column: str, keep: list[str], fields: str, score, rows: int = 1000) -> DataFrame:
+    """The columns ``keep`` and new ``fields``, which ``score`` makes of a batch's texts (an Arrow array).
+
+    A kept column that has the name of a new field gives way to it. Batches have the session's size;
+    only the kept columns and the text go to Python.
+    """
+    import pyarrow as pa
+
+    new = T._parse_datatype_string(fields)
+    kept = [c for c in keep if c not in new.names]
+    sent = docs.select(F.col(text_column).cast("string").alias("_text"), *kept)
+    schema = T.StructType([*sent.schema.fields[1:], *new.fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *score(part.column(0))], names)
+
+    return sent.mapInArrow(run, schema)

@@ -132,7 +132,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_column
     goes = pairs.select(F.col("x").alias("block"), "x", "y").unionByName(pairs.filter("x <> y").select(F.col("y").alias("block"), "x", "y"))
     sent = placed.select("bits", "block").join(goes, "block")
 
-    def compare(key, block: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         here = block["block"].to_numpy() == int(key[0])
         bits = block["bits"].to_numpy(np.int64).view(np.uint64)
         same = int(key[0]) == int(key[1])

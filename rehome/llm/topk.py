@@ -63,7 +63,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, id_column: s
             return ids[order], v[order]
         return both[:, 0], both[:, 1:]
 
-    def multiply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "shard": [], "vec_id": [], "score": []})
         width = int(key[2])

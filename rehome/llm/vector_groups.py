@@ -118,7 +118,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     columns = ["cell", "lb", "gb", "rep", "copies", "home", "v"]
     meeting = residents.select(*columns, F.lit(True).alias("lives")).unionByName(guests.select(*columns, F.lit(False).alias("lives")))
 
-    def compare(key, block: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         here, there = block[block["lives"]], block[~block["lives"]]
         if not len(here) or not len(there):
             return pd.DataFrame({"id": [], "links": [], "root": []})
