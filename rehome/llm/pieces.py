@@ -17,6 +17,7 @@ from rehome.llm.shared import cut, parts_for
 SPACE = "▁"  # fixed value: how a model's pieces write a space
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SHORT = 64  # characters; longer words are known by their hash
+HASHED = "\n\n"  # in front of a long word's hash; no word begins so
 BLOCK = 256  # steps kept in one array while a word is folded
 
 
@@ -142,7 +143,7 @@ def best_path(edges: Column, longest: int) -> Column:
 
 
 def key_of(word: Column) -> Column:
-    return F.when(F.char_length(word) > SHORT, F.concat(F.lit("\n\n"), F.md5(word.cast("binary")))).otherwise(word)
+    return F.when(F.char_length(word) > SHORT, F.concat(F.lit(HASHED), F.md5(word.cast("binary")))).otherwise(word)
 
 
 def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
@@ -181,9 +182,9 @@ def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
 
 
 def dictionary_of(vocabulary: DataFrame, most: int) -> pa.Table:
-    """(key, ids) of the commonest short words, at most ``most``: all those of the highest steps of log2(n) that fit."""
+    """(key, ids) of the commonest words but long ones, at most ``most``: all those of the highest steps of log2(n) that fit."""
     step = F.floor(F.log2("n") * 8)
-    short = vocabulary.filter(F.char_length("key") <= 40)
+    short = vocabulary.filter(~F.startswith("key", F.lit(HASHED)))
     sizes = sorted(((r[0], r[1]) for r in short.groupBy(step).count().collect()), reverse=True)
     total, least = 0, None
     for s, count in sizes:
@@ -207,7 +208,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
 
     The text, a space before it, is cut into words that no piece reaches across; the best segmentation of
     each distinct word (highest sum of the file's piece scores; of equals the longest last piece)
-    comes from the lattice. The commonest words of up to 40 characters, at most ``most_words`` of them, go to every task
+    comes from the lattice. The commonest words of up to 64 characters, at most ``most_words`` of them, go to every task
     as a dictionary, whose size those two numbers bound. Words beyond it are joined: each is a
     hole in its text, shuffled by word to its ids and by row back to the text. Nothing is cut
     off, and if the dictionary holds every word the texts are not moved at all.
@@ -271,9 +272,8 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     encoded = sent.mapInArrow(encode, out)
     if whole:
         return encoded
-    # Row numbers are taken from the written rows, so they stay what they are.
-    encoded = cut(encoded).withColumn("_row", F.monotonically_increasing_id())
-    encoded = cut(encoded)
+    # Row numbers are written with the rows, so they stay what they are.
+    encoded = cut(encoded.withColumn("_row", F.monotonically_increasing_id()))
     holes = encoded.filter(F.size("holes") > 0).select("_row", F.explode("holes").alias("hole")).select("_row", "hole.at", key_of(F.col("hole.word")).alias("key"))
     filled = holes.join(vocabulary.select("key", "ids"), "key").groupBy("_row").agg(F.collect_list(F.struct("at", "ids")).alias("fills"))
     done = encoded.filter(F.size("holes") == 0).select(*keep, "ids")

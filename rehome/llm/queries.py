@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rehome.llm.language import predict_language
 from rehome.llm.mixing import fair_mix
+from rehome.llm.pieces import decode_ids, encode_texts, load_model
 from rehome.llm.quality import judge_quality
 from rehome.llm.shared import table
 from rehome.llm.shards import kd_shards
@@ -31,6 +33,9 @@ def query(sql: str | None = None):
     return add
 
 
+# A public model file; set LLM_PIECE_MODEL to use another.
+PIECE_MODEL = os.environ.get("LLM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 # The rules of the URL filter.
 RULES = [
     Rule("com", "/", "allow"),
@@ -68,6 +73,14 @@ def op5_kd_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op6_pieces(spark, sf_dir):
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), load_model(PIECE_MODEL)
+    decoded = decode_ids(encode_texts(docs, model), model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @query()
 def op7_vector_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
