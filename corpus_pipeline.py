@@ -1,14 +1,78 @@
-"""From raw documents to encoded training text, one written stage after the other."""
+"""From raw documents to encoded training text: five stages, each written as Parquet and read by the next."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from rehome.llm.language import predict_language
+from rehome.llm.mixing import fair_mix
+from rehome.llm.pieces import encode_texts, load_model
+from rehome.llm.quality import judge_quality
+from rehome.llm.queries import PIECE_MODEL
 from rehome.llm.shared import shared_folder, table
+from rehome.llm.simhash import simhash_groups
 
-STAGES = []
+SURE = 0.4  # the least mean probability of a language
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose vote reaches the threshold. The sample is taken of the documents that have come here.
+
+    Texts that are null or empty are judged like any other; extra columns of the table stay.
+    """
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return judge_quality(docs, labels).filter("predicted = 1").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a mean probability of at least SURE; the rest goes.
+
+    Where no document has a language, nothing can be learnt and all goes.
+    """
+    return predict_language(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near fingerprints; of rows with one id, one.
+
+    Rows without an id belong to no group and stay.
+    """
+    found = simhash_groups(docs, shingle=4, radius=4)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    # The hash side is ids; texts are moved once and not sorted.
+    stay = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+        stay = stay.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return stay.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or up to three times.
+
+    Rows with one id are taken as often as the one of them that is taken most. Texts without words go.
+    """
+    times = fair_mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("_times"))
+    times = times.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+    mixed = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents and their piece ids."""
+    return encode_texts(docs, load_model(PIECE_MODEL))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("simhash", dedup_stage),
+    ("mixing", mixing_stage),
+    ("pieces", encoding_stage),
+]
 
 # No SQL expresses the trained models of the first two stages; tests hold the stages to brute force.
 ORACLE_SQL = None
