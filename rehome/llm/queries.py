@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rehome.llm.katz import katz_scores
 from rehome.llm.language import predict_language
 from rehome.llm.mixing import fair_mix
 from rehome.llm.pieces import decode_ids, encode_texts, load_model
@@ -46,6 +47,11 @@ RULES = [
 ]
 
 
+@query()
+def op1_katz_backoff(spark, sf_dir):
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_quality_votes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
