@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rehome.functions.text import schema_enabled
+from rehome.lineage import cut
+from rehome.operators.picks import union_frames
 from rehome.sinks.copy import copy_objects, copy_plan
 from rehome.sinks.snapshot import outcome_frame, restore_snapshot, save_all
 from rehome.sources.objects import list_objects, list_tables
@@ -24,28 +26,42 @@ def restore_estate(
     return restore_snapshot(spark, paths, suffix, fmt)
 
 
-def store_objects(stores: DataFrame) -> DataFrame:
+def store_objects(stores: DataFrame, strict: bool = True) -> DataFrame:
     """Tables and files of every store (item_id, base_path, properties).
 
     Stores with schemas are listed by schema, the others by table; files are listed for all of
-    them, whether or not there are tables.
+    them, whether or not there are tables. If not ``strict``, a store that cannot be listed is a row
+    with the ``error`` and no name.
     """
-    flagged = stores.withColumn("_schemas", schema_enabled("properties"))
-    by_schema = list_tables(flagged.filter("_schemas"))
-    plain = list_objects(flagged.filter("NOT _schemas"), ["Tables"])
-    files = list_objects(flagged, ["Files"])
+    flagged = stores.select("item_id", "base_path", schema_enabled("properties").alias("_schemas"))
+    by_schema = list_tables(flagged.filter("_schemas"), strict=strict)
+    plain = list_objects(flagged.filter("NOT _schemas"), ["Tables"], strict)
+    files = list_objects(flagged, ["Files"], strict)
     found = by_schema.unionByName(plain, allowMissingColumns=True).unionByName(
         files, allowMissingColumns=True
     )
-    return found.join(stores.select("base_path", "item_id"), "base_path").select(
-        "item_id", "schema", "name", "type", "src_path"
-    )
+    return found.select("item_id", "schema", "name", "type", "src_path", *([] if strict else ["error"]))
 
 
 def recover_data(stores: DataFrame, recovery: DataFrame, **rename) -> DataFrame:
-    """List, plan and copy all lakehouse data of a recovery map; returns the audit."""
-    lakehouses = recovery.filter(F.col("primary_type") == "Lakehouse")
-    mine = stores.join(
-        lakehouses.select(F.col("primary_id").alias("item_id")).distinct(), "item_id", "left_semi"
+    """List, plan and copy all lakehouse data of a recovery map; returns the audit.
+
+    Every lakehouse of the map has a row: one for each object, or one with the status ``no_store``,
+    ``unlisted`` (with the error) or ``empty``.
+    """
+    lakehouses = cut(recovery.filter(F.col("primary_type") == "Lakehouse"))
+    wanted = lakehouses.select(F.col("primary_id").alias("item_id")).distinct()
+    mine = stores.join(wanted, "item_id", "left_semi")
+    found = cut(store_objects(mine, strict=False))
+    listed, failed = found.filter("error IS NULL"), found.filter("error IS NOT NULL")
+    audit = copy_objects(copy_plan(listed, lakehouses, **rename))
+    bases = mine.select("item_id", F.col("base_path").alias("src_path"))
+    empty = bases.join(found, "item_id", "left_anti")
+    unread = failed.groupBy("item_id").agg(F.min("src_path").alias("src_path"), F.max("error").alias("error"))
+    lost = wanted.join(stores, "item_id", "left_anti")
+    return union_frames(
+        audit,
+        lost.select("item_id", F.lit("no_store").alias("status")),
+        unread.select("item_id", "src_path", "error", F.lit("unlisted").alias("status")),
+        empty.select("item_id", "src_path", F.lit("empty").alias("status")),
     )
-    return copy_objects(copy_plan(store_objects(mine), lakehouses, **rename))

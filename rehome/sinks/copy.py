@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from rehome.sources.objects import FAILURES, leaf_files, open_path, width
 
 INCOMING = "__incoming"
 CHUNK = 8 << 20
+BYTES_EACH = 1 << 30  # bytes of one copying task, about
 
 FILE_SCHEMA = (
     "src_path STRING, dst_path STRING, bytes LONG, start_time TIMESTAMP, end_time TIMESTAMP, error STRING"
@@ -68,12 +70,20 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def _stream(source: str, target: str) -> int:
-    """One file, in chunks, under a name of this task attempt until it is whole."""
+def _stream(source: str, target: str, partials: str) -> int:
+    """One file, in chunks, in the folder for partial files until it is whole.
+
+    A file that this run has copied before, in an attempt that was lost, stays.
+    """
     reader, inside = open_path(source)
     writer, place = open_path(target)
-    writer.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    partial = f"{place}.{TaskContext.get().taskAttemptId()}.partial"
+    there, given = writer.get_file_info(place), reader.get_file_info(inside)
+    if there.type == fs.FileType.File and there.size == given.size:
+        return there.size
+    folder = open_path(partials)[1]
+    for path in (place.rsplit("/", 1)[0], folder):
+        writer.create_dir(path, recursive=True)
+    partial = f"{folder}/{uuid.uuid4().hex}"
     size = 0
     with reader.open_input_stream(inside) as incoming, writer.open_output_stream(partial) as outgoing:
         while chunk := incoming.read(CHUNK):
@@ -89,7 +99,7 @@ def _copy_batches(batches):
             start, size, error = _now(), 0, row.error
             try:
                 if error is None:
-                    size = _stream(row.path, row.target)
+                    size = _stream(row.path, row.target, row.partials)
             except FAILURES as problem:
                 error = str(problem)
             yield pd.DataFrame(
@@ -105,10 +115,41 @@ def _delete(system, info) -> None:
         system.delete_file(info.path)
 
 
+def _inside(system, path: str) -> list:
+    """The files at or below a path."""
+    info = system.get_file_info(path)
+    if info.type != fs.FileType.Directory:
+        return [info] if info.type == fs.FileType.File else []
+    below = system.get_file_info(fs.FileSelector(path, recursive=True))
+    return [x for x in below if x.type == fs.FileType.File]
+
+
+def _holds(system, path: str, files: int, size: int) -> bool:
+    found = _inside(system, path)
+    return (len(found), sum(x.size for x in found)) == (files, size)
+
+
+def _move(system, staged: str, place: str) -> None:
+    """A folder or file to its place; file by file in a store that moves no folders."""
+    try:
+        system.move(staged, place)
+    except (NotImplementedError, pa.ArrowException, OSError):
+        if system.get_file_info(staged).type != fs.FileType.Directory:
+            raise
+        for info in _inside(system, staged):
+            target = place + info.path[len(staged):]
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            system.move(info.path, target)
+
+
 def _put_in_place(row) -> tuple[str, str | None]:
-    """Exchange the finished copy for the old target. Safe to repeat after a lost task."""
+    """Exchange the finished copy for the old target. Safe to repeat after a lost task.
+
+    It is copied when the target's files and bytes are those that this run has copied.
+    """
     system, place = open_path(row.dst_path)
-    staged, old = system.get_file_info([place + INCOMING, place])
+    staging = open_path(row.staging)[1]
+    staged, old = system.get_file_info([staging, place])
     if row.error is not None:
         _delete(system, staged)
         return "failed", row.error
@@ -120,13 +161,26 @@ def _put_in_place(row) -> tuple[str, str | None]:
         system.create_dir(place, recursive=True)
         return "copied", None
     if staged.type != fs.FileType.NotFound:
-        _delete(system, old)
-        system.move(place + INCOMING, place)
-    elif old.type == fs.FileType.NotFound:
-        return "failed", "staged copy is gone"
+        if _holds(system, staging, row.files, row.bytes):
+            _delete(system, old)
+            _move(system, staging, place)
+        elif not _resumed(system, staging, place, row):
+            return "failed", "the staged copy is not what was copied"
+        _delete(system, system.get_file_info(staging))
+    if not _holds(system, place, row.files, row.bytes):
+        return "failed", "the target is not what was copied"
     return "copied", None
 
 
+def _resumed(system, staging: str, place: str, row) -> bool:
+    """Go on with a move file by file that an attempt has begun: the old target was gone by then."""
+    left, there = _inside(system, staging), _inside(system, place)
+    if (len(left) + len(there), sum(x.size for x in left + there)) != (row.files, row.bytes):
+        return False
+    _move(system, staging, place)
+    return True
+
+
 def _swap_batches(batches):
     for pdf in batches:
         pdf = pdf.astype({"error": object}).where(pdf.notna(), None)
@@ -135,6 +189,8 @@ def _swap_batches(batches):
             start = _now() if pd.isna(row.start_time) else row.start_time
             try:
                 status, error = _put_in_place(row)
+                system, partials = open_path(row.partials)
+                _delete(system, system.get_file_info(partials))
             except FAILURES as problem:
                 status, error = "failed", str(problem)
             out.append((row.src_path, row.dst_path, row.files, row.bytes, start, _now(), status, error))
@@ -146,24 +202,45 @@ def _swap_batches(batches):
         )
 
 
-def copy_objects(plan: DataFrame, *, parallelism: int | None = None) -> DataFrame:
+def copy_objects(
+    plan: DataFrame,
+    *,
+    parallelism: int | None = None,
+    inventory: DataFrame | None = None,
+    bytes_each: int = BYTES_EACH,
+) -> DataFrame:
     """Carry out a plan (src_path, dst_path): one audit row for each object.
 
-    Files are listed and streamed in tasks of their own, so one object with most of the files is
-    copied by all of them. An object is put in place when all its files have arrived; if one
-    fails the old target stays. Where several sources have one target, the first by path is
-    copied, and the others are reported as ``collision``. Both steps are written out, so reading
-    the audit copies nothing.
+    Files are listed and streamed in tasks of their own, as many as the bytes ask for, so one
+    object with most of the files is copied by all of them. ``inventory`` (src_path, path, size) is a
+    file table to copy by, in place of listing. Files gather under a name of this run beside the
+    target, and an object is put in place when all of them have arrived; if one fails the old target
+    stays. ``copied`` means that the target's files and bytes were compared. Where several
+    sources have one target, the first by path is copied, and the others are reported as
+    ``collision``. Both steps are written out, so reading the audit copies nothing.
     """
     spark = plan.sparkSession
-    plan = cut(plan.select("src_path", "dst_path").distinct())
+    run = uuid.uuid4().hex[:12]
+    ends = [F.when(F.rtrim(c, F.lit("/")) == "", F.left(c, F.lit(1))).otherwise(F.rtrim(c, F.lit("/"))).alias(c) for c in ("src_path", "dst_path")]
+    plan = cut(plan.select(*ends).distinct())
     single = first_rows(plan, ["dst_path"], ["src_path"])
+    single = single.withColumns({
+        "staging": F.concat("dst_path", F.lit(f"{INCOMING}_{run}")),
+        "partials": F.concat("dst_path", F.lit(f"{INCOMING}_{run}.partial")),
+    })
     n = parallelism or width(spark)
-    files = leaf_files(single.withColumn("path", F.col("src_path")))
+    if inventory is None:
+        files = leaf_files(single.withColumn("path", F.col("src_path")))
+    else:
+        listed = inventory.select(F.rtrim("src_path", F.lit("/")).alias("src_path"), "path", "size", F.lit(None).cast("string").alias("error"))
+        files = listed.join(single, "src_path")
     inside = F.substring(F.col("path"), F.length("src_path") + F.lit(1), F.length("path"))
-    target = F.concat("dst_path", F.lit(INCOMING), inside)
-    work = files.select("src_path", "dst_path", "path", target.alias("target"), "error")
-    copied = cut(work.repartition(n, "path").mapInPandas(_copy_batches, FILE_SCHEMA))
+    work = files.select("src_path", "dst_path", "path", "partials", F.concat("staging", inside).alias("target"), "size", "error")
+    if inventory is not None:
+        work = cut(work)
+    total = work.agg(F.sum("size")).first()[0] or 0
+    shares = parallelism or max(n, -(-total // bytes_each))
+    copied = cut(work.drop("size").repartition(shares, "path").mapInPandas(_copy_batches, FILE_SCHEMA))
     objects = copied.groupBy("src_path", "dst_path").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("bytes").alias("bytes"),

@@ -7,8 +7,10 @@ over a fixed number of partitions: adaptive execution would merge such small row
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,34 @@ from rehome.lineage import cut
 
 KINDS = ("Tables", "Files")
 BATCH = 10_000
-# What a storage call raises: the store's own errors, and a path that no filesystem understands.
-FAILURES = (OSError, ValueError)
+# What a storage call raises: the store's own errors, a path that no filesystem understands, and
+# an operation that a store does not have.
+FAILURES = (OSError, ValueError, pa.ArrowException)
 LISTED = {"name": None, "size": 0, "is_dir": False, "error": None}
 
 
 def open_path(path: str):
-    """(filesystem, path inside it) for a local path or a URI."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:"):]
-    return fs.FileSystem.from_uri(path)
+    """(filesystem, path inside it) for a local path or a URI.
+
+    Only a URI's root is parsed. What follows it is a name as the store lists it, in which ``#``,
+    ``?``, ``%`` and spaces stand for themselves.
+    """
+    scheme, mark, rest = path.partition(":/")
+    if not mark or "/" in scheme or not scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        host, _, inside = rest.removeprefix("/").partition("/") if rest.startswith("/") else ("", "", rest)
+        if host:
+            raise ValueError(f"a file of another host: {path}")
+        return fs.LocalFileSystem(), "/" + inside
+    host, _, inside = rest.removeprefix("/").partition("/")
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"{root.rstrip('/')}/{inside}"
+
+
+def bare(path: str) -> str:
+    """A path without slashes at its end; the root stays."""
+    return path.rstrip("/") or path[:1]
 
 
 def width(spark: SparkSession) -> int:
@@ -37,37 +57,44 @@ def width(spark: SparkSession) -> int:
     )
 
 
-def _entries(path: str) -> list[dict]:
-    """What lies at a path: a file is itself, a folder its children, an absent path nothing."""
+def _entries(path: str):
+    """What lies at a path, one after the other: a file is itself, a folder its children, an absent path nothing."""
     system, inside = open_path(path)
     info = system.get_file_info(inside)
     if info.type == fs.FileType.File:
-        return [{"name": info.base_name, "size": info.size, "is_dir": False}]
-    base = path.rstrip("/")
-    return [
-        {
+        yield {"name": info.base_name, "size": info.size, "is_dir": False}
+        return
+    base = bare(path)
+    for child in system.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+        yield {
             "path": f"{base}/{child.base_name}",
             "name": child.base_name,
             "size": child.size or 0,
             "is_dir": child.type == fs.FileType.Directory,
         }
-        for child in system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
-    ]
+
+
+def _tried(path: str, strict: bool):
+    """The entries of a path; where the store fails, a last one with its error."""
+    try:
+        yield from _entries(path)
+    except FAILURES as problem:
+        if strict:
+            raise
+        yield {"size": 0, "is_dir": False, "error": str(problem)}
+
+
+def _batched(entries):
+    while part := list(islice(entries, BATCH)):
+        yield part
 
 
 def _lister(strict: bool):
     def list_batches(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                try:
-                    found = _entries(row["path"])
-                except FAILURES as problem:
-                    if strict:
-                        raise
-                    found = [{"size": 0, "is_dir": False, "error": str(problem)}]
-                for start in range(0, len(found), BATCH):
-                    part = [row | LISTED | entry for entry in found[start : start + BATCH]]
-                    yield pd.DataFrame(part).astype({"name": object, "error": object})
+                for part in _batched(_tried(row["path"], strict)):
+                    yield pd.DataFrame([row | LISTED | entry for entry in part]).astype({"name": object, "error": object})
 
     return list_batches
 
@@ -91,27 +118,39 @@ def children(dirs: DataFrame, strict: bool = True) -> DataFrame:
     return spread.mapInPandas(_lister(strict), schema)
 
 
-def list_objects(stores: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
-    """Tables and files of every store (``base_path``) → base_path, name, type, src_path."""
+def _carried(stores: DataFrame) -> list[str]:
+    """The columns of a store that its objects keep."""
+    return [c for c in stores.columns if c not in {*LISTED, "base_path", "kind", "schema", "type", "path", "src_path"}]
+
+
+def list_objects(stores: DataFrame, kinds: Iterable[str] = KINDS, strict: bool = True) -> DataFrame:
+    """Tables and files of every store (``base_path``) → base_path, name, type, src_path.
+
+    Other columns of the stores are carried along, behind those. If not ``strict``, a store that
+    cannot be listed is a row without a name and with the ``error``, a last column.
+    """
+    kept = _carried(stores)
     pairs = F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind")
-    dirs = stores.select("base_path", pairs).select(
-        "base_path", "kind", F.concat_ws("/", "base_path", "kind").alias("path")
-    )
-    return children(dirs).select("base_path", "name", _type_of("kind"), F.col("path").alias("src_path"))
+    dirs = stores.select("base_path", *kept, pairs).withColumn("path", F.concat_ws("/", F.rtrim("base_path", F.lit("/")), "kind"))
+    found = children(dirs, strict).withColumnRenamed("path", "src_path").withColumn("type", _type_of("kind"))
+    return found.select("base_path", "name", "type", "src_path", *kept, *([] if strict else ["error"]))
 
 
-def list_tables(stores: DataFrame, schemas: list[str] | None = None) -> DataFrame:
-    """Tables of every store by schema → base_path, schema, name, type, src_path.
+def list_tables(stores: DataFrame, schemas: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Tables of every store by schema → base_path, schema, name, type, src_path; the rest as in list_objects.
 
     A store without tables gives no rows, and the columns are there all the same.
     """
-    level = list_objects(stores, ["Tables"])
+    kept = _carried(stores)
+    level = list_objects(stores, ["Tables"], strict)
     if schemas is not None:
-        level = level.filter(F.col("name").isin(schemas))
-    dirs = level.select("base_path", F.col("name").alias("schema"), F.col("src_path").alias("path"))
-    return children(dirs).select(
-        "base_path", "schema", "name", F.lit("table").alias("type"), F.col("path").alias("src_path")
-    )
+        level = level.filter(F.col("name").isin(schemas) | (F.lit(False) if strict else F.col("error").isNotNull()))
+    failed = None if strict else level.filter("error IS NOT NULL")
+    level = level if strict else level.filter("error IS NULL")
+    dirs = level.select("base_path", *kept, F.col("name").alias("schema"), F.col("src_path").alias("path"))
+    names = ["base_path", "schema", "name", "type", "src_path", *kept, *([] if strict else ["error"])]
+    found = children(dirs, strict).withColumnRenamed("path", "src_path").withColumn("type", F.lit("table")).select(names)
+    return found if strict else found.unionByName(failed.withColumn("schema", F.lit(None).cast("string")).select(names))
 
 
 def leaf_files(roots: DataFrame) -> DataFrame:
@@ -133,7 +172,7 @@ def leaf_files(roots: DataFrame) -> DataFrame:
 
 def _type_of(kind: str):
     """Folder name without its last letter, in lower case: Tables → table."""
-    return F.lower(F.left(F.col(kind), F.length(kind) - F.lit(1))).alias("type")
+    return F.lower(F.left(F.col(kind), F.length(kind) - F.lit(1)))
 
 
 def _below(column: str, folders: str):
@@ -155,7 +194,7 @@ def objects_from_paths(paths: DataFrame, column: str = "path") -> DataFrame:
     found = paths.select(base.alias("base_path"), kind.alias("kind"), F.get(steps, 0).alias("name"))
     found = found.filter(F.col("name") != "").distinct()
     whole = F.concat_ws("/", "base_path", "kind", "name")
-    return found.select("base_path", "name", _type_of("kind"), whole.alias("src_path"))
+    return found.select("base_path", "name", _type_of("kind").alias("type"), whole.alias("src_path"))
 
 
 def tables_from_paths(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rehome.plans.estate import recover_data, store_objects
-from rehome.sinks.copy import INCOMING, copy_objects
+from rehome.sinks.copy import INCOMING, _put_in_place, copy_objects
 from rehome.sources.objects import leaf_files, list_objects, list_tables, objects_from_paths, tables_from_paths
 
 
@@ -114,7 +114,7 @@ def test_copy_replaces_the_target(spark, store, tmp_path, rows):
     assert tree(out / "trips") == tree(store / "Tables/dbo/trips")
     assert (out / "files/readme.txt").read_text() == "hello"
     assert os.path.isdir(out / "nothing") and not os.path.exists(out / "absent")
-    assert not [d for d, _, _ in os.walk(out) if d.endswith(INCOMING)]
+    assert not [d for d, _, _ in os.walk(out) if INCOMING in d]
     assert audit.filter("elapsed_seconds < 0 OR start_text IS NULL").isEmpty()
 
 
@@ -167,8 +167,12 @@ def test_recover_data(spark, store, tmp_path):
         [("s1", "w1", "W", "S", "t1", "w2", "W_DR", "S", "Lakehouse"), ("s2", "w1", "W", "T", "t2", "w2", "W_DR", "T", "Lakehouse")],
         names.split(),
     )
-    audit = recover_data(kept, recovery, scheme=f"{tmp_path}/")
-    assert {r["status"] for r in audit.collect()} == {"copied"}
+    more = recovery.unionByName(recovery.limit(1).withColumn("primary_id", F.lit("gone"))).unionByName(
+        recovery.limit(1).withColumn("primary_id", F.lit("s3"))).unionByName(recovery.limit(1).withColumn("primary_id", F.lit("s4")))
+    kept = kept.unionByName(kept.limit(1).selectExpr("'s4' AS item_id", "'nowhere://h/x' AS base_path", "properties"))
+    audit = recover_data(kept, more, scheme=f"{tmp_path}/").collect()
+    assert {(r["item_id"], r["status"]) for r in audit} == {(None, "copied"), ("gone", "no_store"), ("s3", "empty"), ("s4", "unlisted")}
+    assert len(audit) == 7 + 3
     assert tree(tmp_path / "w2/t1") == tree(store)
     assert tree(tmp_path / "w2/t2") == tree(plain)
 
@@ -181,3 +185,105 @@ def test_a_copied_table_reads_the_same(spark, tmp_path, rows):
     digest = F.sum(F.xxhash64("id", "g").cast("decimal(38,0)"))
     a, b = (spark.read.parquet(str(p)).agg(F.count("*"), digest).first() for p in (src, dst))
     assert a == b and a[0] == 1000
+
+
+def test_names_that_a_uri_would_read_otherwise(spark, store, tmp_path):
+    for name in ("a#1", "b 2", "c%41", "d?x=1", "é"):
+        put(store, f"Files/odd/{name}/part", name)
+    put(store, "Files/odd/a/part", "another file")
+    for k, (base, out) in enumerate(((f"file://{store}", f"file://{tmp_path}/u#ri"), (str(store), str(tmp_path / "pl%20ain")))):
+        audit = copy_objects(plan(spark, (f"{base}/Files/odd/", f"{out}/"))).first()
+        assert (audit["status"], audit["files"]) == ("copied", 6)
+        assert tree(tmp_path / ("u#ri", "pl%20ain")[k]) == tree(store / "Files/odd")
+
+
+def test_a_slash_at_the_end_is_the_same_target(spark, store, tmp_path):
+    out = tmp_path / "dst" / "t"
+    put(out, "part-0.parquet", "stale and longer")
+    audit = copy_objects(plan(spark, (f"{store}/Tables/dbo/trips/", f"{out}/"), (store / "Tables/dbo/trips", out))).collect()
+    assert [r["status"] for r in audit] == ["copied"]
+    assert tree(tmp_path / "dst") == {f"t/{k}": v for k, v in tree(store / "Tables/dbo/trips").items()}
+
+
+def test_left_overs_of_other_runs_stay_out(spark, store, tmp_path):
+    out = tmp_path / "t"
+    put(tmp_path, "t" + INCOMING + "/old.parquet", "left over")
+    put(tmp_path, "t" + INCOMING + "/part-0.parquet.7.partial", "half")
+    assert copy_objects(plan(spark, (store / "Tables/sales/orders", out))).first()["status"] == "copied"
+    assert tree(out) == {"part-0.parquet": "dd"}
+
+
+class Row:
+    def __init__(self, **fields):
+        self.__dict__ |= fields
+
+
+def swap_row(tmp_path, files, size):
+    return Row(src_path="s", dst_path=str(tmp_path / "t"), staging=str(tmp_path / "t__in"), files=files, bytes=size, error=None)
+
+
+def test_a_swap_may_run_again(tmp_path):
+    put(tmp_path, "t__in/a", "12")
+    put(tmp_path, "t/old", "0")
+    row = swap_row(tmp_path, 1, 2)
+    assert _put_in_place(row) == ("copied", None) == _put_in_place(row)
+    assert tree(tmp_path / "t") == {"a": "12"}
+    put(tmp_path, "t/b", "not of this run")
+    assert _put_in_place(row)[0] == "failed"
+
+
+def test_a_store_that_moves_no_folders(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from rehome.sinks import copy as module
+
+    class FilesOnly:
+        def __init__(self):
+            self.inner = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, a, b):
+            if self.inner.get_file_info(a).type == fs.FileType.Directory:
+                raise pa.ArrowNotImplementedError("no folders here")
+            self.inner.move(a, b)
+
+    monkeypatch.setattr(module, "open_path", lambda path: (FilesOnly(), path))
+    put(tmp_path, "t__in/a", "12")
+    put(tmp_path, "t__in/d/b", "3")
+    put(tmp_path, "t/old", "0")
+    assert _put_in_place(swap_row(tmp_path, 2, 3)) == ("copied", None)
+    assert tree(tmp_path / "t") == {"a": "12", "d/b": "3"} and not (tmp_path / "t__in").exists()
+    # An attempt that was lost in between: one file is in place, one is not.
+    put(tmp_path, "t__in/d/b", "3")
+    os.remove(tmp_path / "t/d/b")
+    assert _put_in_place(swap_row(tmp_path, 2, 3)) == ("copied", None)
+    assert tree(tmp_path / "t") == {"a": "12", "d/b": "3"}
+
+
+def test_copy_by_inventory(spark, store, tmp_path):
+    src = store / "Tables/dbo/trips"
+    files = spark.createDataFrame([(str(src), f"{src}/{k}", len(v)) for k, v in tree(src).items()], "src_path STRING, path STRING, size LONG")
+    audit = copy_objects(plan(spark, (src, tmp_path / "t")), inventory=files, bytes_each=2).first()
+    assert (audit["status"], audit["files"], audit["bytes"]) == ("copied", 3, 7) and tree(tmp_path / "t") == tree(src)
+
+
+def test_a_session_without_a_shared_folder_is_an_error(spark):
+    from rehome.lineage import cut
+
+    class Named:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext, conf = Context(), Named()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut(Frame)
