@@ -104,6 +104,32 @@ RECOVERY_MAP = f"""SELECT wr.Name AS primary_ws_name, ir.type AS primary_type, i
   WHERE ir.type IN ('Lakehouse', 'Warehouse') AND w.Id <> '{SELF_ID}'"""
 
 
+_PAIR_KEY = "PARTITION BY ws_name, type, displayName ORDER BY md5(id), id"
+PAIRED_MAP = f"""SELECT o.ws_name AS primary_ws_name, o.type AS primary_type, o.displayName AS primary_name,
+  o.workspaceId AS primary_ws_id, o.id AS primary_id, n.workspaceId AS secondary_ws_id, n.new_name AS secondary_ws_name,
+  n.id AS secondary_id, n.displayName AS secondary_name, o.capacity_name,
+  CASE WHEN n.id IS NULL THEN 'unpaired' ELSE 'paired' END AS status
+  FROM (SELECT *, row_number() OVER ({_PAIR_KEY}) AS rank FROM (SELECT ir.*, wr.Name AS ws_name, cr.display_name AS capacity_name
+    FROM items_recovered ir JOIN workspaces_recovered wr ON wr.Id = ir.workspaceId
+    JOIN capacities_recovered cr ON wr.Capacity_Id = cr.id WHERE ir.type IN ('Lakehouse', 'Warehouse'))) o
+  LEFT JOIN (SELECT *, row_number() OVER ({_PAIR_KEY}) AS rank FROM (SELECT it.*, {STRIPPED} AS ws_name, w.Name AS new_name
+    FROM items it JOIN workspaces w ON it.workspaceId = w.Id AND ends_with(w.Name, '_DR') AND w.Id <> '{SELF_ID}'
+    WHERE it.type IN ('Lakehouse', 'Warehouse'))) n
+  ON n.ws_name = o.ws_name AND n.type = o.type AND n.displayName = o.displayName AND n.rank = o.rank"""
+# What actions are built on: each old store once, with a new store of its own.
+ACTION_MAP = f"SELECT * EXCLUDE (status) FROM ({PAIRED_MAP}) WHERE status = 'paired'"
+
+
+def _paired(e: Estate) -> DataFrame:
+    return M.paired_recovery_map(
+        e.items_recovered, e.workspaces_recovered, e.capacities_recovered, e.items, e.workspaces, SUFFIX, self_id=SELF_ID
+    )
+
+
+def _actions(e: Estate) -> DataFrame:
+    return _paired(e).filter("status = 'paired'").drop("status")
+
+
 def _map_inputs(e: Estate):
     return e.items_recovered, e.workspaces_recovered, e.items, e.workspaces, SUFFIX
 
@@ -174,10 +200,9 @@ def scan_table(e):
     return S.scan_table(e.spark, "rehome_items")
 
 
-@query("SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_quantity > 25")
+@query("SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem")
 def scan_path(e):
-    rows = S.scan_path(e.spark, e.path("lineitem")).filter(F.col("l_quantity") > 25)
-    return rows.select("l_orderkey", "l_partkey", "l_shipdate")
+    return S.scan_path(e.spark, e.path("lineitem")).select("l_orderkey", "l_partkey", "l_shipdate")
 
 
 @query("SELECT id, workspaceId, type, displayName FROM items ORDER BY id LIMIT 1000")
@@ -426,6 +451,16 @@ def unique_recovery_map(e):
     return _recovery(e, unique=True)
 
 
+@query(PAIRED_MAP)
+def paired_recovery_map(e):
+    return _paired(e)
+
+
+@query(f"SELECT status, count(*) AS n_rows, count(*) > 0 AS any_rows FROM ({PAIRED_MAP}) GROUP BY status")
+def status_counts(e):
+    return M.counts_by(_paired(e), "status")
+
+
 @query(
     f"""SELECT primary_ws_name, primary_type, primary_name, secondary_ws_name, secondary_name, secondary_ws_id,
   capacity_name FROM ({RECOVERY_MAP}) ORDER BY primary_type, primary_ws_name, primary_id, secondary_id"""
@@ -434,10 +469,10 @@ def recovery_summary(e):
     return M.recovery_summary(_recovery(e))
 
 
-@query(f"SELECT *, 'stores' AS part FROM ({RECOVERY_MAP})")
+@query(f"SELECT *, primary_type AS part FROM ({RECOVERY_MAP})")
 def recovery_by_type(e):
     parts = split_by(_recovery(e), "primary_type", ["Lakehouse", "Warehouse"])
-    return union_frames(*parts.values()).withColumn("part", F.lit("stores"))
+    return union_frames(*[part.withColumn("part", F.lit(name)) for name, part in parts.items()])
 
 
 @query(
@@ -605,11 +640,15 @@ REPORT_MAP = f"""SELECT rep.Name, rep.Dataset_Id AS old_dataset_id, rr.Id AS old
   WHERE rr.Id <> rep.Id AND w.Name <> r.Name AND {_scope_sql('w.Name')}"""
 
 
+UNIQUE_REPORTS = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY new_rep_id ORDER BY old_rep_id) AS rn,
+  count(*) OVER (PARTITION BY new_rep_id) > 1 AS ambiguous FROM ({REPORT_MAP})) WHERE rn = 1"""
+
+
 @query(
     f"""SELECT m.*, CASE WHEN o.old_item_id IS NOT NULL THEN 'rebind' WHEN n.new_item_id IS NOT NULL THEN 'in_place'
   ELSE 'unknown' END AS status, coalesce(o.old_item_name, n.new_item_name) AS dataset_name,
   coalesce(o.new_ws_id, n.new_ws_id) AS dataset_ws_id, coalesce(o.new_ws_name, n.new_ws_name) AS dataset_ws_name
-  FROM ({REPORT_MAP}) m LEFT JOIN ({OLD_ITEMS}) o ON o.old_item_id = m.old_dataset_id
+  FROM ({UNIQUE_REPORTS}) m LEFT JOIN ({OLD_ITEMS}) o ON o.old_item_id = m.old_dataset_id
   LEFT JOIN ({NEW_ITEMS}) n ON n.new_item_id = m.old_dataset_id"""
 )
 def report_plan(e):
@@ -621,16 +660,14 @@ def report_plan(e):
         e.items_recovered,
         e.workspaces_recovered,
         SUFFIX,
+        unique=True,
         **LISTS,
     )
     new = M.new_item_lookup(e.items, e.workspaces, SUFFIX, self_id=SELF_ID)
     return PI.report_plan(reports, _unique_old(e), new)
 
 
-@query(
-    f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY new_rep_id ORDER BY old_rep_id) AS rn,
-  count(*) OVER (PARTITION BY new_rep_id) > 1 AS ambiguous FROM ({REPORT_MAP})) WHERE rn = 1"""
-)
+@query(UNIQUE_REPORTS)
 def unique_report_map(e):
     return M.report_map(
         e.reports,
@@ -709,10 +746,10 @@ def merge_schema_union(e):
 @query(
     f"""SELECT o.item_id, o.schema, o.name, o.type, o.src_path,
   replace(replace(o.src_path, 'abfss://' || m.primary_ws_id, 'abfss://' || m.secondary_ws_id), m.primary_id, m.secondary_id)
-  AS dst_path, m.secondary_ws_id, m.secondary_id FROM store_objects o JOIN ({RECOVERY_MAP}) m ON m.primary_id = o.item_id"""
+  AS dst_path, m.secondary_ws_id, m.secondary_id FROM store_objects o JOIN ({ACTION_MAP}) m ON m.primary_id = o.item_id"""
 )
 def copy_plan(e):
-    return C.copy_plan(e.store_objects, _recovery(e))
+    return C.copy_plan(e.store_objects, _actions(e))
 
 
 @query(
@@ -761,21 +798,25 @@ _EXISTING = """SELECT w.id AS secondary_id, s.pointer FROM items w
     f"""SELECT m.secondary_ws_id, m.secondary_id, o.item_id, o.schema, o.name, o.schema || '_' || o.name AS pointer, o.src_path,
   '{{"path":"Tables/","name":"' || o.schema || '_' || o.name || '","target":{{"store":{{"workspaceId":"' || m.primary_ws_id ||
   '","itemId":"' || o.item_id || '","path":"/Tables/' || o.schema || '/' || o.name || '"}}}}}}' AS payload
-  FROM store_objects o JOIN ({RECOVERY_MAP}) m ON m.primary_id = o.item_id AND m.primary_type = 'Warehouse'
+  FROM store_objects o JOIN ({ACTION_MAP}) m ON m.primary_id = o.item_id AND m.primary_type = 'Warehouse'
   WHERE NOT EXISTS (SELECT 1 FROM ({_EXISTING}) x WHERE x.secondary_id = m.secondary_id
     AND x.pointer = o.schema || '_' || o.name)"""
 )
 def pointer_plan(e):
-    return PD.pointer_plan(e.store_objects, _recovery(e), e.sql(_EXISTING))
+    return PD.pointer_plan(e.store_objects, _actions(e), e.sql(_EXISTING))
+
+
+CHUNKS = 4
+_CHUNK = f"(('0x' || left(md5(schema || '.' || name), 6))::INT % {CHUNKS})"
 
 
 @query(
-    """SELECT item_id, 0 AS chunk, count(*) AS n_tables,
+    f"""SELECT item_id, {_CHUNK} AS chunk, count(*) AS n_tables,
   to_json(list(struct_pack(schema := schema, name := name) ORDER BY schema, name))::VARCHAR AS tables_json
-  FROM store_objects GROUP BY item_id"""
+  FROM store_objects GROUP BY item_id, {_CHUNK}"""
 )
 def tables_to_copy_json(e):
-    return L.tables_to_copy_json(e.store_objects)
+    return L.tables_to_copy_json(e.store_objects, chunks=CHUNKS)
 
 
 # ---- plans -------------------------------------------------------------------------------
@@ -816,15 +857,14 @@ def cleanup_plan(e):
 
 
 # A staging store and a loader of every third warehouse's name are there already.
-_STAGED_ITEMS = f"""SELECT id, workspaceId, type, displayName FROM items UNION ALL
-  SELECT substr(i.id,1,34) || k.mark || '2', i.workspaceId, k.item_type,
-    k.prefix || '_' || left(w.Name, length(w.Name) - 3) || '_' || i.displayName
-  FROM items i JOIN workspaces w ON i.workspaceId = w.Id
-  JOIN (SELECT 'c' AS mark, 'Lakehouse' AS item_type, 'temp_rlh' AS prefix UNION ALL
-        SELECT 'd', 'DataPipeline', 'plRecover_WH6' UNION ALL
-        SELECT 'e', 'SQLEndpoint', 'temp_rlh') k ON true
-  WHERE i.type = 'Warehouse' AND substr(w.Name, length(w.Name) - 2) = '_DR'
-  AND cast(substr(i.id,1,8) AS INT) % 3 = 0"""
+_HELPERS = (("c", "Lakehouse", "temp_rlh"), ("d", "DataPipeline", "plRecover_WH6"), ("e", "SQLEndpoint", "temp_rlh"))
+_STAGED_ITEMS = "SELECT id, workspaceId, type, displayName FROM items" + "".join(
+    f""" UNION ALL SELECT substr(i.id,1,34) || '{mark}2', i.workspaceId, '{kind}',
+    '{prefix}_' || left(w.Name, length(w.Name) - 3) || '_' || i.displayName
+  FROM items i JOIN workspaces w ON i.workspaceId = w.Id WHERE i.type = 'Warehouse'
+  AND substr(w.Name, length(w.Name) - 2) = '_DR' AND cast(substr(i.id,1,8) AS INT) % 3 = 0"""
+    for mark, kind, prefix in _HELPERS
+)
 _STAGED_ENDPOINTS = f"""SELECT workspace_id, item_id, type, connection_string FROM endpoints UNION ALL
   SELECT workspaceId, id, type, 'stage-' || substr(id,1,8) FROM ({_STAGED_ITEMS}) s
   WHERE type = 'Lakehouse' AND displayName LIKE 'temp%'"""
@@ -836,38 +876,42 @@ _STAGING_SQL = f"""SELECT m.*, left('temp_rlh_' || primary_ws_name || '_' || pri
     AND s.displayName = left('temp_rlh_' || primary_ws_name || '_' || primary_name, 256)), 'NotExists') AS staging_id,
   coalesce((SELECT min(id) FROM ({_STAGED_ITEMS}) s WHERE s.type = 'DataPipeline' AND s.workspaceId = m.secondary_ws_id
     AND s.displayName = left('plRecover_WH6_' || primary_ws_name || '_' || primary_name, 256)), 'NotExists') AS loader_id
-  FROM ({RECOVERY_MAP}) m WHERE primary_type = 'Warehouse'"""
+  FROM ({ACTION_MAP}) m WHERE primary_type = 'Warehouse'"""
+
+
+_STATUS_SQL = f"""SELECT *, CASE WHEN count(*) OVER (PARTITION BY secondary_ws_id, staging_name) > 1 THEN 'name_collision'
+  WHEN staging_id = 'NotExists' THEN 'to_create' ELSE 'exists' END AS staging_status FROM ({_STAGING_SQL})"""
 
 
 def _staging(e: Estate) -> DataFrame:
-    return PD.staging_plan(_recovery(e), e.sql(f"SELECT * FROM ({_STAGED_ITEMS})"))
+    return PD.staging_plan(_actions(e), e.sql(f"SELECT * FROM ({_STAGED_ITEMS})"))
 
 
 @query(
-    f"""SELECT *, CASE WHEN staging_id = 'NotExists' THEN '{{"displayName":"' || staging_name ||
-  '","description":"Interim staging lakehouse for primary warehouse recovery: ' || primary_ws_name || '_' || primary_name ||
-  ' into workspace ' || secondary_ws_name || '(' || secondary_ws_id || ')"}}' END AS payload FROM ({_STAGING_SQL})"""
+    f"""SELECT *, CASE WHEN staging_status = 'to_create' THEN '{{"displayName":"' || staging_name ||
+  '","description":"Holds pointers to ' || primary_ws_name || '_' || primary_name ||
+  ' while its tables load into ' || secondary_ws_name || ' ' || secondary_ws_id || '"}}' END AS payload FROM ({_STATUS_SQL})"""
 )
 def staging_plan(e):
     return _staging(e)
 
 
 @query(
-    f"""WITH st AS ({_STAGING_SQL}), lst AS ({_STAGED_LISTING}), eps AS ({_STAGED_ENDPOINTS}),
-  js AS (SELECT item_id, count(*) AS n_tables,
+    f"""WITH st AS ({_STATUS_SQL}), lst AS ({_STAGED_LISTING}), eps AS ({_STAGED_ENDPOINTS}),
+  js AS (SELECT item_id, {_CHUNK} AS chunk, count(*) AS n_tables,
     to_json(list(struct_pack(schema := schema, name := name) ORDER BY schema, name))::VARCHAR AS tables_json
-    FROM store_objects GROUP BY item_id),
+    FROM store_objects WHERE type = 'table' GROUP BY item_id, {_CHUNK}),
   one AS (SELECT workspace_id, item_id, min(connection_string) AS cs FROM eps GROUP BY ALL),
   doors AS (SELECT workspace_id, display_name, min(id) AS endpoint_id FROM lst WHERE type = 'SQLEndpoint' GROUP BY ALL),
   j AS (SELECT st.primary_id, st.secondary_id, st.secondary_ws_id, st.loader_id, d.endpoint_id AS staging_endpoint_id,
-    a.cs AS staging_connection, b.cs AS target_connection, js.n_tables, js.tables_json,
-    CASE WHEN st.loader_id = 'NotExists' THEN 'no_loader' WHEN d.endpoint_id IS NULL THEN 'no_staging_endpoint'
+    a.cs AS staging_connection, b.cs AS target_connection, js.chunk, coalesce(js.n_tables, 0) AS n_tables, js.tables_json,
+    CASE WHEN js.item_id IS NULL THEN 'no_tables' WHEN st.staging_status = 'name_collision' THEN 'name_collision' WHEN st.loader_id = 'NotExists' THEN 'no_loader' WHEN d.endpoint_id IS NULL THEN 'no_staging_endpoint'
       WHEN a.cs IS NULL THEN 'no_staging_connection' WHEN b.cs IS NULL THEN 'no_target_connection' ELSE 'ready' END AS status
-    FROM st JOIN js ON js.item_id = st.primary_id
+    FROM st LEFT JOIN js ON js.item_id = st.primary_id
     LEFT JOIN doors d ON d.workspace_id = st.secondary_ws_id AND d.display_name = st.staging_name
     LEFT JOIN one a ON a.workspace_id = st.secondary_ws_id AND a.item_id = st.staging_id
     LEFT JOIN one b ON b.workspace_id = st.secondary_ws_id AND b.item_id = st.secondary_id)
-  SELECT primary_id, secondary_id, n_tables, status, CASE WHEN status = 'ready' THEN
+  SELECT primary_id, secondary_id, chunk, n_tables, status, CASE WHEN status = 'ready' THEN
     '{{"executionData":{{"parameters":{{"lakehouseId":"' || staging_endpoint_id || '","tablesToCopy":' || tables_json ||
     ',"workspaceId":"' || secondary_ws_id || '","warehouseId":"' || secondary_id || '","lakehouseConnStr":"' ||
     staging_connection || '","warehouseConnStr":"' || target_connection || '"}}}}}}' END AS payload FROM j"""
@@ -880,9 +924,9 @@ def plan_payloads(e):
         F.col("type").alias("Type"),
     )
     plan = PD.load_plan(
-        _staging(e), e.store_objects, e.sql(f"SELECT * FROM ({_STAGED_ENDPOINTS})"), listing
+        _staging(e), e.store_objects, e.sql(f"SELECT * FROM ({_STAGED_ENDPOINTS})"), listing, CHUNKS
     )
-    return plan.select("primary_id", "secondary_id", "n_tables", "status", "payload")
+    return plan.select("primary_id", "secondary_id", "chunk", "n_tables", "status", "payload")
 
 
 # ---- definitions -------------------------------------------------------------------------

@@ -7,7 +7,7 @@ other workspaces never meet, and the hot sides are split by adaptive execution.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rehome.functions.names import LIKE, LITERAL, has_suffix, is_guid, strip_suffix
@@ -257,6 +257,62 @@ def recovery_map(
     )
 
 
+def _ranked(df: DataFrame, keys: list[str], id: str) -> DataFrame:
+    """Rows with their rank within the keys, in the order of md5(id).
+
+    Rows of a key are dealt into 256 buckets by the first two digits of the hash. A bucket's rows are
+    numbered by themselves, and its start is the sum of the counts of those before it, at most 256 rows a
+    key: a name that very many items share is not one group in one task.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.col(id).cast("binary"))).withColumn("_bucket", F.left("_hash", F.lit(2)))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(*keys, "_bucket").count()
+    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_hash", id)
+    numbered = hashed.withColumn("_n", F.row_number().over(within))
+    ranked = numbered.join(starts, [*keys, "_bucket"]).withColumn("rank", F.col("_start") + F.col("_n"))
+    return ranked.drop("_hash", "_bucket", "_start", "_n")
+
+
+def paired_recovery_map(
+    snapshot_items: DataFrame,
+    snapshot_ws: DataFrame,
+    capacities: DataFrame,
+    items: DataFrame,
+    workspaces: DataFrame,
+    suffix: str,
+    *,
+    self_id: str | None = None,
+    include: list[str] = (),
+    match: str = LITERAL,
+) -> DataFrame:
+    """Each store of the snapshot once, with a store of its own: the map that actions are built on.
+
+    Of the stores that share workspace name, type and name, the k-th old one goes with the k-th new
+    one, in the order of md5(id). ``status`` is ``paired``, or ``unpaired`` where new ones run out.
+    """
+    new_ws = _new_side(workspaces, suffix, match, self_id)
+    cap = capacities.select(F.col("Id").alias("Capacity_Id"), F.col("display_name").alias("capacity_name"))
+    old_ws = _old_side(scope(snapshot_ws, include=include), F.col("Capacity_Id")).join(cap, "Capacity_Id")
+    old = _ranked(_old_items(of_type(snapshot_items, *DATA_TYPES), old_ws), ITEM_KEY, "old_item_id")
+    new = _ranked(_new_items(of_type(items, *DATA_TYPES), new_ws), ITEM_KEY, "new_item_id")
+    pairs = old.join(new, [*ITEM_KEY, "rank"], "left")
+    found = F.col("new_item_id").isNotNull()
+    return pairs.select(
+        F.col("old_ws_name").alias("primary_ws_name"),
+        F.col("type").alias("primary_type"),
+        F.col("itm_name").alias("primary_name"),
+        F.col("old_ws_id").alias("primary_ws_id"),
+        F.col("old_item_id").alias("primary_id"),
+        F.col("new_ws_id").alias("secondary_ws_id"),
+        F.col("new_ws_name").alias("secondary_ws_name"),
+        F.col("new_item_id").alias("secondary_id"),
+        F.when(found, F.col("itm_name")).alias("secondary_name"),
+        "capacity_name",
+        F.when(found, "paired").otherwise("unpaired").alias("status"),
+    )
+
+
 def recovery_summary(recovery: DataFrame) -> DataFrame:
     """The columns to look at, by type and workspace."""
     return recovery.orderBy("primary_type", "primary_ws_name", "primary_id", "secondary_id").select(

@@ -27,10 +27,6 @@ LAKEHOUSE_PATH = "$.metadata.dependencies.lakehouse"
 WAREHOUSE_PATH = "$.metadata.dependencies.warehouse"
 
 
-def _text(value) -> str | None:
-    return None if value is None else str(value)
-
-
 def _extract(batches):
     for pdf in batches:
         rows = []
@@ -42,9 +38,9 @@ def _extract(batches):
                         doc_id,
                         path,
                         kind,
-                        _text(holder[R.ID_FIELD[kind]]),
-                        _text(holder.get("workspaceId")) if link else None,
-                        _text(holder.get("endpoint")) if kind == R.WAREHOUSE else None,
+                        R.as_text(holder[R.ID_FIELD[kind]]),
+                        R.as_text(holder.get("workspaceId")) if link else None,
+                        R.as_text(holder.get("endpoint")) if kind == R.WAREHOUSE else None,
                     )
                 )
         yield pd.DataFrame(

@@ -39,16 +39,19 @@ def staging_plan(recovery: DataFrame, items: DataFrame) -> DataFrame:
             output=f"{part}_id",
         ).drop("_type")
     note = F.concat(
-        F.lit("Interim staging lakehouse for primary warehouse recovery: "),
+        F.lit("Holds pointers to "),
         compose_name("primary_ws_name", "primary_name"),
-        F.lit(" into workspace "),
+        F.lit(" while its tables load into "),
         F.col("secondary_ws_name"),
-        F.lit("("),
+        F.lit(" "),
         F.col("secondary_ws_id"),
-        F.lit(")"),
     )
     body = F.to_json(F.struct(F.col("staging_name").alias("displayName"), note.alias("description")))
-    return named.withColumn("payload", F.when(F.col("staging_id") == NOT_EXISTS, body))
+    # Two warehouses whose cut names meet must not share a staging store.
+    rivals = named.groupBy("secondary_ws_id", "staging_name").agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    named = join_lookup(named, rivals, ["secondary_ws_id", "staging_name"])
+    status = F.when(F.col("_shared"), "name_collision").when(F.col("staging_id") == NOT_EXISTS, "to_create").otherwise("exists")
+    return named.withColumns({"payload": F.when(status == "to_create", body), "staging_status": status}).drop("_shared")
 
 
 def pointer_plan(
@@ -95,11 +98,12 @@ def pointer_plan(
 
 
 def load_plan(
-    staging: DataFrame, objects: DataFrame, endpoints: DataFrame, listing: DataFrame
+    staging: DataFrame, objects: DataFrame, endpoints: DataFrame, listing: DataFrame, chunks: int = 16
 ) -> DataFrame:
     """Load calls for each warehouse: parameters as a body, and a status where one is missing.
 
-    ``staging`` is ``staging_plan``. A warehouse with very many tables has several calls.
+    ``staging`` is ``staging_plan``. A warehouse's tables are dealt into ``chunks`` calls; one without
+    tables is a row with the status ``no_tables``.
     """
     source = endpoint_lookup(
         staging.select(
@@ -110,6 +114,7 @@ def load_plan(
             F.col("staging_id").alias("item_id"),
             F.col("staging_name").alias("item_name"),
             "loader_id",
+            "staging_status",
         ),
         endpoints,
         listing,
@@ -118,6 +123,7 @@ def load_plan(
         "secondary_id",
         "secondary_ws_id",
         "loader_id",
+        "staging_status",
         F.col("endpoint_id").alias("staging_endpoint_id"),
         F.col("connection_string").alias("staging_connection"),
     )
@@ -130,11 +136,13 @@ def load_plan(
         ["secondary_ws_id", "secondary_id"],
         ["target_connection"],
     )
-    lists = tables_to_copy_json(objects.filter(F.col("type") == "table")).withColumnRenamed(
-        "item_id", "primary_id"
-    )
+    mine = staging.select(F.col("primary_id").alias("item_id")).distinct()
+    tables = objects.filter(F.col("type") == "table").join(mine, "item_id", "left_semi")
+    lists = tables_to_copy_json(tables, chunks=chunks).withColumnRenamed("item_id", "primary_id")
     status = (
-        F.when(F.col("loader_id") == NOT_EXISTS, "no_loader")
+        F.when(F.col("tables_json").isNull(), "no_tables")
+        .when(F.col("staging_status") == "name_collision", "name_collision")
+        .when(F.col("loader_id") == NOT_EXISTS, "no_loader")
         .when(F.col("staging_endpoint_id").isNull(), "no_staging_endpoint")
         .when(F.col("staging_connection").isNull(), "no_staging_connection")
         .when(F.col("target_connection").isNull(), "no_target_connection")
@@ -142,23 +150,21 @@ def load_plan(
     )
     return (
         join_lookup(source, target, ["secondary_ws_id", "secondary_id"])
-        .join(lists, "primary_id")
+        .join(lists, "primary_id", "left")
+        .withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
         .withColumn("status", status)
         .withColumn("payload", F.when(F.col("status") == "ready", _load_body()))
     )
 
 
 def _load_body() -> Column:
-    def text(key: str, column: str) -> Column:
-        return F.concat(F.lit(f'"{key}":"'), column, F.lit('"'))
-
-    parts = F.concat_ws(
-        ",",
-        text("lakehouseId", "staging_endpoint_id"),
-        F.concat(F.lit('"tablesToCopy":'), "tables_json"),
-        text("workspaceId", "secondary_ws_id"),
-        text("warehouseId", "secondary_id"),
-        text("lakehouseConnStr", "staging_connection"),
-        text("warehouseConnStr", "target_connection"),
+    tables = F.from_json("tables_json", "array<struct<schema:string,name:string>>")
+    parameters = F.struct(
+        F.col("staging_endpoint_id").alias("lakehouseId"),
+        tables.alias("tablesToCopy"),
+        F.col("secondary_ws_id").alias("workspaceId"),
+        F.col("secondary_id").alias("warehouseId"),
+        F.col("staging_connection").alias("lakehouseConnStr"),
+        F.col("target_connection").alias("warehouseConnStr"),
     )
-    return F.concat(F.lit('{"executionData":{"parameters":{'), parts, F.lit("}}}"))
+    return F.to_json(F.struct(F.struct(parameters.alias("parameters")).alias("executionData")))

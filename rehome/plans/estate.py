@@ -9,6 +9,7 @@ from rehome.functions.text import schema_enabled
 from rehome.lineage import cut
 from rehome.operators.picks import union_frames
 from rehome.sinks.copy import copy_objects, copy_plan
+from rehome.sinks.load import bulk_load, pointer_name, register_pointers
 from rehome.sinks.snapshot import outcome_frame, restore_snapshot, save_all
 from rehome.sources.objects import list_objects, list_tables
 
@@ -65,3 +66,31 @@ def recover_data(stores: DataFrame, recovery: DataFrame, **rename) -> DataFrame:
         unread.select("item_id", "src_path", "error", F.lit("unlisted").alias("status")),
         empty.select("item_id", "src_path", F.lit("empty").alias("status")),
     )
+
+
+def recover_warehouses(
+    spark: SparkSession, objects: DataFrame, recovery: DataFrame, databases: DataFrame, **options
+) -> DataFrame:
+    """Load the tables of all warehouses of a recovery map; returns a status row for each table.
+
+    ``databases`` (secondary_id, source_database, target_database) says where the pointers of a warehouse
+    are created and where its tables go. A table whose pointer fails is not loaded; a warehouse
+    without tables or without databases is a row with ``no_tables`` or ``no_database``.
+    """
+    houses = recovery.filter(F.col("primary_type") == "Warehouse").select(F.col("primary_id").alias("item_id"), "secondary_id")
+    placed = houses.join(databases, "secondary_id", "left")
+    tables = objects.filter(F.col("type") == "table").select("item_id", "schema", "name", "src_path")
+    work = cut(placed.filter("source_database IS NOT NULL AND target_database IS NOT NULL").join(tables, "item_id"))
+    pointers = register_pointers(spark, work.withColumn("database", F.col("source_database")))
+    target = F.concat(F.col("source_database"), F.lit(".`"), pointer_name(), F.lit("`"))
+    usable = pointers.filter(F.col("status").isin("created", "exists")).select(F.col("table").alias("_pointer")).distinct()
+    ready = work.withColumn("_pointer", target).join(usable, "_pointer", "left_semi").drop("_pointer")
+    loaded = bulk_load(spark, ready, **options)
+    empty = placed.filter("source_database IS NOT NULL AND target_database IS NOT NULL").join(work.select("item_id").distinct(), "item_id", "left_anti")
+    return union_frames(
+        loaded,
+        pointers.filter(~F.col("status").isin("created", "exists")),
+        empty.select(F.col("target_database").alias("table"), F.lit("no_tables").alias("status")),
+        placed.filter("source_database IS NULL OR target_database IS NULL").select(
+            F.col("secondary_id").alias("table"), F.lit("no_database").alias("status")),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rehome.functions.names import compose_name
+from rehome.functions.names import MAX_NAME
 from rehome.operators.picks import join_lookup
 from rehome.sinks.snapshot import Saved, outcome_frame, put_in_place, write_staging
+from rehome.sources.objects import bare
 
 # Loads at a time, further attempts and the wait between them.
 LOADS_AT_A_TIME = 20
@@ -22,8 +24,8 @@ POOL = "bulk_load"
 
 
 def pointer_name(schema: str = "schema", name: str = "name"):
-    """The flat name under which a schema's table is staged."""
-    return compose_name(schema, name)
+    """The flat name under which a schema's table is staged; never cut, so that two names stay two."""
+    return F.concat_ws("_", schema, name)
 
 
 def collisions(tables: DataFrame, *keys: str) -> DataFrame:
@@ -35,27 +37,69 @@ def collisions(tables: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _checked(tables: DataFrame, *databases: Column) -> DataFrame:
+    """Tables with their pointer, and a ``status`` for a name that is too long or meets another's."""
+    named = tables.withColumn("pointer", pointer_name()).withColumns({f"_db{i}": d for i, d in enumerate(databases)})
+    keys = ["pointer", f"_db{len(databases) - 1}"]
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    status = F.when(F.length("pointer") > MAX_NAME, "name_too_long").when(F.col("_n") > 1, "collision")
+    return join_lookup(named, counts, keys, "inner").withColumn("status", status)
+
+
+def _database(given: str | None, column: str) -> Column:
+    return F.col(column) if given is None else F.lit(given)
+
+
+def _in_pool(spark: SparkSession, work, rows, at_a_time: int) -> list[Saved]:
+    """The outcome of each row of work, ``at_a_time`` of them under way; rows are drawn as places get free."""
+    outcomes, waiting = [], deque()
+    task = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(at_a_time) as pool:
+        for row in rows:
+            if len(waiting) >= 2 * at_a_time:
+                outcomes.append(waiting.popleft().result())
+            waiting.append(pool.submit(task, row))
+        outcomes += [w.result() for w in waiting]
+    return outcomes
+
+
+def _location(spark: SparkSession, target: str) -> str | None:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {target}").filter("col_name = 'Location'").take(1)
+    return bare(rows[0]["data_type"].removeprefix("file:")) if rows else None
+
+
 def register_pointers(
-    spark: SparkSession, tables: DataFrame, database: str, fmt: str = "parquet"
+    spark: SparkSession,
+    tables: DataFrame,
+    database: str | None = None,
+    fmt: str = "parquet",
+    at_a_time: int = LOADS_AT_A_TIME,
 ) -> DataFrame:
-    """A table ``<schema>_<name>`` over each foreign folder; one that is there is left alone.
+    """A table ``<schema>_<name>`` over each foreign folder (schema, name, src_path); a status for each.
 
-    One catalog statement for each row, so rows come to the driver a partition at a time.
+    ``created``, or ``exists`` where it is there over the same folder and ``other_location`` where it is not;
+    ``collision`` for names that two tables of a database would share, ``name_too_long``, ``failed``.
+    Without ``database`` the column of that name says where. One catalog statement for each row, a
+    few at a time; rows come to the driver a partition at a time.
     """
-    outcomes = []
-    rows = tables.select(pointer_name().alias("pointer"), "src_path")
-    for row in rows.toLocalIterator():
-        target = f"{database}.`{row['pointer']}`"
+    named = _checked(tables, _database(database, "database"))
+
+    def create(row) -> Saved:
+        target = f"{row['_db0']}.`{row['pointer']}`"
         try:
+            if row["status"]:
+                return Saved(target, 0, row["status"])
             if spark.catalog.tableExists(target):
-                outcomes.append(Saved(target, 0, "exists"))
-                continue
+                same = _location(spark, target) == bare(row["src_path"].removeprefix("file://").removeprefix("file:"))
+                return Saved(target, 0, "exists" if same else "other_location")
             path = row["src_path"].replace("\\", "\\\\").replace("'", "\\'")
             spark.sql(f"CREATE TABLE IF NOT EXISTS {target} USING {fmt} LOCATION '{path}'")
-            outcomes.append(Saved(target, 0, "created"))
+            return Saved(target, 0, "created")
         except Exception as error:  # noqa: BLE001
-            outcomes.append(Saved(target, 0, "failed", str(error)))
-    return outcome_frame(spark, outcomes)
+            return Saved(target, 0, "failed", str(error))
+
+    rows = named.select("_db0", "pointer", "src_path", "status")
+    return outcome_frame(spark, _in_pool(spark, create, rows.toLocalIterator(), at_a_time))
 
 
 def _target(schema: T.StructType | str) -> T.StructType:
@@ -112,8 +156,8 @@ def bulk_load(
     spark: SparkSession,
     tables: DataFrame,
     *,
-    source_database: str,
-    target_database: str,
+    source_database: str | None = None,
+    target_database: str | None = None,
     at_a_time: int = LOADS_AT_A_TIME,
     retries: int = RETRIES,
     wait: float = RETRY_SECONDS,
@@ -122,20 +166,21 @@ def bulk_load(
 ) -> DataFrame:
     """Load ``<source>.<schema>_<name>`` into ``<target>.<schema>_<name>``, several jobs at a time.
 
-    The target keeps the schema in its name, so equal names in two schemas stay apart. Each load
-    is one Spark job in a fair pool and writes a staging table first; a table that keeps failing
-    gets a row in the result and stops nothing.
+    A database that is not given is read from the column of its name, so tables of many warehouses
+    load in one call. The target keeps the schema in its name; tables that would share a target are
+    not loaded and have the status ``collision``. Each load is one Spark job in a fair pool and
+    writes a staging table first; a table that keeps failing gets a row in the result and stops nothing.
     """
-    clash = collisions(tables.select(pointer_name().alias("pointer")), "pointer")
-    if not clash.isEmpty():
-        raise ValueError(f"two tables would share the target {clash.first()['pointer']}")
+    named = _checked(tables, _database(source_database, "source_database"), _database(target_database, "target_database"))
 
-    def load(pointer: str) -> Saved:
+    def load(row) -> Saved:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", POOL)
-        target = f"{target_database}.`{pointer}`"
+        pointer, target = row["pointer"], f"{row['_db1']}.`{row['pointer']}`"
+        if row["status"]:
+            return Saved(target, 0, row["status"])
 
         def once() -> int:
-            rows = spark.table(f"{source_database}.`{pointer}`")
+            rows = spark.table(f"{row['_db0']}.`{pointer}`")
             if target_schemas and pointer in target_schemas:
                 rows = convert_types(rows, target_schemas[pointer])
             put_in_place(spark, write_staging(rows, target, fmt), target)
@@ -146,29 +191,21 @@ def bulk_load(
         except Exception as error:  # noqa: BLE001
             return Saved(target, 0, "failed", str(error))
 
-    names = tables.select(pointer_name().alias("pointer"))
-    with ThreadPoolExecutor(at_a_time) as pool:
-        work = inheritable_thread_target(spark)(load)
-        outcomes = list(pool.map(work, (r["pointer"] for r in names.toLocalIterator())))
-    return outcome_frame(spark, outcomes)
+    rows = named.select("_db0", "_db1", "pointer", "status")
+    return outcome_frame(spark, _in_pool(spark, load, rows.toLocalIterator(), at_a_time))
 
 
-def tables_to_copy_json(
-    tables: DataFrame, store: str = "item_id", chunk_rows: int = 10_000
-) -> DataFrame:
-    """A JSON array of {schema, name} for each store: store, chunk, n_tables, tables_json.
+def tables_to_copy_json(tables: DataFrame, store: str = "item_id", chunks: int = 16) -> DataFrame:
+    """JSON arrays of {schema, name} for each store: store, chunk, n_tables, tables_json.
 
-    A store with more than ``chunk_rows`` tables has several arrays, for as many load calls, so
-    no group grows with the store. Together they hold every table once.
+    The tables of every store are dealt into ``chunks`` arrays by the first digits of an md5 of schema
+    and name, for as many load calls; an array without tables is no row. Together they hold every table once.
     """
     entries = tables.select(store, "schema", "name").distinct()
-    sizes = entries.groupBy(store).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("_chunks")
-    )
-    chunk = F.pmod(F.xxhash64("schema", "name"), F.col("_chunks")).cast("int")
+    digits = F.left(F.md5(F.concat_ws(".", "schema", "name").cast("binary")), F.lit(6))
+    chunk = F.pmod(F.conv(digits, 16, 10).cast("int"), F.lit(chunks))
     return (
-        join_lookup(entries, sizes, [store], "inner")
-        .withColumn("chunk", chunk)
+        entries.withColumn("chunk", chunk)
         .groupBy(store, "chunk")
         .agg(
             F.count(F.lit(1)).alias("n_tables"),

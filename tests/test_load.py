@@ -3,7 +3,10 @@ from datetime import date
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rehome.plans.data import load_plan, pointer_plan, staging_plan
+from rehome.plans.estate import recover_warehouses
 from rehome.sinks import load as L
 
 
@@ -64,25 +67,52 @@ def test_pointers_and_bulk_load(spark, tmp_path, databases, rows):
     assert spark.table(f"{house}.sales_trips").count() == 7
 
 
-def test_bulk_load_refuses_collisions(spark, databases):
+def test_names_that_meet_are_rows_of_their_own(spark, databases, tmp_path):
     stage, house = databases
-    tables = spark.createDataFrame([("a_b", "c"), ("a", "b_c")], "schema STRING, name STRING")
-    with pytest.raises(ValueError, match="a_b_c"):
-        L.bulk_load(spark, tables, source_database=stage, target_database=house)
-
-
-@pytest.mark.parametrize("chunk_rows", [1, 10, 10_000])
-def test_tables_to_copy_json(spark, chunk_rows):
+    spark.range(3).write.parquet(str(tmp_path / "ok"))
+    tables = spark.createDataFrame(
+        [("a_b", "c", "/x"), ("a", "b_c", "/y"), ("s", "ok", str(tmp_path / "ok")), ("s", "n" * 300, "/z"), ("s", "n" * 299 + "m", "/z")],
+        "schema STRING, name STRING, src_path STRING",
+    )
+    first = sorted((r["table"][:20], r["status"]) for r in L.register_pointers(spark, tables, stage).collect())
+    assert [x[1] for x in first].count("collision") == 2 and [x[1] for x in first].count("name_too_long") == 2
+    assert ("stage_db.`s_ok`", "created") in first
+    moved = tables.filter("name = 'ok'").withColumn("src_path", F.lit("/elsewhere"))
+    assert L.register_pointers(spark, moved, stage).first()["status"] == "other_location"
+    done = {r["status"] for r in L.bulk_load(spark, tables, source_database=stage, target_database=house, retries=0, wait=0).collect()}
+    assert done == {"loaded", "collision", "name_too_long"}
+
+
+def test_warehouses_with_equal_table_names(spark, tmp_path):
+    names = ["stage_a", "stage_b", "house_a", "house_b"]
+    for db in names:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    try:
+        for k, n in (("w1", 4), ("w2", 9)):
+            spark.range(n).write.parquet(str(tmp_path / k))
+        objects = spark.createDataFrame(
+            [("w1", "dbo", "t", "table", str(tmp_path / "w1")), ("w2", "dbo", "t", "table", str(tmp_path / "w2"))],
+            "item_id STRING, schema STRING, name STRING, type STRING, src_path STRING")
+        recovery = spark.createDataFrame([(f"w{k}", "Warehouse", f"n{k}") for k in range(1, 5)], "primary_id STRING, primary_type STRING, secondary_id STRING")
+        where = spark.createDataFrame(
+            [("n1", "stage_a", "house_a"), ("n2", "stage_b", "house_b"), ("n3", "stage_a", "house_c")],
+            "secondary_id STRING, source_database STRING, target_database STRING")
+        got = {(r["table"], r["status"], r["rows"]) for r in recover_warehouses(spark, objects, recovery, where, retries=0, wait=0).collect()}
+        assert got == {("house_a.`dbo_t`", "loaded", 4), ("house_b.`dbo_t`", "loaded", 9), ("house_c", "no_tables", None), ("n4", "no_database", None)}
+    finally:
+        for db in names:
+            spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 500])
+def test_tables_to_copy_json(spark, chunks):
     hot = [("hot", f"s{i % 3}", f"t{i}") for i in range(500)]
     tables = spark.createDataFrame(hot + [("cold", "s", "t")] + hot[:20], "item_id STRING, schema STRING, name STRING")
-    got = L.tables_to_copy_json(tables, chunk_rows=chunk_rows).collect()
+    got = L.tables_to_copy_json(tables, chunks=chunks).collect()
     entries = [(r["item_id"], e["schema"], e["name"]) for r in got for e in json.loads(r["tables_json"])]
     assert sorted(entries) == sorted(set(hot) | {("cold", "s", "t")})
     assert all(len(json.loads(r["tables_json"])) == r["n_tables"] for r in got)
-    if chunk_rows == 10_000:
-        assert len(got) == 2
-    if chunk_rows == 10:
-        assert max(r["n_tables"] for r in got) < 40
+    assert len(got) == 2 if chunks == 1 else max(r["n_tables"] for r in got) < 600 / min(chunks, 100) * 2
 
 
 def test_warehouse_plans(spark):
@@ -114,14 +144,14 @@ def test_warehouse_plans(spark):
         "target": {"lake": {"workspaceId": "w1", "itemId": "h1", "path": '/Tables/dbo/q"t'}},
     }
     ends = spark.createDataFrame(
-        [("w2", "l9", "Lakehouse", "cs-l"), ("w2", "h2", "Warehouse", "cs-h")],
+        [("w2", "l9", "Lakehouse", "cs-l"), ("w2", "h2", "Warehouse", "cs\\h\"x")],
         "workspace_id STRING, item_id STRING, type STRING, connection_string STRING",
     )
     listing = spark.createDataFrame(
         [("w2", "e9", "temp_rlh_Prod_House", "SQLEndpoint")],
         "workspace_id STRING, Id STRING, `Display Name` STRING, Type STRING",
     )
-    plan = {r["primary_id"]: r for r in load_plan(staging, objects, ends, listing).collect()}
+    plan = {r["primary_id"]: r for r in load_plan(staging, objects, ends, listing, chunks=1).collect()}
     assert plan["h3"]["status"] == "no_loader" and plan["h3"]["payload"] is None
     assert json.loads(plan["h1"]["payload"])["executionData"]["parameters"] == {
         "lakehouseId": "e9",
@@ -129,5 +159,5 @@ def test_warehouse_plans(spark):
         "workspaceId": "w2",
         "warehouseId": "h2",
         "lakehouseConnStr": "cs-l",
-        "warehouseConnStr": "cs-h",
+        "warehouseConnStr": "cs\\h\"x",
     }

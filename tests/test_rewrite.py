@@ -268,3 +268,9 @@ def test_report_plan(spark):
     new = spark.createDataFrame([("n7", "seven", "nw", "W_DR")], "new_item_id STRING, new_item_name STRING, new_ws_id STRING, new_ws_name STRING")
     got = {r["Name"]: (r["status"], r["dataset_name"]) for r in report_plan(reports, old_items(spark, 1), new).collect()}
     assert got == {"r1": ("rebind", "item 1"), "r2": ("in_place", "seven"), "r3": ("unknown", None)}
+
+
+def test_an_id_that_is_an_object_is_its_json(spark):
+    activity = {"name": "run", "type": "TridentNotebook", "typeProperties": {"notebookId": {"value": "@x", "on": True}, "workspaceId": "w"}}
+    df = spark.createDataFrame([("d", json.dumps({"activities": [activity]}))], "doc_id STRING, definition STRING")
+    assert [r["old_id"] for r in W.extract_refs(df).collect()] == ['{"value":"@x","on":true}']
