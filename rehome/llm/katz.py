@@ -79,13 +79,26 @@ def hashes(words: list[str]) -> np.ndarray:
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in ASCII lower case, and how many each text has; a null text has none."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # A copy: ascii_lower goes astray on a part of a larger array.
+    texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words = parts.flatten()
     filled = pc.not_equal(pc.binary_length(words), 0)
     kept = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
     return words.filter(filled), np.diff(kept[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
 
 
+def slices(batch: pa.RecordBatch, size: int = 12 << 20):
+    """A batch in parts of about ``size`` bytes of text, a whole text at least."""
+    width = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = width[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(width, done + size)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def unigrams(docs: DataFrame) -> DataFrame:
     """(word, c) over the training texts; the end of a text is the empty word."""
     def count(batches):
@@ -93,11 +106,11 @@ def unigrams(docs: DataFrame) -> DataFrame:
             trained = batch.filter(batch.column("trains"))
             if not trained.num_rows:
                 continue
-            words, _ = split_words(trained.column("text"))
-            found = words.value_counts()
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([found.field("values").cast(pa.string()), pa.array([""])]),
-                pa.concat_arrays([found.field("counts").cast(pa.int64()), pa.array([trained.num_rows], pa.int64())])], ["word", "c"])
+            held = [pa.table({"word": [""], "c": pa.array([trained.num_rows], pa.int64())})]
+            for part in slices(trained):
+                found = split_words(part.column("text"))[0].value_counts()
+                held.append(pa.table({"word": found.field("values").cast(pa.string()), "c": found.field("counts").cast(pa.int64())}))
+            yield from pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches()
 
     return docs.select("trains", "text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -117,8 +130,8 @@ def total(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
 
-def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> list[tuple[int, dict[str, np.ndarray]]]:
-    """The pairs of a batch of texts, one packed list for each part.
+def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, dict[str, np.ndarray]]]]:
+    """The number of words of each text, and the texts' pairs, one list for each part.
 
     A list has its words, their histories by number, and the documents of each pair with how often they hold
     it. Words of ``hot`` (sorted hashes) are dealt by word and history, all others by word alone.
@@ -128,14 +141,14 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> list[tuple[int,
     names = np.concatenate([hashes(coded.dictionary.to_pylist()), [START, END]]).astype(np.uint64)
     start, end = len(names) - 2, len(names) - 1
     ends = np.cumsum(sizes + 1) - 1
-    token = np.full(int(sizes.sum()) + len(sizes), end, np.int64)
+    token = np.full(int(sizes.sum()) + len(sizes), end, np.int32)
     is_word = np.ones(len(token), bool)
     is_word[ends] = False
     token[is_word] = coded.indices.to_numpy()
     history = np.roll(token, 1)
     history[ends - sizes] = start
-    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    place = (names % np.uint64(parts)).astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    place = (names % np.uint64(parts)).astype(np.int32)
     part = place[token]
     heavy = np.isin(names, hot)[token]
     part[heavy] = (names[token[heavy]] ^ (names[history[heavy]] * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(parts)  # any odd number spreads them
@@ -147,7 +160,7 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> list[tuple[int,
         own = by_part[bounds[p]:bounds[p + 1]]
         if not len(own):
             continue
-        pair = token[own] * width + history[own]
+        pair = token[own].astype(np.int64) * width + history[own]
         order = np.lexsort((doc[own], pair))
         pair, d = pair[order], doc[own][order]
         once = runs(pair, d)
@@ -160,7 +173,7 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> list[tuple[int,
         often = np.nonzero(times > 1)[0]
         out.append((p, {"w": names[w[word_at]], "wn": np.diff(np.append(word_at, len(w))), "h": names[used], "hi": number,
                         "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often]}))
-    return out
+    return sizes, out
 
 
 class Part:
@@ -197,7 +210,7 @@ class Part:
 
 
 def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text",
-                part_tokens: int = 4_000_000, model_folder: str | None = None) -> DataFrame:
+                part_tokens: int = 3_000_000, model_folder: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Texts in ASCII lower case, cut at ASCII white space; each ends with one end token. The model learns from ids whose
@@ -233,18 +246,19 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
 
     def deal(batches):
         base, n = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             name = base + n
             n += 1
             trains = batch.column("trains").to_numpy(zero_copy_only=False)
-            keys, where, data = [-1 - name], [name], [frame({"ids": batch.column("doc_id").to_numpy(zero_copy_only=False), "trains": trains,
-                                                             "none": batch.column("doc_id").is_null().to_numpy(zero_copy_only=False),
-                                                             "n": split_words(batch.column("text"))[1] + 1})]
-            for p, lists in deal_pairs(batch.column("text"), parts, hot_keys):
+            ids = batch.column("doc_id")
+            sizes, lists = deal_pairs(batch.column("text"), parts, hot_keys)
+            docs = {"ids": pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "none": ids.is_null().to_numpy(zero_copy_only=False), "trains": trains, "n": sizes + 1}
+            keys, data = [-1 - name], [frame(docs)]
+            for p, arrays in lists:
                 keys.append(p)
-                where.append(name)
-                data.append(frame(lists | {"trains": trains}))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(where, pa.int64()), pa.array(data, pa.binary())], ["part", "batch", "data"])
+                data.append(frame(arrays | {"trains": trains}))
+            del lists
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["part", "batch", "data"])
 
     histories = np.uint64(parts)
 
@@ -356,7 +370,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
                 x = unframe(data)
                 score[x["d"]] += x["score"]
         score += small.reshape(n, -1) @ small_logs - begin * (trained > 0)
-        ids = pd.array(np.where(docs["none"], 0, docs["ids"]).astype(np.int64), "Int64")
+        ids = pd.array(docs["ids"].astype(np.int64), "Int64")
         ids[docs["none"]] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": ~docs["trains"], "n_tokens": docs["n"].astype(np.int64), "n_known": known, "train_tokens": tokens,
                              "base_score": base - docs["n"] * level, "score": score})
