@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rehome.llm.shared import cut, parts_for
@@ -18,6 +19,8 @@ SPACE = "▁"  # fixed value: how a model's pieces write a space
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SHORT = 64  # characters; longer words are known by their hash
 HASHED = "\n\n"  # in front of a long word's hash; no word begins so
+SLICE = 2000  # texts at a time
+SPACED = re.compile(" *[^ ]+| +")
 BLOCK = 256  # steps kept in one array while a word is folded
 
 
@@ -40,11 +43,9 @@ class PieceModel:
         return min(self.scores) - UNKNOWN_PENALTY
 
     @property
-    def pattern(self) -> str:
-        """Words no piece can reach across: a run of spaces with what follows it, or a lone line end or tab."""
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.pieces))
-        text = alone.encode("unicode_escape").decode()
-        return f" *[^ {text}]+| +" + (f"|[{text}]" if alone else "")
+    def pairs(self) -> set[str]:
+        """Neighbouring characters of all pieces; between any other two no piece can reach."""
+        return {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
 
 
 def load_model(path: str) -> PieceModel:
@@ -70,22 +71,66 @@ def load_model(path: str) -> PieceModel:
     return PieceModel([p for p, _, _ in kept], [i for _, i, _ in kept], [s for _, _, s in kept], first, names)
 
 
-def word_counts(docs: DataFrame, text_column: str, pattern: str, most: int = 400_000) -> DataFrame:
+def cut_word(word: str, pairs: set[str]) -> list[str]:
+    """The word in parts that no piece reaches across."""
+    ends = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
+    return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)])] if ends else [word]
+
+
+def words_in(texts: pa.Array, pairs: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the words of all texts by number, how many each text has).
+
+    A text with a space before it is split at spaces, which stay with what follows them, and each distinct part
+    is cut where no piece reaches across. Texts with runs of spaces are split by a pattern instead.
+    """
+    texts = pc.fill_null(texts, "")
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    spelled = coded.dictionary.to_pylist()
+    codes, bounds = coded.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    blank = spelled.index("") if "" in spelled else -1
+    spelled = [" " + w for w in spelled]
+    spaced = np.unique(np.searchsorted(bounds, np.nonzero(codes == blank)[0], "right") - 1)
+    if len(spaced):
+        number = {w: i for i, w in enumerate(spelled)}
+        own = np.split(codes, bounds[1:-1])
+        for i in spaced:
+            own[i] = np.array([number.setdefault(w, len(number)) for w in SPACED.findall(" " + texts[int(i)].as_py())], np.int64)
+        spelled, codes = list(number), np.concatenate(own)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    number, at, flat = {}, [0], []
+    for word in spelled:
+        flat += [number.setdefault(w, len(number)) for w in cut_word(word, pairs)]
+        at.append(len(flat))
+    at, flat = np.array(at), np.array(flat, np.int64)
+    many = np.diff(at)[codes]
+    ends = np.cumsum(many)
+    words = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - many), many)]
+    return list(number), words, np.diff(np.concatenate([[0], ends])[bounds])
+
+
+def word_counts(docs: DataFrame, text_column: str, pairs: set[str], most: int = 1_200_000) -> DataFrame:
     """(word, n): words are counted where the texts lie; a task sends its counts on whenever it holds ``most`` of them."""
 
     def count(batches):
-        find, held = re.compile(pattern).findall, Counter()
+        held, size = [], 0
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        def folded():
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(find(" " + (text.as_py() or "")))
-                if len(held) > most:
-                    yield rows()
-                    held.clear()
-        yield rows()
+            for i in range(0, batch.num_rows, SLICE):
+                distinct, words, _ = words_in(batch.column(0).slice(i, SLICE), pairs)
+                held.append(pa.table({"word": pa.array(distinct, pa.string()), "n": np.bincount(words, minlength=len(distinct))}))
+                size += held[-1].num_rows
+                if size > most:
+                    held = [folded()]
+                    size = held[0].num_rows
+                    if size > most // 2:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from folded().to_batches()
 
     parts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(count, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -105,41 +150,72 @@ def fallback_ids(point: Column, first: int) -> Column:
             .otherwise(F.array(head(18, 240), tail(12), tail(6), tail(0))))
 
 
-def best_path(edges: Column, longest: int) -> Column:
-    """Viterbi as a fold over edges in the order of their ends: ids of the best path, last piece first.
+# An edge is one number, so that edges sort as numbers: its end, 31 minus its length (5 bits), and its id (22
+# bits). An unknown character has its code point and the highest bit of the id.
+LENGTH, ID, UNKNOWN = 22, 27, 1 << 21
+
+
+def size_of(e: Column) -> Column:
+    """The length of an edge."""
+    return F.lit(31) - F.shiftright(e, LENGTH).bitwiseAND(31).cast("int")
+
+
+def best_path(edges: Column, scores: Column, unknown: float) -> Column:
+    """Viterbi as a fold over edges in the order of their ends: the edges of the best path, last piece first.
 
     ``edges`` is sorted by (end, -length); of equal sums the first stays, which is the longest last piece.
-    Only the scores of the last positions are kept, and steps are put away in blocks, so a long
-    word costs no more a character than a short one.
+    ``scores`` is a constant, by id. The fold keeps the best sum and the best last edge of each position.
     """
-    step = "struct<size:int,id:int>"
-    start = F.struct(F.array(F.lit(0.0)).alias("scores"), F.lit(0).alias("end"),
-                     F.array().cast(f"array<{step}>").alias("back"), F.array().cast(f"array<array<{step}>>").alias("blocks"))
+    start = F.struct(F.array(F.lit(0.0)).alias("sums"), F.array().cast("array<bigint>").alias("back"))
 
     def merge(s: Column, e: Column) -> Column:
-        total = e["score"] + F.element_at(s["scores"], e["end"] + e["less"] - s["end"] - 1)
-        taken = F.array(F.struct((-e["less"]).alias("size"), e["id"].alias("id")))
-        same = e["end"] == s["end"]
+        end = F.shiftright(e, ID).cast("int")
+        score = F.coalesce(F.get(scores, e.bitwiseAND((1 << 22) - 1).cast("int")), F.lit(unknown))
+        total = score + F.get(s["sums"], end - size_of(e))
+        moved = F.struct(F.concat(s["sums"], F.array(total)).alias("sums"), F.concat(s["back"], F.array(e)).alias("back"))
+        replaced = F.struct(F.concat(F.slice(s["sums"], F.lit(1), end), F.array(total)).alias("sums"),
+                            F.concat(F.slice(s["back"], F.lit(1), end - 1), F.array(e)).alias("back"))
+        return F.when(end >= F.size(s["sums"]), moved).when(total > F.get(s["sums"], end), replaced).otherwise(s)
+
+    none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<bigint>").alias("path"))
+
+    def walk(s: Column, x: Column) -> Column:
+        passed = F.struct((s["skip"] - 1).alias("skip"), s["path"].alias("path"))
+        used = F.struct((size_of(x) - 1).alias("skip"), F.concat(s["path"], F.array(x)).alias("path"))
+        return F.when(s["skip"] > 0, passed).otherwise(used)
+
+    return F.aggregate(F.reverse(F.aggregate(edges, start, merge, lambda s: s["back"])), none, walk, lambda s: s["path"])
+
+
+def long_path(edges: Column, scores: Column, unknown: float, longest: int) -> Column:
+    """As best_path. Only the scores of the last positions are kept, and steps are put away in blocks, so a
+    long word costs no more a character than a short one."""
+    start = F.struct(F.array(F.lit(0.0)).alias("scores"), F.lit(0).cast("long").alias("end"),
+                     F.array().cast("array<bigint>").alias("back"), F.array().cast("array<array<bigint>>").alias("blocks"))
+
+    def merge(s: Column, e: Column) -> Column:
+        end, number = F.shiftright(e, ID), e.bitwiseAND((1 << 22) - 1).cast("int")
+        total = F.coalesce(F.get(scores, number), F.lit(unknown)) + F.element_at(s["scores"], (end - s["end"]).cast("int") - size_of(e) - 1)
         full = F.size(s["back"]) >= BLOCK
         kept = F.when(F.size(s["scores"]) > 4 * longest, F.slice(s["scores"], -longest, longest)).otherwise(s["scores"])
         replaced = F.struct(F.concat(F.slice(s["scores"], F.lit(1), F.size(s["scores"]) - 1), F.array(total)).alias("scores"), s["end"].alias("end"),
-                            F.concat(F.slice(s["back"], F.lit(1), F.size(s["back"]) - 1), taken).alias("back"), s["blocks"].alias("blocks"))
-        moved = F.struct(F.concat(kept, F.array(total)).alias("scores"), e["end"].alias("end"),
-                         F.when(full, taken).otherwise(F.concat(s["back"], taken)).alias("back"),
+                            F.concat(F.slice(s["back"], F.lit(1), F.size(s["back"]) - 1), F.array(e)).alias("back"), s["blocks"].alias("blocks"))
+        moved = F.struct(F.concat(kept, F.array(total)).alias("scores"), end.alias("end"),
+                         F.when(full, F.array(e)).otherwise(F.concat(s["back"], F.array(e))).alias("back"),
                          F.when(full, F.concat(s["blocks"], F.array(s["back"]))).otherwise(s["blocks"]).alias("blocks"))
-        return F.when(~same, moved).when(total > F.element_at(s["scores"], -1), replaced).otherwise(s)
+        return F.when(end != s["end"], moved).when(total > F.element_at(s["scores"], -1), replaced).otherwise(s)
 
     steps = F.aggregate(edges, start, merge, lambda s: F.concat(F.flatten(s["blocks"]), s["back"]))
-    none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("blocks"))
+    none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<bigint>").alias("path"), F.array().cast("array<array<bigint>>").alias("blocks"))
 
     def walk(s: Column, x: Column) -> Column:
-        full = F.size(s["ids"]) >= BLOCK
-        passed = F.struct((s["skip"] - 1).alias("skip"), s["ids"].alias("ids"), s["blocks"].alias("blocks"))
-        used = F.struct((x["size"] - 1).alias("skip"), F.when(full, F.array(x["id"])).otherwise(F.concat(s["ids"], F.array(x["id"]))).alias("ids"),
-                        F.when(full, F.concat(s["blocks"], F.array(s["ids"]))).otherwise(s["blocks"]).alias("blocks"))
+        full = F.size(s["path"]) >= BLOCK
+        passed = F.struct((s["skip"] - 1).alias("skip"), s["path"].alias("path"), s["blocks"].alias("blocks"))
+        used = F.struct((size_of(x) - 1).alias("skip"), F.when(full, F.array(x)).otherwise(F.concat(s["path"], F.array(x))).alias("path"),
+                        F.when(full, F.concat(s["blocks"], F.array(s["path"]))).otherwise(s["blocks"]).alias("blocks"))
         return F.when(s["skip"] > 0, passed).otherwise(used)
 
-    return F.aggregate(F.reverse(steps), none, walk, lambda s: F.concat(F.flatten(s["blocks"]), s["ids"]))
+    return F.aggregate(F.reverse(steps), none, walk, lambda s: F.concat(F.flatten(s["blocks"]), s["path"]))
 
 
 def key_of(word: Column) -> Column:
@@ -147,7 +223,7 @@ def key_of(word: Column) -> Column:
 
 
 def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
-    """(key, ids) of every distinct word: the lattice.
+    """(key, common, ids) of every distinct word (word, common): the lattice.
 
     Substrings up to the longest piece are exploded and joined to the piece table, which has as many rows as
     the model file; its first characters bound how long a substring can be. A character that
@@ -156,57 +232,86 @@ def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
     """
     spark = words.sparkSession
     longest = model.longest
-    table = pa.table({"piece": model.pieces, "id": pa.array(model.ids, pa.int32()), "score": model.scores})
+    if longest > 31 or max(model.ids) >= UNKNOWN:
+        raise ValueError("a piece is longer than 31 characters, or its id does not fit an edge")
     heads: dict[str, int] = {}
     for p in model.pieces:
-        heads[p[:2]] = max(heads.get(p[:2], 1), len(p))
-    pieces = F.broadcast(spark.createDataFrame(table))
+        heads[p[:3]] = max(heads.get(p[:3], 1), len(p))
+    by_id = [0.0] * (max(model.ids) + 1)
+    for i, score in zip(model.ids, model.scores):
+        by_id[i] = score
+    scores = F.from_json(F.lit(json.dumps(by_id)), "array<double>")
+    pieces = F.broadcast(spark.createDataFrame(pa.table({"piece": model.pieces, "id": pa.array(model.ids, pa.int32())})))
     starts = F.broadcast(spark.createDataFrame(pa.table({"head": list(heads), "reach": pa.array(heads.values(), pa.int32())})))
     word = F.col("word")
     at = F.sequence(F.lit(1), F.char_length(word))
     letters = F.split(word, "")
     windows = F.when(F.char_length(word) <= SHORT, F.transform(at, lambda i: F.substring(word, i, F.lit(longest)))).otherwise(
         F.transform(at, lambda i: F.array_join(F.slice(letters, i, longest), "")))
-    spread = words.select(key_of(word).alias("key"), "word").repartition(parts, "key").select("key", F.posexplode(windows).alias("pos", "window"))
-    spread = spread.withColumn("head", F.left("window", F.lit(2))).join(starts, "head", "left")
-    lengths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.char_length("window"), F.coalesce("reach", F.lit(1)))))
-    spread = spread.select("key", "pos", "window", F.explode(lengths).alias("size")).withColumn("piece", F.left("window", F.col("size")))
+    spread = words.select(key_of(word).alias("key"), "common", "word").repartition(parts, "key").select("key", "common", F.posexplode(windows).alias("pos", "window"))
+    spread = spread.withColumn("head", F.left("window", F.lit(3))).join(starts, "head", "left")
+    # Without a piece that begins with the three characters, only one and two are tried.
+    lengths = F.sequence(F.lit(1), F.least(F.char_length("window"), F.coalesce("reach", F.lit(2))))
+    spread = spread.select("key", "common", "pos", "window", F.explode(lengths).alias("size")).withColumn("piece", F.left("window", F.col("size")))
     edges = spread.join(pieces, "piece", "left").filter("id IS NOT NULL OR size = 1")
-    edge = F.struct((F.col("pos") + F.col("size")).alias("end"), (-F.col("size")).alias("less"),
-                    F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(model.unknown)).alias("score"))
-    grouped = edges.select("key", edge.alias("edge")).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    ids = F.reverse(best_path(F.col("edges"), longest))
-    found = grouped.select("key", ids.alias("ids"))
-    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(fallback_ids(-1 - i, model.first_byte))))
-    return found.select("key", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
-
-
-def dictionary_of(vocabulary: DataFrame, most: int) -> pa.Table:
-    """(key, ids) of the commonest words but long ones, at most ``most``: all those of the highest steps of log2(n) that fit."""
-    step = F.floor(F.log2("n") * 8)
-    short = vocabulary.filter(~F.startswith("key", F.lit(HASHED)))
-    sizes = sorted(((r[0], r[1]) for r in short.groupBy(step).count().collect()), reverse=True)
+    number = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
+    edge = (F.shiftleft((F.col("pos") + F.col("size")).cast("long"), ID)
+            .bitwiseOR(F.shiftleft((31 - F.col("size")).cast("long"), LENGTH)).bitwiseOR(number))
+    grouped = edges.select("key", "common", edge.alias("edge")).groupBy("key", "common").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = F.col("edges")
+    path = F.when(F.size(edges) <= 4 * SHORT, best_path(edges, scores, model.unknown)).otherwise(long_path(edges, scores, model.unknown, longest))
+    found = grouped.select("key", "common", F.transform(F.reverse(path), lambda e: e.bitwiseAND((1 << 22) - 1).cast("int")).alias("ids"))
+    spelled = F.flatten(F.transform("ids", lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(fallback_ids(i - UNKNOWN, model.first_byte))))
+    return found.select("key", "common", F.when(F.exists("ids", lambda i: i >= UNKNOWN), spelled).otherwise(F.col("ids")).alias("ids"))
+
+
+def common_from(words: DataFrame, most: int) -> Column:
+    """Whether a word (word, n) is among the commonest but long ones: all those of the highest steps of log2(n) that fit into ``most``."""
+    step, short = F.floor(F.log2("n") * 8), F.char_length("word") <= SHORT
     total, least = 0, None
-    for s, count in sizes:
+    for s, count in sorted(((r[0], r[1]) for r in words.filter(short).groupBy(step).count().collect()), reverse=True):
         total += count
         if total > most:
             break
         least = s
-    picked = short.filter(step >= least) if least is not None else short.limit(0)
-    return picked.select("key", "ids").toArrow()
+    return F.lit(False) if least is None else short & (step >= least)
 
 
-def found_in(keys: pa.Array, table: pa.Table) -> np.ndarray:
+def dictionary_of(vocabulary: DataFrame) -> dict[str, np.ndarray | pa.Array]:
+    """The common words of a vocabulary (key, common, ids), sorted by a hash; ``at`` is where a word's ids begin.
+
+    Of two words with one hash the second stays out.
+    """
+    table = vocabulary.filter("common").select("key", "ids", F.xxhash64("key").alias("hash")).toArrow()
+    table = table.sort_by([("hash", "ascending"), ("key", "ascending")])
+    hashes = table.column("hash").to_numpy()
+    once = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+    table = table.filter(pa.array(once, pa.bool_())).combine_chunks()
+    ids = table.column("ids").combine_chunks()
+    ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks or [pa.array([], pa.list_(pa.int32()))])
+    keys = table.column("key").combine_chunks()
+    keys = keys if isinstance(keys, pa.Array) else pa.concat_arrays(keys.chunks or [pa.array([], pa.string())])
+    return {"hash": hashes[once], "key": keys, "ids": ids.values.to_numpy()[ids.offsets[0].as_py() if len(ids) else 0:].astype(np.int32),
+            "at": (ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0)).astype(np.int64) if len(ids) else np.zeros(1, np.int64)}
+
+
+def found_in(keys: pa.Array, table: dict) -> np.ndarray:
     """The place of each key in the table, -1 where it has none."""
-    at = pc.index_in(keys, value_set=table.column("key").combine_chunks())
-    return pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+    known = table["hash"]
+    if not len(known) or not len(keys):
+        return np.full(len(keys), -1)
+    digest = xxhash.xxh64_intdigest
+    own = np.fromiter((digest(k, 42) for k in keys.to_pylist()), np.uint64, len(keys)).view(np.int64)
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    same = pc.equal(table["key"].take(pa.array(at)).cast(pa.string()), keys.cast(pa.string())).to_numpy(zero_copy_only=False)
+    return np.where(same, at, -1)
 
 
 def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, text_column: str = "text",
-                 most_words: int = 4_000_000, part_words: int = 100_000) -> DataFrame:
+                 most_words: int = 4_000_000, part_words: int = 30_000) -> DataFrame:
     """The columns ``keep`` (all by default) and ``ids array<int>`` of every row.
 
-    The text, a space before it, is cut into words that no piece reaches across; the best segmentation of
+    The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
     each distinct word (highest sum of the file's piece scores; of equals the longest last piece)
     comes from the lattice. The commonest words of up to 64 characters, at most ``most_words`` of them, go to every task
     as a dictionary, whose size those two numbers bound. Words beyond it are joined: each is a
@@ -219,55 +324,44 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    words = cut(word_counts(docs, text_column, model.pattern))
+    pairs = model.pairs
+    words = cut(word_counts(docs, text_column, pairs))
     count = words.count()
-    coded = encode_words(words, model, parts_for(spark, count, part_words))
-    vocabulary = cut(coded.join(words.select(key_of(F.col("word")).alias("key"), "n"), "key")) if count > most_words else None
-    if vocabulary is None:
-        vocabulary = cut(coded)
-        counted = vocabulary.withColumn("n", F.lit(1))
-    else:
-        counted = vocabulary
-    table = dictionary_of(counted, most_words)
+    vocabulary = cut(encode_words(words.select("word", common_from(words, most_words).alias("common")), model, parts_for(spark, count, part_words)))
+    table = dictionary_of(vocabulary)
     shared = spark.sparkContext.broadcast(table)
-    pattern = model.pattern
-    whole = table.num_rows == count
+    whole = len(table["key"]) == count
     sent = docs.select(F.col(text_column).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[1:])
     out = (fields + ", " if fields else "") + "ids array<int>" + ("" if whole else ", holes array<struct<at:int,word:string>>")
     names = [*keep, "ids"] + ([] if whole else ["holes"])
 
     def encode(batches):
-        find = re.compile(pattern).findall
         table = shared.value
-        codes = table.column("ids").combine_chunks()
-        code_at, flat = codes.offsets.to_numpy(), codes.values.to_numpy() if len(codes) else np.zeros(0, np.int32)
+        begin, flat = table["at"], table["ids"] if len(table["ids"]) else np.zeros(1, np.int32)
+        sizes_of = np.append(np.diff(begin), 1)
         for batch in batches:
-            found, sizes = [], []
-            for i in range(0, batch.num_rows, 500):
-                lists = [find(" " + (t.as_py() or "")) for t in batch.column(0).slice(i, 500)]
-                sizes += map(len, lists)
-                found.append(pa.array([w for ws in lists for w in ws], pa.string()).dictionary_encode())
-            words = pa.chunked_array(found, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
-            distinct = words.chunk(words.num_chunks - 1).dictionary if found else pa.array([], pa.string())
-            place = found_in(distinct, table)
-            at = np.concatenate([c.indices.to_numpy() for c in words.chunks]) if found else np.zeros(0, np.int64)
-            where = place[at]
-            hole = where < 0
-            lengths = np.where(hole, 1, np.diff(code_at)[where] if len(flat) else 1)
-            ends = np.cumsum(lengths)
-            source = np.repeat(np.where(hole, 0, code_at[where]) - (ends - lengths), lengths) + np.arange(lengths.sum())
-            ids = flat[np.minimum(source, max(0, len(flat) - 1))] if len(flat) else np.zeros(len(source), np.int32)
-            ids = np.where(np.repeat(hole, lengths), -1, ids).astype(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
-            columns = [*batch.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(ids))]
-            if not whole:
-                rank = np.concatenate([[0], np.cumsum(hole)])[bounds].astype(np.int32)
-                slots = (ends - lengths)[hole] - np.repeat(offsets[:-1], np.diff(rank))
-                pairs = pa.StructArray.from_arrays([pa.array(slots.astype(np.int32)), distinct.take(pa.array(at[hole]))], ["at", "word"])
-                columns.append(pa.ListArray.from_arrays(rank, pairs))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                distinct, at, sizes = words_in(part.column(0), pairs)
+                distinct = pa.array(distinct, pa.string())
+                where = found_in(distinct, table)[at]
+                hole = where < 0
+                lengths = sizes_of[where]
+                ends = np.cumsum(lengths)
+                # Where each id lies: on from the word's first; a hole has the one place -1.
+                source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.where(hole, 0, begin[where]) - (ends - lengths), lengths)
+                ids = flat[source]
+                ids[(ends - lengths)[hole]] = -1
+                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
+                columns = [*part.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(ids))]
+                if not whole:
+                    rank = np.concatenate([[0], np.cumsum(hole)])[bounds].astype(np.int32)
+                    slots = (ends - lengths)[hole] - np.repeat(offsets[:-1], np.diff(rank))
+                    gaps = pa.StructArray.from_arrays([pa.array(slots.astype(np.int32)), distinct.take(pa.array(at[hole]))], ["at", "word"])
+                    columns.append(pa.ListArray.from_arrays(rank, gaps))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     encoded = sent.mapInArrow(encode, out)
     if whole:
