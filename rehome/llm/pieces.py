@@ -282,17 +282,17 @@ def dictionary_of(vocabulary: DataFrame) -> dict[str, np.ndarray | pa.Array]:
 
     Of two words with one hash the second stays out.
     """
-    table = vocabulary.filter("common").select("key", "ids", F.xxhash64("key").alias("hash")).toArrow()
-    table = table.sort_by([("hash", "ascending"), ("key", "ascending")])
+    table = vocabulary.filter("common").select("key", "ids", F.xxhash64("key").alias("hash")).orderBy("hash", "key").toArrow()
     hashes = table.column("hash").to_numpy()
-    once = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-    table = table.filter(pa.array(once, pa.bool_())).combine_chunks()
-    ids = table.column("ids").combine_chunks()
-    ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks or [pa.array([], pa.list_(pa.int32()))])
-    keys = table.column("key").combine_chunks()
-    keys = keys if isinstance(keys, pa.Array) else pa.concat_arrays(keys.chunks or [pa.array([], pa.string())])
-    return {"hash": hashes[once], "key": keys, "ids": ids.values.to_numpy()[ids.offsets[0].as_py() if len(ids) else 0:].astype(np.int32),
-            "at": (ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0)).astype(np.int64) if len(ids) else np.zeros(1, np.int64)}
+    again = np.nonzero(hashes[1:] == hashes[:-1])[0] + 1
+    if len(again):
+        table = table.filter(pa.array(~np.isin(np.arange(len(hashes)), again)))
+        hashes = np.delete(hashes, again)
+    keys = pa.concat_arrays([pa.array([], pa.string()), *[c.cast(pa.string()) for c in table.column("key").chunks]])
+    lists = table.column("ids")
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32)
+    ids = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
+    return {"hash": hashes, "key": keys, "ids": ids.astype(np.int32, copy=False), "at": at}
 
 
 def found_in(keys: pa.Array, table: dict) -> np.ndarray:
@@ -308,7 +308,7 @@ def found_in(keys: pa.Array, table: dict) -> np.ndarray:
 
 
 def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, text_column: str = "text",
-                 most_words: int = 4_000_000, part_words: int = 30_000) -> DataFrame:
+                 most_words: int = 3_000_000, part_words: int = 30_000) -> DataFrame:
     """The columns ``keep`` (all by default) and ``ids array<int>`` of every row.
 
     The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
@@ -331,6 +331,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     table = dictionary_of(vocabulary)
     shared = spark.sparkContext.broadcast(table)
     whole = len(table["key"]) == count
+    del table
     sent = docs.select(F.col(text_column).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[1:])
     out = (fields + ", " if fields else "") + "ids array<int>" + ("" if whole else ", holes array<struct<at:int,word:string>>")
