@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rehome.llm.shared import crc_of_id, with_scores
@@ -55,10 +55,13 @@ class LatentVoters:
         self.vectors, self.labels = self.unit(terms), labels.astype(np.float32)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        terms = np.log1p(counts) * self.idf
-        norm = np.linalg.norm(terms[:, :PAIRS], axis=1, keepdims=True)
+        """Counts become weights, in their place."""
+        shape = (counts[:, PAIRS:] > 0) * np.float32(self.shape_weight)
+        terms = np.log1p(counts, out=counts)
+        terms *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", terms[:, :PAIRS], terms[:, :PAIRS]))[:, None]
         terms[:, :PAIRS] /= np.where(norm > 0, norm, 1)
-        terms[:, PAIRS:] = (counts[:, PAIRS:] > 0) * np.float32(self.shape_weight)
+        terms[:, PAIRS:] = shape
         return terms
 
     def unit(self, terms: np.ndarray) -> np.ndarray:
@@ -80,20 +83,23 @@ def train_voters(docs: DataFrame, labels: DataFrame, each: int, width: int, shap
     """Voters from at most ``each`` labelled documents of either label: those of the smallest id hash."""
     own = labels.filter(F.col(label_column).isNotNull() & (F.pmod(crc_of_id(F.col(id_column)), F.lit(modulus)) != held))
     one = own.groupBy(id_column).agg(F.max(label_column).alias("_label")).join(docs.select(id_column), id_column, "left_semi")
-    order = Window.partitionBy("_label").orderBy(F.xxhash64(id_column), id_column)
-    picked = one.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).drop("_n")
-    # At most 2 * each rows: labels are 0 and 1.
-    texts = docs.select(id_column, text_column).join(F.broadcast(picked.filter(F.col("_label").isin(0, 1))), id_column)
+    picked = [one.filter(F.col("_label") == label).orderBy(F.xxhash64(id_column), id_column).limit(each) for label in (0, 1)]
+    # At most 2 * each rows: labels are 0 and 1. Terms travel as places and counts of those that a text has.
+    texts = docs.select(id_column, text_column).join(F.broadcast(picked[0].unionByName(picked[1])), id_column)
 
     def count(column: pa.Array):
-        return [pa.array([term_counts(t.as_py()).tobytes() for t in column], pa.binary())]
+        terms = [term_counts(t.as_py()) for t in column]
+        places = [np.nonzero(x)[0].astype(np.uint16) for x in terms]
+        return [pa.array([p.tobytes() for p in places], pa.binary()), pa.array([x[p].tobytes() for x, p in zip(terms, places)], pa.binary())]
 
-    counted = with_scores(texts, text_column, [id_column, "_label"], "terms binary", count).dropDuplicates([id_column])
-    rows = counted.orderBy(F.xxhash64(id_column), id_column).limit(2 * each).collect()
-    if not rows:
+    counted = with_scores(texts, text_column, [id_column, "_label"], "places binary, counts binary", count).dropDuplicates([id_column])
+    rows = counted.orderBy(F.xxhash64(id_column), id_column).limit(2 * each).select("_label", "places", "counts").toArrow()
+    if not rows.num_rows:
         return None
-    terms = np.array([np.frombuffer(r["terms"], np.float32) for r in rows])
-    return LatentVoters(terms, np.array([r["_label"] for r in rows]), width, shape_weight)
+    terms = np.zeros((rows.num_rows, len(term_counts(""))), np.float32)
+    for row, places, counts in zip(terms, rows.column("places"), rows.column("counts")):
+        row[np.frombuffer(places.as_py(), np.uint16)] = np.frombuffer(counts.as_py(), np.float32)
+    return LatentVoters(terms, rows.column("_label").to_numpy(), width, shape_weight)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, each: int = 1000, width: int = 48,
