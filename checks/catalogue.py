@@ -451,6 +451,12 @@ def unique_recovery_map(e):
     return _recovery(e, unique=True)
 
 
+@query("""SELECT w.* FROM workspaces_recovered w
+  WHERE NOT EXISTS (SELECT 1 FROM capacities_recovered c WHERE c.id = w.Capacity_Id AND c.display_name <> 'ASIA')""")
+def unmatched_capacities(e):
+    return M.unmatched_capacities(e.workspaces_recovered, e.capacities_recovered.filter("display_name <> 'ASIA'"))
+
+
 @query(PAIRED_MAP)
 def paired_recovery_map(e):
     return _paired(e)
@@ -1027,15 +1033,22 @@ def swap_all(e):
 
 
 @query(
-    f"""SELECT DISTINCT s.doc_id, d.kind, length(d.definition) AS old_length FROM ({SWAP_SQL}) s
-  JOIN definitions d ON d.doc_id = s.doc_id WHERE applied AND (s.old_id <> s.new_id
+    f"""SELECT DISTINCT s.doc_id, d.kind, length(d.definition) AS old_length, n.new_ids FROM ({SWAP_SQL}) s
+  JOIN definitions d ON d.doc_id = s.doc_id
+  JOIN (SELECT doc_id, string_agg(coalesce(CASE WHEN applied THEN new_id ELSE old_id END, ''), ',' ORDER BY path) AS new_ids
+    FROM ({SWAP_SQL}) GROUP BY doc_id) n ON n.doc_id = s.doc_id
+  WHERE s.applied AND (s.old_id <> s.new_id
     OR s.kind <> 'connection' AND s.workspace_id IS DISTINCT FROM s.new_ws_id
     OR s.kind = 'warehouse' AND s.endpoint IS DISTINCT FROM s.new_endpoint)"""
 )
 def changed_definitions(e):
     kinds = ("warehouse", "lakehouse", "notebook", "connection")
     changed = R.changed_definitions(_swap(e, *kinds, only_edited=True))
-    return changed.select("doc_id", "kind", F.length("definition").cast("bigint").alias("old_length"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("path", F.coalesce("old_id", F.lit("")).alias("id")))), lambda x: x["id"])
+    refs = R.extract_refs(changed.select("doc_id", F.col("new_definition").alias("definition")))
+    new = refs.groupBy("doc_id").agg(F.array_join(ids, ",").alias("new_ids"))
+    old = changed.select("doc_id", "kind", F.length("definition").cast("bigint").alias("old_length"))
+    return old.join(new, "doc_id")
 
 
 @query("SELECT doc_id, base64(encode(definition)) AS payload FROM definitions")

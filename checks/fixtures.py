@@ -159,12 +159,15 @@ VIEWS = {
   UNION ALL SELECT doc_id, kind, definition FROM notebook_definitions""",
 }
 
+# Folders that hold a data folder's views as tables (see write_views).
+WRITTEN: dict[str, str] = {}
+
 _WORD = re.compile(r"[A-Za-z_]+")
 _AGG = re.compile(r"\{agg:(.*?)\}")
 
 
-def needed(sql: str) -> list[str]:
-    """Views and tables that the text uses, each after those it builds on."""
+def needed(sql: str, whole: frozenset[str] = frozenset()) -> list[str]:
+    """Views and tables that the text uses, each after those it builds on, if it is not a table as a ``whole``."""
     order: list[str] = []
 
     def visit(text: str) -> None:
@@ -172,7 +175,8 @@ def needed(sql: str) -> list[str]:
             if word in order:
                 continue
             if word in VIEWS:
-                visit(VIEWS[word])
+                if word not in whole:
+                    visit(VIEWS[word])
                 order.append(word)
             elif word in TABLES:
                 order.append(word)
@@ -185,8 +189,11 @@ def with_views(sql: str, sf_dir: str | None = None) -> str:
     """The query with its views as CTEs: for Spark over ``sf_dir``, else for DuckDB."""
     spark = sf_dir is not None
     ctes = []
-    for name in needed(sql):
-        if name in VIEWS:
+    written = WRITTEN.get(sf_dir)
+    for name in needed(sql, frozenset(VIEWS) if written else frozenset()):
+        if name in VIEWS and written:
+            ctes.append(f"{name} AS (SELECT * FROM parquet.`{written}/{name}.parquet`)")
+        elif name in VIEWS:
             if spark:
                 body = _AGG.sub(r"listagg(\1, ',') WITHIN GROUP (ORDER BY \1)", VIEWS[name])
                 body = body.replace('"Id"', "`Id`").replace('"Type"', "`Type`")
@@ -201,6 +208,14 @@ def with_views(sql: str, sf_dir: str | None = None) -> str:
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
+def write_views(spark, sf_dir: str, folder: str) -> None:
+    """Every view as a table in a folder; from then on queries over ``sf_dir`` read those."""
+    sf_dir = sf_dir.rstrip("/")
+    for name in VIEWS:
+        spark.sql(with_views(f"SELECT * FROM {name}", sf_dir)).write.parquet(f"{folder}/{name}.parquet")
+    WRITTEN[sf_dir] = folder
+
+
 class Estate:
     """The views as DataFrames: ``Estate(spark, sf_dir).items``."""
 
