@@ -1124,6 +1124,27 @@ def notebook_warehouse_plan(e):
     )
 
 
+_HEAD = f"""SELECT doc_id, definition, json_extract_string(definition, '{_LH}') AS lh, json_extract_string(definition, '{_WH}') AS wh,
+  json_extract_string(definition, '{_LH}.default_lakehouse') AS lake_id, json_extract_string(definition, '{_LH}.default_lakehouse_name') AS lake,
+  json_extract_string(definition, '{_WH}.default_warehouse') AS house_id FROM notebook_definitions"""
+
+
+@query(
+    f"""SELECT n.doc_id, 'lakehouse' AS kind, lake_id AS old_item_id, o.new_ws_id, NULL::VARCHAR AS target_id,
+  CASE WHEN lake IS NULL THEN 'no_default' WHEN o.new_ws_id IS NULL THEN 'unmapped' ELSE 'mapped' END AS status
+  FROM ({_HEAD}) n LEFT JOIN ({OLD_ITEMS}) o ON o.old_item_id = n.lake_id WHERE lh IS NOT NULL
+  UNION ALL SELECT n.doc_id, 'warehouse', house_id, o.new_ws_id, t.target_id,
+  CASE WHEN house_id IS NULL THEN 'no_default' WHEN o.new_ws_id IS NULL THEN 'unmapped' WHEN t.target_id IS NULL THEN 'NotExists' ELSE 'mapped' END
+  FROM ({_HEAD}) n LEFT JOIN ({OLD_ITEMS}) o ON o.old_item_id = n.house_id
+  LEFT JOIN (SELECT workspaceId, displayName, min(id) AS target_id FROM items WHERE type = 'Warehouse' GROUP BY ALL) t
+    ON t.workspaceId = o.new_ws_id AND t.displayName = o.old_item_name WHERE lh IS NULL AND wh IS NOT NULL
+  UNION ALL SELECT doc_id, 'none', NULL, NULL, NULL, 'no_default' FROM ({_HEAD}) WHERE lh IS NULL AND wh IS NULL"""
+)
+def notebook_plan(e):
+    plan = R.notebook_plan(e.notebook_definitions, _unique_old(e), e.items)
+    return plan.select("doc_id", "kind", "old_item_id", "new_ws_id", "target_id", "status")
+
+
 # Function names that would hide an import carry an underscore; the registered names do not.
 for _name in [n for n in QUERIES if n.endswith("_")]:
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)

@@ -207,6 +207,20 @@ def definition_kind(column: Column | str = "definition") -> Column:
     )
 
 
+def _looked_up(notebooks: DataFrame, found: DataFrame) -> DataFrame:
+    """What is known of each notebook's default: (doc_id, old_item_id) and the columns of ``found``.
+
+    Only ids go through the lookup; notebooks without a default stay out, so no key stands for all of them.
+    """
+    ids = notebooks.select("doc_id", "old_item_id").filter(F.col("old_item_id").isNotNull()).distinct()
+    return join_lookup(ids, found, ["old_item_id"], "inner")
+
+
+def _meet(notebooks: DataFrame, known: DataFrame) -> DataFrame:
+    """The texts and what is known of them. This is the one shuffle that texts go through, by document."""
+    return notebooks.join(known, ["doc_id", "old_item_id"], "left")
+
+
 def notebook_lakehouse_plan(notebooks: DataFrame, old_items: DataFrame) -> DataFrame:
     """Notebooks with a lakehouse dependency: the default to set and the emptied definition.
 
@@ -228,7 +242,7 @@ def notebook_lakehouse_plan(notebooks: DataFrame, old_items: DataFrame) -> DataF
     ready = F.col("status") == MAPPED
     cleared = _cleared(F.when(ready, F.col("definition")))
     return (
-        mine.join(found, "old_item_id", "left")
+        _meet(mine, _looked_up(mine, found))
         .withColumn("status", status)
         .withColumn("new_definition", F.when(ready, cleared).otherwise(F.col("definition")))
     )
@@ -263,9 +277,25 @@ def notebook_warehouse_plan(notebooks: DataFrame, old_items: DataFrame, items: D
     )
     ready = F.col("status") == MAPPED
     new = _warehouse_set(F.when(ready, F.col("definition")), F.col("old_item_id"), F.col("target_id"))
-    found = mine.join(found, "old_item_id", "left")
+    known = join_lookup(_looked_up(mine, found), targets, ["new_ws_id", "old_item_name"])
     return (
-        join_lookup(found, targets, ["new_ws_id", "old_item_name"])
+        _meet(mine, known)
         .withColumn("status", status)
         .withColumn("new_definition", F.when(ready, new).otherwise(F.col("definition")))
     )
+
+
+def notebook_plan(notebooks: DataFrame, old_items: DataFrame, items: DataFrame) -> DataFrame:
+    """All notebooks in one frame: doc_id, kind, old_item_id, new_ws_id, target_id, status, definition, new_definition.
+
+    ``kind`` is the default they name; those that name none have the status ``no_default`` and their text.
+    """
+    columns = ["doc_id", "kind", "old_item_id", "new_ws_id", "target_id", "status", "definition", "new_definition"]
+    text = F.lit(None).cast("string")
+    lakes = notebook_lakehouse_plan(notebooks, old_items).withColumns({"kind": F.lit(R.LAKEHOUSE), "target_id": text})
+    houses = notebook_warehouse_plan(notebooks, old_items, items).withColumn("kind", F.lit(R.WAREHOUSE))
+    none = notebooks.filter(definition_kind() == "none").withColumns({
+        "kind": F.lit("none"), "old_item_id": text, "new_ws_id": text, "target_id": text,
+        "status": F.lit("no_default"), "new_definition": F.col("definition"),
+    })
+    return lakes.select(columns).unionByName(houses.select(columns)).unionByName(none.select(columns))
