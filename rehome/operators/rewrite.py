@@ -123,11 +123,15 @@ def ref_status(
         .when(guid, UNMAPPED)
         .otherwise(PARAMETER)
     )
+    # An expression matches nothing, and one expression may be most references: each goes its own way.
+    alone = F.concat_ws("/", F.lit("\0"), "doc_id", "path")
+    key = F.when(guid | F.col("_conn"), F.col("old_id")).otherwise(alone)
     return (
         refs.withColumn("_conn", F.col("kind") == R.CONNECTION)
-        .join(targets, ["_conn", "old_id"], "left")
+        .withColumn("_key", key)
+        .join(targets.withColumnRenamed("old_id", "_key"), ["_conn", "_key"], "left")
         .withColumn("status", status)
-        .drop("_conn", "ambiguous")
+        .drop("_conn", "_key", "ambiguous")
     )
 
 
