@@ -19,7 +19,8 @@ SPACE = "▁"  # fixed value: how a model's pieces write a space
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SHORT = 64  # characters; longer words are known by their hash
 HASHED = "\n\n"  # in front of a long word's hash; no word begins so
-SLICE = 2000  # texts at a time
+SLICE = 1000  # texts at a time
+LOW = 0x250  # characters below this are looked up in a table
 SPACED = re.compile(" *[^ ]+| +")
 BLOCK = 256  # steps kept in one array while a word is folded
 
@@ -43,9 +44,27 @@ class PieceModel:
         return min(self.scores) - UNKNOWN_PENALTY
 
     @property
-    def pairs(self) -> set[str]:
-        """Neighbouring characters of all pieces; between any other two no piece can reach."""
-        return {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
+    def reach(self) -> Reach:
+        return Reach({p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)})
+
+
+class Reach:
+    """Which neighbouring characters some piece has; between any other two no piece can reach."""
+
+    def __init__(self, pairs: set[str]):
+        codes = np.array([[ord(c) for c in p] for p in pairs], np.int64).reshape(-1, 2)
+        self.others = np.sort(codes[:, 0] << 21 | codes[:, 1])
+        self.table = np.zeros((LOW, LOW), bool)
+        low = codes[(codes < LOW).all(axis=1)]
+        self.table[low[:, 0], low[:, 1]] = True
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        low = (left < LOW) & (right < LOW)
+        reached = self.table[np.where(low, left, 0), np.where(low, right, 0)] & low
+        rest = np.nonzero(~low)[0]
+        if len(rest):
+            reached[rest] = np.isin(left[rest] << 21 | right[rest], self.others)
+        return reached
 
 
 def load_model(path: str) -> PieceModel:
@@ -71,13 +90,24 @@ def load_model(path: str) -> PieceModel:
     return PieceModel([p for p, _, _ in kept], [i for _, i, _ in kept], [s for _, _, s in kept], first, names)
 
 
-def cut_word(word: str, pairs: set[str]) -> list[str]:
-    """The word in parts that no piece reaches across."""
-    ends = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
-    return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)])] if ends else [word]
-
-
-def words_in(texts: pa.Array, pairs: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def cut_words(words: pa.StringArray, reach: Reach) -> tuple[pa.StringArray, np.ndarray]:
+    """All words' parts that no piece reaches across, one after the other, and how many each word has. No word is empty."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+    data = words.buffers()[2].to_pybytes()[: offsets[-1]]
+    chars = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(size)])
+    begins = np.searchsorted(at, offsets[:-1])
+    new = np.ones(len(chars), bool)
+    new[1:] = ~reach(chars[:-1], chars[1:])
+    new[begins] = True
+    starts = np.nonzero(new)[0]
+    bounds = np.append(at[starts], offsets[-1]).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
+    return parts, np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
+
+
+def words_in(texts: pa.Array, reach: Reach) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """(distinct words, the words of all texts by number, how many each text has).
 
     A text with a space before it is split at spaces, which stay with what follows them, and each distinct part
@@ -86,31 +116,29 @@ def words_in(texts: pa.Array, pairs: set[str]) -> tuple[list[str], np.ndarray, n
     texts = pc.fill_null(texts, "")
     parts = pc.split_pattern(texts, " ")
     coded = parts.flatten().dictionary_encode()
-    spelled = coded.dictionary.to_pylist()
     codes, bounds = coded.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-    blank = spelled.index("") if "" in spelled else -1
-    spelled = [" " + w for w in spelled]
-    spaced = np.unique(np.searchsorted(bounds, np.nonzero(codes == blank)[0], "right") - 1)
+    spelled = pc.binary_join_element_wise(pa.scalar(" "), coded.dictionary, pa.scalar(""))
+    blank = pc.index(coded.dictionary, "").as_py()
+    spaced = np.unique(np.searchsorted(bounds, np.nonzero(codes == blank)[0], "right") - 1) if blank >= 0 else []
     if len(spaced):
-        number = {w: i for i, w in enumerate(spelled)}
+        number: dict[str, int] = {}
         own = np.split(codes, bounds[1:-1])
         for i in spaced:
-            own[i] = np.array([number.setdefault(w, len(number)) for w in SPACED.findall(" " + texts[int(i)].as_py())], np.int64)
-        spelled, codes = list(number), np.concatenate(own)
+            own[i] = np.array([len(spelled) + number.setdefault(w, len(number)) for w in SPACED.findall(" " + texts[int(i)].as_py())], np.int64)
+        spelled = pa.concat_arrays([spelled, pa.array(list(number), pa.string())])
+        codes = np.concatenate(own)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-    number, at, flat = {}, [0], []
-    for word in spelled:
-        flat += [number.setdefault(w, len(number)) for w in cut_word(word, pairs)]
-        at.append(len(flat))
-    at, flat = np.array(at), np.array(flat, np.int64)
-    many = np.diff(at)[codes]
+    flat, many_of = cut_words(spelled, reach)
+    flat = flat.dictionary_encode()
+    at = np.concatenate([[0], np.cumsum(many_of)])
+    many = many_of[codes]
     ends = np.cumsum(many)
-    words = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - many), many)]
-    return list(number), words, np.diff(np.concatenate([[0], ends])[bounds])
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - many), many)
+    return flat.dictionary, flat.indices.to_numpy()[place], np.diff(np.concatenate([[0], ends])[bounds])
 
 
-def word_counts(docs: DataFrame, text_column: str, pairs: set[str], most: int = 1_200_000) -> DataFrame:
-    """(word, n): words are counted where the texts lie; a task sends its counts on whenever it holds ``most`` of them."""
+def word_counts(docs: DataFrame, text_column: str, reach: Reach, most: int = 500_000) -> DataFrame:
+    """(word, n): words are counted where the texts lie; a task sends its counts on when it holds ``most`` of them."""
 
     def count(batches):
         held, size = [], 0
@@ -120,8 +148,9 @@ def word_counts(docs: DataFrame, text_column: str, pairs: set[str], most: int =
 
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
-                distinct, words, _ = words_in(batch.column(0).slice(i, SLICE), pairs)
-                held.append(pa.table({"word": pa.array(distinct, pa.string()), "n": np.bincount(words, minlength=len(distinct))}))
+                distinct, words, _ = words_in(batch.column(0).slice(i, SLICE), reach)
+                seen = np.bincount(words, minlength=len(distinct))
+                held.append(pa.table({"word": distinct, "n": seen}).filter(pa.array(seen > 0)))
                 size += held[-1].num_rows
                 if size > most:
                     held = [folded()]
@@ -129,6 +158,7 @@ def word_counts(docs: DataFrame, text_column: str, pairs: set[str], most: int =
                     if size > most // 2:
                         yield from held[0].to_batches()
                         held, size = [], 0
+            pa.default_memory_pool().release_unused()
         if held:
             yield from folded().to_batches()
 
@@ -324,8 +354,8 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    pairs = model.pairs
-    words = cut(word_counts(docs, text_column, pairs))
+    reach = model.reach
+    words = cut(word_counts(docs, text_column, reach))
     count = words.count()
     vocabulary = cut(encode_words(words.select("word", common_from(words, most_words).alias("common")), model, parts_for(spark, count, part_words)))
     table = dictionary_of(vocabulary)
@@ -344,8 +374,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                distinct, at, sizes = words_in(part.column(0), pairs)
-                distinct = pa.array(distinct, pa.string())
+                distinct, at, sizes = words_in(part.column(0), reach)
                 where = found_in(distinct, table)[at]
                 hole = where < 0
                 lengths = sizes_of[where]
@@ -363,6 +392,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
                     gaps = pa.StructArray.from_arrays([pa.array(slots.astype(np.int32)), distinct.take(pa.array(at[hole]))], ["at", "word"])
                     columns.append(pa.ListArray.from_arrays(rank, gaps))
                 yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
 
     encoded = sent.mapInArrow(encode, out)
     if whole:
