@@ -193,6 +193,7 @@ def train_language(docs: DataFrame, each: int, sequences_each: int, rounds: int,
         chosen = rng.permutation(len(own_runs))[:sequences_each]
         words += [own_runs[i] for i in chosen]
         labels += [k] * len(chosen)
+    del rows
     net = ByteGru(languages, hidden)
     net.train(words, np.array(labels), rounds)
     return net

@@ -321,8 +321,11 @@ def dictionary_of(vocabulary: DataFrame) -> dict[str, np.ndarray | pa.Array]:
     keys = pa.concat_arrays([pa.array([], pa.string()), *[c.cast(pa.string()) for c in table.column("key").chunks]])
     lists = table.column("ids")
     at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32)
-    ids = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
-    return {"hash": hashes, "key": keys, "ids": ids.astype(np.int32, copy=False), "at": at}
+    ids = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int32, copy=False)
+    hashes = hashes.copy()
+    del table, lists
+    pa.default_memory_pool().release_unused()
+    return {"hash": hashes, "key": keys, "ids": ids, "at": at}
 
 
 def found_in(keys: pa.Array, table: dict) -> np.ndarray:
@@ -337,9 +340,28 @@ def found_in(keys: pa.Array, table: dict) -> np.ndarray:
     return np.where(same, at, -1)
 
 
+class Speller:
+    """The bytes of every id, for decoding; ids outside the model have none."""
+
+    def __init__(self, names: list[bytes]):
+        self.width = np.array([len(n) for n in names] + [0])
+        self.begin = np.concatenate([[0], np.cumsum(self.width[:-1])])
+        self.letters = np.frombuffer(b"".join(names), np.uint8)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each list: its pieces' bytes without the first space."""
+        last = len(self.width) - 1
+        own = np.where((ids >= 0) & (ids < last), ids, last)
+        size = self.width[own]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[own] - (ends - size), size)
+        raw, bounds = self.letters[at].tobytes(), np.concatenate([[0], ends])[offsets].tolist()
+        return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(bounds, bounds[1:])]
+
+
 def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, text_column: str = "text",
-                 most_words: int = 3_000_000, part_words: int = 30_000) -> DataFrame:
-    """The columns ``keep`` (all by default) and ``ids array<int>`` of every row.
+                 most_words: int = 3_000_000, part_words: int = 30_000, decoded: str | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) and ``ids array<int>`` of every row; with ``decoded`` also what they decode to.
 
     The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
     each distinct word (highest sum of the file's piece scores; of equals the longest last piece)
@@ -353,7 +375,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     column named ids gives way; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", decoded)]
     reach = model.reach
     words = cut(word_counts(docs, text_column, reach))
     count = words.count()
@@ -364,8 +386,10 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     del table
     sent = docs.select(F.col(text_column).cast("string").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[1:])
-    out = (fields + ", " if fields else "") + "ids array<int>" + ("" if whole else ", holes array<struct<at:int,word:string>>")
-    names = [*keep, "ids"] + ([] if whole else ["holes"])
+    out = (fields + ", " if fields else "") + "ids array<int>" + (f", `{decoded}` string" * bool(decoded) if whole else ", holes array<struct<at:int,word:string>>")
+    names = [*keep, "ids"] + ([decoded] * bool(decoded) if whole else ["holes"])
+    # A decoder of its own would be one more Python process beside each of these.
+    speller = Speller(model.names) if decoded and whole else None
 
     def encode(batches):
         table = shared.value
@@ -386,6 +410,8 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
                 columns = [*part.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(ids))]
+                if speller:
+                    columns.append(pa.array(speller.texts(ids, offsets), pa.string()))
                 if not whole:
                     rank = np.concatenate([[0], np.cumsum(hole)])[bounds].astype(np.int32)
                     slots = (ends - lengths)[hole] - np.repeat(offsets[:-1], np.diff(rank))
@@ -413,7 +439,8 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lists, pa.list_(pa.int32()))], [*keep, "ids"])
 
     joined = rest.select(*keep, "ids", "fills").mapInArrow(fill, (fields + ", " if fields else "") + "ids array<int>")
-    return done.unionByName(joined)
+    both = done.unionByName(joined)
+    return decode_ids(both, model, "ids", decoded) if decoded else both
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids_column: str = "ids", new_column: str = "decoded") -> DataFrame:
@@ -421,26 +448,17 @@ def decode_ids(rows: DataFrame, model: PieceModel, ids_column: str = "ids", new_
 
     Ids outside the model and control pieces stand for nothing; bytes that are no UTF-8 become U+FFFD.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model.names)
+    speller = Speller(model.names)
     kept = [c for c in rows.columns if c != new_column]
 
     def decode(batches):
-        names = shared.value
-        width = np.array([len(n) for n in names] + [0])
-        begin = np.concatenate([[0], np.cumsum(width)])
-        letters = np.frombuffer(b"".join(names), np.uint8)
         for batch in batches:
-            texts = []
-            for ids in batch.column(ids_column):
-                if not ids.is_valid:
-                    texts.append(None)
-                    continue
-                own = pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                own = np.where((own >= 0) & (own < len(names)), own, len(names))
-                size = width[own]
-                at = np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                texts.append(letters[at].tobytes().decode("utf-8", "replace").removeprefix(" "))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, new_column])
+            lists = batch.column(ids_column)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = pa.array(speller.texts(ids, np.concatenate([[0], np.cumsum(sizes)])), pa.string())
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], texts], [*kept, new_column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
     return rows.select(*kept).mapInArrow(decode, f"{fields}, `{new_column}` string")

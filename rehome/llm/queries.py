@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rehome.llm.katz import katz_scores
 from rehome.llm.language import predict_language
 from rehome.llm.mixing import fair_mix
-from rehome.llm.pieces import decode_ids, encode_texts, load_model
+from rehome.llm.pieces import encode_texts, load_model
 from rehome.llm.quality import judge_quality
 from rehome.llm.shared import table
 from rehome.llm.shards import kd_shards
@@ -82,8 +82,7 @@ def op5_kd_shards(spark, sf_dir):
 @query()
 def op6_pieces(spark, sf_dir):
     docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), load_model(PIECE_MODEL)
-    decoded = decode_ids(encode_texts(docs, model), model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+    return encode_texts(docs, model, decoded="decoded").select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
                           (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
