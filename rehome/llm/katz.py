@@ -1,16 +1,19 @@
 """Language-model scores: Katz backoff over words, counted and evaluated where the n-grams of a word meet.
 
-The model is a bigram model. P1(w) is the Good-Turing discounted share of w among all training tokens, and what the
+The model is of order 2 or 3. P1(w) is the Good-Turing discounted share of w among all training tokens, and what the
 discounts leave over is the probability of an unknown word. P(w | h) is the discounted count of (h, w) over
 the count of h where the pair was seen; else backoff(h) * P1(w), and P1(w) alone where h is unknown. The weight
 backoff(h) is what the pairs of h leave over, divided by the P1 mass of the words not seen behind h, so
-that P(. | h) sums to one exactly.
+that P(. | h) sums to one exactly. With order 3, P(w | g h) is the discounted count of (g, h, w) over the count of
+(g, h) where the three were seen, else backoff(g, h) * P(w | h), and P(w | h) alone where (g, h) is unknown or h begins
+the text; backoff(g, h) is normalised over P(. | h) in the same way.
 
 A text's score is a sum over its tokens, and each summand is a function of one pair, one word or one history. So
-texts are moved once, as packed lists of (pair, document) dealt out by the pair's second word: there the
-counts of pairs and words are whole, and each part returns sums for each document. Discounts depend on all
+texts are moved once, as packed lists of (n-gram, document) dealt out by the n-gram's last word: there the
+counts of triples, pairs and words are whole, and each part returns sums for each document. Discounts depend on all
 parts' counts of counts; sums are therefore kept for each small count and discounted at the end. Histories
-get their weights in a second, smaller exchange by history, which unseen pairs take part in.
+get their weights in a second, smaller exchange by history, which unseen pairs take part in. Two-word histories get
+theirs in a third one, of the triples, dealt by the history as if it were a pair, so the count of its last word is there.
 """
 
 from __future__ import annotations
@@ -130,11 +133,20 @@ def total(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
 
-def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, dict[str, np.ndarray]]]]:
+def place_of(word: np.ndarray, history: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    """The part of each pair: by word, and for words of ``hot`` (sorted hashes) by word and history."""
+    part = (word % np.uint64(parts)).astype(np.int64)
+    heavy = np.isin(word, hot)
+    part[heavy] = (word[heavy] ^ (history[heavy] * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(parts)  # any odd number spreads them
+    return part
+
+
+def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray, order: int = 2) -> tuple[np.ndarray, list[tuple[int, dict[str, np.ndarray]]]]:
     """The number of words of each text, and the texts' pairs, one list for each part.
 
     A list has its words, their histories by number, and the documents of each pair with how often they hold
-    it. Words of ``hot`` (sorted hashes) are dealt by word and history, all others by word alone.
+    it. Words of ``hot`` (sorted hashes) are dealt by word and history, all others by word alone. With order 3 a list
+    has triples in place of pairs; the word before the history of a text's first token is the start, too.
     """
     words, sizes = split_words(texts)
     coded = words.dictionary_encode()
@@ -147,6 +159,9 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> tuple[np.ndarray
     token[is_word] = coded.indices.to_numpy()
     history = np.roll(token, 1)
     history[ends - sizes] = start
+    if order > 2:
+        before = np.roll(history, 1)
+        before[ends - sizes] = start
     doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     place = (names % np.uint64(parts)).astype(np.int32)
     part = place[token]
@@ -161,27 +176,54 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray) -> tuple[np.ndarray
         if not len(own):
             continue
         pair = token[own].astype(np.int64) * width + history[own]
-        order = np.lexsort((doc[own], pair))
-        pair, d = pair[order], doc[own][order]
-        once = runs(pair, d)
+        rest = before[own] * np.int64(len(sizes)) + doc[own] if order > 2 else doc[own]
+        sort = np.lexsort((rest, pair))
+        pair, rest, d = pair[sort], rest[sort], doc[own][sort]
+        once = runs(pair, rest)
         times = np.diff(np.append(once, len(pair)))
-        pair, d = pair[once], d[once]
-        first = runs(pair)
+        pair, d, g = pair[once], d[once], rest[once] // len(sizes) if order > 2 else None
+        first = runs(pair, g) if order > 2 else runs(pair)
         w, h = pair[first] // width, pair[first] % width
         word_at = runs(w)
-        used, number = np.unique(h, return_inverse=True)
+        used, number = np.unique(np.concatenate([h, g[first]]) if order > 2 else h, return_inverse=True)
+        number, older = number[:len(h)], {"gi": number[len(h):]} if order > 2 else {}
         often = np.nonzero(times > 1)[0]
         out.append((p, {"w": names[w[word_at]], "wn": np.diff(np.append(word_at, len(w))), "h": names[used], "hi": number,
-                        "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often]}))
+                        "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often]} | older))
     return sizes, out
 
 
+def two_words(h: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
+    """Two-word histories by number: the distinct words of either place and which of them each history has."""
+    (h, hi), (g, gi) = np.unique(h, return_inverse=True), np.unique(g, return_inverse=True)
+    return {"h": h, "hi": hi, "g": g, "gi": gi}
+
+
+def finder(h: np.ndarray, g: np.ndarray, share: np.ndarray):
+    """A function for the share of histories asked for, 0 for unknown ones; the known ones are in the order of (h, g)."""
+    # Histories are told by the places of their words among the known ones, so that one number stands for the two.
+    h_names, g_names = h[runs(h)], np.unique(g)
+    width = np.int64(len(g_names))
+    known = np.searchsorted(h_names, h) * width + np.searchsorted(g_names, g)
+
+    def find(h_asked: np.ndarray, g_asked: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(h_asked))
+        at_h, at_g = (np.minimum(np.searchsorted(n, x), len(n) - 1) for n, x in ((h_names, h_asked), (g_names, g_asked)))
+        asked = at_h * width + at_g
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where((known[at] == asked) & (h_names[at_h] == h_asked) & (g_names[at_g] == g_asked), share[at], 0.0)
+
+    return find
+
+
 class Part:
-    """All lists of one part: whole counts of its pairs and words."""
+    """All lists of one part: whole counts of its triples (``c3``; with order 2 the pairs again), pairs and words."""
 
     def __init__(self, lists: list[dict[str, np.ndarray]], hot: dict[int, int]):
         w = np.concatenate([np.repeat(x["w"], x["wn"]) for x in lists])
         h = np.concatenate([x["h"][x["hi"]] for x in lists])
+        g = np.concatenate([x["h"][x["gi"]] if "gi" in x else np.zeros(len(x["hi"]), np.uint64) for x in lists])
         self.sizes = [len(x["hi"]) for x in lists]
         counts = []
         for x in lists:
@@ -190,16 +232,19 @@ class Part:
             x["times"] = times
             at = np.cumsum(x["dn"].astype(np.int64)) - x["dn"]
             counts.append(np.add.reduceat(times * x["trains"][x["di"]], at))
-        order = np.lexsort((h, w))
-        w, h = w[order], h[order]
-        first = runs(w, h)
-        self.w, self.h, self.c = w[first], h[first], total(np.concatenate(counts)[order], first)
+        order = np.lexsort((g, h, w))
+        w, h, g = w[order], h[order], g[order]
+        first = runs(w, h, g)
+        self.w, self.h, self.g, self.c3 = w[first], h[first], g[first], total(np.concatenate(counts)[order], first)
+        del h, g
+        self.pairs = runs(self.w, self.h)
+        self.c = np.repeat(total(self.c3, self.pairs), np.diff(np.append(self.pairs, len(self.w))))
         number = np.zeros(len(w), np.int64)
         number[first] = 1
         self.of_entry = np.empty(len(w), np.int64)
         self.of_entry[order] = np.cumsum(number) - 1
         by_word = runs(self.w)
-        sums = total(self.c, by_word)
+        sums = total(self.c3, by_word)
         if hot:
             known = np.array(sorted(hot), np.uint64)
             at = np.searchsorted(known, self.w[by_word])
@@ -210,16 +255,17 @@ class Part:
 
 
 def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text",
-                part_tokens: int = 3_000_000, model_folder: str | None = None) -> DataFrame:
+                part_tokens: int = 3_000_000, model_folder: str | None = None, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Texts in ASCII lower case, cut at ASCII white space; each ends with one end token. The model learns from ids whose
     crc32 modulo ``modulus`` is not ``held`` (rows with a null id learn, too). ``score`` is the sum of log10 P(token |
-    token before it); ``base_score`` the sum of log10((c + 1) / (N + V + 1)).
+    the ``order`` - 1 tokens before it), ``order`` being 2 or 3; ``base_score`` the sum of log10((c + 1) / (N + V + 1)).
 
     The tables lie in ``model_folder`` (else a new folder of the shared one), partitioned by kind: ``pairs`` and
-    ``stats`` by part, ``backoff`` by history. The number of parts follows the training tokens, so a task holds about
-    ``part_tokens`` whatever the input. A word with over half a part's tokens is dealt by its history as well; there
+    ``stats`` by part, ``backoff`` by history; with order 3 also ``triples`` and ``backoff2`` by the part of the two-word
+    history. The number of parts follows the training tokens, so a task holds about
+    ``part_tokens`` pairs or two thirds as many triples whatever the input. A word with over half a part's tokens is dealt by its history as well; there
     are at most twice as many such words as parts, and their counts go to every task. One pair is held
     by one part: a pair that a very large share of all documents has makes that part's list of documents longer.
     Words are told apart by 64-bit hashes behind the first count.
@@ -227,6 +273,8 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     Null and empty texts are the end alone. Repeated rows are documents of their own. With nothing learnt
     every probability is 1. Other columns are not read; an empty table gives no rows.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     folder = model_folder or f"{shared_folder(spark)}/katz-{uuid.uuid4().hex}"
     out_mark = F.coalesce(F.pmod(crc_of_id(F.col(id_column)), F.lit(modulus)) == held, F.lit(False))
@@ -238,7 +286,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     one = discounted(list(head[3:]))
     left = sum(head[3 + r] * (r - one[r]) for r in range(1, SMALL + 1)) + (types - sum(head[3:3 + SMALL + 1])) * REST
     unknown = left / tokens if tokens else 1.0
-    parts = parts_for(spark, tokens, part_tokens)
+    parts = parts_for(spark, tokens, max(1, part_tokens * 2 // order))
     # At most 2 * parts words.
     heavy = single.filter((F.col("word") != "") & (F.col("c") > tokens / (2 * parts))).collect()
     hot = dict(zip(map(int, hashes([r["word"] for r in heavy])), [r["c"] for r in heavy])) | {int(END): trained}
@@ -251,7 +299,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             n += 1
             trains = batch.column("trains").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id")
-            sizes, lists = deal_pairs(batch.column("text"), parts, hot_keys)
+            sizes, lists = deal_pairs(batch.column("text"), parts, hot_keys, order)
             docs = {"ids": pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "none": ids.is_null().to_numpy(zero_copy_only=False), "trains": trains, "n": sizes + 1}
             keys, data = [-1 - name], [frame(docs)]
             for p, arrays in lists:
@@ -270,10 +318,17 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         part = Part(lists, hot)
         p_one = np.where(part.cw > 0, after_discount(part.cw, one) / max(1, tokens), unknown)
         seen = part.c > 0
-        value = np.where(seen, np.where(part.c > SMALL, np.log10(np.maximum(part.c - REST, 1e-9)), 0), np.log10(p_one))
-        step = np.where(part.c <= SMALL, part.c, 0)
-        # A word is the history of the token behind it, whose probability is over the word's count.
-        over = np.where(part.w == END, 0.0, np.log10(np.maximum(part.cw, 1)))
+        deep = (part.c3 > 0) & (part.h != START) if order > 2 else np.zeros(len(seen), bool)
+        top = np.where(deep, part.c3, part.c)
+        value = np.where(seen, np.where(top > SMALL, np.log10(np.maximum(top - REST, 1e-9)), 0), np.log10(p_one))
+        # Small counts of pairs are told by 0 to SMALL, those of triples by what follows.
+        step = np.where(top <= SMALL, top, 0) + np.where(deep, SMALL + 1, 0)
+        steps = 2 * (SMALL + 1)
+        # The longest known history of the token behind a word ends with it, and its probability is over that history's count.
+        over = np.where(part.w == END, 0.0, np.log10(np.maximum(np.where(seen, part.c, part.cw) if order > 2 else part.cw, 1)))
+        value -= over
+        base = np.log10(part.cw + 1.0)
+        del top, over
         out, at = [], 0
         for name, x, size in zip(block["batch"], lists, part.sizes):
             entry = part.of_entry[at:at + size]
@@ -281,31 +336,53 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             pair, d, m = np.repeat(entry, x["dn"]), x["di"].astype(np.int64), x["times"]
             n = len(x["trains"])
             out.append(("sums", name, frame({
-                "score": np.bincount(d, (value - over)[pair] * m, n), "base": np.bincount(d, np.log10(part.cw + 1.0)[pair] * m, n),
+                "score": np.bincount(d, value[pair] * m, n), "base": np.bincount(d, base[pair] * m, n),
                 "known": np.bincount(d, (part.cw > 0)[pair] * m, n).astype(np.int64),
-                "small": np.bincount(d * (SMALL + 1) + step[pair], m, n * (SMALL + 1)).astype(np.int64)})))
+                "small": np.bincount(d * steps + step[pair], m, n * steps).astype(np.int64)})))
+            if order > 2:
+                own = np.nonzero(~deep[pair] & (part.h[pair] != START))[0]
+                q = place_of(part.h[pair[own]], part.g[pair[own]], parts, hot_keys)
+                own = own[np.argsort(q, kind="stable")]
+                q.sort()
+                for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
+                    at_q = own[q_at:q_end]
+                    out.append(("missed2", int(q[q_at]), frame(two_words(part.h[pair[at_q]], part.g[pair[at_q]]) | {"batch": np.array([name]), "d": d[at_q], "m": m[at_q]})))
             missed = np.nonzero(~seen[pair])[0]
             if len(missed):
                 h = part.h[pair[missed]]
                 q = h % histories
-                order = np.lexsort((h, q))
-                for q_at, q_end in zip(b := runs(q[order]), np.append(b[1:], len(order))):
-                    own = missed[order[q_at:q_end]]
+                turn = np.lexsort((h, q))
+                for q_at, q_end in zip(b := runs(q[turn]), np.append(b[1:], len(turn))):
+                    own = missed[turn[q_at:q_end]]
                     hk, hn = np.unique(part.h[pair[own]], return_inverse=True)
-                    out.append(("missed", int(q[order[q_at]]), frame({"batch": np.array([name]), "h": hk, "hn": hn, "d": d[own], "m": m[own]})))
+                    out.append(("missed", int(q[turn[q_at]]), frame({"batch": np.array([name]), "h": hk, "hn": hn, "d": d[own], "m": m[own]})))
         rows = [(k, int(n), data) for k, n, data in out]
-        w, h, c, cw, p1 = part.w[seen], part.h[seen], part.c[seen], part.cw[seen], p_one[seen]
+        if order > 2:
+            own = np.nonzero(deep)[0]
+            q = place_of(part.h[own], part.g[own], parts, hot_keys)
+            own = own[sort := np.lexsort((part.g[own], part.h[own], q))]
+            q = q[sort]
+            for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
+                at_q = own[q_at:q_end]
+                w_names, wi = np.unique(part.w[at_q], return_inverse=True)
+                rows.append(("triples", int(q[q_at]), frame(two_words(part.h[at_q], part.g[at_q]) | {"w": w_names, "wi": wi, "c": part.c3[at_q], "pair": part.c[at_q]})))
+            own = runs(part.w)
+            own = own[~np.isin(part.w[own], hot_keys) & (part.cw[own] > 0)]
+            rows.append(("words", int(key[0]), frame({"w": part.w[own], "n": part.cw[own]})))
+            rows.append(("counts3", 0, frame({"n": np.bincount(np.minimum(part.c3[deep], SMALL + 2), minlength=SMALL + 3)[:SMALL + 2]})))
+        own = part.pairs[seen[part.pairs]]
+        w, h, c, p1 = part.w[own], part.h[own], part.c[own], p_one[own]
         names, number = np.unique(h, return_inverse=True)
         kinds = np.bincount(number * (SMALL + 1) + np.where(c <= SMALL, c, 0), minlength=len(names) * (SMALL + 1)).reshape(-1, SMALL + 1)
         mass, count = np.bincount(number, p1, len(names)), np.bincount(number, c, len(names)).astype(np.int64)
         q = names % histories
-        order = np.lexsort((names, q))
-        for q_at, q_end in zip(b := runs(q[order]), np.append(b[1:], len(order))):
-            own = order[q_at:q_end]
+        turn = np.lexsort((names, q))
+        for q_at, q_end in zip(b := runs(q[turn]), np.append(b[1:], len(turn))):
+            own = turn[q_at:q_end]
             rows.append(("stats", int(q[own[0]]), frame({"h": names[own], "kinds": kinds[own], "mass": mass[own], "count": count[own]})))
         # Histories are told by their place in the part's stats, in the order of (history part, hash).
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
         at_word = runs(w)
         rows.append(("pairs", int(key[0]), frame({"w": w[at_word], "wn": np.diff(np.append(at_word, len(w))), "h": rank[number], "c": c})))
         rows.append(("counts", 0, frame({"n": np.bincount(np.minimum(c, SMALL + 2), minlength=SMALL + 3)[:SMALL + 2]})))
@@ -318,11 +395,14 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         whole = spark.read.schema("key long, part long, data binary, kind string").parquet(folder)
         return whole.filter(F.col("kind") == kind).select("kind", "key", "part", "data")
 
-    totals = np.zeros(SMALL + 2, np.int64)
-    for r in counted(f"{folder}/counted", "counts").select("data").toLocalIterator():
-        totals += unframe(r["data"])["n"].astype(np.int64)
-    two = discounted(totals.tolist())
-    gives = np.concatenate([[REST], np.arange(1, SMALL + 1) - two[1:]])
+    def discounts(kind: str) -> np.ndarray:
+        totals = np.zeros(SMALL + 2, np.int64)
+        for r in counted(f"{folder}/counted", kind).select("data").toLocalIterator():
+            totals += unframe(r["data"])["n"].astype(np.int64)
+        return discounted(totals.tolist())
+
+    two, three = discounts("counts"), discounts("counts3")
+    gives, gives3 = (np.concatenate([[REST], np.arange(1, SMALL + 1) - x[1:]]) for x in (two, three))
 
     def weigh(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         stats = [unframe(d) for d in block["data"][block["kind"] == "stats"]]
@@ -348,17 +428,53 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             rows.append(("fixes", name, frame({"d": d, "score": np.bincount(back, np.concatenate([p[1] for p in pieces]), len(d))})))
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
+    def weigh_two(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        found = {kind: [unframe(d) for d in block["data"][block["kind"] == kind]] for kind in ("triples", "words", "missed2")}
+        rows, share, h, g = [], np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if found["triples"]:
+            h, g = (np.concatenate([x[k][x[k + "i"]] for x in found["triples"]]) for k in "hg")
+            c, pair = (np.concatenate([x[k].astype(np.int64) for x in found["triples"]]) for k in ("c", "pair"))
+            sort = np.lexsort((g, h))
+            h, g, c, pair = h[sort], g[sort], c[sort], pair[sort]
+            first = runs(h, g)
+            h, g = h[first], g[first]
+            words = np.concatenate([np.array(list(hot), np.uint64), *(x["w"] for x in found["words"])])
+            sizes = np.concatenate([np.array(list(hot.values()), np.int64), *(x["n"].astype(np.int64) for x in found["words"])])
+            by_word = np.argsort(words)
+            size = sizes[by_word][np.searchsorted(words[by_word], h)]
+            handed = total(gives3[np.where(c <= SMALL, c, 0)], first)
+            # What P(. | h) leaves to the words not seen behind (g, h), times the count of h.
+            left = size - total(pair, first) + total(gives[np.where(pair <= SMALL, pair, 0)], first)
+            share = np.log10(handed) - np.log10(left)
+            weight = handed * size / left / total(c, first)
+            rows.append(("backoff2", int(key[0]), frame(two_words(h, g) | {"weight": weight})))
+            del c, pair, sort, first, size, handed, left, weight
+        find = finder(h, g, share)
+        fixes: dict[int, list] = {}
+        for x in found["missed2"]:
+            value = find(x["h"][x["hi"]], x["g"][x["gi"]])
+            d, back = np.unique(x["d"], return_inverse=True)
+            fixes.setdefault(int(x["batch"][0]), []).append((d, np.bincount(back, value * x["m"], len(d))))
+        for name, pieces in fixes.items():
+            d, back = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+            rows.append(("fixes", name, frame({"d": d, "score": np.bincount(back, np.concatenate([p[1] for p in pieces]), len(d))})))
+        return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
+
     by_history = counted(f"{folder}/counted", "stats").unionByName(counted(f"{folder}/counted", "missed"))
     by_history.groupBy("key").applyInPandas(weigh, TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed")
 
-    small_logs = np.concatenate([[0], np.log10(np.maximum(two[1:], 1e-300))])
+    if order > 2:
+        by_two = counted(f"{folder}/counted", "triples").unionByName(counted(f"{folder}/counted", "words")).unionByName(counted(f"{folder}/counted", "missed2"))
+        by_two.groupBy("key").applyInPandas(weigh_two, TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed2")
+
+    small_logs = np.concatenate([[0], np.log10(np.maximum(two[1:], 1e-300)), [0], np.log10(np.maximum(three[1:], 1e-300))])
     level = np.log10(tokens + types + 1.0)
     begin = np.log10(max(1, trained))
 
     def finish(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         docs = unframe(block["data"][block["kind"] == "docs"].iloc[0])
         n = len(docs["n"])
-        score, base, known, small = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n * (SMALL + 1), np.int64)
+        score, base, known, small = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n * len(small_logs), np.int64)
         for kind, data in block.sort_values(["kind", "part"])[["kind", "data"]].itertuples(index=False):
             if kind == "sums":
                 x = unframe(data)
@@ -376,5 +492,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
                              "base_score": base - docs["n"] * level, "score": score})
 
     pieces = counted(f"{folder}/counted", "docs").unionByName(counted(f"{folder}/counted", "sums")).unionByName(counted(f"{folder}/weighed", "fixes"))
+    if order > 2:
+        pieces = pieces.unionByName(counted(f"{folder}/weighed2", "fixes"))
     return pieces.groupBy("key").applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

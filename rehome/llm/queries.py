@@ -49,7 +49,7 @@ RULES = [
 
 @query()
 def op1_katz_backoff(spark, sf_dir):
-    return katz_scores(table(spark, sf_dir, "documents"))
+    return katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 @query()

@@ -78,6 +78,44 @@ def test_katz_is_brute_force(spark, docs, odd_texts, part_tokens):
     assert {r.doc_id for r in got if r.held_out} == {i for i, _ in odd_texts if i is not None and crc(i) % 7 == 2}
 
 
+def brute_trigrams(rows):
+    """Order 3, written down from the definition on top of the bigrams of brute_katz."""
+    _, p2, one = brute_katz(rows)
+    three = Counter()
+    for doc_id, text in rows:
+        if doc_id is None or crc(doc_id) % 7 != 2:
+            tokens = [None, *words_of(text), b""]
+            three.update(zip(tokens, tokens[1:], tokens[2:]))
+    d3 = discounted([sum(c == r for c in three.values()) for r in range(7)])
+    give = lambda c: d3[c] if c < len(d3) else c - REST
+    behind, size = defaultdict(list), Counter()
+    for (g, h, w), c in three.items():
+        behind[g, h].append(w)
+        size[g, h] += c
+    weight = {k: (1 - sum(give(three[*k, w]) for w in ws) / size[k]) / (1 - sum(p2(k[1], w) for w in ws)) for k, ws in behind.items()}
+
+    def p(g, h, w):
+        return give(three[g, h, w]) / size[g, h] if (g, h, w) in three else weight.get((g, h), 1.0) * p2(h, w)
+
+    scores = []
+    for doc_id, text in rows:
+        tokens = [None, *words_of(text), b""]
+        scores.append((doc_id, math.log10(p2(None, tokens[1])) + sum(math.log10(p(*t)) for t in zip(tokens, tokens[1:], tokens[2:]))))
+    return scores, p, one
+
+
+@pytest.mark.parametrize("part_tokens", [3_000_000, 500])
+def test_katz_of_order_three_is_brute_force(spark, docs, odd_texts, part_tokens):
+    want, p, one = brute_trigrams(odd_texts)
+    for g, h in [(None, b"the"), (b"of", b"the"), (b"not a word", b"the"), (b"casa", b"river")]:
+        assert sum(p(g, h, w) for w in [*one, b"not a word"]) == pytest.approx(1, abs=1e-9)
+    got = katz_scores(docs, part_tokens=part_tokens, order=3).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for g, w in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-8)
+    assert sorted(r.base_score for r in got) == pytest.approx(sorted(r.base_score for r in katz_scores(docs).collect()), abs=1e-8)
+
+
 def test_katz_of_nothing(spark, docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
