@@ -15,8 +15,6 @@ from rehome.llm.queries import PIECE_MODEL
 from rehome.llm.shared import shared_folder, table
 from rehome.llm.simhash import simhash_groups
 
-SURE = 0.4  # the least mean probability of a language
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose vote reaches the threshold. The sample is taken of the documents that have come here.
@@ -28,11 +26,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter and a mean probability of at least SURE; the rest goes.
+    """Documents that have a language, however sure it is; those without a letter go.
 
     Where no document has a language, nothing can be learnt and all goes.
     """
-    return predict_language(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(docs.columns)
+    return predict_language(docs).filter("lang_pred <> 'und'").select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

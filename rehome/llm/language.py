@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rehome.llm.shared import crc_of_id, with_scores
 
-LONGEST = 64  # bytes of one sequence; a longer run without white space is cut into several
+LONGEST = 64  # bytes of one sequence between white space; a longer run is cut into several
+WIDTH, PAD = 128, 16  # positions of a window; lengths of windows are rounded up to these, so that few lengths occur
+LEAST_STEPS = 300  # steps of training, however little there is to learn from
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -88,10 +90,11 @@ class ByteGru:
                 carry = dh * z + d_own @ self.w["h" + d].T
         return loss, grad
 
-    def train(self, words: list[bytes], labels: np.ndarray, rounds: int, rate: float = 0.01, batch: int = 256, seed: int = 1) -> float:
-        """Adam over batches of sequences of equal length."""
+    def train(self, words: list[bytes], labels: np.ndarray, rounds: int, rate: float = 0.01, batch: int = 256, seed: int = 1, pad: int = 1,
+              least_steps: int = 0) -> float:
+        """Adam over batches of sequences of equal length, rounded up to ``pad``."""
         rng = np.random.default_rng(seed)
-        lengths = np.array([len(w) for w in words])
+        lengths = -(-np.array([len(w) + 1 for w in words]) // pad) * pad
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step, loss = 0, 0.0
@@ -99,11 +102,12 @@ class ByteGru:
         for n in np.unique(lengths):
             at = rng.permutation(np.nonzero(lengths == n)[0])
             batches += [at[i:i + batch] for i in range(0, len(at), batch)]
+        rounds = max(rounds, -(-least_steps // len(batches)))
         total = rounds * len(batches)
         for _ in range(rounds):
             for at in (batches[i] for i in rng.permutation(len(batches))):
                 step += 1
-                loss, grad = self.gradient(sequences([words[i] for i in at]), labels[at])
+                loss, grad = self.gradient(sequences([words[i] for i in at], lengths[at[0]]), labels[at])
                 pace = rate * (1 - step / (total + 1)) * min(1.0, len(at) / 64)
                 for k, g in grad.items():
                     first[k] += 0.1 * (g - first[k])
@@ -124,13 +128,42 @@ class ByteGru:
         return sums
 
 
-def sequences(words: list[bytes]) -> np.ndarray:
-    """Words of one length as rows of bytes with the end behind them."""
-    rows = np.full((len(words), len(words[0]) + 1), 256, np.int16)
-    rows[:, :-1] = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+def sequences(words: list[bytes], width: int = 0) -> np.ndarray:
+    """Words as rows of bytes with the end behind them, one time or up to ``width``."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    rows = np.full((len(words), max(width, int(sizes.max()) + 1)), 256, np.int16)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
     return rows
 
 
+def windows(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(bytes of all texts, text of each window, its first byte, its core's first, its core's end, its end).
+
+    The cores of a text's windows are its bytes, each once; a window reaches beyond its core on both sides as
+    far as the text does and ``width`` allows. No window and no core is cut inside a character.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    core = width * 3 // 4
+    margin = (width - core) // 2 - 2  # what is left holds a character's rest and the end
+    count = -(-np.diff(offsets) // core)
+    owner = np.repeat(np.arange(len(texts)), count)
+    begin, end = offsets[:-1][owner], offsets[1:][owner]
+    low = begin + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * core
+
+    def border(at: np.ndarray) -> np.ndarray:
+        at = at.copy()
+        for _ in range(3):
+            at -= (at > begin) & (at < end) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80)
+        return at
+
+    if not len(owner):
+        return data, owner, low, low, low, low
+    high = np.minimum(low + core, end)
+    return data, owner, border(np.maximum(low - margin, begin)), border(low), border(high), border(np.minimum(high + margin, end))
+
+
 def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(text of each run, its place among the distinct runs, distinct runs): bytes between ASCII white space."""
     parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
@@ -153,10 +186,30 @@ def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return owner[filled], at[filled], runs
 
 
-def identify(net: ByteGru, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """The language of each text and the mean of its probability over all positions."""
-    owner, at, runs = byte_runs(texts)
+def window_sums(net: ByteGru, texts: pa.Array, width: int) -> np.ndarray:
+    """For each text the sum of the probabilities of its bytes."""
+    data, owner, first, low, high, last = windows(texts, width)
     pooled = np.zeros((len(texts), len(net.languages)))
+    lengths = -(-(last - first + 1) // PAD) * PAD
+    for size in np.unique(lengths):
+        same = np.nonzero(lengths == size)[0]
+        for at in (same[i:i + 1024] for i in range(0, len(same), 1024)):
+            place = first[at, None] + np.arange(size)
+            rows = np.where(place < last[at, None], data[np.minimum(place, len(data) - 1)], np.int16(256))
+            counts = (place >= low[at, None]) & (place < high[at, None])
+            sums = np.einsum("tbl,bt->bl", net.probabilities(rows), counts.astype(np.float32))
+            for k in range(len(net.languages)):
+                pooled[:, k] += np.bincount(owner[at], sums[:, k], minlength=len(texts))
+    return pooled
+
+
+def identify(net: ByteGru, texts: pa.Array, width: int | None = None) -> tuple[list[str], np.ndarray]:
+    """The language of each text and the mean of its probability over all positions.
+
+    The network runs over windows of ``width`` positions, or over the runs between white space where that is None.
+    """
+    owner, at, runs = byte_runs(texts) if width is None else ((), (), ())
+    pooled = np.zeros((len(texts), len(net.languages))) if width is None else window_sums(net, texts, width)
     if len(at):
         used = [r for r in runs]
         sums = np.zeros((len(runs), len(net.languages)))
@@ -173,7 +226,7 @@ def identify(net: ByteGru, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def train_language(docs: DataFrame, each: int, sequences_each: int, rounds: int, hidden: int, modulus: int, held: int, longest_text: int,
-                   id_column: str, text_column: str, lang_column: str) -> ByteGru | None:
+                   id_column: str, text_column: str, lang_column: str, width: int | None = WIDTH) -> ByteGru | None:
     """A network from at most ``each`` documents a language (smallest id hash) of at most ``longest_text`` characters."""
     lettered = F.regexp_like(F.col(text_column), F.lit(r"\p{L}"))
     own = docs.filter(F.col(lang_column).isNotNull() & (F.char_length(text_column) <= longest_text)
@@ -189,27 +242,32 @@ def train_language(docs: DataFrame, each: int, sequences_each: int, rounds: int,
     languages = sorted({r["lang"] for r in rows})
     rng, words, labels = np.random.default_rng(2), [], []
     for k, lang in enumerate(languages):
-        own_runs = [w[i:i + LONGEST] for r in rows if r["lang"] == lang for w in r["text"].encode().split() for i in range(0, len(w), LONGEST)]
+        if width is None:
+            own_runs = [w[i:i + LONGEST] for r in rows if r["lang"] == lang for w in r["text"].encode().split() for i in range(0, len(w), LONGEST)]
+        else:
+            data, _, first, _, _, last = windows(pa.array([r["text"] for r in rows if r["lang"] == lang], pa.string()), width)
+            own_runs = [data[a:b].tobytes() for a, b in zip(first, last)]
         chosen = rng.permutation(len(own_runs))[:sequences_each]
         words += [own_runs[i] for i in chosen]
         labels += [k] * len(chosen)
     del rows
     net = ByteGru(languages, hidden)
-    net.train(words, np.array(labels), rounds)
+    net.train(words, np.array(labels), rounds, **({} if width is None else {"batch": 128, "pad": PAD, "least_steps": LEAST_STEPS}))
     return net
 
 
 def predict_language(docs: DataFrame, train: DataFrame | None = None, keep: list[str] | None = None, each: int = 200, sequences_each: int = 20000,
                      rounds: int = 3, hidden: int = 16, modulus: int = 3, held: int = 1, longest_text: int = 20000, id_column: str = "doc_id",
-                     text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+                     text_column: str = "text", lang_column: str = "lang", width: int | None = WIDTH) -> DataFrame:
     """The columns ``keep`` (all by default), held_out, lang_pred and score of every row.
 
     The network learns from ``train`` (else ``docs``) rows with a language whose id's crc32 modulo
     ``modulus`` is not ``held``: at most ``each`` documents and ``sequences_each`` sequences a language, on the
-    driver, by backpropagation through time. A sequence is a run of bytes between ASCII white
-    space, with an end behind it; longer runs than 64 bytes are cut into several. The network starts
-    anew at every sequence and labels each of its positions, so equal runs of a batch are evaluated once. A
-    document's probabilities are the means over all its positions; the largest is the score.
+    driver, by backpropagation through time. A sequence is a window of at most ``width`` bytes, across white
+    space and cut between characters, with ends behind it. The windows of a text overlap, so the network has read
+    some bytes of either side when it labels a byte; each byte of the text counts in one window. A
+    document's probabilities are the means over all its bytes; the largest is the score. With ``width`` None
+    a sequence is a run of bytes between ASCII white space, cut at 64 bytes.
 
     ``und`` with score 0 for null texts, texts without a letter, and where nothing could be learnt. Repeated
     rows score alike; columns named like a result give way to it; an empty table gives no rows.
@@ -217,13 +275,13 @@ def predict_language(docs: DataFrame, train: DataFrame | None = None, keep: list
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     net = train_language(docs if train is None else train, each, sequences_each, rounds, hidden, modulus, held, longest_text,
-                         id_column, text_column, lang_column)
+                         id_column, text_column, lang_column, width)
     shared = spark.sparkContext.broadcast(net)
 
     def score(column: pa.Array):
         if shared.value is None or not len(column):
             return [pa.array(["und"] * len(column), pa.string()), pa.array(np.zeros(len(column)))]
-        names, scores = identify(shared.value, column)
+        names, scores = identify(shared.value, column, width)
         return [pa.array(names, pa.string()), pa.array(scores)]
 
     scored = with_scores(docs, text_column, [c for c in keep if c != "held_out"], "lang_pred string, score double", score, 2000)

@@ -25,6 +25,15 @@ def test_stages_keep_columns_and_count(spark, docs, folder):
             assert (n <= rows.count()) if name != "mixing" else (n <= 3 * rows.count())
 
 
+def test_language_stage_keeps_unsure_documents(spark, docs, folder, monkeypatch):
+    from pyspark.sql import functions as F
+
+    unsure = F.when(F.col("doc_id") == 4, "und").otherwise("en")
+    monkeypatch.setattr(corpus_pipeline, "predict_language", lambda rows: rows.withColumns({"lang_pred": unsure, "score": F.lit(0.2)}))
+    kept = corpus_pipeline.language_stage(spark, docs, folder)
+    assert kept.count() == docs.filter("NOT doc_id <=> 4").count()
+
+
 def test_dedup_stage_keeps_one_of_each_group(spark, docs, folder):
     from rehome.llm.simhash import simhash_groups
 

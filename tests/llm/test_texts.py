@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from rehome.llm.katz import REST, discounted, katz_scores
-from rehome.llm.language import ByteGru, identify, predict_language, sequences
+from rehome.llm.language import ByteGru, identify, predict_language, sequences, windows
 from rehome.llm.pieces import decode_ids, encode_texts, load_model
 from rehome.llm.quality import judge_quality
 from rehome.llm.queries import PIECE_MODEL
@@ -229,6 +229,30 @@ def test_network_pools_every_position():
     assert names[1:] == ["und"] * 3 and list(scores[1:]) == [0, 0, 0]
 
 
+def test_windows_cross_white_space_and_cover_every_byte():
+    texts = ["ab cd\n" * 50, None, "", "é" * 300, "a中😀" * 90, "x"]
+    whole = pa.array(["skipped", *texts]).slice(1)
+    data, owner, first, low, high, last = windows(whole)
+    for k, text in enumerate(texts):
+        own = np.nonzero(owner == k)[0]
+        assert b"".join(data[low[i]:high[i]].tobytes() for i in own) == (text or "").encode()
+        for i in own:
+            data[first[i]:last[i]].tobytes().decode(), data[low[i]:high[i]].tobytes().decode()
+            assert last[i] - first[i] < 128 and (i == own[0] or low[i] - first[i] >= 11) and (i == own[-1] or last[i] - high[i] >= 11)
+    net = ByteGru(["a", "b"], 4)
+    want = sum(net.probabilities(sequences([data[a:b].tobytes()], -(-(b - a + 1) // 16) * 16))[low_ - a:high_ - a, 0].sum(axis=0)
+               for a, low_, high_, b, o in zip(first, low, high, last, owner) if o == 4)
+    names, scores = identify(net, whole, 128)
+    assert scores[4] == pytest.approx((want / want.sum()).max(), abs=1e-5) and names[1] == names[2] == "und"
+
+
+def test_language_by_the_order_of_words(spark):
+    """Both languages have the same words; only what stands behind what tells them apart."""
+    rows = [(i, ["x", "y"][i % 2], " ".join([["ka mo ti", "ti mo ka"][i % 2]] * (5 + i % 40))) for i in range(240)]
+    got = predict_language(spark.createDataFrame(rows, "doc_id long, lang string, text string"), rounds=12).filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
 def test_language_by_held_out_accuracy(spark):
     import random
 
