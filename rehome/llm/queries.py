@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rehome.llm.archives import archived_pages
 from rehome.llm.katz import katz_scores
 from rehome.llm.language import predict_language
 from rehome.llm.mixing import fair_mix
 from rehome.llm.pieces import encode_texts, load_model
+from rehome.llm.prefix_trie import conversation_turns, prefix_trie, shared_starts
 from rehome.llm.quality import judge_quality
-from rehome.llm.shared import table
+from rehome.llm.shared import shared_folder, table
 from rehome.llm.shards import kd_shards
 from rehome.llm.simhash import simhash_groups
 from rehome.llm.topk import top_products
 from rehome.llm.url_model import Rule, judge_urls
 from rehome.llm.vector_groups import near_vectors
+from rehome.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +125,35 @@ def op9_simhash(spark, sf_dir):
     FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)) WHERE rank <= 10""")
 def op10_exact_top_k(spark, sf_dir):
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
+  h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+      lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM c),
+  r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+  p AS (SELECT conv_id, len(turns) AS full_depth, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+  k AS (SELECT conv_id, full_depth, depth, turns[1:depth] AS path FROM p),
+  n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (full_depth = depth), '')) AS ends_sha256,
+      (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(path[depth].text) END AS own FROM k GROUP BY depth, path),
+  f AS (SELECT n.*, q.conv_id AS parent_conv_id, coalesce(x.n_children, 0) AS n_children FROM n
+      LEFT JOIN n q ON n.depth = q.depth + 1 AND n.path[1:n.depth - 1] = q.path
+      LEFT JOIN (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL) x ON x.depth = n.depth AND x.path = n.path),
+  a AS (SELECT above AS depth, path[1:above] AS path, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(depth + 1)) AS above FROM f) GROUP BY ALL)
+  SELECT f.conv_id, f.depth::BIGINT AS depth, f.parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+      a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256 FROM f JOIN a ON a.depth = f.depth AND a.path = f.path""")
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(shared_starts(conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_archives(spark, sf_dir):
+    found = archived_pages(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
