@@ -29,7 +29,8 @@ DEFINITIONS = {
 NO_ADDRESS, DATE = "0.0.0.0", "20000101000000"
 KEY_FIELD = "X-Record-Key"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK, HEAD = 1 << 20, 1 << 16
+CHUNK, HEAD = 1 << 14, 1 << 16
+MEMBER = "archive long, place long, member binary"
 
 
 def gzipped(data: bytes, level: int = 2) -> bytes:
@@ -38,6 +39,15 @@ def gzipped(data: bytes, level: int = 2) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def packed(data: bytes) -> bytes:
+    """For the way through a shuffle: the length and the data, compressed by zstd."""
+    return len(data).to_bytes(8, "big") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "big"), "zstd", asbytes=True)
+
+
 class Bytes:
     """The text of an archive, read front to back: a plain one, or gzip members that are inflated as they are needed."""
 
@@ -185,10 +195,32 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, text.take(int(fields["content-length"]) if fields.get("content-length", "").isdigit() else 0)
 
 
-def write_members(members: DataFrame, path: str, between: bytes) -> None:
-    """Binary rows as files, each followed by the gzip member of ``between``."""
-    text = members.select(F.col("member").cast("string").alias("value"))
-    text.write.option("lineSep", gzipped(between).decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+def members(batches, start, record, file_bytes: int):
+    """The gzip members of a task's archives, about ``file_bytes`` each before compression.
+
+    ``start(archive)`` makes what an archive begins with, and ``record`` a record of a row.
+    """
+    archive, place, size = 0, 0, 0
+    found = [(0, 0, gzipped(start(0)))]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                if size >= file_bytes:
+                    archive, place, size = archive + 1, 0, 0
+                    found.append((archive, 0, gzipped(start(archive))))
+                data = record(row, archive)
+                place, size = place + 1, size + len(data)
+                found.append((archive, place, gzipped(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["archive", "place", "member"])
+            found = []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["archive", "place", "member"])
+
+
+def write_members(rows: DataFrame, path: str, between: bytes) -> None:
+    """Files of members in their order, each followed by the gzip member of ``between``; rows stay in their tasks."""
+    text = rows.sortWithinPartitions("archive", "place").select("archive", F.col("member").cast("string").alias("value"))
+    text.write.partitionBy("archive").option("lineSep", gzipped(between).decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +229,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def write_arc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
               versions: tuple[int, ...] = (1, 2), file_bytes: int = 32_000_000) -> None:
-    """ARC files of the pages, of about ``file_bytes`` bytes before compression; their versions take turns.
+    """ARC files of the pages, of about ``file_bytes`` bytes before compression, written where the pages lie; versions take turns.
 
     A record is an HTTP response whose field X-Record-Key holds the id. A null url is
     ``urn:none``; blanks, controls and other characters that a header line cannot hold are escaped.
@@ -205,30 +237,26 @@ def write_arc(pages: DataFrame, path: str, id_column: str = "page_id", url_colum
     key = F.col(id_column).cast("string")
     payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b""))
     rows = pages.select(key.alias("key"), F.coalesce(F.col(url_column).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    size = rows.agg(F.sum(F.octet_length("payload") + 200)).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
 
-    def records(batches):
-        version = versions[TaskContext.get().partitionId() % len(versions)]
-        about = f"{version} 0 converter\n{DEFINITIONS[version]}\n\n".encode()
-        yield pa.RecordBatch.from_arrays([pa.array([gzipped(f"filedesc://pages.arc {NO_ADDRESS} {DATE} text/plain {len(about)}\n".encode() + about)])], ["member"])
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, members = batch.slice(start, 256), []
-                for key, url, payload in zip(*(part.column(i) for i in range(3))):
-                    key, url, payload = key.as_py(), url.as_py(), payload.as_py()
-                    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"{KEY_FIELD}: {key}\r\n" if key is not None else "")
-                    block = f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                    more = f" 200 - - 0 pages.arc {len(block)}\n" if version == 2 else f" {len(block)}\n"
-                    url = quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") or "urn:none"
-                    members.append(gzipped(f"{url} {NO_ADDRESS} {DATE} text/html".encode() + more.encode() + block))
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+    def version_of(archive: int) -> int:
+        return versions[(TaskContext.get().partitionId() + archive) % len(versions)]
+
+    def start(archive: int) -> bytes:
+        about = f"{version_of(archive)} 0 converter\n{DEFINITIONS[version_of(archive)]}\n\n".encode()
+        return f"filedesc://pages.arc {NO_ADDRESS} {DATE} text/plain {len(about)}\n".encode() + about
 
-    write_members(rows.repartition(files, F.xxhash64("key", "url")).mapInArrow(records, "member binary"), path, b"\n")
+    def record(row: dict, archive: int) -> bytes:
+        head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"{KEY_FIELD}: {row['key']}\r\n" if row["key"] is not None else "")
+        block = f"{head}Content-Length: {len(row['payload'])}\r\n\r\n".encode() + row["payload"]
+        more = f" 200 - - 0 pages.arc {len(block)}\n" if version_of(archive) == 2 else f" {len(block)}\n"
+        url = quote(row["url"], safe="!#$%&'()*+,/:;=?@[]~-._") or "urn:none"
+        return f"{url} {NO_ADDRESS} {DATE} text/html".encode() + more.encode() + block
+
+    write_members(rows.mapInArrow(lambda batches: members(batches, start, record, file_bytes), MEMBER), path, b"\n")
 
 
 RECORD = ("archive string, ordinal long, record_id string, url string, date string, address string, mime string, "
-          "key string, kind string, same string, digest string, declared long, head binary, payload binary, error string")
+          "key string, kind string, same binary, digest string, declared long, head binary, payload binary, error string")
 RECORD_NAMES = [field.split()[0] for field in RECORD.split(", ")]
 
 
@@ -237,7 +265,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
     ``record_id`` is made of the archive's name, the place in it and the digest, so that reading
     twice gives the same. ``kind`` is response for HTTP and DNS answers and else resource. ``same`` tells payloads apart (SHA-256), ``digest`` is
-    the WARC form (base32 SHA-1). ``payload`` is deflated; without ``payloads`` it and the headers are null. A file or rest of a file
+    the WARC form (base32 SHA-1). ``payload`` is packed (zstd); without ``payloads`` it and the headers are null. A file or rest of a file
     that cannot be read is one row with an ``error``.
     """
 
@@ -254,8 +282,8 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                     error = r.error or ("cut short" if len(r.block) < r.declared else None)
                     found.append((path, r.ordinal, f"<urn:uuid:{name}>", url, warc_date(r.fields.get("Archive-date", "")),
                                   r.fields.get("IP-address"), r.fields.get("Content-type"), http_field(head, KEY_FIELD), kind,
-                                  hashlib.sha256(payload).hexdigest(), digest, r.declared, head if payloads else None,
-                                  zlib.compress(payload, 1) if payloads else None, error))
+                                  hashlib.sha256(payload).digest(), digest, r.declared, head if payloads else None,
+                                  packed(payload) if payloads else None, error))
                     size += len(payload)
                     if size > 8_000_000 or len(found) >= 2000:
                         yield pa.RecordBatch.from_pylist([dict(zip(RECORD_NAMES, x)) for x in found], schema)
@@ -268,18 +296,18 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return read_files(spark, path).mapInArrow(rows, RECORD)
 
 
-def convert_archives(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0) -> DataFrame:
+def convert_archives(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0, file_bytes: int = 32_000_000) -> DataFrame:
     """WARC files in the folder ``warc`` for the ARC files in ``arc``; returns the rows that could not be read.
 
     Of responses whose payloads are equal and have at least ``least_bytes`` bytes, that with the smallest key (as
     a number; without one last) stays, others are revisits that name it: they have its digest and their own
     headers, and no payload. The first of each payload is found from digests alone, by minima
-    that combine before the shuffle; then each record, deflated, meets its first once, a join in which
+    that combine before the shuffle; then each record, packed, meets its first once, a join in which
     adaptive execution splits a payload that very many share. A record cut short says so (WARC-Truncated).
     """
     short = read_arc(spark, arc, payloads=False)
     number = F.expr("try_cast(key AS decimal(38,0))")
-    place = F.struct(number.isNull().alias("none"), number.alias("number"), F.coalesce("key", F.lit("")).alias("key"), "archive", "ordinal", "record_id", "url", "date")
+    place = F.struct(number.isNull().alias("none"), number.alias("number"), F.coalesce("key", F.lit("")).alias("key"), "record_id", "url", "date")
     sharing = "kind = 'response' AND declared > 0 AND error IS NULL"
     firsts = short.filter(sharing).groupBy("same").agg(F.min(place).alias("first"))
     rows = read_arc(spark, arc).filter("error IS NULL OR error = 'cut short'")
@@ -287,31 +315,27 @@ def convert_archives(spark: SparkSession, arc: str, warc: str, least_bytes: int
         "first_id": F.col("first.record_id"), "first_url": F.col("first.url"), "first_date": F.col("first.date")}).select(
         "record_id", "url", "date", "address", "mime", "kind", "digest", "head", "payload", "error", "first_id", "first_url", "first_date")
 
-    def records(batches):
+    def start(archive: int) -> bytes:
         about = b"software: archive converter\r\nformat: WARC File Format 1.1\r\n"
-        name = uuid.uuid5(uuid.NAMESPACE_URL, f"{warc}#{TaskContext.get().partitionId()}")
+        name = uuid.uuid5(uuid.NAMESPACE_URL, f"{warc}#{TaskContext.get().partitionId()}#{archive}")
         info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", warc_date(DATE)), ("Content-Type", "application/warc-fields")]
-        yield pa.RecordBatch.from_arrays([pa.array([gzipped(warc_record(info, about))])], ["member"])
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                members = []
-                for r in batch.slice(start, 256).to_pylist():
-                    payload = zlib.decompress(r["payload"])
-                    again = r["kind"] == "response" and not r["error"] and r["first_id"] not in (None, r["record_id"]) and len(payload) >= least_bytes
-                    http = bool(r["head"])
-                    fields = [("WARC-Type", "revisit" if again else r["kind"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]),
-                              ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["address"] if r["address"] not in (None, NO_ADDRESS, "-") else None),
-                              ("WARC-Payload-Digest", f"sha1:{r['digest']}")]
-                    if again:
-                        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", r["first_id"]), ("WARC-Refers-To-Target-URI", r["first_url"]),
-                                   ("WARC-Refers-To-Date", r["first_date"])]
-                    block = r["head"] if again else r["head"] + payload
-                    fields += [("WARC-Truncated", "unspecified" if r["error"] else None), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
-                               ("Content-Type", "application/http; msgtype=response" if http else r["mime"] or "application/octet-stream")]
-                    members.append(gzipped(warc_record(fields, block)))
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
-
-    write_members(met.mapInArrow(records, "member binary"), warc, b"\r\n\r\n")
+        return warc_record(info, about)
+
+    def record(r: dict, archive: int) -> bytes:
+        payload = unpacked(r["payload"])
+        again = r["kind"] == "response" and not r["error"] and r["first_id"] not in (None, r["record_id"]) and len(payload) >= least_bytes
+        fields = [("WARC-Type", "revisit" if again else r["kind"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]),
+                  ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["address"] if r["address"] not in (None, NO_ADDRESS, "-") else None),
+                  ("WARC-Payload-Digest", f"sha1:{r['digest']}")]
+        if again:
+            fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", r["first_id"]), ("WARC-Refers-To-Target-URI", r["first_url"]),
+                       ("WARC-Refers-To-Date", r["first_date"])]
+        block = r["head"] if again else r["head"] + payload
+        fields += [("WARC-Truncated", "unspecified" if r["error"] else None), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
+                   ("Content-Type", "application/http; msgtype=response" if r["head"] else r["mime"] or "application/octet-stream")]
+        return warc_record(fields, block)
+
+    write_members(met.mapInArrow(lambda batches: members(batches, start, record, file_bytes), MEMBER), warc, b"\r\n\r\n")
     return short.filter("error IS NOT NULL").select("archive", "ordinal", "error")
 
 
@@ -358,7 +382,7 @@ def archived_pages(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     """
     spark = pages.sparkSession
     write_arc(pages, f"{folder}/arc", id_column, url_column, payload_column, file_bytes=file_bytes)
-    convert_archives(spark, f"{folder}/arc", f"{folder}/warc", least_bytes)
+    convert_archives(spark, f"{folder}/arc", f"{folder}/warc", least_bytes, file_bytes)
     found = read_warc(spark, f"{folder}/warc")
     kind = pages.schema[id_column].dataType.simpleString()
     first = found.filter("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("first_key"), F.col("payload_bytes").alias("first_bytes"))

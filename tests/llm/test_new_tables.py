@@ -138,7 +138,7 @@ def test_archives_are_those_of_plain_python(spark, rows, tmp_path):
     found = archived_pages(df, str(tmp_path / "a"), file_bytes=100_000)
     assert rows(found, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == plain_archive(data)
     assert found.filter("NOT sound").isEmpty()
-    files = [gzip.decompress(open(f, "rb").read()) for f in glob.glob(str(tmp_path / "a/arc/part*"))]
+    files = [gzip.decompress(open(f, "rb").read()) for f in glob.glob(str(tmp_path / "a/arc/*/part*"))]
     assert {f.split(b"\n")[1][:2] for f in files} == {b"1 ", b"2 "}
     found = archived_pages(df, str(tmp_path / "b"), least_bytes=5)
     assert found.filter("record_type = 'revisit' AND payload_bytes < 5").isEmpty() and found.filter("record_type = 'revisit'").count() == 297
