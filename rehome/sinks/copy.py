@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import datetime, timezone
 
 import pandas as pd
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rehome.functions.names import move_path
 from rehome.functions.text import clock_text, elapsed_seconds
 from rehome.lineage import cut
 from rehome.operators.picks import first_rows, union_frames
+from rehome.sinks.swap import discard, put_in_place
 from rehome.sources.objects import FAILURES, leaf_files, open_path, width
 
 INCOMING = "__incoming"
@@ -22,11 +23,12 @@ CHUNK = 8 << 20
 BYTES_EACH = 1 << 30  # bytes of one copying task, about
 
 FILE_SCHEMA = (
-    "src_path STRING, dst_path STRING, bytes LONG, start_time TIMESTAMP, end_time TIMESTAMP, error STRING"
+    "src_path STRING, dst_path STRING, inside STRING, bytes LONG, digest STRING, start_time TIMESTAMP,"
+    " end_time TIMESTAMP, error STRING"
 )
 SWAP_SCHEMA = (
-    "src_path STRING, dst_path STRING, files LONG, bytes LONG, start_time TIMESTAMP,"
-    " end_time TIMESTAMP, status STRING, error STRING"
+    "src_path STRING, dst_path STRING, files LONG, bytes LONG, copied_files LONG, copied_bytes LONG, digest STRING,"
+    " start_time TIMESTAMP, end_time TIMESTAMP, status STRING, error STRING"
 )
 
 
@@ -70,8 +72,47 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def _stream(source: str, target: str, partials: str) -> int:
-    """One file, in chunks, in the folder for partial files until it is whole.
+def _rows(columns: str, found: list) -> pd.DataFrame:
+    names = [c.split()[0] for c in columns.split(", ")]
+    return pd.DataFrame(found, columns=names, dtype=object)
+
+
+class _Digest:
+    """The digest of a file: SHA-256 of the digests of its chunks, one after the other, as hex."""
+
+    def __init__(self):
+        self.chunks, self.size = hashlib.sha256(), 0
+
+    def add(self, chunk: bytes) -> None:
+        self.chunks.update(hashlib.sha256(chunk).hexdigest().encode())
+        self.size += len(chunk)
+
+    def text(self) -> str:
+        return self.chunks.hexdigest()
+
+
+def _chunks(stream):
+    """Pieces of exactly CHUNK bytes, but for the last: a store may hand out less than it is asked for."""
+    held = b""
+    while piece := stream.read(CHUNK - len(held)):
+        held += piece
+        if len(held) == CHUNK:
+            yield held
+            held = b""
+    if held:
+        yield held
+
+
+def _digest_of(system, path: str) -> _Digest:
+    found = _Digest()
+    with system.open_input_stream(path) as stream:
+        for chunk in _chunks(stream):
+            found.add(chunk)
+    return found
+
+
+def _stream(source: str, target: str, partials: str) -> _Digest:
+    """One file, in chunks, in the folder for partial files until it is whole and has been read again.
 
     A file that this run has copied before, in an attempt that was lost, stays.
     """
@@ -79,127 +120,94 @@ def _stream(source: str, target: str, partials: str) -> int:
     writer, place = open_path(target)
     there, given = writer.get_file_info(place), reader.get_file_info(inside)
     if there.type == fs.FileType.File and there.size == given.size:
-        return there.size
+        found = _digest_of(reader, inside)
+        if _digest_of(writer, place).text() == found.text():
+            return found
     folder = open_path(partials)[1]
     for path in (place.rsplit("/", 1)[0], folder):
         writer.create_dir(path, recursive=True)
-    partial = f"{folder}/{uuid.uuid4().hex}"
-    size = 0
+    partial, found = f"{folder}/{uuid.uuid4().hex}", _Digest()
     with reader.open_input_stream(inside) as incoming, writer.open_output_stream(partial) as outgoing:
-        while chunk := incoming.read(CHUNK):
+        for chunk in _chunks(incoming):
             outgoing.write(chunk)
-            size += len(chunk)
+            found.add(chunk)
+    if _digest_of(writer, partial).text() != found.text():
+        raise OSError(f"{target} does not hold what was read from {source}")
     writer.move(partial, place)
-    return size
+    return found
 
 
 def _copy_batches(batches):
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            start, size, error = _now(), 0, row.error
+            start, size, digest, error = _now(), 0, None, row.error
             try:
                 if error is None:
-                    size = _stream(row.path, row.target, row.partials)
+                    found = _stream(row.path, row.target, row.partials)
+                    size, digest = found.size, found.text()
             except FAILURES as problem:
                 error = str(problem)
-            yield pd.DataFrame(
-                [(row.src_path, row.dst_path, size, start, _now(), error)],
-                columns=["src_path", "dst_path", "bytes", "start_time", "end_time", "error"],
-            )
-
-
-def _delete(system, info) -> None:
-    if info.type == fs.FileType.Directory:
-        system.delete_dir(info.path)
-    elif info.type == fs.FileType.File:
-        system.delete_file(info.path)
-
-
-def _inside(system, path: str) -> list:
-    """The files at or below a path."""
-    info = system.get_file_info(path)
-    if info.type != fs.FileType.Directory:
-        return [info] if info.type == fs.FileType.File else []
-    below = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return [x for x in below if x.type == fs.FileType.File]
-
-
-def _holds(system, path: str, files: int, size: int) -> bool:
-    found = _inside(system, path)
-    return (len(found), sum(x.size for x in found)) == (files, size)
-
-
-def _move(system, staged: str, place: str) -> None:
-    """A folder or file to its place; file by file in a store that moves no folders."""
-    try:
-        system.move(staged, place)
-    except (NotImplementedError, pa.ArrowException, OSError):
-        if system.get_file_info(staged).type != fs.FileType.Directory:
-            raise
-        for info in _inside(system, staged):
-            target = place + info.path[len(staged):]
-            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            system.move(info.path, target)
-
+            yield _rows(FILE_SCHEMA, [(row.src_path, row.dst_path, row.inside, size, digest, start, _now(), error)])
 
-def _put_in_place(row) -> tuple[str, str | None]:
-    """Exchange the finished copy for the old target. Safe to repeat after a lost task.
 
-    It is copied when the target's files and bytes are those that this run has copied.
-    """
-    system, place = open_path(row.dst_path)
-    staging = open_path(row.staging)[1]
-    staged, old = system.get_file_info([staging, place])
-    if row.error is not None:
-        _delete(system, staged)
-        return "failed", row.error
-    if row.files == 0:
-        source, inside = open_path(row.src_path)
-        if source.get_file_info(inside).type == fs.FileType.NotFound:
-            return "missing", "no such source"
-        _delete(system, old)
-        system.create_dir(place, recursive=True)
-        return "copied", None
-    if staged.type != fs.FileType.NotFound:
-        if _holds(system, staging, row.files, row.bytes):
-            _delete(system, old)
-            _move(system, staging, place)
-        elif not _resumed(system, staging, place, row):
-            return "failed", "the staged copy is not what was copied"
-        _delete(system, system.get_file_info(staging))
-    if not _holds(system, place, row.files, row.bytes):
-        return "failed", "the target is not what was copied"
-    return "copied", None
-
-
-def _resumed(system, staging: str, place: str, row) -> bool:
-    """Go on with a move file by file that an attempt has begun: the old target was gone by then."""
-    left, there = _inside(system, staging), _inside(system, place)
-    if (len(left) + len(there), sum(x.size for x in left + there)) != (row.files, row.bytes):
-        return False
-    _move(system, staging, place)
-    return True
+def _compare_batches(batches):
+    """Whether two files of one size have the same content; one that cannot be read is another."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            try:
+                digest = _digest_of(*open_path(row.path)).text()
+                same = digest == _digest_of(*open_path(row.there)).text()
+            except FAILURES:
+                digest, same = None, False
+            out.append((row.dst_path, row.inside, digest, same))
+        yield _rows("dst_path, inside, digest, same", out)
 
 
 def _swap_batches(batches):
     for pdf in batches:
-        pdf = pdf.astype({"error": object}).where(pdf.notna(), None)
+        pdf = pdf.astype(object).where(pdf.notna(), None)
         out = []
         for row in pdf.itertuples(index=False):
-            start = _now() if pd.isna(row.start_time) else row.start_time
+            start = row.start_time or _now()
             try:
-                status, error = _put_in_place(row)
-                system, partials = open_path(row.partials)
-                _delete(system, system.get_file_info(partials))
+                status, error = _exchange(row)
             except FAILURES as problem:
                 status, error = "failed", str(problem)
-            out.append((row.src_path, row.dst_path, row.files, row.bytes, start, _now(), status, error))
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "src_path", "dst_path", "files", "bytes", "start_time", "end_time", "status", "error",
-            ],
-        )
+            out.append((row.src_path, row.dst_path, row.files, row.bytes, row.copied_files, row.copied_bytes, row.digest, start, _now(), status, error))
+        yield _rows(SWAP_SCHEMA, out)
+
+
+def _exchange(row) -> tuple[str, str | None]:
+    system, place = open_path(row.dst_path)
+    staging, partials = open_path(row.staging)[1], open_path(row.partials)[1]
+    try:
+        if row.error is not None:
+            discard(system, staging)
+            return "failed", row.error
+        if row.files == 0:
+            source, inside = open_path(row.src_path)
+            if source.get_file_info(inside).type == fs.FileType.NotFound:
+                return "missing", "no such source"
+            system.create_dir(staging, recursive=True)
+        removed = None if row.removed is None else list(row.removed)
+        error = put_in_place(system, staging, place, row.run, row.files, row.bytes, removed)
+        return ("failed", error) if error else ("copied", None)
+    finally:
+        discard(system, partials)
+
+
+def object_digest(inside: Column | str = "inside", size: Column | str = "bytes", digest: Column | str = "digest") -> Column:
+    """One digest for the files of an object, whatever their order: the SHA-256 of a sum over the files.
+
+    Each file counts with the first 15 hex digits of the SHA-256 of ``name:size:digest``.
+    """
+    one = F.sha2(F.concat_ws(":", inside, size, digest).cast("binary"), 256)
+    return F.sha2(F.sum(F.conv(F.left(one, F.lit(15)), 16, 10).cast("decimal(38,0)")).cast("string").cast("binary"), 256)
+
+
+def _below(whole: str, root: str) -> Column:
+    return F.substring(F.col(whole), F.length(root) + F.lit(1), F.length(whole))
 
 
 def copy_objects(
@@ -208,51 +216,111 @@ def copy_objects(
     parallelism: int | None = None,
     inventory: DataFrame | None = None,
     bytes_each: int = BYTES_EACH,
+    changes_only: bool = False,
 ) -> DataFrame:
     """Carry out a plan (src_path, dst_path): one audit row for each object.
 
     Files are listed and streamed in tasks of their own, as many as the bytes ask for, so one
     object with most of the files is copied by all of them. ``inventory`` (src_path, path, size) is a
     file table to copy by, in place of listing. Files gather under a name of this run beside the
-    target, and an object is put in place when all of them have arrived; if one fails the old target
-    stays. ``copied`` means that the target's files and bytes were compared. Where several
-    sources have one target, the first by path is copied, and the others are reported as
-    ``collision``. Both steps are written out, so reading the audit copies nothing.
+    target, each is read again and compared with what was sent, and an object is put in place when all of
+    them have arrived. The old target is set aside, and deleted when the new one is whole in its place; a
+    failure brings it back (``rehome.sinks.swap``). Where several sources have one target, the
+    first by path is copied, and the others are reported as ``collision``. Both steps are written
+    out, so reading the audit copies nothing.
+
+    With ``changes_only`` the target is listed too. Files of equal name, size and content stay where they
+    are, others are copied over them, and files that the source has no more are removed; an object
+    without a difference is ``unchanged``. ``files``, ``bytes`` and ``digest`` (``object_digest``) are those of the whole
+    object, ``copied_files`` and ``copied_bytes`` what was moved.
     """
     spark = plan.sparkSession
     run = uuid.uuid4().hex[:12]
     ends = [F.when(F.rtrim(c, F.lit("/")) == "", F.left(c, F.lit(1))).otherwise(F.rtrim(c, F.lit("/"))).alias(c) for c in ("src_path", "dst_path")]
     plan = cut(plan.select(*ends).distinct())
     single = first_rows(plan, ["dst_path"], ["src_path"])
-    single = single.withColumns({
-        "staging": F.concat("dst_path", F.lit(f"{INCOMING}_{run}")),
-        "partials": F.concat("dst_path", F.lit(f"{INCOMING}_{run}.partial")),
-    })
     n = parallelism or width(spark)
     if inventory is None:
         files = leaf_files(single.withColumn("path", F.col("src_path")))
     else:
         listed = inventory.select(F.rtrim("src_path", F.lit("/")).alias("src_path"), "path", "size", F.lit(None).cast("string").alias("error"))
         files = listed.join(single, "src_path")
-    inside = F.substring(F.col("path"), F.length("src_path") + F.lit(1), F.length("path"))
-    work = files.select("src_path", "dst_path", "path", "partials", F.concat("staging", inside).alias("target"), "size", "error")
-    if inventory is not None:
+    work = files.select("src_path", "dst_path", "path", _below("path", "src_path").alias("inside"), "size", "error")
+    kept, removed = None, None
+    if changes_only:
+        work = cut(work)
+        kept, removed = _differences(work, single, n, bytes_each)
+        work = work.join(kept.select("dst_path", "inside"), ["dst_path", "inside"], "left_anti")
+    if inventory is not None or changes_only:
         work = cut(work)
-    total = work.agg(F.sum("size")).first()[0] or 0
-    shares = parallelism or max(n, -(-total // bytes_each))
-    copied = cut(work.drop("size").repartition(shares, "path").mapInPandas(_copy_batches, FILE_SCHEMA))
-    objects = copied.groupBy("src_path", "dst_path").agg(
+    incoming = F.concat("dst_path", F.lit(f"{INCOMING}_{run}"))
+    sent = work.select("src_path", "dst_path", "inside", "path", F.concat(incoming, "inside").alias("target"),
+                       F.concat(incoming, F.lit(".partial")).alias("partials"), "size", "error")
+    shares = parallelism or max(n, -(-(work.agg(F.sum("size")).first()[0] or 0) // bytes_each))
+    copied = cut(sent.drop("size").repartition(shares, "path").mapInPandas(_copy_batches, FILE_SCHEMA))
+    parts = copied.withColumn("moved", F.lit(1))
+    if kept is not None:
+        parts = union_frames(parts, kept.join(single, "dst_path").withColumn("moved", F.lit(0)))
+    objects = parts.groupBy("src_path", "dst_path").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("bytes").alias("bytes"),
+        F.sum("moved").alias("copied_files"),
+        F.sum(F.col("bytes") * F.col("moved")).alias("copied_bytes"),
+        object_digest().alias("digest"),
         F.min("start_time").alias("start_time"),
         F.max("error").alias("error"),
     )
-    filled = single.join(objects, ["src_path", "dst_path"], "left").fillna(0, ["files", "bytes"])
+    filled = single.join(objects, ["src_path", "dst_path"], "left").fillna(0, ["files", "bytes", "copied_files", "copied_bytes"])
+    filled = filled.withColumns({"run": F.lit(run), "staging": incoming, "partials": F.concat(incoming, F.lit(".partial"))})
+    none = F.lit(None).cast("array<string>")
+    if removed is None:
+        filled, same = filled.withColumn("removed", none), None
+    else:
+        filled = cut(filled.join(removed, "dst_path", "left").withColumn("removed", F.when(F.col("files") > 0, F.coalesce("removed", F.array().cast("array<string>")))))
+        untouched = (F.col("copied_files") == 0) & (F.size("removed") == 0) & F.col("error").isNull() & (F.col("files") > 0)
+        same = filled.filter(untouched).select("src_path", "dst_path", "files", "bytes", "copied_files", "copied_bytes", "digest", F.lit("unchanged").alias("status"))
+        filled = filled.filter(~F.coalesce(untouched, F.lit(False)))
     done = cut(filled.repartition(n, "dst_path").mapInPandas(_swap_batches, SWAP_SCHEMA))
     rivals = plan.join(single, ["src_path", "dst_path"], "left_anti").select(
         "src_path", "dst_path", F.lit("collision").alias("status")
     )
-    return copy_audit(union_frames(done, rivals))
+    return copy_audit(union_frames(done, rivals) if same is None else union_frames(done, same, rivals))
+
+
+def _differences(work: DataFrame, single: DataFrame, n: int, bytes_each: int) -> tuple[DataFrame, DataFrame]:
+    """(files that the target holds as they are, the names it holds beyond the source's, by object)."""
+    listed = leaf_files(single.select("dst_path", F.col("dst_path").alias("path"))).filter("error IS NULL")
+    there = cut(listed.select("dst_path", _below("path", "dst_path").alias("inside"), F.col("path").alias("there"), "size"))
+    mine = work.filter("error IS NULL")
+    pairs = cut(mine.join(there, ["dst_path", "inside", "size"]).select("dst_path", "inside", "path", "there", "size"))
+    shares = max(n, -(-(pairs.agg(F.sum("size")).first()[0] or 0) // bytes_each))
+    compared = pairs.select("dst_path", "inside", "path", "there").repartition(shares, "path").mapInPandas(
+        _compare_batches, "dst_path STRING, inside STRING, digest STRING, same BOOLEAN")
+    kept = cut(compared.filter("same").drop("same").join(pairs.select("dst_path", "inside", F.col("size").alias("bytes")), ["dst_path", "inside"]))
+    gone = there.join(mine.select("dst_path", "inside"), ["dst_path", "inside"], "left_anti")
+    return kept, gone.groupBy("dst_path").agg(F.collect_list("inside").alias("removed"))
+
+
+def verify_objects(plan: DataFrame, *, parallelism: int | None = None, bytes_each: int = BYTES_EACH) -> DataFrame:
+    """Compare each object of a plan (src_path, dst_path) with its copy, content and all; nothing is written.
+
+    A row each: files, same, differing, missing (in the target), extra, and ``equal`` or ``different``.
+    """
+    n = parallelism or width(plan.sparkSession)
+    single = cut(plan.select(*[F.rtrim(c, F.lit("/")).alias(c) for c in ("src_path", "dst_path")]).distinct())
+    files = cut(leaf_files(single.withColumn("path", F.col("src_path"))).select(
+        "src_path", "dst_path", "path", _below("path", "src_path").alias("inside"), "size", "error"))
+    kept, removed = _differences(files, single.select("dst_path").distinct(), n, bytes_each)
+    there = leaf_files(single.select("dst_path").distinct().withColumn("path", F.col("dst_path"))).select(
+        "dst_path", _below("path", "dst_path").alias("inside"), F.lit(True).alias("found"))
+    told = (files.join(kept.select("dst_path", "inside", F.lit(True).alias("same")), ["dst_path", "inside"], "left")
+            .join(there, ["dst_path", "inside"], "left").groupBy("src_path", "dst_path").agg(
+                F.count(F.lit(1)).alias("files"), F.count("same").alias("same"),
+                F.count_if(F.col("found").isNotNull() & F.col("same").isNull()).alias("differing"), F.count_if(F.col("found").isNull()).alias("missing")))
+    counted = single.join(told, ["src_path", "dst_path"], "left").join(removed, "dst_path", "left")
+    extra = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+    return counted.fillna(0, ["files", "same", "differing", "missing"]).withColumn("extra", extra).drop("removed").withColumn(
+        "status", F.when((F.col("files") == F.col("same")) & (F.col("extra") == 0), "equal").otherwise("different"))
 
 
 def copy_audit(timed: DataFrame, start: str = "start_time", end: str = "end_time") -> DataFrame:

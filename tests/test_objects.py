@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rehome.plans.estate import recover_data, store_objects
-from rehome.sinks.copy import INCOMING, _put_in_place, copy_objects
+from rehome.sinks.copy import INCOMING, copy_objects, verify_objects
 from rehome.sources.objects import leaf_files, list_objects, list_tables, objects_from_paths, tables_from_paths
 
 
@@ -218,51 +218,6 @@ class Row:
         self.__dict__ |= fields
 
 
-def swap_row(tmp_path, files, size):
-    return Row(src_path="s", dst_path=str(tmp_path / "t"), staging=str(tmp_path / "t__in"), files=files, bytes=size, error=None)
-
-
-def test_a_swap_may_run_again(tmp_path):
-    put(tmp_path, "t__in/a", "12")
-    put(tmp_path, "t/old", "0")
-    row = swap_row(tmp_path, 1, 2)
-    assert _put_in_place(row) == ("copied", None) == _put_in_place(row)
-    assert tree(tmp_path / "t") == {"a": "12"}
-    put(tmp_path, "t/b", "not of this run")
-    assert _put_in_place(row)[0] == "failed"
-
-
-def test_a_store_that_moves_no_folders(tmp_path, monkeypatch):
-    import pyarrow as pa
-    from pyarrow import fs
-
-    from rehome.sinks import copy as module
-
-    class FilesOnly:
-        def __init__(self):
-            self.inner = fs.LocalFileSystem()
-
-        def __getattr__(self, name):
-            return getattr(self.inner, name)
-
-        def move(self, a, b):
-            if self.inner.get_file_info(a).type == fs.FileType.Directory:
-                raise pa.ArrowNotImplementedError("no folders here")
-            self.inner.move(a, b)
-
-    monkeypatch.setattr(module, "open_path", lambda path: (FilesOnly(), path))
-    put(tmp_path, "t__in/a", "12")
-    put(tmp_path, "t__in/d/b", "3")
-    put(tmp_path, "t/old", "0")
-    assert _put_in_place(swap_row(tmp_path, 2, 3)) == ("copied", None)
-    assert tree(tmp_path / "t") == {"a": "12", "d/b": "3"} and not (tmp_path / "t__in").exists()
-    # An attempt that was lost in between: one file is in place, one is not.
-    put(tmp_path, "t__in/d/b", "3")
-    os.remove(tmp_path / "t/d/b")
-    assert _put_in_place(swap_row(tmp_path, 2, 3)) == ("copied", None)
-    assert tree(tmp_path / "t") == {"a": "12", "d/b": "3"}
-
-
 def test_copy_by_inventory(spark, store, tmp_path):
     src = store / "Tables/dbo/trips"
     files = spark.createDataFrame([(str(src), f"{src}/{k}", len(v)) for k, v in tree(src).items()], "src_path STRING, path STRING, size LONG")
@@ -287,3 +242,75 @@ def test_a_session_without_a_shared_folder_is_an_error(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         cut(Frame)
+
+
+def test_a_second_run_copies_only_what_changed(spark, store, tmp_path, rows):
+    src, out = store / "Tables/dbo/trips", tmp_path / "t"
+    first = copy_objects(plan(spark, (src, out)), changes_only=True).first()
+    assert (first["status"], first["copied_files"], first["copied_bytes"]) == ("copied", 3, 7)
+    again = copy_objects(plan(spark, (src, out)), changes_only=True).first()
+    assert (again["status"], again["files"], again["copied_files"], again["digest"]) == ("unchanged", 3, 0, first["digest"])
+    names = sorted(tree(src))
+    put(out, names[0], "#" * len(tree(src)[names[0]]))  # another content of the same size
+    put(out, "x/stale.parquet", "no more there")
+    (out / names[1]).unlink()
+    kept = os.stat(out / names[2]).st_ino
+    mended = copy_objects(plan(spark, (src, out)), changes_only=True).first()
+    assert (mended["status"], mended["files"], mended["copied_files"], mended["digest"]) == ("copied", 3, 2, first["digest"])
+    assert tree(out) == tree(src) and os.stat(out / names[2]).st_ino == kept
+    assert sorted(os.listdir(tmp_path)) == sorted(["t", store.name])
+
+
+def test_an_object_that_lost_all_its_files(spark, store, tmp_path):
+    src, out = store / "Files/nothing", tmp_path / "t"
+    put(out, "old", "old")
+    assert copy_objects(plan(spark, (src, out)), changes_only=True).first()["status"] == "copied"
+    assert tree(out) == {} and out.is_dir()
+
+
+def test_verify_finds_a_flipped_byte(spark, store, tmp_path, rows):
+    src, out = store / "Tables/dbo/trips", tmp_path / "t"
+    copy_objects(plan(spark, (src, out))).collect()
+    columns = ["files", "same", "differing", "missing", "extra", "status"]
+    assert rows(verify_objects(plan(spark, (src, out))), *columns) == [(3, 3, 0, 0, 0, "equal")]
+    name = sorted(tree(out))[0]
+    put(out, name, "#" * len(tree(out)[name]))
+    put(out, "more", "1")
+    assert rows(verify_objects(plan(spark, (src, out))), *columns) == [(3, 2, 1, 0, 1, "different")]
+    assert rows(verify_objects(plan(spark, (src, tmp_path / "none"))), *columns) == [(3, 0, 0, 3, 0, "different")]
+
+
+def test_a_target_that_does_not_keep_what_it_is_sent_is_failed(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from rehome.sinks import copy as module
+
+    local = fs.LocalFileSystem()
+
+    class Store:
+        def __getattr__(self, name):
+            return getattr(local, name)
+
+        def open_input_stream(self, path):
+            import io
+
+            data = open(path, "rb").read()
+            return io.BytesIO(b"X" + data[1:] if ".partial" in path else data)
+
+    monkeypatch.setattr(module, "open_path", lambda path: (Store(), path))
+    put(tmp_path, "a", "content")
+    with pytest.raises(OSError, match="does not hold"):
+        module._stream(str(tmp_path / "a"), str(tmp_path / "t__in/a"), str(tmp_path / "t__in.partial"))
+
+
+def test_short_reads_make_the_same_digest(monkeypatch):
+    import io
+
+    from rehome.sinks import copy as module
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 3))
+
+    monkeypatch.setattr(module, "CHUNK", 8)
+    assert list(module._chunks(Slow(b"0123456789abcdefXYZ"))) == [b"01234567", b"89abcdef", b"XYZ"]
