@@ -997,6 +997,13 @@ def _refs_after(e: Estate, *kinds: str) -> DataFrame:
     return R.extract_refs(new)
 
 
+def _spliced(e: Estate, definitions: DataFrame, only_edited: bool = False) -> DataFrame:
+    """All kinds exchanged, by the places that extraction has found."""
+    refs = R.extract_refs(definitions, places=True)
+    status = R.ref_status(refs, _unique_map(e), _connections(e), e.endpoints)
+    return R.splice_texts(definitions, R.reference_splices(status), only_edited)
+
+
 @query(REFS_SQL)
 def extract_refs(e):
     return R.extract_refs(e.definitions)
@@ -1029,7 +1036,30 @@ def swap_connection(e):
 
 @query(_swapped_sql("warehouse", "lakehouse", "notebook", "connection"))
 def swap_all(e):
-    return _refs_after(e, "warehouse", "lakehouse", "notebook", "connection")
+    new = _spliced(e, e.definitions)
+    return R.extract_refs(new.select("doc_id", F.col("new_definition").alias("definition")))
+
+
+# What a JSON library would not write back as it was: a long number, one beyond a double, a repeated key, blanks.
+_ODD = '"ratio":0.12345678901234567890, "ratio" : 1e400,"kept":"\\u00e9\\/"'
+
+
+@query(
+    f"""SELECT d.doc_id, list_reduce(list_prepend(replace(d.definition, '"ratio":1.5', '{_ODD}'), coalesce(f.steps, [])), lambda text, step :
+    replace(text, split_part(step, '=>', 1), split_part(step, '=>', 2))).replace('"connection":"@', '"connection":"') AS new_definition
+  FROM definitions d LEFT JOIN (SELECT doc_id, list(DISTINCT CASE kind
+      WHEN 'warehouse' THEN '"DataWarehouse","typeProperties":{{"endpoint":"' || endpoint || '","artifactId":"' || old_id || '","workspaceId":"' || workspace_id ||
+        '"=>"DataWarehouse","typeProperties":{{"endpoint":"' || new_endpoint || '","artifactId":"' || new_id || '","workspaceId":"' || new_ws_id || '"'
+      WHEN 'lakehouse' THEN '"Lakehouse","typeProperties":{{"artifactId":"' || old_id || '","workspaceId":"' || workspace_id ||
+        '"=>"Lakehouse","typeProperties":{{"artifactId":"' || new_id || '","workspaceId":"' || new_ws_id || '"'
+      WHEN 'notebook' THEN '"notebookId":"' || old_id || '","workspaceId":"' || workspace_id ||
+        '"=>"notebookId":"' || new_id || '","workspaceId":"' || new_ws_id || '"'
+      ELSE '"connection":"' || old_id || '"=>"connection":"@' || new_id || '"' END) AS steps
+    FROM ({SWAP_SQL}) WHERE applied GROUP BY doc_id) f ON f.doc_id = d.doc_id"""
+)
+def spliced_texts(e):
+    odd = F.replace("definition", F.lit('"ratio":1.5'), F.lit(_ODD))
+    return _spliced(e, e.definitions.withColumn("definition", odd)).select("doc_id", "new_definition")
 
 
 @query(
@@ -1042,8 +1072,7 @@ def swap_all(e):
     OR s.kind = 'warehouse' AND s.endpoint IS DISTINCT FROM s.new_endpoint)"""
 )
 def changed_definitions(e):
-    kinds = ("warehouse", "lakehouse", "notebook", "connection")
-    changed = R.changed_definitions(_swap(e, *kinds, only_edited=True))
+    changed = R.changed_definitions(_spliced(e, e.definitions, only_edited=True))
     ids = F.transform(F.sort_array(F.collect_list(F.struct("path", F.coalesce("old_id", F.lit("")).alias("id")))), lambda x: x["id"])
     refs = R.extract_refs(changed.select("doc_id", F.col("new_definition").alias("definition")))
     new = refs.groupBy("doc_id").agg(F.array_join(ids, ",").alias("new_ids"))

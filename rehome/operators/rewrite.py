@@ -10,7 +10,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from rehome.operators.picks import first_rows, join_lookup
 REF_SCHEMA = (
     "doc_id STRING, path STRING, kind STRING, old_id STRING, workspace_id STRING, endpoint STRING"
 )
+PLACED_SCHEMA = REF_SCHEMA + ", id_at LONG, id_end LONG, ws_at LONG, ws_end LONG, endpoint_at LONG, endpoint_end LONG"
 LAKEHOUSE_PATH = "$.metadata.dependencies.lakehouse"
 WAREHOUSE_PATH = "$.metadata.dependencies.warehouse"
 
@@ -48,6 +49,19 @@ def _extract(batches):
         )
 
 
+def _locate(batches):
+    for pdf in batches:
+        rows = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["definition"]):
+            plain = text.isascii() if text is not None else True
+            for path, kind, holder, places in R.located(text):
+                values = [R.as_text(holder.get(field)) for field in R.FIELDS[kind]]
+                spots = [s if plain else tuple(len(text[:x].encode()) for x in s) for s in (places[field] for field in R.FIELDS[kind])]
+                gap = [None] * (3 - len(values))
+                rows.append((doc_id, path, kind, *values, *gap, *[x for s in spots for x in s], *gap, *gap))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED_SCHEMA.split(", ")], dtype=object)
+
+
 def may_refer(column: Column | str = "definition") -> Column:
     """False only for a text that cannot hold a reference; such a text need not go to Python.
 
@@ -58,10 +72,28 @@ def may_refer(column: Column | str = "definition") -> Column:
     return reduce(or_, [text.contains(word) for word in words])
 
 
-def extract_refs(definitions: DataFrame) -> DataFrame:
-    """One row for each reference at any depth: doc_id, path, kind, old_id, workspace_id, endpoint."""
+def extract_refs(definitions: DataFrame, places: bool = False) -> DataFrame:
+    """One row for each reference at any depth: doc_id, path, kind, old_id, workspace_id, endpoint.
+
+    With ``places`` also where each of the three values starts and ends in the text, in bytes; an absent one is
+    an empty place after the last field. ``reference_splices`` needs them.
+    """
     texts = definitions.select("doc_id", "definition").filter(may_refer())
-    return texts.mapInPandas(_extract, REF_SCHEMA)
+    return texts.mapInPandas(_locate, PLACED_SCHEMA) if places else texts.mapInPandas(_extract, REF_SCHEMA)
+
+
+class DefinitionRefs:
+    """The references of one definition: path, kind, old_id, workspace_id, endpoint."""
+
+    def eval(self, definition: str):
+        for path, kind, holder in R.sites(R.parse(definition)):
+            values = [R.as_text(holder.get(field)) for field in R.FIELDS[kind]]
+            yield path, kind, *values, *[None] * (3 - len(values))
+
+
+def register_table_functions(spark: SparkSession, name: str = "definition_refs") -> None:
+    """Make ``extract_refs`` known to SQL: ``SELECT d.doc_id, r.* FROM definitions d, LATERAL definition_refs(d.definition) r``."""
+    spark.udtf.register(name, F.udtf(DefinitionRefs, returnType=REF_SCHEMA.partition(", ")[2]))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -135,16 +167,60 @@ def ref_status(
     )
 
 
+def _ready() -> Column:
+    """A warehouse reference needs the target's connection string; without one it is left alone."""
+    return F.col("status").isin(MAPPED, AMBIGUOUS) & ((F.col("kind") != R.WAREHOUSE) | F.col("new_endpoint").isNotNull())
+
+
 def reference_edits(status: DataFrame) -> DataFrame:
-    """What to write where: doc_id, kind, old_id, new_id, new_ws_id, new_endpoint.
+    """What to write for which id: doc_id, kind, old_id, new_id, new_ws_id, new_endpoint."""
+    columns = ("doc_id", "kind", "old_id", "new_id", "new_ws_id", "new_endpoint")
+    return status.filter(_ready()).select(*columns).distinct()
+
+
+def _quoted(column: str) -> Column:
+    """A text as JSON."""
+    listed = F.to_json(F.array(column))
+    return F.substring(listed, F.lit(2), F.length(listed) - F.lit(2))
+
 
-    A warehouse reference needs the target's connection string; without one it is left alone.
+def reference_splices(status: DataFrame, kinds: tuple[str, ...] = R.KINDS) -> DataFrame:
+    """What to write at which place: doc_id, at, end, text. ``status`` is that of references with places."""
+    def change(name: str, place: str, old: str, new: str) -> Column:
+        at, end = F.col(f"{place}_at"), F.col(f"{place}_end")
+        added = F.concat(F.lit(f', "{name}": '), _quoted(new))
+        wanted = at.isNotNull() & ~F.col(old).eqNullSafe(F.col(new))
+        return F.when(wanted, F.struct(at.alias("at"), end.alias("end"), F.when(at < end, _quoted(new)).otherwise(added).alias("text")))
+
+    changes = F.array(change("id", "id", "old_id", "new_id"), change("workspaceId", "ws", "workspace_id", "new_ws_id"),
+                      change("endpoint", "endpoint", "endpoint", "new_endpoint"))
+    mine = status.filter(_ready() & F.col("kind").isin(list(kinds)))
+    return mine.select("doc_id", F.explode(F.array_compact(changes)).alias("c")).select("doc_id", "c.*")
+
+
+def splice_texts(definitions: DataFrame, splices: DataFrame, only_edited: bool = False) -> DataFrame:
+    """Definitions with ``new_definition``: pieces of the text (at, end, in bytes) exchanged for others.
+
+    No text goes to Python: a document's splices are sorted and its text is cut between them. A splice inside another
+    that starts before it is left out. With ``only_edited`` documents without splices are left out, too.
     """
-    ready = F.col("status").isin(MAPPED, AMBIGUOUS) & (
-        (F.col("kind") != R.WAREHOUSE) | F.col("new_endpoint").isNotNull()
-    )
-    columns = ("doc_id", "kind", "old_id", "new_id", "new_ws_id", "new_endpoint")
-    return status.filter(ready).select(*columns).distinct()
+    one = F.struct("at", (-F.col("end")).alias("less"), "end", "text")
+    per_doc = splices.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_splices"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
+    raw = F.col("definition").cast("binary")
+
+    def cut_at(done, s):
+        before = F.substring(raw, (done["at"] + 1).cast("int"), (s["at"] - done["at"]).cast("int")).cast("string")
+        more = F.struct(s["end"].alias("at"), F.concat(done["pieces"], F.array(before, s["text"])).alias("pieces"))
+        return F.when(s["at"] >= done["at"], more).otherwise(done)
+
+    def whole(done):
+        rest = F.substring(raw, (done["at"] + 1).cast("int"), F.octet_length(raw)).cast("string")
+        return F.concat(F.array_join(done["pieces"], ""), rest)
+
+    joined = definitions.join(per_doc, "doc_id", "inner" if only_edited else "left")
+    spliced = F.aggregate("_splices", start, cut_at, whole)
+    return joined.withColumn("new_definition", F.when(F.col("_splices").isNull(), F.col("definition")).otherwise(spliced)).drop("_splices")
 
 
 def _once(fn):

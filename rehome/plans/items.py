@@ -13,8 +13,8 @@ from rehome.operators.rewrite import (
     changed_definitions,
     extract_refs,
     ref_status,
-    reference_edits,
-    swap_references,
+    reference_splices,
+    splice_texts,
 )
 
 # How a definition is named and marked in an update request.
@@ -37,9 +37,12 @@ def definition_plan(
     connections: DataFrame | None = None,
     kinds: tuple[str, ...] = ("warehouse", "lakehouse", "notebook", "connection"),
 ) -> DataFrame:
-    """Changed definitions with the body of their update request."""
-    status = ref_status(extract_refs(definitions), id_map, connections, endpoints)
-    swapped = swap_references(definitions, reference_edits(status), kinds, only_edited=True)
+    """Changed definitions with the body of their update request.
+
+    Texts are parsed once, where their references are found; the new values are spliced in by Spark.
+    """
+    status = ref_status(extract_refs(definitions, places=True), id_map, connections, endpoints)
+    swapped = splice_texts(definitions, reference_splices(status, kinds), only_edited=True)
     changed = changed_definitions(swapped)
     return changed.withColumn("payload", update_body("new_definition"))
 

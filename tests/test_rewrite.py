@@ -274,3 +274,47 @@ def test_an_id_that_is_an_object_is_its_json(spark):
     activity = {"name": "run", "type": "TridentNotebook", "typeProperties": {"notebookId": {"value": "@x", "on": True}, "workspaceId": "w"}}
     df = spark.createDataFrame([("d", json.dumps({"activities": [activity]}))], "doc_id STRING, definition STRING")
     assert [r["old_id"] for r in W.extract_refs(df).collect()] == ['{"value":"@x","on":true}']
+
+
+ODD = ('{ "n": 0.12345678901234567890, "n" :1e400, "t":"\\u00e9\\/ \\"x\\" {[,:", "é😀": [ ],\n "linkedService":{"properties":{"type":"Lakehouse",'
+       '"typeProperties":{"artifactId":"no","artifactId" : "%s", "workspaceId":null}}},\t"a":[{"linkedService":{"properties":{"type":"DataWarehouse",'
+       '"typeProperties":{"artifactId":"%s"}}}}, -1.50E+3, true]}')
+
+
+@pytest.mark.parametrize("path", ["python", "spark"])
+def test_only_the_values_of_references_change(spark, path):
+    from pyspark.sql import functions as F
+
+    text = ODD % (gid(1), gid(2))
+    docs = spark.createDataFrame([("d", "DataPipeline", text)], "doc_id STRING, kind STRING, definition STRING")
+    refs = W.extract_refs(docs, places=True).withColumns({
+        "status": F.lit("mapped"), "new_id": F.concat(F.lit("new "), "old_id"), "new_ws_id": F.lit('w"s'), "new_endpoint": F.lit("e\\é")})
+    if path == "spark":
+        new = W.splice_texts(docs, W.reference_splices(refs)).first()["new_definition"]
+    else:
+        new = W.swap_references(docs, W.reference_edits(refs)).first()["new_definition"]
+    want = text.replace(f'"artifactId" : "{gid(1)}", "workspaceId":null', f'"artifactId" : "new {gid(1)}", "workspaceId":"w\\"s"')
+    want = want.replace(f'{{"artifactId":"{gid(2)}"}}', f'{{"artifactId":"new {gid(2)}", "endpoint": "e\\\\é", "workspaceId": "w\\"s"}}')
+    assert new == want
+
+
+def test_splices_inside_others_are_left_out(spark):
+    docs = spark.createDataFrame([("d", "éabcdef"), ("e", "kept"), ("n", None)], "doc_id STRING, definition STRING")
+    splices = spark.createDataFrame([("d", 2, 5, "-"), ("d", 3, 4, "!"), ("d", 5, 5, "+"), ("d", 8, 8, "end")], "doc_id STRING, at LONG, end LONG, text STRING")
+    found = W.splice_texts(docs, splices)
+    assert {r["doc_id"]: r["new_definition"] for r in found.collect()} == {"d": "é-+defend", "e": "kept", "n": None}
+
+
+def test_odd_notebooks_do_not_stop_the_job():
+    from rehome.functions import references as R
+
+    for known in ('["x", 5, null, {"id":"o"}]', '{"id":"o"}', '"o"', "7"):
+        text = '{"metadata":{"dependencies":{"warehouse":{"default_warehouse" : "o", "known_warehouses":%s}}, "n":1.0}}' % known
+        want = text.replace('"default_warehouse" : "o"', '"default_warehouse" : "w"')
+        want = want.replace('{"id":"o"}]', '{"id":"w"}]')
+        assert R.set_warehouse(text, "o", "w") == want
+    for text in ("[1]", "no json", '{"metadata":5}', '{"metadata":{"dependencies":{"warehouse":[]}}}', None):
+        assert R.set_warehouse(text, "o", "w") == text
+        assert R.clear_lakehouse(text) == (text and text.replace("[]", '[], "lakehouse": {}'))
+    text = '{"metadata":{"dependencies":{"lakehouse":{"a":[1,{"b":2}]}, "z":1e5}}}'
+    assert R.clear_lakehouse(text) == '{"metadata":{"dependencies":{"lakehouse":{}, "z":1e5}}}'
