@@ -1178,3 +1178,5 @@ def notebook_plan(e):
 for _name in [n for n in QUERIES if n.endswith("_")]:
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)
     ORACLES[_name.rstrip("_")] = ORACLES.pop(_name)
+
+from checks import written as _written  # noqa: E402, F401 - registers the queries that write

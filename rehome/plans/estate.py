@@ -20,11 +20,11 @@ def snapshot_estate(spark: SparkSession, frames: dict[str, DataFrame], **options
 
 
 def restore_estate(
-    spark: SparkSession, base_path: str, names: list[str], suffix: str = "_recovered", fmt: str = "parquet"
+    spark: SparkSession, base_path: str, names: list[str], suffix: str = "_recovered", fmt: str = "parquet", **as_of
 ) -> DataFrame:
-    """Restore the named tables below a folder as ``<name><suffix>``."""
+    """Restore the named tables below a folder as ``<name><suffix>``; ``as_of`` and ``keys`` as in restore_snapshot."""
     paths = {name: f"{base_path.rstrip('/')}/{name}" for name in names}
-    return restore_snapshot(spark, paths, suffix, fmt)
+    return restore_snapshot(spark, paths, suffix, fmt, **as_of)
 
 
 def store_objects(stores: DataFrame, strict: bool = True) -> DataFrame:
@@ -44,9 +44,11 @@ def store_objects(stores: DataFrame, strict: bool = True) -> DataFrame:
     return found.select("item_id", "schema", "name", "type", "src_path", *([] if strict else ["error"]))
 
 
-def recover_data(stores: DataFrame, recovery: DataFrame, **rename) -> DataFrame:
+def recover_data(stores: DataFrame, recovery: DataFrame, *, changes_only: bool = False, **rename) -> DataFrame:
     """List, plan and copy all lakehouse data of a recovery map; returns the audit.
 
+    With ``changes_only`` a second run copies what the first has not (``copy_objects``).
+
     Every lakehouse of the map has a row: one for each object, or one with the status ``no_store``,
     ``unlisted`` (with the error) or ``empty``.
     """
@@ -55,7 +57,7 @@ def recover_data(stores: DataFrame, recovery: DataFrame, **rename) -> DataFrame:
     mine = stores.join(wanted, "item_id", "left_semi")
     found = cut(store_objects(mine, strict=False))
     listed, failed = found.filter("error IS NULL"), found.filter("error IS NOT NULL")
-    audit = copy_objects(copy_plan(listed, lakehouses, **rename))
+    audit = copy_objects(copy_plan(listed, lakehouses, **rename), changes_only=changes_only)
     bases = mine.select("item_id", F.col("base_path").alias("src_path"))
     empty = bases.join(found, "item_id", "left_anti")
     unread = failed.groupBy("item_id").agg(F.min("src_path").alias("src_path"), F.max("error").alias("error"))

@@ -21,6 +21,7 @@ LOADS_AT_A_TIME = 20
 RETRIES = 2
 RETRY_SECONDS = 30
 POOL = "bulk_load"
+LOAD_ID, LOAD_ROWS = "rehome.load_id", "rehome.load_rows"
 
 
 def pointer_name(schema: str = "schema", name: str = "name"):
@@ -141,6 +142,31 @@ def conversion_losses(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
+def conversion_rejects(df: DataFrame, schema: T.StructType | str, keys: list[str]) -> DataFrame:
+    """The values that the conversion turns into NULL, one row each: the keys, column_name, raw_value, target_type.
+
+    Every row is looked at where it lies; nothing is shuffled.
+    """
+    lost = [
+        F.when(
+            F.col(f"`{f.name}`").isNotNull() & _converted(df, f).isNull(),
+            F.struct(
+                F.lit(f.name).alias("column_name"),
+                _as_written(df, f.name).alias("raw_value"),
+                F.lit(f.dataType.simpleString()).alias("target_type"),
+            ),
+        )
+        for f in _target(schema).fields
+    ]
+    return df.select(*[F.col(f"`{k}`") for k in keys], F.inline(F.array_compact(F.array(*lost))))
+
+
+def _as_written(df: DataFrame, name: str) -> Column:
+    kind = next(f.dataType for f in df.schema.fields if f.name.lower() == name.lower())
+    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(f"`{name}`") if nested else F.col(f"`{name}`").cast("string")
+
+
 def with_retry(work, retries: int = RETRIES, wait: float = RETRY_SECONDS):
     """The result of ``work()``, tried again after a pause; the last error is raised."""
     for attempt in range(retries + 1):
@@ -152,6 +178,14 @@ def with_retry(work, retries: int = RETRIES, wait: float = RETRY_SECONDS):
             time.sleep(wait)
 
 
+def _loaded_rows(spark: SparkSession, target: str, load_id: str | None) -> int | None:
+    """The rows of a table that this load has finished before."""
+    if load_id is None or not spark.catalog.tableExists(target):
+        return None
+    told = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {target}").collect()}
+    return int(told[LOAD_ROWS]) if told.get(LOAD_ID) == load_id else None
+
+
 def bulk_load(
     spark: SparkSession,
     tables: DataFrame,
@@ -163,6 +197,7 @@ def bulk_load(
     wait: float = RETRY_SECONDS,
     fmt: str = "parquet",
     target_schemas: dict[str, T.StructType] | None = None,
+    load_id: str | None = None,
 ) -> DataFrame:
     """Load ``<source>.<schema>_<name>`` into ``<target>.<schema>_<name>``, several jobs at a time.
 
@@ -170,6 +205,10 @@ def bulk_load(
     load in one call. The target keeps the schema in its name; tables that would share a target are
     not loaded and have the status ``collision``. Each load is one Spark job in a fair pool and
     writes a staging table first; a table that keeps failing gets a row in the result and stops nothing.
+
+    With a ``load_id`` each loaded table carries it and its row count as properties, which appear with the
+    table: a run that is started again under the same id, after the driver was lost, loads only what is left, and the others
+    have the status ``done``.
     """
     named = _checked(tables, _database(source_database, "source_database"), _database(target_database, "target_database"))
 
@@ -183,10 +222,18 @@ def bulk_load(
             rows = spark.table(f"{row['_db0']}.`{pointer}`")
             if target_schemas and pointer in target_schemas:
                 rows = convert_types(rows, target_schemas[pointer])
-            put_in_place(spark, write_staging(rows, target, fmt), target)
-            return spark.table(target).count()
+            staging = write_staging(rows, target, fmt)
+            count = spark.table(staging).count()
+            if load_id is not None:
+                mark = load_id.replace("\\", "\\\\").replace("'", "\\'")
+                spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{LOAD_ID}' = '{mark}', '{LOAD_ROWS}' = '{count}')")
+            put_in_place(spark, staging, target)
+            return count
 
         try:
+            done = _loaded_rows(spark, target, load_id)
+            if done is not None:
+                return Saved(target, done, "done")
             return Saved(target, with_retry(once, retries, wait), "loaded")
         except Exception as error:  # noqa: BLE001
             return Saved(target, 0, "failed", str(error))

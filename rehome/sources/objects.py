@@ -6,12 +6,14 @@ over a fixed number of partitions: adaptive execution would merge such small row
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from rehome.lineage import cut
 
 KINDS = ("Tables", "Files")
 BATCH = 10_000
+_GLOB = re.compile(r"[\\{}\[\]*?]")
 # What a storage call raises: the store's own errors, a path that no filesystem understands, and
 # an operation that a store does not have.
 FAILURES = (OSError, ValueError, pa.ArrowException)
@@ -170,6 +173,35 @@ def leaf_files(roots: DataFrame) -> DataFrame:
             return found
 
 
+def session_files(roots: DataFrame, column: str = "base_path", strict: bool = True, roots_each: int = 200) -> DataFrame:
+    """Every file below each root, by Spark's own file source: root, path, size, modified, error.
+
+    Any path that the session's Hadoop settings reach will do (``s3a``, ``wasbs``, ``dbfs``, ``viewfs``, ...), and a large
+    folder is listed by Spark, in parallel. Contents are not read. ``roots_each`` roots are listed at a time and written out, so the
+    driver holds one such share of the listing. As Spark has it, files in folders or of names that start with
+    ``_`` or ``.`` are hidden, paths are absolute URIs, and empty folders give no row. A root that cannot be listed stops the job, or is a
+    row with an ``error`` if not ``strict``.
+    """
+    spark = roots.sparkSession
+    schema = "root STRING, path STRING, size LONG, modified TIMESTAMP, error STRING"
+    found = None
+    names = (r[0] for r in roots.select(F.rtrim(column, F.lit("/"))).distinct().toLocalIterator())
+    while part := list(islice(names, roots_each)):
+        listed = spark.createDataFrame([], schema)
+        for root in part:
+            try:
+                files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_GLOB.sub(r"\\\g<0>", root))
+                files = files.select(F.lit(root).alias("root"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("error"))
+            except AnalysisException as problem:
+                if strict:
+                    raise
+                files = spark.createDataFrame([(root, None, None, None, str(problem))], schema)
+            listed = listed.unionByName(files)
+        listed = cut(listed)
+        found = listed if found is None else found.unionByName(listed)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
 def _type_of(kind: str):
     """Folder name without its last letter, in lower case: Tables → table."""
     return F.lower(F.left(F.col(kind), F.length(kind) - F.lit(1)))
