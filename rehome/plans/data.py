@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rehome.functions.names import compose_name
 from rehome.operators.mapping import NOT_EXISTS, endpoint_lookup, resolve_item
 from rehome.operators.picks import first_rows, join_lookup
-from rehome.sinks.load import pointer_name, tables_to_copy_json
+from rehome.sinks.load import pointer_name, tables_to_copy
 
 # How the helper items of a warehouse load are named.
 STAGING_PREFIX = "temp_rlh"
@@ -138,9 +138,9 @@ def load_plan(
     )
     mine = staging.select(F.col("primary_id").alias("item_id")).distinct()
     tables = objects.filter(F.col("type") == "table").join(mine, "item_id", "left_semi")
-    lists = tables_to_copy_json(tables, chunks=chunks).withColumnRenamed("item_id", "primary_id")
+    lists = tables_to_copy(tables, chunks=chunks).withColumnRenamed("item_id", "primary_id")
     status = (
-        F.when(F.col("tables_json").isNull(), "no_tables")
+        F.when(F.col("tables").isNull(), "no_tables")
         .when(F.col("staging_status") == "name_collision", "name_collision")
         .when(F.col("loader_id") == NOT_EXISTS, "no_loader")
         .when(F.col("staging_endpoint_id").isNull(), "no_staging_endpoint")
@@ -154,14 +154,14 @@ def load_plan(
         .withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
         .withColumn("status", status)
         .withColumn("payload", F.when(F.col("status") == "ready", _load_body()))
+        .drop("tables")
     )
 
 
 def _load_body() -> Column:
-    tables = F.from_json("tables_json", "array<struct<schema:string,name:string>>")
     parameters = F.struct(
         F.col("staging_endpoint_id").alias("lakehouseId"),
-        tables.alias("tablesToCopy"),
+        F.col("tables").alias("tablesToCopy"),
         F.col("secondary_ws_id").alias("workspaceId"),
         F.col("secondary_id").alias("warehouseId"),
         F.col("staging_connection").alias("lakehouseConnStr"),

@@ -242,20 +242,23 @@ def bulk_load(
     return outcome_frame(spark, _in_pool(spark, load, rows.toLocalIterator(), at_a_time))
 
 
-def tables_to_copy_json(tables: DataFrame, store: str = "item_id", chunks: int = 16) -> DataFrame:
-    """JSON arrays of {schema, name} for each store: store, chunk, n_tables, tables_json.
+def tables_to_copy(tables: DataFrame, store: str = "item_id", chunks: int = 16) -> DataFrame:
+    """Sorted arrays of (schema, name) for each store: store, chunk, n_tables, tables.
 
     The tables of every store are dealt into ``chunks`` arrays by the first digits of an md5 of schema
     and name, for as many load calls; an array without tables is no row. Together they hold every table once.
     """
-    entries = tables.select(store, "schema", "name").distinct()
     digits = F.left(F.md5(F.concat_ws(".", "schema", "name").cast("binary")), F.lit(6))
     chunk = F.pmod(F.conv(digits, 16, 10).cast("int"), F.lit(chunks))
+    # A set makes equal entries one: no shuffle of its own for that.
     return (
-        entries.withColumn("chunk", chunk)
+        tables.select(store, chunk.alias("chunk"), F.struct("schema", "name").alias("_entry"))
         .groupBy(store, "chunk")
-        .agg(
-            F.count(F.lit(1)).alias("n_tables"),
-            F.to_json(F.array_sort(F.collect_list(F.struct("schema", "name")))).alias("tables_json"),
-        )
+        .agg(F.array_sort(F.collect_set("_entry")).alias("tables"))
+        .select(store, "chunk", F.size("tables").cast("bigint").alias("n_tables"), "tables")
     )
+
+
+def tables_to_copy_json(tables: DataFrame, store: str = "item_id", chunks: int = 16) -> DataFrame:
+    """``tables_to_copy`` as JSON arrays of {schema, name}: store, chunk, n_tables, tables_json."""
+    return tables_to_copy(tables, store, chunks).withColumn("tables", F.to_json("tables")).withColumnRenamed("tables", "tables_json")
