@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rehome.llm.shared import crc_of_id, with_scores
+from rehome.llm.shared import crc_of_id, rebuilt, with_scores
 
 PAIRS, STEPS = 4096, 12  # buckets of byte pairs; steps of a share
 
@@ -92,7 +92,9 @@ def train_voters(docs: DataFrame, labels: DataFrame, each: int, width: int, shap
         places = [np.nonzero(x)[0].astype(np.uint16) for x in terms]
         return [pa.array([p.tobytes() for p in places], pa.binary()), pa.array([x[p].tobytes() for x, p in zip(terms, places)], pa.binary())]
 
-    counted = with_scores(texts, text_column, [id_column, "_label"], "places binary, counts binary", count).dropDuplicates([id_column])
+    counted = with_scores(texts, text_column, [id_column, "_label"], "places binary, counts binary", count)
+    # Of the texts of one id the smallest by its terms, so that reruns agree.
+    counted = counted.groupBy(id_column).agg(F.min(F.struct("places", "counts", "_label")).alias("_one")).select(id_column, "_one.*")
     rows = counted.orderBy(F.xxhash64(id_column), id_column).limit(2 * each).select("_label", "places", "counts").toArrow()
     if not rows.num_rows:
         return None
@@ -113,19 +115,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
     and voters (``2 * each`` vectors of ``width``) go to every task. A score depends on the text alone.
 
     Null and empty texts are one and the same text without terms, whose score is the sample's vote among equal
-    distances. Without labels every score is 0.5. An id with several labels counts with the largest.
+    distances. Without labels every score is 0.5. An id with several labels counts with the largest, one with several texts as one of them.
     Repeated rows score alike; columns named like a result give way to it; an empty table gives no rows.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     voters = train_voters(docs, labels, each, width, shape_weight, modulus, held, id_column, text_column, label_column)
-    shared = spark.sparkContext.broadcast(voters)
+    # Plain arrays: a class of this package could not be read where the package is not installed.
+    shared = spark.sparkContext.broadcast(None if voters is None else vars(voters))
 
     def score(column: pa.Array):
         if shared.value is None:
             return [pa.array(np.full(len(column), 0.5))]
         counts = np.array([term_counts(t.as_py()) for t in column], np.float32).reshape(len(column), -1)
-        return [pa.array(shared.value.score(counts, neighbours, power))] if len(column) else [pa.array([], pa.float64())]
+        return [pa.array(rebuilt(LatentVoters, shared.value).score(counts, neighbours, power))] if len(column) else [pa.array([], pa.float64())]
 
     scored = with_scores(docs, text_column, [c for c in keep if c not in ("held_out", "predicted")], "score double", score, 500)
     return scored.withColumns({

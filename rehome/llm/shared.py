@@ -112,6 +112,21 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parts
     return with_sums.drop("_part", *names, *["_s_" + n for n in sums])
 
 
+def rebuilt(kind: type, fields: dict):
+    """An object of a class from its fields, as a broadcast carries them."""
+    made = object.__new__(kind)
+    made.__dict__.update(fields)
+    return made
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that no column has, whatever the letters' case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_scores(docs: DataFrame, text_column: str, keep: list[str], fields: str, score, rows: int = 1000) -> DataFrame:
     """The columns ``keep`` and new ``fields``, which ``score`` makes of a batch's texts (an Arrow array).
 
@@ -122,7 +137,7 @@ def with_scores(docs: DataFrame, text_column: str, keep: list[str], fields: str,
 
     new = T._parse_datatype_string(fields)
     kept = [c for c in keep if c not in new.names]
-    sent = docs.select(F.col(text_column).cast("string").alias("_text"), *kept)
+    sent = docs.select(F.col(text_column).cast("string").alias(free_name(kept, "_text")), *kept)
     schema = T.StructType([*sent.schema.fields[1:], *new.fields])
     names = schema.names
 
