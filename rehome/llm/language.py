@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rehome.llm.shared import crc_of_id, with_scores
+from rehome.llm.shared import crc_of_id, rebuilt, with_scores
 
 LONGEST = 64  # bytes of one sequence between white space; a longer run is cut into several
 WIDTH, PAD = 128, 16  # positions of a window; lengths of windows are rounded up to these, so that few lengths occur
@@ -48,14 +48,44 @@ class ByteGru:
             states.append(h)
         return np.array(states), kept
 
+    def states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What ``layer`` gives, as (position, unit, sequence): long rows, worked on in their place."""
+        size, n = self.hidden, len(x)
+        wx, wh = (np.ascontiguousarray(self.w[k + d].T) for k in "xh")
+        for w in (wx, wh):  # logistic(a) is 1 / (1 + exp(-a)), and tanh(a) is 1 - 2 / (1 + exp(2 a))
+            w[:2 * size] *= -1
+            w[2 * size:] *= 2
+        marks = np.ascontiguousarray(x.T).astype(np.intp)
+        h, given, own = np.zeros((size, n), np.float32), np.empty((3 * size, n), np.float32), np.empty((3 * size, n), np.float32)
+        gates, new, found = given[:2 * size], given[2 * size:], np.empty((len(marks), size, n), np.float32)
+        with np.errstate(over="ignore"):
+            for mark, after in zip(marks, found):
+                np.take(wx, mark, axis=1, out=given, mode="clip")
+                np.matmul(wh, h, out=own)
+                gates += own[:2 * size]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                own[2 * size:] *= gates[size:]
+                new += own[2 * size:]
+                np.exp(new, out=new)
+                new += 1
+                np.reciprocal(new, out=new)
+                new *= -2
+                new += 1
+                np.subtract(h, new, out=after)
+                after *= gates[:size]
+                after += new
+                h = after
+        return found
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """P(language | sequence) at every position: (position, sequence, language)."""
-        forward, _ = self.layer(x, "f")
-        backward, _ = self.layer(x[:, ::-1], "b")
-        logits = forward @ self.w["of"] + backward[::-1] @ self.w["ob"] + self.w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        return logits / logits.sum(axis=2, keepdims=True)
+        p = self.w["of"].T @ self.states(x, "f") + self.w["ob"].T @ self.states(x[:, ::-1], "b")[::-1] + self.w["bias"][:, None]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        return p.transpose(0, 2, 1)
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over all positions and its gradient, by backpropagation through time."""
@@ -227,16 +257,18 @@ def identify(net: ByteGru, texts: pa.Array, width: int | None = None) -> tuple[l
 
 def train_language(docs: DataFrame, each: int, sequences_each: int, rounds: int, hidden: int, modulus: int, held: int, longest_text: int,
                    id_column: str, text_column: str, lang_column: str, width: int | None = WIDTH) -> ByteGru | None:
-    """A network from at most ``each`` documents a language (smallest id hash) of at most ``longest_text`` characters."""
+    """A network from at most ``each`` documents with a letter a language: those of the smallest id hash.
+
+    Of a text beyond ``longest_text`` characters it reads so many, from a place that the id's hash chooses.
+    """
     lettered = F.regexp_like(F.col(text_column), F.lit(r"\p{L}"))
-    own = docs.filter(F.col(lang_column).isNotNull() & (F.char_length(text_column) <= longest_text)
-                      & (F.pmod(crc_of_id(F.col(id_column)), F.lit(modulus)) != held))
-    ids = own.select(F.col(id_column).alias("_id"), F.col(lang_column).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select("_id").distinct()
-    rows = (own.join(F.broadcast(picked), F.col(id_column) == F.col("_id"), "left_semi").filter(lettered)
-            .select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column).alias("h"))
-            .distinct().orderBy("h", "lang").toArrow().to_pylist())
+    own = docs.filter(F.col(lang_column).isNotNull() & lettered & (F.pmod(crc_of_id(F.col(id_column)), F.lit(modulus)) != held)).select(
+        F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column).alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    picked = own.select("id", "h", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("id").distinct()
+    start = F.pmod("h", F.greatest(F.char_length("text") - longest_text, F.lit(0)) + 1) + 1
+    rows = (own.join(F.broadcast(picked), "id", "left_semi").select("lang", F.substring("text", start.cast("int"), F.lit(longest_text)).alias("text"), "h")
+            .distinct().orderBy("h", "lang", "text").toArrow().to_pylist())
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -263,7 +295,7 @@ def predict_language(docs: DataFrame, train: DataFrame | None = None, keep: list
 
     The network learns from ``train`` (else ``docs``) rows with a language whose id's crc32 modulo
     ``modulus`` is not ``held``: at most ``each`` documents and ``sequences_each`` sequences a language, on the
-    driver, by backpropagation through time. A sequence is a window of at most ``width`` bytes, across white
+    driver, by backpropagation through time; of a text beyond ``longest_text`` characters it reads so many. A sequence is a window of at most ``width`` bytes, across white
     space and cut between characters, with ends behind it. The windows of a text overlap, so the network has read
     some bytes of either side when it labels a byte; each byte of the text counts in one window. A
     document's probabilities are the means over all its bytes; the largest is the score. With ``width`` None
@@ -276,12 +308,13 @@ def predict_language(docs: DataFrame, train: DataFrame | None = None, keep: list
     keep = docs.columns if keep is None else keep
     net = train_language(docs if train is None else train, each, sequences_each, rounds, hidden, modulus, held, longest_text,
                          id_column, text_column, lang_column, width)
-    shared = spark.sparkContext.broadcast(net)
+    # Plain arrays: a class of this package could not be read where the package is not installed.
+    shared = spark.sparkContext.broadcast(None if net is None else vars(net))
 
     def score(column: pa.Array):
         if shared.value is None or not len(column):
             return [pa.array(["und"] * len(column), pa.string()), pa.array(np.zeros(len(column)))]
-        names, scores = identify(shared.value, column, width)
+        names, scores = identify(rebuilt(ByteGru, shared.value), column, width)
         return [pa.array(names, pa.string()), pa.array(scores)]
 
     scored = with_scores(docs, text_column, [c for c in keep if c != "held_out"], "lang_pred string, score double", score, 2000)
