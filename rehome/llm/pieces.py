@@ -360,7 +360,7 @@ class Speller:
 
 
 def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, text_column: str = "text",
-                 most_words: int = 3_000_000, part_words: int = 30_000, decoded: str | None = None) -> DataFrame:
+                 most_words: int = 200_000, part_words: int = 30_000, decoded: str | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and ``ids array<int>`` of every row; with ``decoded`` also what they decode to.
 
     The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
@@ -384,7 +384,10 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     shared = spark.sparkContext.broadcast(table)
     whole = len(table["key"]) == count
     del table
-    sent = docs.select(F.col(text_column).cast("string").alias("_text"), *keep)
+    # Kept columns whose names are used here have others on the way.
+    back = {f"_kept{i}": c for i, c in enumerate(keep)}
+    keep = list(back)
+    sent = docs.select(F.col(text_column).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in back.items()])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[1:])
     out = (fields + ", " if fields else "") + "ids array<int>" + (f", `{decoded}` string" * bool(decoded) if whole else ", holes array<struct<at:int,word:string>>")
     names = [*keep, "ids"] + ([decoded] * bool(decoded) if whole else ["holes"])
@@ -422,7 +425,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
 
     encoded = sent.mapInArrow(encode, out)
     if whole:
-        return encoded
+        return encoded.withColumnsRenamed(back)
     # Row numbers are written with the rows, so they stay what they are.
     encoded = cut(encoded.withColumn("_row", F.monotonically_increasing_id()))
     holes = encoded.filter(F.size("holes") > 0).select("_row", F.explode("holes").alias("hole")).select("_row", "hole.at", key_of(F.col("hole.word")).alias("key"))
@@ -440,7 +443,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
 
     joined = rest.select(*keep, "ids", "fills").mapInArrow(fill, (fields + ", " if fields else "") + "ids array<int>")
     both = done.unionByName(joined)
-    return decode_ids(both, model, "ids", decoded) if decoded else both
+    return (decode_ids(both, model, "ids", decoded) if decoded else both).withColumnsRenamed(back)
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids_column: str = "ids", new_column: str = "decoded") -> DataFrame:
