@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from rehome.llm.mixing import fair_mix
 from rehome.llm.pieces import encode_texts, load_model
 from rehome.llm.quality import judge_quality
 from rehome.llm.queries import PIECE_MODEL
-from rehome.llm.shared import shared_folder, table
-from rehome.llm.simhash import simhash_groups
+from rehome.llm.shared import free_name, shared_folder, table, with_scores
+from rehome.llm.simhash import fingerprint, simhash_groups
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,42 +27,56 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language, however sure it is; those without a letter go.
+    """Documents that have a language, however sure it is; those without a letter go, null and empty texts among them.
 
-    Where no document has a language, nothing can be learnt and all goes.
+    Repeated rows go or stay together; very long texts are read whole; columns of any names are kept. Where no document has a language, nothing can be learnt and all goes.
     """
     return predict_language(docs).filter("lang_pred <> 'und'").select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near fingerprints; of rows with one id, one.
+    """The document of the smallest id of each group of near fingerprints.
 
-    Rows without an id belong to no group and stay.
+    An id with several texts is several documents: each goes or stays by its own fingerprint, and of rows that share id and
+    fingerprint (repeated rows, too) one stays. Rows without an id belong to no group and stay. Whole texts count,
+    however long; columns of any names are kept.
     """
     found = simhash_groups(docs, shingle=4, radius=4)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = found.filter("doc_id = component_id").select("doc_id", "fingerprint").distinct()
     # The hash side is ids; texts are moved once and not sorted.
-    stay = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-        stay = stay.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    stay = docs.join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not several.isEmpty():
+        mark, rank = free_name(docs.columns, "fingerprint"), free_name(docs.columns, "rank")
+        again = with_scores(stay.join(several, "doc_id", "left_semi"), "text", docs.columns, f"`{mark}` string", lambda texts: [
+            pa.array([f"{fingerprint(t.as_py(), 4):016x}" for t in texts], pa.string())])
+        again = again.join(kept.withColumnRenamed("fingerprint", mark), ["doc_id", mark], "left_semi")
+        order = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+        again = again.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(docs.columns)
+        stay = stay.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(again)
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times.
 
-    Rows with one id are taken as often as the one of them that is taken most. Texts without words go.
+    Rows with one id (repeated rows, too) are taken as often as the one of them that is taken most. Texts without words
+    go; a very long one counts with all its words. Columns of any names are kept.
     """
-    times = fair_mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    mixed = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
+    own, times, turn = (free_name(docs.columns, n) for n in ("taken_id", "times", "turn"))
+    taken = fair_mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias(times))
+    taken = taken.withColumnRenamed("doc_id", own).hint("shuffle_hash")
+    mixed = docs.join(taken, docs["doc_id"].eqNullSafe(taken[own]))
+    return mixed.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents and their piece ids."""
-    return encode_texts(docs, load_model(PIECE_MODEL))
+    """The documents, their piece ids, and the text that these decode to.
+
+    Null texts are empty ones; repeated rows encode alike; texts of any length are whole. Columns of the names
+    ``ids`` and ``decoded`` give way.
+    """
+    return encode_texts(docs, load_model(PIECE_MODEL), decoded="decoded")
 
 
 STAGES = [
@@ -72,7 +87,7 @@ STAGES = [
     ("pieces", encoding_stage),
 ]
 
-# No SQL expresses the trained models of the first two stages; tests hold the stages to brute force.
+# No SQL expresses the trained models of the first two stages; tests hold the third and fourth stage to plain Python.
 ORACLE_SQL = None
 
 
