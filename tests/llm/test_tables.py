@@ -209,7 +209,7 @@ def test_queries_agree_with_duckdb(spark, name):
 
     sf = "/root/testdata/sf0.001"
     base = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         base.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = QUERIES[name](spark, sf)
     columns = sorted(got.columns)
