@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -366,8 +367,9 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
     each distinct word (highest sum of the file's piece scores; of equals the longest last piece)
     comes from the lattice. The commonest words of up to 64 characters, at most ``most_words`` of them, go to every task
-    as a dictionary, whose size those two numbers bound. Words beyond it are joined: each is a
-    hole in its text, shuffled by word to its ids and by row back to the text. Nothing is cut
+    as a dictionary, whose size those two numbers bound. Other words are rare, so few a text: each text's own are joined to
+    the vocabulary and gathered under the text's hash, and the texts meet them there in one exchange; no row number and no
+    encoded text is kept on the way. Texts that share a hash share what was gathered, which holds the words of both. Nothing is cut
     off, and if the dictionary holds every word the texts are not moved at all.
 
     Null texts encode as empty ones: the space alone. A space is a space: the mark that models write for it is spelled
@@ -386,64 +388,72 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     del table
     # Kept columns whose names are used here have others on the way.
     back = {f"_kept{i}": c for i, c in enumerate(keep)}
-    keep = list(back)
-    sent = docs.select(F.col(text_column).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in back.items()])
+    text = F.col(text_column).cast("string")
+    sent = docs.select(text.alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in back.items()])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[1:])
-    out = (fields + ", " if fields else "") + "ids array<int>" + (f", `{decoded}` string" * bool(decoded) if whole else ", holes array<struct<at:int,word:string>>")
-    names = [*keep, "ids"] + ([decoded] * bool(decoded) if whole else ["holes"])
+    out = (fields + ", " if fields else "") + "ids array<int>" + f", `{decoded}` string" * bool(decoded)
+    names = [*back, "ids"] + [decoded] * bool(decoded)
     # A decoder of its own would be one more Python process beside each of these.
-    speller = Speller(model.names) if decoded and whole else None
+    speller = Speller(model.names) if decoded else None
+
+    def rare(batches):
+        table = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                distinct, at, sizes = words_in(part.column(0), reach)
+                missing = found_in(distinct, table)[at] < 0
+                row = np.repeat(np.arange(part.num_rows), sizes)[missing]
+                own = np.unique(row * len(distinct) + at[missing])
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own // max(1, len(distinct)))), distinct.take(pa.array(own % max(1, len(distinct)))).cast(pa.string())], ["hash", "word"])
+            pa.default_memory_pool().release_unused()
 
     def encode(batches):
         table = shared.value
-        begin, flat = table["at"], table["ids"] if len(table["ids"]) else np.zeros(1, np.int32)
-        sizes_of = np.append(np.diff(begin), 1)
+        begin, flat, sizes_of = table["at"], table["ids"], np.diff(table["at"])
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 distinct, at, sizes = words_in(part.column(0), reach)
-                where = found_in(distinct, table)[at]
-                hole = where < 0
-                lengths = sizes_of[where]
+                where = found_in(distinct, table)
+                starts, lengths, ids_of = begin[np.maximum(where, 0)].astype(np.int64), np.append(sizes_of, 0)[where], flat
+                if not whole:
+                    starts, lengths, ids_of = with_fills(distinct, at, where, starts, lengths, flat, part.column(part.num_columns - 1))
+                lengths = lengths[at]
                 ends = np.cumsum(lengths)
-                # Where each id lies: on from the word's first; a hole has the one place -1.
-                source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.where(hole, 0, begin[where]) - (ends - lengths), lengths)
-                ids = flat[source]
-                ids[(ends - lengths)[hole]] = -1
-                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
-                columns = [*part.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(ids))]
+                ids = ids_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - lengths), lengths)]
+                offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].astype(np.int32)
+                columns = [*part.columns[1:1 + len(back)], pa.ListArray.from_arrays(offsets, pa.array(ids))]
                 if speller:
                     columns.append(pa.array(speller.texts(ids, offsets), pa.string()))
-                if not whole:
-                    rank = np.concatenate([[0], np.cumsum(hole)])[bounds].astype(np.int32)
-                    slots = (ends - lengths)[hole] - np.repeat(offsets[:-1], np.diff(rank))
-                    gaps = pa.StructArray.from_arrays([pa.array(slots.astype(np.int32)), distinct.take(pa.array(at[hole]))], ["at", "word"])
-                    columns.append(pa.ListArray.from_arrays(rank, gaps))
                 yield pa.RecordBatch.from_arrays(columns, names)
             pa.default_memory_pool().release_unused()
 
-    encoded = sent.mapInArrow(encode, out)
-    if whole:
-        return encoded.withColumnsRenamed(back)
-    # Row numbers are written with the rows, so they stay what they are.
-    encoded = cut(encoded.withColumn("_row", F.monotonically_increasing_id()))
-    holes = encoded.filter(F.size("holes") > 0).select("_row", F.explode("holes").alias("hole")).select("_row", "hole.at", key_of(F.col("hole.word")).alias("key"))
-    filled = holes.join(vocabulary.select("key", "ids"), "key").groupBy("_row").agg(F.collect_list(F.struct("at", "ids")).alias("fills"))
-    done = encoded.filter(F.size("holes") == 0).select(*keep, "ids")
-    rest = encoded.filter(F.size("holes") > 0).drop("holes").join(filled, "_row")
-
-    def fill(batches):
-        for batch in batches:
-            lists = []
-            for ids, fills in zip(batch.column("ids"), batch.column("fills")):
-                own, put = ids.as_py(), {f["at"]: f["ids"] for f in fills.as_py()}
-                lists.append([x for i, v in enumerate(own) for x in (put[i] if v < 0 else (v,))])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lists, pa.list_(pa.int32()))], [*keep, "ids"])
-
-    joined = rest.select(*keep, "ids", "fills").mapInArrow(fill, (fields + ", " if fields else "") + "ids array<int>")
-    both = done.unionByName(joined)
-    return (decode_ids(both, model, "ids", decoded) if decoded else both).withColumnsRenamed(back)
+    if not whole:
+        asked = docs.select(text.alias("_text"), F.xxhash64(text).alias("hash")).mapInArrow(rare, "hash long, word string")
+        fills = asked.select("hash", key_of(F.col("word")).alias("key")).join(vocabulary.select("key", "ids"), "key")
+        fills = fills.groupBy(F.col("hash").alias("_hash")).agg(F.collect_set(F.struct("key", "ids")).alias("_fills"))
+        sent = sent.join(fills, F.xxhash64("_text") == F.col("_hash"), "left").select(*sent.columns, "_fills")
+    return sent.mapInArrow(encode, out).withColumnsRenamed(back)
+
+
+def with_fills(distinct: pa.Array, at: np.ndarray, where: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray,
+               fills: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each distinct word begin, how many they are, and all ids: the dictionary's and behind them the fills'.
+
+    ``at`` has the words that the texts hold; a word that none holds needs no ids, one without any is an error.
+    """
+    found = fills.flatten()
+    keys, lists = found.field("key"), found.field("ids")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = len(flat) + np.cumsum(sizes) - sizes
+    place = {k: i for i, k in enumerate(keys.to_pylist())}
+    missing = np.nonzero((where < 0) & (np.bincount(at, minlength=len(where)) > 0))[0]
+    rare = distinct.take(pa.array(missing)).to_pylist()
+    own = np.fromiter((place[w if len(w) <= SHORT else HASHED + hashlib.md5(w.encode()).hexdigest()] for w in rare), np.int64, len(rare))
+    starts, lengths = starts.copy(), lengths.astype(np.int64)
+    starts[missing], lengths[missing] = begin[own], sizes[own]
+    return starts, lengths, np.concatenate([flat, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids_column: str = "ids", new_column: str = "decoded") -> DataFrame:
