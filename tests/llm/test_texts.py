@@ -195,6 +195,15 @@ def test_pieces_are_brute_force_and_round_trip(spark, docs, odd_texts, most_word
         assert list(r.ids) == brute_pieces(model, r.text)
 
 
+def test_rare_words_reach_texts_with_runs_of_spaces_long_words_and_copies(spark):
+    texts = ["a  b", " x   y ", "  ", "", None, "zq" * 50 + "  end", "zq" * 50, "only here"]
+    rows = [(i, t) for i, t in enumerate(texts * 3)]
+    model = load_model(PIECE_MODEL)
+    got = encode_texts(spark.createDataFrame(rows, "_hash long, text string"), model, most_words=3, decoded="_fills").collect()
+    assert sorted(r._hash for r in got) == [i for i, _ in rows]
+    assert all(r._fills == (r.text or "") and list(r.ids) == brute_pieces(model, r.text) for r in got)
+
+
 def test_pieces_of_nothing(spark, docs):
     model = load_model(PIECE_MODEL)
     assert encode_texts(docs.limit(0), model).count() == 0
