@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rehome.llm.shared import ascii_lower, cut
+from rehome.llm.shared import ascii_lower, cut, parts_for
 
 START, END = "\x02", "\x03"
 
@@ -71,34 +71,39 @@ def char_model(counts: DataFrame, order: int, weight: float, letters: int) -> Da
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url_column: str = "url",
-               order: int = 4, weight: float = 2.0, letters: int = 256) -> DataFrame:
+               order: int = 4, weight: float = 2.0, letters: int = 256, text_rows: int = 20_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio) of every row.
 
     The longest fitting rule decides. Its verdicts also label the URLs that the two models learn from;
-    where no rule fits, the verdict is allow when the difference of the two log10 likelihoods of host
-    and path, divided by the number of characters and the end mark, reaches a threshold. The threshold is
+    where no rule fits, the verdict is allow when the difference of the two log10 likelihoods of the whole
+    URL, divided by the number of characters and the end mark, reaches a threshold. The threshold is
     calibrated on all labelled URLs: the point between the two classes' means at equal distance in
     standard deviations. ``letters`` is the size of the assumed alphabet.
 
-    The characters of distinct (host, path) texts are counted, weighted by their copies, so one URL
-    that is there very often is one row. Counting, smoothing and scoring are joins on short strings;
-    the driver sees two totals and six moments. URLs without :// or null have empty host and path and are
+    The models see scheme, host, path, query and fragment as they are written. The characters of distinct URLs
+    are counted, weighted by their copies, so one URL that is there very often is one row; its number
+    stands for it in the joins on short strings that count, smooth and score. The driver sees three totals and six
+    moments. URLs without :// have empty host and path, fit no rule and are judged by the model; a null URL is an empty one,
     judged by the end mark alone. With labels of one class only, that class is every verdict; with
     none, allow. Repeated rows are judged alike; other columns are not read.
     """
-    rows = pages.select(F.col(id_column).alias("page_id"), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
+    url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_column).alias("page_id"), url.alias("url"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    texts = rows.groupBy("host", "path").agg(F.count("*").alias("copies"))
-    texts = cut(texts.select("host", "path", "copies", name.alias("rule"), verdict.alias("ruled")))
-    parts = texts.select("host", "path", "ruled", "copies", F.explode(grams(F.concat("host", "path"), order)).alias("gram"))
+    texts = rows.groupBy("url").agg(F.count("*").alias("copies"))
+    texts = texts.select("url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    texts = cut(texts.select("*", name.alias("rule"), verdict.alias("ruled"), F.monotonically_increasing_id().alias("number")))
+    spread = parts_for(pages.sparkSession, texts.count(), text_rows)
+    parts = texts.select("number", "url", "ruled", "copies").repartition(spread, "number").select(
+        "number", "ruled", "copies", F.explode(grams(F.col("url"), order)).alias("gram"))
 
     def labelled(verdict: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("ruled") == verdict, F.col("copies"))), F.lit(0))
 
     counts = cut(parts.groupBy("gram").agg(labelled("allow").alias("good"), labelled("block").alias("bad")))
     model = cut(char_model(counts, order, weight, letters))
-    scored = parts.join(model, "gram").groupBy("host", "path").agg(F.avg("ratio").alias("ratio"))
-    scored = cut(texts.join(scored, ["host", "path"]).select("host", "path", "rule", "ruled", "copies", "ratio"))
+    scored = parts.select("number", "gram").join(model, "gram").groupBy("number").agg(F.avg("ratio").alias("ratio"))
+    scored = cut(texts.join(scored, "number").select("url", "host", "path", "rule", "ruled", "copies", "ratio"))
     fit = {}
     weighted = F.col("copies") * F.col("ratio")
     sums = scored.filter("ruled IS NOT NULL").groupBy("ruled").agg(
@@ -112,5 +117,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id",
         judged = F.when(F.col("ratio") >= F.lit(threshold), "allow").otherwise("block")
     else:
         judged = F.lit("block" if "block" in fit else "allow")
-    answer = scored.select("host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "ratio")
-    return rows.join(answer, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "ratio")
+    answer = scored.select("url", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "ratio")
+    return rows.join(answer, "url").select("page_id", "host", "path", "rule", "verdict", "ratio")

@@ -124,10 +124,15 @@ def test_url_parts_and_rules(spark):
 
 
 def test_url_ratio_is_brute_force(spark):
-    urls = ["http://a.com/x1", "http://b.com/x22", "http://a.net/es/9", "http://c.net/fr/91", "http://o.org/x1", "http://o.org/es/9", "http://a.com/x1"]
-    got = {r.host + r.path: r.ratio for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()}
-    text = lambda u: u.split("://")[1]
-    kinds = {"good": [text(u) for u in urls if ".com" in u], "bad": [text(u) for u in urls if ".net" in u]}
+    urls = ["http://a.com/x1", "http://b.com/x22", "http://a.net/es/9", "http://c.net/fr/91", "http://o.org/x1", "http://o.org/es/9", "http://a.com/x1",
+            "http://q.org/z?to=a.com", "http://q.org/z?to=a.net/es/", "https://a.com/x1#top", "mailto:x@a.net", "foo", ""]
+    judged = judge_urls(spark.createDataFrame([*enumerate(urls), (len(urls), None)], "page_id long, url string"), RULES).collect()
+    rows = {r.page_id: r for r in judged}
+    assert rows[len(urls)].ratio == rows[len(urls) - 1].ratio  # a null URL is an empty one
+    got = {u: rows[i].ratio for i, u in enumerate(urls)}
+    ruled = {i: r.verdict for i, r in rows.items() if r.rule}
+    assert ruled == {i: "allow" if "a.com/" in u or "b.com/" in u else "block" for i, u in enumerate(urls) if i not in (4, 5, 7, 8, 10, 11, 12)}
+    kinds = {"good": [urls[i] for i, v in ruled.items() if v == "allow"], "bad": [urls[i] for i, v in ruled.items() if v == "block"]}
     counts = {k: Counter() for k in kinds}
     for k, texts in kinds.items():
         for t in texts:
@@ -142,11 +147,18 @@ def test_url_ratio_is_brute_force(spark):
         context = sum(c for g, c in counts[k].items() if len(g) == len(gram) and g[:-1] == gram[:-1])
         return (counts[k][gram] + 2 * p(k, gram[1:])) / (context + 2)
 
-    for t in set(map(text, urls)):
+    ratios = {}
+    for t in set(urls):
         padded = "\x02" * 4 + t + "\x03"
         grams = [padded[i - 4:i + 1] for i in range(4, len(padded))]
         want = sum(math.log10(p("good", g)) - math.log10(p("bad", g)) for g in grams) / len(grams)
         assert got[t] == pytest.approx(want, abs=1e-9)
+        ratios[t] = want
+    assert len({round(ratios[urls[i]], 6) for i in (7, 8, 10, 11, 12)}) == 5
+    # The verdict: on which side of the point at equal distance in standard deviations.
+    (good, wide), (bad, narrow) = ((np.mean(x), np.std(x)) for x in ([ratios[u] for u in kinds[k]] for k in ("good", "bad")))
+    edge = (good * narrow + bad * wide) / (wide + narrow)
+    assert all(r.verdict == ("allow" if ratios[urls[i]] >= edge else "block") for i, r in rows.items() if i < len(urls) and not r.rule)
 
 
 def test_mix_budgets_and_repeats(spark, docs):
