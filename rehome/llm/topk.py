@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +12,15 @@ from pyspark.sql import functions as F
 from rehome.llm.shared import cut, parts_for
 
 
-def whole_numbers(vector: Column, scale: int) -> Column:
-    """Each component x as floor(scale * x), x as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+def whole_numbers(x: np.ndarray, scale: int) -> tuple[np.ndarray, float]:
+    """floor(scale * x), and its largest size: doubles while all are whole below 2**53, else Python's integers."""
+    with np.errstate(over="ignore"):
+        v = np.floor(x * float(scale))
+    top = float(np.abs(v).max(initial=0))
+    if top < 2**53:
+        return v, top
+    # A double of 2**53 or more is a whole number itself.
+    return np.array([[int(e) * scale if abs(e) >= 2**53 else math.floor(e * scale) for e in row] for row in x.tolist()], object), top
 
 
 def usable(vector: Column) -> Column:
@@ -34,11 +42,12 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, id_column: s
     Null, non-finite or null-component vectors take no part, nor do rows with a null id. Empty vectors
     score 0 among themselves; vectors score only with vectors of their own length. A row that is there
     twice counts once; an id with two vectors is two candidates, and as a query keeps its best k of both.
+    Sums are exact; one beyond a long is given as 2**63 - 1 or its negative, and ranks as that.
     Other columns are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"), whole_numbers(F.col(vector_column), scale).alias("v"),
+        F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"),
         is_query.alias("asks"))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     shards = parts_for(spark, n, shard_rows)
@@ -54,29 +63,29 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, id_column: s
     asked = rows.filter("asks").select("id", "v", width, tile.alias("tile"), all_of(shards).alias("shard"))
     held = rows.select("id", "v", width, shard.alias("shard"), all_of(tiles).alias("tile"))
 
-    def once(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def once(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
         ids = pdf["id"].to_numpy(np.int64)
-        v = np.array(pdf["v"].tolist(), np.int64).reshape(len(ids), width)
-        both = np.unique(np.column_stack([ids, v]), axis=0) if len(np.unique(ids)) < len(ids) else None
-        if both is None:
-            order = np.argsort(ids, kind="stable")
-            return ids[order], v[order]
-        return both[:, 0], both[:, 1:]
+        v, top = whole_numbers(np.array(pdf["v"].tolist(), np.float64).reshape(len(ids), width), scale)
+        order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) < len(ids):
+            order = sorted({(i, *row): at for at, (i, row) in enumerate(zip(ids.tolist(), v.tolist()))}.values(), key=lambda at: ids[at])
+        return ids[order], v[order], top
 
     def multiply(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "shard": [], "vec_id": [], "score": []})
         width = int(key[2])
-        (qid, q), (cid, c) = once(left, width), once(right, width)
-        top = max(abs(int(q.min(initial=0))), abs(int(q.max(initial=0)))) * max(abs(int(c.min(initial=0))), abs(int(c.max(initial=0))))
-        # Products and sums of whole numbers below 2**53 are exact in doubles.
-        kind = np.float64 if top * max(width, 1) < 2**53 else np.int64
+        (qid, q, of_q), (cid, c, of_c) = once(left, width), once(right, width)
+        top = of_q * of_c * max(width, 1)
+        # Products and sums of whole numbers below 2**53 are exact in doubles; beyond 2**63 Python's integers are.
+        kind = np.float64 if top < 2**53 else np.int64 if top < 2**62 and max(of_q, of_c) < 2**62 else object
         q, c = q.astype(kind), c.astype(kind)
         out = []
         for i in range(0, len(q), 256):
             best = None
             for j in range(0, len(c), 4096):
-                s = (q[i:i + 256] @ c[j:j + 4096].T).astype(np.int64)
+                s = q[i:i + 256] @ c[j:j + 4096].T
+                s = (np.clip(s, 1 - 2**63, 2**63 - 1) if kind is object else s).astype(np.int64)
                 mine = qid[i:i + 256, None] == cid[None, j:j + 4096]
                 if s.shape[1] > k + 1:
                     low = np.partition(np.where(mine, np.iinfo(np.int64).min, s), s.shape[1] - k, axis=1)[:, s.shape[1] - k]
