@@ -17,7 +17,7 @@ from rehome.llm.pieces import encode_texts, load_model
 from rehome.llm.prefix_trie import conversation_turns, prefix_trie, shared_starts
 from rehome.llm.quality import judge_quality
 from rehome.llm.shared import shared_folder, table
-from rehome.llm.shards import kd_shards
+from rehome.llm.shards import document_dimensions, kd_shards
 from rehome.llm.simhash import simhash_groups
 from rehome.llm.topk import top_products
 from rehome.llm.url_model import Rule, judge_urls
@@ -74,10 +74,8 @@ def op4_language_gru(spark, sf_dir):
 
 @query()
 def op5_kd_shards(spark, sf_dir):
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    size, crc = F.octet_length(text) + 8, F.crc32(text)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = kd_shards(docs, 24, size, [size, crc], crc)
+    docs, dimensions = document_dimensions(table(spark, sf_dir, "documents"))
+    found = kd_shards(docs, 24, F.col("own_size"), [F.col(d) for d in dimensions], F.col("own_group"))
     return found.select(
         F.col("id").alias("doc_id"), "size", F.col("grp").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -33,6 +33,29 @@ def rows_of(spark: SparkSession, names: list[str], rows: list[tuple[int, ...]])
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
+def place_of_name(name: Column) -> Column:
+    """A whole number that orders names as their first seven bytes do; null and empty names are 0."""
+    head = F.substring(F.coalesce(name.cast("string"), F.lit("")).cast("binary"), 1, 7)
+    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
+
+
+def document_dimensions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", names: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, list[str]]:
+    """Rows (id column, ``own_size``, ``own_group``, dimensions) for kd_shards, and the dimensions' names.
+
+    The size is the UTF-8 bytes of the text and 8 more, the group the text's crc32. The dimensions of a document are its
+    size, its number of characters, and the places of its ``names`` in byte order. Equal texts have one point: the least of
+    the names of their group, null names coming first. Names are merged in tasks before they meet, and rows carry no texts. A null
+    text is an empty one.
+    """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column), (F.octet_length(text) + 8).cast("long").alias("own_size"), F.crc32(text.cast("binary")).alias("own_group"),
+                       F.length(text).cast("long").alias("own_chars"), *[place_of_name(F.col(n)).alias(f"own_{n}") for n in names])
+    places = [f"own_{n}" for n in names]
+    rows = cut(rows)
+    least = rows.groupBy("own_group").agg(*[F.min(p).alias(p) for p in places])
+    return rows.drop(*places).join(least, "own_group"), ["own_size", "own_chars", *places]
+
+
 def kd_shards(docs: DataFrame, shards: int, size: Column, dimensions: list[Column], group: Column,
               id_column: str = "doc_id", tolerance: float = 0.002, bins: int = 4096, slot_rows: int = 500_000) -> DataFrame:
     """(id, size, group, shard, slot) of every row: ``shards`` leaves of nearly equal size.

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rehome.llm.mixing import fair_mix
 from rehome.llm.queries import ORACLES, QUERIES, RULES
-from rehome.llm.shards import kd_shards
+from rehome.llm.shards import document_dimensions, kd_shards
 from rehome.llm.shared import components, running_sums
 from rehome.llm.topk import top_products
 from rehome.llm.url_model import judge_urls
@@ -101,6 +102,16 @@ def test_products_beyond_doubles_are_exact(spark):
     assert got == {i: sum(a * b for a, b in zip(v[0], v[i])) for i in (1, 2)}
 
 
+def test_products_beyond_longs_are_exact_or_the_largest_long(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 1.0]), (2, [1e-300, 3.0]), (3, [-1e300, 0.0]), (4, [1e300, 1.0]), (5, [1e17, 1.0]), (5, [1e17, 1.0]), (2**60 + 1, [2.0**52, -7.5])]
+    found = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    got = {r.vec_id: r.score for r in sorted(found, key=lambda r: r.rank)}
+    whole = lambda v: [math.floor(1024 * Fraction(x)) for x in v]
+    exact = {i: sum(a * b for a, b in zip(whole(rows[0][1]), whole(v))) for i, v in rows[1:]}
+    assert got == {i: max(1 - 2**63, min(2**63 - 1, x)) for i, x in exact.items()} and abs(got[2]) < 2**62
+    assert list(got)[:4] == [1, 4, 5, 2**60 + 1] and list(got)[-1] == 3
+
+
 def test_url_parts_and_rules(spark):
     urls = {1: None, 2: "", 3: "no scheme/x", 4: "HTTP://A.Com/Path?q#f", 5: "http://a.com", 6: "http://a.com?x=/y", 7: "http://www.example.com/en/1", 8: "http://x.www.example.com/en/1",
             9: "http://m.example.com/en/1", 10: "http://notexample.com/en/1", 11: "http://a.net/es/1", 12: "http://a.net/fr/", 13: "http://a.net/en/", 14: "x://y://z/p", 15: "http://com/",
@@ -215,6 +226,49 @@ def test_shards_are_even_whole_and_gapless(spark, docs):
             assert sum(len(h) > 1 for h in homes.values()) <= 1
 
 
+def test_document_dimensions(spark):
+    rows = [(1, "aé b", "en", "web"), (2, "aé b", "de", None), (3, "aé b", "fr", "books"), (4, None, None, None), (5, "", "en", "web"), (6, "x", None, "webcrawler-1"), (7, "y", None, "webcrawler-2")]
+    docs = spark.createDataFrame([(*r, 9, 9) for r in rows], "doc_id long, text string, lang string, source string, size long, grp long")
+    placed, dimensions = document_dimensions(docs)
+    got = {r.doc_id: tuple(r)[1:] for r in placed.select("doc_id", "own_size", "own_group", *dimensions).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7}
+    # Equal texts have one point: the first source and language by code point, null first.
+    assert got[1] == got[2] == got[3] and got[4] == got[5]
+    assert got[1][0] == 13 and got[4][0] == 8 and got[1][1] == zlib.crc32("aé b".encode())
+    assert [got[i][2:4] for i in (1, 4, 6)] == [(13, 4), (8, 0), (9, 1)]
+    assert got[2][4] == got[4][4] < got[6][4] == got[7][4]  # no source; then names by their first seven bytes
+    assert document_dimensions(docs.limit(0))[0].count() == 0
+
+
+def brute_shards(rows, shards, dims):
+    """(shard of each row): exact weighted medians over (dimension, group, row), the widest dimension first."""
+    spans = [max(1, max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) for d in range(dims)]
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            return [(r, first) for r in part]
+        wide = [(max(r[2][d] for r in part) - min(r[2][d] for r in part)) / spans[d] for d in range(dims)]
+        axis = wide.index(max(wide))
+        part = sorted(part, key=lambda r: (r[2][axis], r[1], r[3]))
+        need, seen, at = sum(r[0] for r in part) * (n // 2) // n, 0, 0
+        while at < len(part) and seen + part[at][0] <= need:
+            seen += part[at][0]
+            at += 1
+        if at < len(part) and seen + part[at][0] - need < need - seen:
+            at += 1
+        return split(part[:at], first, n // 2) + split(part[at:], first + n // 2, n - n // 2)
+
+    return split(rows, 0, shards)
+
+
+def test_shards_are_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 40), 1000 + i, (rng.randint(0, 500), rng.randint(0, 90)), i) for i in range(700)]
+    df = spark.createDataFrame([(i, size, g, *d) for size, g, d, i in rows], "doc_id long, size long, g long, x long, y long")
+    got = {r.id: r.shard for r in kd_shards(df, 24, F.col("size"), [F.col("x"), F.col("y")], F.col("g"), tolerance=0.0).collect()}
+    assert got == {r[3]: shard for r, shard in brute_shards(rows, 24, 2)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_agree_with_duckdb(spark, name):
     import duckdb
