@@ -18,7 +18,8 @@ theirs in a third one, of the triples, dealt by the history as if it were a pair
 
 from __future__ import annotations
 
-import pickle
+import json
+import math
 import uuid
 
 import numpy as np
@@ -46,12 +47,21 @@ def shrink(x: np.ndarray) -> np.ndarray:
 
 
 def frame(arrays: dict[str, np.ndarray]) -> bytes:
-    raw = pickle.dumps({k: shrink(v) for k, v in arrays.items()}, 5)
+    """Arrays by name as bytes: names, types and shapes as JSON, then the values, packed."""
+    held = {k: np.ascontiguousarray(shrink(v)) for k, v in arrays.items()}
+    head = json.dumps([(k, v.dtype.str, v.shape) for k, v in held.items()]).encode()
+    raw = b"".join([len(head).to_bytes(4, "little"), head, *(v.tobytes() for v in held.values())])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unframe(data: bytes) -> dict[str, np.ndarray]:
-    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for name, kind, shape in json.loads(raw[4:at]):
+        out[name] = np.frombuffer(raw, kind, math.prod(shape), at).reshape(shape)
+        at += out[name].nbytes
+    return out
 
 
 def discounted(counts_of_counts: list[int]) -> np.ndarray:
@@ -141,11 +151,11 @@ def place_of(word: np.ndarray, history: np.ndarray, parts: int, hot: np.ndarray)
     return part
 
 
-def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray, order: int = 2) -> tuple[np.ndarray, list[tuple[int, dict[str, np.ndarray]]]]:
+def deal_pairs(texts: pa.Array, trains: np.ndarray, parts: int, hot: np.ndarray, order: int = 2) -> tuple[np.ndarray, list[tuple[int, dict[str, np.ndarray]]]]:
     """The number of words of each text, and the texts' pairs, one list for each part.
 
     A list has its words, their histories by number, and the documents of each pair with how often they hold
-    it. Words of ``hot`` (sorted hashes) are dealt by word and history, all others by word alone. With order 3 a list
+    it; documents are numbered among those that have a token in the list (``docs``), so a list grows with its tokens alone. Words of ``hot`` (sorted hashes) are dealt by word and history, all others by word alone. With order 3 a list
     has triples in place of pairs; the word before the history of a text's first token is the start, too.
     """
     words, sizes = split_words(texts)
@@ -188,8 +198,13 @@ def deal_pairs(texts: pa.Array, parts: int, hot: np.ndarray, order: int = 2) ->
         used, number = np.unique(np.concatenate([h, g[first]]) if order > 2 else h, return_inverse=True)
         number, older = number[:len(h)], {"gi": number[len(h):]} if order > 2 else {}
         often = np.nonzero(times > 1)[0]
+        there = np.zeros(len(sizes), bool)
+        there[d] = True
+        held = np.nonzero(there)[0]
+        d = (np.cumsum(there) - 1)[d]
         out.append((p, {"w": names[w[word_at]], "wn": np.diff(np.append(word_at, len(w))), "h": names[used], "hi": number,
-                        "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often]} | older))
+                        "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often],
+                        "docs": held, "trains": trains[held]} | older))
     return sizes, out
 
 
@@ -262,6 +277,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     crc32 modulo ``modulus`` is not ``held`` (rows with a null id learn, too). ``score`` is the sum of log10 P(token |
     the ``order`` - 1 tokens before it), ``order`` being 2 or 3; ``base_score`` the sum of log10((c + 1) / (N + V + 1)).
 
+    What a part sends back has an entry for each document that has a token there, none for the others.
     The tables lie in ``model_folder`` (else a new folder of the shared one), partitioned by kind: ``pairs`` and
     ``stats`` by part, ``backoff`` by history; with order 3 also ``triples`` and ``backoff2`` by the part of the two-word
     history. The number of parts follows the training tokens, so a task holds about
@@ -299,12 +315,12 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             n += 1
             trains = batch.column("trains").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id")
-            sizes, lists = deal_pairs(batch.column("text"), parts, hot_keys, order)
+            sizes, lists = deal_pairs(batch.column("text"), trains, parts, hot_keys, order)
             docs = {"ids": pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "none": ids.is_null().to_numpy(zero_copy_only=False), "trains": trains, "n": sizes + 1}
             keys, data = [-1 - name], [frame(docs)]
             for p, arrays in lists:
                 keys.append(p)
-                data.append(frame(arrays | {"trains": trains}))
+                data.append(frame(arrays))
             del lists
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["part", "batch", "data"])
 
@@ -334,11 +350,14 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             entry = part.of_entry[at:at + size]
             at += size
             pair, d, m = np.repeat(entry, x["dn"]), x["di"].astype(np.int64), x["times"]
-            n = len(x["trains"])
+            n = len(x["docs"])
+            small = np.bincount(d * steps + step[pair], m, n * steps).astype(np.int64)
+            filled = np.nonzero(small)[0]
             out.append(("sums", name, frame({
-                "score": np.bincount(d, value[pair] * m, n), "base": np.bincount(d, base[pair] * m, n),
+                "d": x["docs"], "score": np.bincount(d, value[pair] * m, n), "base": np.bincount(d, base[pair] * m, n),
                 "known": np.bincount(d, (part.cw > 0)[pair] * m, n).astype(np.int64),
-                "small": np.bincount(d * steps + step[pair], m, n * steps).astype(np.int64)})))
+                "small_at": np.diff(filled, prepend=0), "small": small[filled]})))
+            d = x["docs"].astype(np.int64)[d]
             if order > 2:
                 own = np.nonzero(~deep[pair] & (part.h[pair] != START))[0]
                 q = place_of(part.h[pair[own]], part.g[pair[own]], parts, hot_keys)
@@ -396,9 +415,15 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         return whole.filter(F.col("kind") == kind).select("kind", "key", "part", "data")
 
     def discounts(kind: str) -> np.ndarray:
+        def numbers(batches):
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    n = unframe(data)["n"]
+                    yield pa.RecordBatch.from_pydict({"r": np.arange(len(n)), "n": n.astype(np.int64)})
+
         totals = np.zeros(SMALL + 2, np.int64)
-        for r in counted(f"{folder}/counted", kind).select("data").toLocalIterator():
-            totals += unframe(r["data"])["n"].astype(np.int64)
+        for r in counted(f"{folder}/counted", kind).select("data").mapInArrow(numbers, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect():
+            totals[r["r"]] = r["n"]
         return discounted(totals.tolist())
 
     two, three = discounts("counts"), discounts("counts3")
@@ -473,15 +498,17 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
 
     def finish(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         docs = unframe(block["data"][block["kind"] == "docs"].iloc[0])
-        n = len(docs["n"])
-        score, base, known, small = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n * len(small_logs), np.int64)
+        n, steps = len(docs["n"]), len(small_logs)
+        score, base, known, small = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n * steps, np.int64)
         for kind, data in block.sort_values(["kind", "part"])[["kind", "data"]].itertuples(index=False):
             if kind == "sums":
                 x = unframe(data)
-                score += x["score"]
-                base += x["base"]
-                known += x["known"].astype(np.int64)
-                small += x["small"].astype(np.int64)
+                d = x["d"].astype(np.int64)
+                score[d] += x["score"]
+                base[d] += x["base"]
+                known[d] += x["known"].astype(np.int64)
+                at = np.cumsum(x["small_at"].astype(np.int64))
+                small[d[at // steps] * steps + at % steps] += x["small"].astype(np.int64)
             elif kind == "fixes":
                 x = unframe(data)
                 score[x["d"]] += x["score"]

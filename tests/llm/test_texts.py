@@ -1,6 +1,7 @@
 """Scores, labels, pieces and fingerprints of texts against brute force."""
 
 import math
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from rehome.llm.katz import REST, discounted, katz_scores
+from rehome.llm.katz import REST, discounted, katz_scores, unframe
 from rehome.llm.language import ByteGru, identify, predict_language, sequences, windows
 from rehome.llm.pieces import decode_ids, encode_texts, load_model
 from rehome.llm.quality import judge_quality
@@ -116,6 +117,20 @@ def test_katz_of_order_three_is_brute_force(spark, docs, odd_texts, part_tokens)
     assert sorted(r.base_score for r in got) == pytest.approx(sorted(r.base_score for r in katz_scores(docs).collect()), abs=1e-8)
 
 
+def test_katz_sums_do_not_grow_with_documents_times_parts(spark):
+    docs = spark.range(1, 3001, 1, 1).selectExpr("id AS doc_id", "concat('w', id % 997, ' v', id % 89, ' u') AS text")
+    whole, size = [], []
+    for part_tokens in (4000, 100):
+        folder = tempfile.mkdtemp(prefix="katz-")
+        got = katz_scores(docs, part_tokens=part_tokens, order=3, model_folder=f"{folder}/model")
+        whole.append([x for r in sorted(got.collect()) for x in r[4:]])
+        sums = spark.read.parquet(f"{folder}/model/counted").filter("kind = 'sums'").select("data").collect()
+        size.append(sum(len(unframe(r["data"])["d"]) for r in sums))
+    assert whole[0] == pytest.approx(whole[1], abs=1e-9)
+    # Four tokens a document, so at most four entries, whatever the number of parts.
+    assert size[0] <= size[1] <= 4 * 3000
+
+
 def test_katz_of_nothing(spark, docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
