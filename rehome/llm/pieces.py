@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from dataclasses import dataclass
 
@@ -271,7 +270,8 @@ def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
     by_id = [0.0] * (max(model.ids) + 1)
     for i, score in zip(model.ids, model.scores):
         by_id[i] = score
-    scores = F.from_json(F.lit(json.dumps(by_id)), "array<double>")
+    # A scalar query, not a literal: the plan's text would hold a literal with all its numbers at each use.
+    by_score = spark.createDataFrame(pa.table({"scores": pa.array([by_id], pa.list_(pa.float64()))})).scalar()
     pieces = F.broadcast(spark.createDataFrame(pa.table({"piece": model.pieces, "id": pa.array(model.ids, pa.int32())})))
     starts = F.broadcast(spark.createDataFrame(pa.table({"head": list(heads), "reach": pa.array(heads.values(), pa.int32())})))
     word = F.col("word")
@@ -289,7 +289,8 @@ def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
     edge = (F.shiftleft((F.col("pos") + F.col("size")).cast("long"), ID)
             .bitwiseOR(F.shiftleft((31 - F.col("size")).cast("long"), LENGTH)).bitwiseOR(number))
     grouped = edges.select("key", "common", edge.alias("edge")).groupBy("key", "common").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    edges = F.col("edges")
+    grouped = grouped.withColumn("scores", by_score)
+    edges, scores = F.col("edges"), F.col("scores")
     path = F.when(F.size(edges) <= 4 * SHORT, best_path(edges, scores, model.unknown)).otherwise(long_path(edges, scores, model.unknown, longest))
     found = grouped.select("key", "common", F.transform(F.reverse(path), lambda e: e.bitwiseAND((1 << 22) - 1).cast("int")).alias("ids"))
     spelled = F.flatten(F.transform("ids", lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(fallback_ids(i - UNKNOWN, model.first_byte))))
