@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,8 @@ HASHED = "\n\n"  # in front of a long word's hash; no word begins so
 SLICE = 1000  # texts at a time
 LOW = 0x250  # characters below this are looked up in a table
 SPACED = re.compile(" *[^ ]+| +")
-BLOCK = 256  # steps kept in one array while a word is folded
+PACK_BYTES = 32 << 20  # texts that a task holds before it sends them on
+PACK_ROWS = 500_000  # words with a share that a task holds before it sends them on
 
 
 @dataclass
@@ -166,99 +168,89 @@ def word_counts(docs: DataFrame, text_column: str, reach: Reach, most: int = 500
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fallback_ids(point: Column, first: int) -> Column:
-    """The ids of the UTF-8 bytes of a code point."""
-    def tail(shift: int) -> Column:
-        return F.shiftright(point, shift).bitwiseAND(63) + 128 + first
-
-    def head(shift: int, mark: int) -> Column:
-        return F.shiftright(point, shift) + mark + first
-
-    return (F.when(point < 128, F.array(point + first))
-            .when(point < 2048, F.array(head(6, 192), tail(0)))
-            .when(point < 65536, F.array(head(12, 224), tail(6), tail(0)))
-            .otherwise(F.array(head(18, 240), tail(12), tail(6), tail(0))))
-
-
 # An edge is one number, so that edges sort as numbers: its end, 31 minus its length (5 bits), and its id (22
 # bits). An unknown character has its code point and the highest bit of the id.
 LENGTH, ID, UNKNOWN = 22, 27, 1 << 21
 
 
-def size_of(e: Column) -> Column:
-    """The length of an edge."""
-    return F.lit(31) - F.shiftright(e, LENGTH).bitwiseAND(31).cast("int")
-
-
-def best_path(edges: Column, scores: Column, unknown: float) -> Column:
-    """Viterbi as a fold over edges in the order of their ends: the edges of the best path, last piece first.
-
-    ``edges`` is sorted by (end, -length); of equal sums the first stays, which is the longest last piece.
-    ``scores`` is a constant, by id. The fold keeps the best sum and the best last edge of each position.
-    """
-    start = F.struct(F.array(F.lit(0.0)).alias("sums"), F.array().cast("array<bigint>").alias("back"))
-
-    def merge(s: Column, e: Column) -> Column:
-        end = F.shiftright(e, ID).cast("int")
-        score = F.coalesce(F.get(scores, e.bitwiseAND((1 << 22) - 1).cast("int")), F.lit(unknown))
-        total = score + F.get(s["sums"], end - size_of(e))
-        moved = F.struct(F.concat(s["sums"], F.array(total)).alias("sums"), F.concat(s["back"], F.array(e)).alias("back"))
-        replaced = F.struct(F.concat(F.slice(s["sums"], F.lit(1), end), F.array(total)).alias("sums"),
-                            F.concat(F.slice(s["back"], F.lit(1), end - 1), F.array(e)).alias("back"))
-        return F.when(end >= F.size(s["sums"]), moved).when(total > F.get(s["sums"], end), replaced).otherwise(s)
-
-    none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<bigint>").alias("path"))
-
-    def walk(s: Column, x: Column) -> Column:
-        passed = F.struct((s["skip"] - 1).alias("skip"), s["path"].alias("path"))
-        used = F.struct((size_of(x) - 1).alias("skip"), F.concat(s["path"], F.array(x)).alias("path"))
-        return F.when(s["skip"] > 0, passed).otherwise(used)
-
-    return F.aggregate(F.reverse(F.aggregate(edges, start, merge, lambda s: s["back"])), none, walk, lambda s: s["path"])
-
-
-def long_path(edges: Column, scores: Column, unknown: float, longest: int) -> Column:
-    """As best_path. Only the scores of the last positions are kept, and steps are put away in blocks, so a
-    long word costs no more a character than a short one."""
-    start = F.struct(F.array(F.lit(0.0)).alias("scores"), F.lit(0).cast("long").alias("end"),
-                     F.array().cast("array<bigint>").alias("back"), F.array().cast("array<array<bigint>>").alias("blocks"))
-
-    def merge(s: Column, e: Column) -> Column:
-        end, number = F.shiftright(e, ID), e.bitwiseAND((1 << 22) - 1).cast("int")
-        total = F.coalesce(F.get(scores, number), F.lit(unknown)) + F.element_at(s["scores"], (end - s["end"]).cast("int") - size_of(e) - 1)
-        full = F.size(s["back"]) >= BLOCK
-        kept = F.when(F.size(s["scores"]) > 4 * longest, F.slice(s["scores"], -longest, longest)).otherwise(s["scores"])
-        replaced = F.struct(F.concat(F.slice(s["scores"], F.lit(1), F.size(s["scores"]) - 1), F.array(total)).alias("scores"), s["end"].alias("end"),
-                            F.concat(F.slice(s["back"], F.lit(1), F.size(s["back"]) - 1), F.array(e)).alias("back"), s["blocks"].alias("blocks"))
-        moved = F.struct(F.concat(kept, F.array(total)).alias("scores"), end.alias("end"),
-                         F.when(full, F.array(e)).otherwise(F.concat(s["back"], F.array(e))).alias("back"),
-                         F.when(full, F.concat(s["blocks"], F.array(s["back"]))).otherwise(s["blocks"]).alias("blocks"))
-        return F.when(end != s["end"], moved).when(total > F.element_at(s["scores"], -1), replaced).otherwise(s)
-
-    steps = F.aggregate(edges, start, merge, lambda s: F.concat(F.flatten(s["blocks"]), s["back"]))
-    none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<bigint>").alias("path"), F.array().cast("array<array<bigint>>").alias("blocks"))
-
-    def walk(s: Column, x: Column) -> Column:
-        full = F.size(s["path"]) >= BLOCK
-        passed = F.struct((s["skip"] - 1).alias("skip"), s["path"].alias("path"), s["blocks"].alias("blocks"))
-        used = F.struct((size_of(x) - 1).alias("skip"), F.when(full, F.array(x)).otherwise(F.concat(s["path"], F.array(x))).alias("path"),
-                        F.when(full, F.concat(s["blocks"], F.array(s["path"]))).otherwise(s["blocks"]).alias("blocks"))
-        return F.when(s["skip"] > 0, passed).otherwise(used)
-
-    return F.aggregate(F.reverse(steps), none, walk, lambda s: F.concat(F.flatten(s["blocks"]), s["path"]))
+class Paths:
+    """Viterbi over the edges of many words: at every place the best of the edges that end there, for all words at once."""
+
+    def __init__(self, model: PieceModel):
+        self.scores = np.full(max(model.ids) + 2, model.unknown)
+        self.scores[model.ids] = model.scores
+        self.first_byte = model.first_byte
+
+    def __call__(self, edges: pa.Array) -> pa.ListArray:
+        """The ids of the best path of each word. Of equal sums the longest last piece stays; unknown characters are bytes."""
+        counts = pc.list_value_length(edges).to_numpy(zero_copy_only=False).astype(np.int64)
+        word, e = np.repeat(np.arange(len(counts)), counts), pc.list_flatten(edges).to_numpy()
+        end, size, number = e >> ID, 31 - (e >> LENGTH & 31), e & ((1 << LENGTH) - 1)
+        length = np.zeros(len(counts), np.int64)
+        np.maximum.at(length, word, end)
+        base = np.cumsum(length + 1) - length - 1
+        # best and taken go by place: those of word i begin at base[i]. Long words are walked one by one, behind the others.
+        best, taken = np.zeros(int((length + 1).sum())), np.zeros(int((length + 1).sum()), np.int64)
+        score = self.scores[np.minimum(number, len(self.scores) - 1)]
+        to = base[word] + end
+        since = to - size
+        long = (length > SHORT)[word]
+        order = np.lexsort((-size, word, np.where(long, 0, end), long))
+        short = order[:len(order) - np.count_nonzero(long)]
+        bounds = np.searchsorted(end[short], np.arange(1, SHORT + 2))
+        for a, b in zip(bounds, bounds[1:]):
+            if a < b:
+                own = short[a:b]
+                total, goal = score[own] + best[since[own]], to[own]
+                first = np.nonzero(np.append(True, goal[1:] != goal[:-1]))[0]
+                most = np.maximum.reduceat(total, first)
+                equal = np.nonzero(total == np.repeat(most, np.diff(np.append(first, len(own)))))[0]
+                best[goal[first]] = most
+                taken[goal[first]] = own[equal[np.searchsorted(equal, first)]]
+        rest = order[len(short):]
+        rest = rest[np.lexsort((-size[rest], to[rest]))]
+        reached, sums, last = -1, best.tolist() if len(rest) else [], taken
+        for k, goal, before, plus in zip(rest.tolist(), to[rest].tolist(), since[rest].tolist(), score[rest].tolist()):
+            total = plus + sums[before]
+            if goal != reached or total > sums[goal]:
+                reached, sums[goal], last[goal] = goal, total, k
+        at, row, found, rows = (base + length)[length > 0], np.nonzero(length)[0], [], []
+        while len(at):
+            found.append(taken[at])
+            rows.append(row)
+            at = since[found[-1]]
+            on = at > base[row]
+            at, row = at[on], row[on]
+        found, rows = (np.concatenate(x[::-1]) if x else np.zeros(0, np.int64) for x in (found, rows))
+        ids = number[found[np.argsort(rows, kind="stable")]]
+        rows = np.sort(rows, kind="stable")
+        points = ids[ids >= UNKNOWN] - UNKNOWN
+        width = np.ones(len(ids), np.int64)
+        width[ids >= UNKNOWN] = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        spelled = np.repeat(ids >= UNKNOWN, width)
+        ids = np.repeat(ids, width).astype(np.int32)
+        ids[spelled] = np.frombuffer("".join(map(chr, points.tolist())).encode(), np.uint8).astype(np.int32) + self.first_byte
+        sizes = np.bincount(rows, width, len(counts)).astype(np.int64)
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids, pa.int32()))
 
 
 def key_of(word: Column) -> Column:
     return F.when(F.char_length(word) > SHORT, F.concat(F.lit(HASHED), F.md5(word.cast("binary")))).otherwise(word)
 
 
-def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
-    """(key, common, ids) of every distinct word (word, common): the lattice.
+def keyed(words: DataFrame) -> DataFrame:
+    """The rows with (key, long) in place of ``word``: the word itself and null, or for a long word its hash and the word."""
+    rest = [c for c in words.columns if c != "word"]
+    return words.select(key_of(F.col("word")).alias("key"), F.when(F.char_length("word") > SHORT, F.col("word")).alias("long"), *rest)
+
+
+def word_edges(words: DataFrame, model: PieceModel) -> DataFrame:
+    """``edges array<bigint>`` beside the columns of ``words``, which are dealt out by ``key``: the lattice of each word.
 
     Substrings up to the longest piece are exploded and joined to the piece table, which has as many rows as
     the model file; its first characters bound how long a substring can be. A character that
-    is no piece is an edge of its own, worse than any piece, that ends as its bytes. Words are dealt out by
-    their key once, so grouping the edges by word moves nothing.
+    is no piece is an edge of its own, worse than any piece, that ends as its bytes. ``long`` has the word where the key
+    is not the word itself. As words lie by their key, grouping the edges by word moves nothing.
     """
     spark = words.sparkSession
     longest = model.longest
@@ -267,34 +259,35 @@ def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
     heads: dict[str, int] = {}
     for p in model.pieces:
         heads[p[:3]] = max(heads.get(p[:3], 1), len(p))
-    by_id = [0.0] * (max(model.ids) + 1)
-    for i, score in zip(model.ids, model.scores):
-        by_id[i] = score
-    # A scalar query, not a literal: the plan's text would hold a literal with all its numbers at each use.
-    by_score = spark.createDataFrame(pa.table({"scores": pa.array([by_id], pa.list_(pa.float64()))})).scalar()
     pieces = F.broadcast(spark.createDataFrame(pa.table({"piece": model.pieces, "id": pa.array(model.ids, pa.int32())})))
     starts = F.broadcast(spark.createDataFrame(pa.table({"head": list(heads), "reach": pa.array(heads.values(), pa.int32())})))
-    word = F.col("word")
+    kept = [c for c in words.columns if c != "long"]
+    word = F.coalesce("long", "key")
     at = F.sequence(F.lit(1), F.char_length(word))
     letters = F.split(word, "")
-    windows = F.when(F.char_length(word) <= SHORT, F.transform(at, lambda i: F.substring(word, i, F.lit(longest)))).otherwise(
+    windows = F.when(F.col("long").isNull(), F.transform(at, lambda i: F.substring(word, i, F.lit(longest)))).otherwise(
         F.transform(at, lambda i: F.array_join(F.slice(letters, i, longest), "")))
-    spread = words.select(key_of(word).alias("key"), "common", "word").repartition(parts, "key").select("key", "common", F.posexplode(windows).alias("pos", "window"))
+    spread = words.select(*kept, F.posexplode(windows).alias("pos", "window"))
     spread = spread.withColumn("head", F.left("window", F.lit(3))).join(starts, "head", "left")
     # Without a piece that begins with the three characters, only one and two are tried.
     lengths = F.sequence(F.lit(1), F.least(F.char_length("window"), F.coalesce("reach", F.lit(2))))
-    spread = spread.select("key", "common", "pos", "window", F.explode(lengths).alias("size")).withColumn("piece", F.left("window", F.col("size")))
+    spread = spread.select(*kept, "pos", "window", F.explode(lengths).alias("size")).withColumn("piece", F.left("window", F.col("size")))
     edges = spread.join(pieces, "piece", "left").filter("id IS NOT NULL OR size = 1")
     number = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
     edge = (F.shiftleft((F.col("pos") + F.col("size")).cast("long"), ID)
             .bitwiseOR(F.shiftleft((31 - F.col("size")).cast("long"), LENGTH)).bitwiseOR(number))
-    grouped = edges.select("key", "common", edge.alias("edge")).groupBy("key", "common").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    grouped = grouped.withColumn("scores", by_score)
-    edges, scores = F.col("edges"), F.col("scores")
-    path = F.when(F.size(edges) <= 4 * SHORT, best_path(edges, scores, model.unknown)).otherwise(long_path(edges, scores, model.unknown, longest))
-    found = grouped.select("key", "common", F.transform(F.reverse(path), lambda e: e.bitwiseAND((1 << 22) - 1).cast("int")).alias("ids"))
-    spelled = F.flatten(F.transform("ids", lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(fallback_ids(i - UNKNOWN, model.first_byte))))
-    return found.select("key", "common", F.when(F.exists("ids", lambda i: i >= UNKNOWN), spelled).otherwise(F.col("ids")).alias("ids"))
+    return edges.select(*kept, edge.alias("edge")).groupBy(*kept).agg(F.collect_list("edge").alias("edges"))
+
+
+def encode_words(words: DataFrame, model: PieceModel, parts: int) -> DataFrame:
+    """(key, ids) of every distinct word (word)."""
+    paths = Paths(model)
+
+    def fold(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), paths(batch.column("edges"))], ["key", "ids"])
+
+    return word_edges(keyed(words).repartition(parts, "key"), model).mapInArrow(fold, "key string, ids array<int>")
 
 
 def common_from(words: DataFrame, most: int) -> Column:
@@ -310,11 +303,11 @@ def common_from(words: DataFrame, most: int) -> Column:
 
 
 def dictionary_of(vocabulary: DataFrame) -> dict[str, np.ndarray | pa.Array]:
-    """The common words of a vocabulary (key, common, ids), sorted by a hash; ``at`` is where a word's ids begin.
+    """The words of a vocabulary (key, ids), sorted by a hash; ``at`` is where a word's ids begin.
 
     Of two words with one hash the second stays out.
     """
-    table = vocabulary.filter("common").select("key", "ids", F.xxhash64("key").alias("hash")).orderBy("hash", "key").toArrow()
+    table = vocabulary.select("key", "ids", F.xxhash64("key").alias("hash")).orderBy("hash", "key").toArrow()
     hashes = table.column("hash").to_numpy()
     again = np.nonzero(hashes[1:] == hashes[:-1])[0] + 1
     if len(again):
@@ -362,15 +355,17 @@ class Speller:
 
 
 def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, text_column: str = "text",
-                 most_words: int = 200_000, part_words: int = 30_000, decoded: str | None = None) -> DataFrame:
+                 most_words: int = 200_000, part_words: int = 30_000, decoded: str | None = None,
+                 share_bytes: int = 8 << 20) -> DataFrame:
     """The columns ``keep`` (all by default) and ``ids array<int>`` of every row; with ``decoded`` also what they decode to.
 
     The text, a space before it, is cut into words at every place that no piece reaches across; the best segmentation of
     each distinct word (highest sum of the file's piece scores; of equals the longest last piece)
     comes from the lattice. The commonest words of up to 64 characters, at most ``most_words`` of them, go to every task
-    as a dictionary, whose size those two numbers bound. Other words are rare, so few a text: each text's own are joined to
-    the vocabulary and gathered under the text's hash, and the texts meet them there in one exchange; no row number and no
-    encoded text is kept on the way. Texts that share a hash share what was gathered, which holds the words of both. Nothing is cut
+    as a dictionary, whose size those two numbers bound. Other words are rare, so few a text. Texts are dealt by their hash
+    into shares of about ``share_bytes``; each rare word is dealt by its key with the shares that ask for it, gets its lattice
+    there, and goes with its ids to each of those shares, where the texts meet it. Both move once and packed. Equal texts of one pack are
+    encoded once, so a text that has many copies makes no long share. Nothing is cut
     off, and if the dictionary holds every word the texts are not moved at all.
 
     Null texts encode as empty ones: the space alone. A space is a space: the mark that models write for it is spelled
@@ -381,11 +376,12 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", decoded)]
     reach = model.reach
     words = cut(word_counts(docs, text_column, reach))
-    count = words.count()
-    vocabulary = cut(encode_words(words.select("word", common_from(words, most_words).alias("common")), model, parts_for(spark, count, part_words)))
-    table = dictionary_of(vocabulary)
+    # Words are parts of texts, so they have as many bytes.
+    count, size = words.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.octet_length("word")), F.lit(0))).first()
+    common = words.filter(common_from(words, most_words)).select("word")
+    table = dictionary_of(cut(encode_words(common, model, parts_for(spark, min(count, most_words), part_words))))
     shared = spark.sparkContext.broadcast(table)
-    whole = len(table["key"]) == count
+    known = len(table["key"])
     del table
     # Kept columns whose names are used here have others on the way.
     back = {f"_kept{i}": c for i, c in enumerate(keep)}
@@ -397,64 +393,138 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str] | None = No
     # A decoder of its own would be one more Python process beside each of these.
     speller = Speller(model.names) if decoded else None
 
-    def rare(batches):
+    def encoded(texts: pa.Array, fills: Fills | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
         table = shared.value
+        distinct, at, sizes = words_in(texts, reach)
+        where = found_in(distinct, table)
+        starts, lengths, ids_of = table["at"][np.maximum(where, 0)].astype(np.int64), np.append(np.diff(table["at"]), 0)[where].astype(np.int64), table["ids"]
+        if fills:
+            starts, lengths, ids_of = fills(distinct, at, where, starts, lengths)
+        lengths = lengths[at]
+        ends = np.cumsum(lengths)
+        ids = ids_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - lengths), lengths)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].astype(np.int32)
+
+    def columns_of(texts: pa.Array, fills: Fills | None = None) -> list[pa.Array]:
+        ids, offsets = encoded(texts, fills)
+        return [pa.ListArray.from_arrays(offsets, pa.array(ids)), *([pa.array(speller.texts(ids, offsets), pa.string())] if speller else [])]
+
+    def encode(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                distinct, at, sizes = words_in(part.column(0), reach)
-                missing = found_in(distinct, table)[at] < 0
-                row = np.repeat(np.arange(part.num_rows), sizes)[missing]
-                own = np.unique(row * len(distinct) + at[missing])
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own // max(1, len(distinct)))), distinct.take(pa.array(own % max(1, len(distinct)))).cast(pa.string())], ["hash", "word"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns_of(part.column(0))], names)
             pa.default_memory_pool().release_unused()
 
-    def encode(batches):
+    if known == count:
+        return sent.mapInArrow(encode, out).withColumnsRenamed(back)
+
+    def rare(batches):
         table = shared.value
-        begin, flat, sizes_of = table["at"], table["ids"], np.diff(table["at"])
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 distinct, at, sizes = words_in(part.column(0), reach)
-                where = found_in(distinct, table)
-                starts, lengths, ids_of = begin[np.maximum(where, 0)].astype(np.int64), np.append(sizes_of, 0)[where], flat
-                if not whole:
-                    starts, lengths, ids_of = with_fills(distinct, at, where, starts, lengths, flat, part.column(part.num_columns - 1))
-                lengths = lengths[at]
-                ends = np.cumsum(lengths)
-                ids = ids_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - lengths), lengths)]
-                offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].astype(np.int32)
-                columns = [*part.columns[1:1 + len(back)], pa.ListArray.from_arrays(offsets, pa.array(ids))]
-                if speller:
-                    columns.append(pa.array(speller.texts(ids, offsets), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                missing = found_in(distinct, table)[at] < 0
+                share = np.repeat(part.column(1).to_numpy(), sizes)[missing]
+                own = np.unique(share * np.int64(len(distinct)) + at[missing])
+                yield pa.RecordBatch.from_arrays([distinct.take(pa.array(own % max(1, len(distinct)))).cast(pa.string()),
+                                                  pa.array((own // max(1, len(distinct))).astype(np.int32))], ["word", "share"])
             pa.default_memory_pool().release_unused()
 
-    if not whole:
-        asked = docs.select(text.alias("_text"), F.xxhash64(text).alias("hash")).mapInArrow(rare, "hash long, word string")
-        fills = asked.select("hash", key_of(F.col("word")).alias("key")).join(vocabulary.select("key", "ids"), "key")
-        fills = fills.groupBy(F.col("hash").alias("_hash")).agg(F.collect_set(F.struct("key", "ids")).alias("_fills"))
-        sent = sent.join(fills, F.xxhash64("_text") == F.col("_hash"), "left").select(*sent.columns, "_fills")
-    return sent.mapInArrow(encode, out).withColumnsRenamed(back)
-
-
-def with_fills(distinct: pa.Array, at: np.ndarray, where: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray,
-               fills: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the ids of each distinct word begin, how many they are, and all ids: the dictionary's and behind them the fills'.
+    paths = Paths(model)
 
-    ``at`` has the words that the texts hold; a word that none holds needs no ids, one without any is an error.
-    """
-    found = fills.flatten()
-    keys, lists = found.field("key"), found.field("ids")
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    begin = len(flat) + np.cumsum(sizes) - sizes
-    place = {k: i for i, k in enumerate(keys.to_pylist())}
-    missing = np.nonzero((where < 0) & (np.bincount(at, minlength=len(where)) > 0))[0]
-    rare = distinct.take(pa.array(missing)).to_pylist()
-    own = np.fromiter((place[w if len(w) <= SHORT else HASHED + hashlib.md5(w.encode()).hexdigest()] for w in rare), np.int64, len(rare))
-    starts, lengths = starts.copy(), lengths.astype(np.int64)
-    starts[missing], lengths[missing] = begin[own], sizes[own]
-    return starts, lengths, np.concatenate([flat, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+    def fold(batches):
+        held = []
+        for batch in batches:
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("shares")).to_numpy(zero_copy_only=False))
+            found = pa.RecordBatch.from_arrays([batch.column("key"), paths(batch.column("edges"))], ["key", "ids"])
+            held.append((pc.list_flatten(batch.column("shares")).to_numpy(), found.take(pa.array(row))))
+            if sum(h.num_rows for _, h in held) > PACK_ROWS:
+                yield from packs(held, 0)
+                held = []
+        yield from packs(held, 0)
+
+    def pack(batches):
+        held, held_bytes = [], 0
+        for batch in batches:
+            held.append((batch.column(1).to_numpy(), pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:]], ["_text", *back])))
+            held_bytes += batch.nbytes
+            if held_bytes > PACK_BYTES:
+                yield from packs(held, 1)
+                held, held_bytes = [], 0
+        yield from packs(held, 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(kind, data) for batch in batches for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist())]
+        fills = Fills([b for kind, d in held if kind == 0 for b in unpacked(d)], shared.value["ids"])
+        for whole in (b for kind, d in held if kind == 1 for b in unpacked(d)):
+            texts = whole.column(0).dictionary_encode()
+            for i in range(0, len(texts.dictionary), SLICE):
+                found = columns_of(texts.dictionary.slice(i, SLICE), fills)
+                rows = np.nonzero(texts.indices.to_numpy() // SLICE == i // SLICE)[0]
+                for at in range(0, len(rows), SLICE):
+                    own = pa.array(rows[at:at + SLICE])
+                    place = pc.subtract(texts.indices.take(own), pa.scalar(i, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*[c.take(own) for c in whole.columns[1:]], *[c.take(place) for c in found]], names)
+        pa.default_memory_pool().release_unused()
+
+    shares = -(-size // share_bytes)
+    share = F.pmod(F.xxhash64(F.coalesce("_text", F.lit(""))), F.lit(shares)).cast("int").alias("share")
+    asked = keyed(docs.select(text.alias("_text")).select("_text", share).mapInArrow(rare, "word string, share int"))
+    parts = parts_for(spark, count - known, part_words)
+    asked = asked.repartition(parts, "key").groupBy("key").agg(F.first("long").alias("long"), F.collect_set("share").alias("shares"))
+    packed = "share int, kind int, data binary"
+    moved = sent.select(F.coalesce("_text", F.lit("")).alias("_text"), share, *back).mapInArrow(pack, packed)
+    both = word_edges(asked, model).mapInArrow(fold, packed).unionByName(moved)
+    return both.groupBy("share").applyInArrow(meet, out).withColumnsRenamed(back)
+
+
+def packs(held: list[tuple[np.ndarray, pa.RecordBatch]], kind: int) -> Iterator[pa.RecordBatch]:
+    """(share, kind, data): the rows of each share as one compressed stream."""
+    if not held:
+        return
+    share = np.concatenate([s for s, _ in held])
+    rows = pa.Table.from_batches([r for _, r in held])
+    order = np.argsort(share, kind="stable")
+    names, first = np.unique(share[order], return_index=True)
+    for name, a, b in zip(names.tolist(), first, np.append(first[1:], len(order))):
+        sink = pa.BufferOutputStream()
+        own = rows.take(pa.array(order[a:b]))
+        with pa.ipc.new_stream(sink, own.schema) as stream:
+            stream.write_table(own)
+        raw = sink.getvalue()
+        data = raw.size.to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["share", "kind", "data"])
+
+
+def unpacked(data: bytes) -> list[pa.RecordBatch]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()
+
+
+class Fills:
+    """The rare words of one share and their ids, behind those of the dictionary."""
+
+    def __init__(self, found: list[pa.RecordBatch], flat: np.ndarray):
+        lists = [f.column("ids") for f in found]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]]).astype(np.int64)
+        self.ids = np.concatenate([flat, *[pc.list_flatten(x).to_numpy() for x in lists]])
+        self.sizes, self.begin = sizes, len(flat) + np.cumsum(sizes) - sizes
+        self.place = {k: i for i, k in enumerate(k for f in found for k in f.column("key").to_pylist())}
+
+    def __call__(self, distinct: pa.Array, at: np.ndarray, where: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct word begin, how many they are, and all ids.
+
+        ``at`` has the words that the texts hold; a word that none holds needs no ids, one without any is an error.
+        """
+        missing = np.nonzero((where < 0) & (np.bincount(at, minlength=len(where)) > 0))[0]
+        rare = distinct.take(pa.array(missing)).to_pylist()
+        own = np.fromiter((self.place[w if len(w) <= SHORT else HASHED + hashlib.md5(w.encode()).hexdigest()] for w in rare), np.int64, len(rare))
+        starts, lengths = starts.copy(), lengths.copy()
+        starts[missing], lengths[missing] = self.begin[own], self.sizes[own]
+        return starts, lengths, self.ids
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids_column: str = "ids", new_column: str = "decoded") -> DataFrame:

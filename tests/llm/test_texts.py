@@ -1,6 +1,7 @@
 """Scores, labels, pieces and fingerprints of texts against brute force."""
 
 import math
+import random
 import tempfile
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import xxhash
 
 from rehome.llm.katz import REST, discounted, katz_scores, unframe
 from rehome.llm.language import ByteGru, identify, predict_language, sequences, windows
-from rehome.llm.pieces import decode_ids, encode_texts, load_model
+from rehome.llm.pieces import Paths, decode_ids, encode_texts, load_model, packs, unpacked, word_edges
 from rehome.llm.quality import judge_quality
 from rehome.llm.queries import PIECE_MODEL
 from rehome.llm.simhash import simhash_groups
@@ -219,6 +220,41 @@ def test_rare_words_reach_texts_with_runs_of_spaces_long_words_and_copies(spark)
     assert all(r._fills == (r.text or "") and list(r.ids) == brute_pieces(model, r.text) for r in got)
 
 
+def test_texts_and_rare_words_meet_packed_in_many_shares(spark):
+    rng = random.Random(3)
+    words = ["the", "zq" * 40, "Été", "\U0001F600\u4e2d", *("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(200))]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["many copies of jklmn"] * 400
+    model = load_model(PIECE_MODEL)
+    got = encode_texts(spark.createDataFrame(list(enumerate(texts)), "share long, text string"), model, most_words=20, part_words=50, decoded="data", share_bytes=500)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The texts move once, packed, and are not sorted to be joined.
+    assert "SortMergeJoin" not in plan and "FlatMapGroupsInArrow" in plan
+    rows = got.collect()
+    assert sorted(r.share for r in rows) == list(range(len(texts)))
+    assert all(r.data == texts[r.share] and list(r.ids) == brute_pieces(model, texts[r.share]) for r in rows)
+
+
+def test_copies_shrink_in_a_pack():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))
+    rows = pa.RecordBatch.from_pydict({"_text": [text] * 1000, "id": list(range(1000))})
+    sent = list(packs([(np.arange(1000, dtype=np.int32) % 2, rows)], 1))
+    assert [b.column("share")[0].as_py() for b in sent] == [0, 1] and sum(b.nbytes for b in sent) < 20 * len(text)
+    assert [i for b in sent for x in unpacked(b.column("data")[0].as_py()) for i in x.column("id").to_pylist()] == [*range(0, 1000, 2), *range(1, 1000, 2)]
+
+
+def test_paths_of_short_and_long_words_are_the_best(spark):
+    rng = random.Random(6)
+    model = load_model(PIECE_MODEL)
+    words = [" " + "".join(rng.choice("thein \u4e2dé\U0001F600") for _ in range(n)) for n in [1, 2, 3, 9, 63, 64, 65, 66, 400, 3000, *range(4, 40)]]
+    rows = spark.createDataFrame([(f"{i}", w) for i, w in enumerate(words)], "key string, long string")
+    paths = Paths(model)
+    for r in word_edges(rows.repartition(2, "key"), model).toArrow().to_batches():
+        for key, ids in zip(r.column("key").to_pylist(), paths(r.column("edges")).to_pylist()):
+            # The brute force puts a space in front of a text.
+            assert ids == brute_pieces(model, words[int(key)][1:])
+
+
 def test_pieces_of_nothing(spark, docs):
     model = load_model(PIECE_MODEL)
     assert encode_texts(docs.limit(0), model).count() == 0
