@@ -37,6 +37,8 @@ SMALL = 5  # counts up to this are discounted by Good-Turing
 REST = 0.1  # what a larger count gives up, so that every history has mass to hand on
 START, END = np.uint64(1), np.uint64(2)  # history of the first token; the token behind the last word
 TABLE = "kind string, key long, part long, data binary"
+NONE = np.zeros(0, np.uint64)
+PLACES = "#"  # behind the name of an array of hashes: its places among the known ones
 
 
 def shrink(x: np.ndarray) -> np.ndarray:
@@ -46,21 +48,45 @@ def shrink(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if x.min() >= 0 else x
 
 
-def frame(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays by name as bytes: names, types and shapes as JSON, then the values, packed."""
-    held = {k: np.ascontiguousarray(shrink(v)) for k, v in arrays.items()}
-    head = json.dumps([(k, v.dtype.str, v.shape) for k, v in held.items()]).encode()
-    raw = b"".join([len(head).to_bytes(4, "little"), head, *(v.tobytes() for v in held.values())])
+def frame(arrays: dict[str, np.ndarray], known: np.ndarray = NONE) -> bytes:
+    """Arrays by name as bytes: names, types, shapes and whether steps stand for values as JSON, then the values, packed.
+
+    Integers that never fall are steps; rising hashes that are among those of ``known``, which rise, too, are their places there. All
+    first bytes of an array of integers stand before all second ones, which pack better so.
+    """
+    head, planes, split = [], [], {}
+    for k, v in arrays.items():
+        if len(known) and v.dtype == np.uint64 and len(v) and (v[1:] > v[:-1]).all():
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            there = known[at] == v
+            split |= {k + PLACES: at[there], k: v[~there]}
+        else:
+            split[k] = v
+    for k, v in split.items():
+        steps = v.dtype.kind in "iu" and v.ndim == 1 and len(v) > 1 and bool((v[1:] >= v[:-1]).all())
+        held = np.ascontiguousarray(shrink(np.diff(v, prepend=v.dtype.type(0)) if steps else v))
+        head.append((k, held.dtype.str, held.shape, v.dtype.str if steps else ""))
+        width = held.itemsize if held.dtype.kind in "iu" else 1
+        planes.append(held.reshape(-1).view(np.uint8).reshape(-1, width).T.tobytes())
+    text = json.dumps(head).encode()
+    raw = b"".join([len(text).to_bytes(4, "little"), text, *planes])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unframe(data: bytes) -> dict[str, np.ndarray]:
+def unframe(data: bytes, known: np.ndarray = NONE) -> dict[str, np.ndarray]:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
-    for name, kind, shape in json.loads(raw[4:at]):
-        out[name] = np.frombuffer(raw, kind, math.prod(shape), at).reshape(shape)
-        at += out[name].nbytes
+    for name, kind, shape, steps in json.loads(raw[4:at]):
+        size = np.dtype(kind).itemsize
+        width = size if np.dtype(kind).kind in "iu" else 1
+        planes = np.frombuffer(raw, np.uint8, math.prod(shape) * size, at)
+        held = np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind).reshape(shape)
+        out[name] = shrink(np.cumsum(held, dtype=steps)) if steps else held
+        at += len(planes)
+    for name in [n for n in out if n.endswith(PLACES)]:
+        whole = name.removesuffix(PLACES)
+        out[whole] = np.sort(np.concatenate([known[out.pop(name)], out[whole].astype(np.uint64)]))
     return out
 
 
@@ -128,6 +154,18 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("trains", "text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def common_hashes(words: DataFrame, most: int) -> np.ndarray:
+    """The hashes, rising, of the commonest words (word, c) of up to 64 characters: all those of the highest steps of log2(c) that fit into ``most``."""
+    step, total, least = F.floor(F.log2("c") * 8), 0, None
+    short = words.filter(F.char_length("word").between(1, 64))
+    for s, count in sorted(((r[0], r[1]) for r in short.groupBy(step).count().collect()), reverse=True):
+        total += count
+        if total > most:
+            break
+        least = s
+    return NONE if least is None else np.unique(hashes(short.filter(step >= least).select("word").toArrow().column(0).to_pylist()))
+
+
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     """Where a new combination of the keys begins."""
     if not len(sorted_keys[0]):
@@ -160,13 +198,16 @@ def deal_pairs(texts: pa.Array, trains: np.ndarray, parts: int, hot: np.ndarray,
     """
     words, sizes = split_words(texts)
     coded = words.dictionary_encode()
-    names = np.concatenate([hashes(coded.dictionary.to_pylist()), [START, END]]).astype(np.uint64)
-    start, end = len(names) - 2, len(names) - 1
+    # Numbers rise with the hashes, so that lists of names do.
+    names, number = np.unique(np.concatenate([hashes(coded.dictionary.to_pylist()), [START, END]]).astype(np.uint64), return_inverse=True)
+    number = number.astype(np.int32)
+    start, end = number[-2:]
     ends = np.cumsum(sizes + 1) - 1
     token = np.full(int(sizes.sum()) + len(sizes), end, np.int32)
     is_word = np.ones(len(token), bool)
     is_word[ends] = False
-    token[is_word] = coded.indices.to_numpy()
+    token[is_word] = number[coded.indices.to_numpy()]
+    del words, coded, is_word, number
     history = np.roll(token, 1)
     history[ends - sizes] = start
     if order > 2:
@@ -202,9 +243,10 @@ def deal_pairs(texts: pa.Array, trains: np.ndarray, parts: int, hot: np.ndarray,
         there[d] = True
         held = np.nonzero(there)[0]
         d = (np.cumsum(there) - 1)[d]
-        out.append((p, {"w": names[w[word_at]], "wn": np.diff(np.append(word_at, len(w))), "h": names[used], "hi": number,
-                        "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often],
-                        "docs": held, "trains": trains[held]} | older))
+        found = {"w": names[w[word_at]], "wn": np.diff(np.append(word_at, len(w))), "h": names[used], "hi": number,
+                 "dn": np.diff(np.append(first, len(pair))), "di": d, "oi": often, "ot": times[often],
+                 "docs": held, "trains": trains[held]} | older
+        out.append((p, {k: shrink(v) for k, v in found.items()}))
     return sizes, out
 
 
@@ -233,44 +275,59 @@ def finder(h: np.ndarray, g: np.ndarray, share: np.ndarray):
 
 
 class Part:
-    """All lists of one part: whole counts of its triples (``c3``; with order 2 the pairs again), pairs and words."""
+    """All lists of one part: whole counts of its triples (``c3``; with order 2 the pairs again), pairs and words.
+
+    ``w``, ``h`` and ``g`` are numbers of ``names``, the part's hashes, which rise. The lists keep what tells their entries' documents.
+    """
 
     def __init__(self, lists: list[dict[str, np.ndarray]], hot: dict[int, int]):
-        w = np.concatenate([np.repeat(x["w"], x["wn"]) for x in lists])
-        h = np.concatenate([x["h"][x["hi"]] for x in lists])
-        g = np.concatenate([x["h"][x["gi"]] if "gi" in x else np.zeros(len(x["hi"]), np.uint64) for x in lists])
+        self.names = np.unique(np.concatenate([NONE, *(np.unique(np.concatenate([x["w"], x["h"]])) for x in lists)]))
+        self.start, self.end = (int(i) if i < len(self.names) and self.names[i] == mark else -1 for mark in (START, END) for i in [np.searchsorted(self.names, mark)])
         self.sizes = [len(x["hi"]) for x in lists]
-        counts = []
-        for x in lists:
-            times = np.ones(len(x["di"]), np.int64)
+        w, h, g, counts = (np.zeros(sum(self.sizes), kind) for kind in (np.int32, np.int32, np.int32, np.int64))
+        begin = 0
+        for x, size in zip(lists, self.sizes):
+            times = np.ones(len(x["di"]), np.min_scalar_type(int(x["ot"].max())) if len(x["ot"]) else np.uint8)
             times[x["oi"]] = x["ot"]
             x["times"] = times
             at = np.cumsum(x["dn"].astype(np.int64)) - x["dn"]
-            counts.append(np.add.reduceat(times * x["trains"][x["di"]], at))
+            own = slice(begin, begin + size)
+            counts[own] = np.add.reduceat(times.astype(np.int64) * x["trains"][x["di"]], at)
+            number = np.searchsorted(self.names, x.pop("h")).astype(np.int32)
+            w[own] = np.repeat(np.searchsorted(self.names, x.pop("w")).astype(np.int32), x.pop("wn"))
+            h[own] = number[x.pop("hi")]
+            if "gi" in x:
+                g[own] = number[x.pop("gi")]
+            begin += size
         order = np.lexsort((g, h, w))
-        w, h, g = w[order], h[order], g[order]
+        w = w[order]
+        h = h[order]
+        g = g[order]
         first = runs(w, h, g)
-        self.w, self.h, self.g, self.c3 = w[first], h[first], g[first], total(np.concatenate(counts)[order], first)
-        del h, g
+        number = np.zeros(len(w), np.int32)
+        number[first] = 1
+        self.of_entry = np.empty(len(w), np.int32)
+        self.of_entry[order] = np.cumsum(number, dtype=np.int32) - 1
+        self.c3 = total(counts[order], first)
+        del counts, order, number
+        self.w, self.h, self.g = w[first], h[first], g[first]
+        del w, h, g, first
         self.pairs = runs(self.w, self.h)
         self.c = np.repeat(total(self.c3, self.pairs), np.diff(np.append(self.pairs, len(self.w))))
-        number = np.zeros(len(w), np.int64)
-        number[first] = 1
-        self.of_entry = np.empty(len(w), np.int64)
-        self.of_entry[order] = np.cumsum(number) - 1
         by_word = runs(self.w)
         sums = total(self.c3, by_word)
         if hot:
             known = np.array(sorted(hot), np.uint64)
-            at = np.searchsorted(known, self.w[by_word])
-            is_hot = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == self.w[by_word])
+            own = self.names[self.w[by_word]]
+            at = np.searchsorted(known, own)
+            is_hot = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)
             values = np.array([hot[int(k)] for k in known], np.int64)
             sums = np.where(is_hot, values[np.minimum(at, len(known) - 1)], sums)
         self.cw = np.repeat(sums, np.diff(np.append(by_word, len(self.w))))
 
 
 def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text",
-                part_tokens: int = 3_000_000, model_folder: str | None = None, order: int = 2) -> DataFrame:
+                part_tokens: int = 3_000_000, model_folder: str | None = None, order: int = 2, most_words: int = 200_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Texts in ASCII lower case, cut at ASCII white space; each ends with one end token. The model learns from ids whose
@@ -307,6 +364,15 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     heavy = single.filter((F.col("word") != "") & (F.col("c") > tokens / (2 * parts))).collect()
     hot = dict(zip(map(int, hashes([r["word"] for r in heavy])), [r["c"] for r in heavy])) | {int(END): trained}
     hot_keys = np.array(sorted(hot), np.uint64)
+    tables = model_folder is not None
+    # Tables that stay have whole hashes.
+    shared = spark.sparkContext.broadcast(NONE if tables else common_hashes(single, most_words))
+
+    def packed(arrays: dict[str, np.ndarray]) -> bytes:
+        return frame(arrays, shared.value)
+
+    def opened(data: bytes) -> dict[str, np.ndarray]:
+        return unframe(data, shared.value)
 
     def deal(batches):
         base, n = TaskContext.get().partitionId() << 24, 0
@@ -320,8 +386,9 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             keys, data = [-1 - name], [frame(docs)]
             for p, arrays in lists:
                 keys.append(p)
-                data.append(frame(arrays))
+                data.append(packed(arrays))
             del lists
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["part", "batch", "data"])
 
     histories = np.uint64(parts)
@@ -330,26 +397,28 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         if key[0] < 0:
             return pd.DataFrame({"kind": "docs", "key": block["batch"], "part": key[0], "data": block["data"]})
         block = block.sort_values("batch")
-        lists = [unframe(d) for d in block["data"]]
+        lists, batches = [opened(d) for d in block["data"]], block["batch"].tolist()
+        del block
         part = Part(lists, hot)
         p_one = np.where(part.cw > 0, after_discount(part.cw, one) / max(1, tokens), unknown)
         seen = part.c > 0
-        deep = (part.c3 > 0) & (part.h != START) if order > 2 else np.zeros(len(seen), bool)
+        deep = (part.c3 > 0) & (part.h != part.start) if order > 2 else np.zeros(len(seen), bool)
         top = np.where(deep, part.c3, part.c)
         value = np.where(seen, np.where(top > SMALL, np.log10(np.maximum(top - REST, 1e-9)), 0), np.log10(p_one))
         # Small counts of pairs are told by 0 to SMALL, those of triples by what follows.
         step = np.where(top <= SMALL, top, 0) + np.where(deep, SMALL + 1, 0)
         steps = 2 * (SMALL + 1)
         # The longest known history of the token behind a word ends with it, and its probability is over that history's count.
-        over = np.where(part.w == END, 0.0, np.log10(np.maximum(np.where(seen, part.c, part.cw) if order > 2 else part.cw, 1)))
+        over = np.where(part.w == part.end, 0.0, np.log10(np.maximum(np.where(seen, part.c, part.cw) if order > 2 else part.cw, 1)))
         value -= over
         base = np.log10(part.cw + 1.0)
         del top, over
+        step = step.astype(np.uint8)
         out, at = [], 0
-        for name, x, size in zip(block["batch"], lists, part.sizes):
+        for name, x, size in zip(batches, lists, part.sizes):
             entry = part.of_entry[at:at + size]
             at += size
-            pair, d, m = np.repeat(entry, x["dn"]), x["di"].astype(np.int64), x["times"]
+            pair, d, m = np.repeat(entry, x["dn"]), x["di"].astype(np.int64), x["times"].astype(np.int64)
             n = len(x["docs"])
             small = np.bincount(d * steps + step[pair], m, n * steps).astype(np.int64)
             filled = np.nonzero(small)[0]
@@ -359,51 +428,54 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
                 "small_at": np.diff(filled, prepend=0), "small": small[filled]})))
             d = x["docs"].astype(np.int64)[d]
             if order > 2:
-                own = np.nonzero(~deep[pair] & (part.h[pair] != START))[0]
-                q = place_of(part.h[pair[own]], part.g[pair[own]], parts, hot_keys)
+                own = np.nonzero(~deep[pair] & (part.h[pair] != part.start))[0]
+                q = place_of(part.names[part.h[pair[own]]], part.names[part.g[pair[own]]], parts, hot_keys)
                 own = own[np.argsort(q, kind="stable")]
                 q.sort()
                 for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
                     at_q = own[q_at:q_end]
-                    out.append(("missed2", int(q[q_at]), frame(two_words(part.h[pair[at_q]], part.g[pair[at_q]]) | {"batch": np.array([name]), "d": d[at_q], "m": m[at_q]})))
+                    out.append(("missed2", int(q[q_at]), packed(two_words(part.names[part.h[pair[at_q]]], part.names[part.g[pair[at_q]]]) | {"batch": np.array([name]), "d": d[at_q], "m": m[at_q]})))
             missed = np.nonzero(~seen[pair])[0]
             if len(missed):
-                h = part.h[pair[missed]]
+                h = part.names[part.h[pair[missed]]]
                 q = h % histories
                 turn = np.lexsort((h, q))
                 for q_at, q_end in zip(b := runs(q[turn]), np.append(b[1:], len(turn))):
                     own = missed[turn[q_at:q_end]]
-                    hk, hn = np.unique(part.h[pair[own]], return_inverse=True)
-                    out.append(("missed", int(q[turn[q_at]]), frame({"batch": np.array([name]), "h": hk, "hn": hn, "d": d[own], "m": m[own]})))
+                    hk, hn = np.unique(part.names[part.h[pair[own]]], return_inverse=True)
+                    out.append(("missed", int(q[turn[q_at]]), packed({"batch": np.array([name]), "h": hk, "hn": hn, "d": d[own], "m": m[own]})))
         rows = [(k, int(n), data) for k, n, data in out]
+        del out, lists, value, base, step
         if order > 2:
             own = np.nonzero(deep)[0]
-            q = place_of(part.h[own], part.g[own], parts, hot_keys)
+            q = place_of(part.names[part.h[own]], part.names[part.g[own]], parts, hot_keys)
             own = own[sort := np.lexsort((part.g[own], part.h[own], q))]
             q = q[sort]
             for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
                 at_q = own[q_at:q_end]
-                w_names, wi = np.unique(part.w[at_q], return_inverse=True)
-                rows.append(("triples", int(q[q_at]), frame(two_words(part.h[at_q], part.g[at_q]) | {"w": w_names, "wi": wi, "c": part.c3[at_q], "pair": part.c[at_q]})))
+                last = dict(zip(("w", "wi"), np.unique(part.names[part.w[at_q]], return_inverse=True))) if tables else {}
+                rows.append(("triples", int(q[q_at]), packed(two_words(part.names[part.h[at_q]], part.names[part.g[at_q]]) | last | {"c": part.c3[at_q], "pair": part.c[at_q]})))
             own = runs(part.w)
-            own = own[~np.isin(part.w[own], hot_keys) & (part.cw[own] > 0)]
-            rows.append(("words", int(key[0]), frame({"w": part.w[own], "n": part.cw[own]})))
+            own = own[~np.isin(part.names[part.w[own]], hot_keys) & (part.cw[own] > 0)]
+            rows.append(("words", int(key[0]), packed({"w": part.names[part.w[own]], "n": part.cw[own]})))
             rows.append(("counts3", 0, frame({"n": np.bincount(np.minimum(part.c3[deep], SMALL + 2), minlength=SMALL + 3)[:SMALL + 2]})))
         own = part.pairs[seen[part.pairs]]
         w, h, c, p1 = part.w[own], part.h[own], part.c[own], p_one[own]
         names, number = np.unique(h, return_inverse=True)
+        names = part.names[names]
         kinds = np.bincount(number * (SMALL + 1) + np.where(c <= SMALL, c, 0), minlength=len(names) * (SMALL + 1)).reshape(-1, SMALL + 1)
         mass, count = np.bincount(number, p1, len(names)), np.bincount(number, c, len(names)).astype(np.int64)
         q = names % histories
         turn = np.lexsort((names, q))
         for q_at, q_end in zip(b := runs(q[turn]), np.append(b[1:], len(turn))):
             own = turn[q_at:q_end]
-            rows.append(("stats", int(q[own[0]]), frame({"h": names[own], "kinds": kinds[own], "mass": mass[own], "count": count[own]})))
-        # Histories are told by their place in the part's stats, in the order of (history part, hash).
-        rank = np.empty(len(turn), np.int64)
-        rank[turn] = np.arange(len(turn))
-        at_word = runs(w)
-        rows.append(("pairs", int(key[0]), frame({"w": w[at_word], "wn": np.diff(np.append(at_word, len(w))), "h": rank[number], "c": c})))
+            rows.append(("stats", int(q[own[0]]), packed({"h": names[own], "kinds": kinds[own], "mass": mass[own], "count": count[own]})))
+        if tables:
+            # Histories are told by their place in the part's stats, in the order of (history part, hash).
+            rank = np.empty(len(turn), np.int64)
+            rank[turn] = np.arange(len(turn))
+            at_word = runs(w)
+            rows.append(("pairs", int(key[0]), packed({"w": part.names[w[at_word]], "wn": np.diff(np.append(at_word, len(w))), "h": rank[number], "c": c})))
         rows.append(("counts", 0, frame({"n": np.bincount(np.minimum(c, SMALL + 2), minlength=SMALL + 3)[:SMALL + 2]})))
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
@@ -430,8 +502,8 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     gives, gives3 = (np.concatenate([[REST], np.arange(1, SMALL + 1) - x[1:]]) for x in (two, three))
 
     def weigh(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        stats = [unframe(d) for d in block["data"][block["kind"] == "stats"]]
-        missed = [unframe(d) for d in block["data"][block["kind"] == "missed"]]
+        stats = [opened(d) for d in block["data"][block["kind"] == "stats"]]
+        missed = [opened(d) for d in block["data"][block["kind"] == "missed"]]
         names = np.concatenate([x["h"] for x in stats]) if stats else np.zeros(0, np.uint64)
         names, number = np.unique(names, return_inverse=True)
 
@@ -440,7 +512,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
 
         handed, mass, count = add("kinds", lambda x: x @ gives), add("mass"), add("count")
         share = np.log10(handed) - np.log10(1 - mass)
-        rows = [("backoff", int(key[0]), frame({"h": names, "weight": 10 ** share / np.maximum(count, 1)}))]
+        rows = [("backoff", int(key[0]), frame({"h": names, "weight": 10 ** share / np.maximum(count, 1)}))] if tables else []
         fixes: dict[int, list] = {}
         for x in missed:
             at = np.searchsorted(names, x["h"])
@@ -454,7 +526,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
     def weigh_two(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        found = {kind: [unframe(d) for d in block["data"][block["kind"] == kind]] for kind in ("triples", "words", "missed2")}
+        found = {kind: [opened(d) for d in block["data"][block["kind"] == kind]] for kind in ("triples", "words", "missed2")}
         rows, share, h, g = [], np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if found["triples"]:
             h, g = (np.concatenate([x[k][x[k + "i"]] for x in found["triples"]]) for k in "hg")
@@ -471,9 +543,9 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             # What P(. | h) leaves to the words not seen behind (g, h), times the count of h.
             left = size - total(pair, first) + total(gives[np.where(pair <= SMALL, pair, 0)], first)
             share = np.log10(handed) - np.log10(left)
-            weight = handed * size / left / total(c, first)
-            rows.append(("backoff2", int(key[0]), frame(two_words(h, g) | {"weight": weight})))
-            del c, pair, sort, first, size, handed, left, weight
+            if tables:
+                rows.append(("backoff2", int(key[0]), frame(two_words(h, g) | {"weight": handed * size / left / total(c, first)})))
+            del c, pair, sort, first, size, handed, left
         find = finder(h, g, share)
         fixes: dict[int, list] = {}
         for x in found["missed2"]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from rehome.llm.katz import REST, discounted, katz_scores, unframe
+from rehome.llm.katz import END, REST, Part, deal_pairs, discounted, frame, hashes, katz_scores, unframe
 from rehome.llm.language import ByteGru, identify, predict_language, sequences, windows
 from rehome.llm.pieces import Paths, decode_ids, encode_texts, load_model, packs, unpacked, word_edges
 from rehome.llm.quality import judge_quality
@@ -132,6 +132,42 @@ def test_katz_sums_do_not_grow_with_documents_times_parts(spark):
     assert size[0] <= size[1] <= 4 * 3000
 
 
+def test_katz_lists_are_small_in_memory_and_packed():
+    texts = pa.array([" ".join(f"w{i * j % 700}" for j in range(200)) for i in range(300)])
+    known = np.unique(hashes([f"w{i}" for i in range(0, 700, 2)]))
+    _, lists = deal_pairs(texts, np.ones(300, bool), 4, np.array([int(END)], np.uint64), 3)
+    for _, x in lists:
+        plain, packed = frame(x), frame(x, known)
+        assert len(packed) < len(plain) and len(frame({"h": x["h"]}, known)) < 0.7 * len(frame({"h": x["h"]}))
+        for again in (unframe(plain), unframe(packed, known)):
+            assert again.keys() == x.keys() and all((again[k] == x[k]).all() for k in x)
+        assert all(v.itemsize <= 4 for k, v in x.items() if k not in "wh")
+    part = Part([x for _, x in lists], {int(END): 300})
+    # Whole hashes are held once; what goes by triple or entry has numbers of them.
+    assert {v.dtype for v in (part.w, part.h, part.g, part.of_entry)} == {np.dtype(np.int32)}
+    assert len(part.names) < len(part.w) and part.c3.sum() == 300 * 201
+
+
+def test_frames_keep_any_numbers():
+    rng = np.random.default_rng(2)
+    arrays = {"a": np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)), "b": rng.integers(-5, 5, 100), "c": rng.random(50), "d": np.zeros(0, np.int64), "e": np.array([True, False]),
+              "f": np.arange(12).reshape(3, 4), "g": np.array([-2**63, -1, 0, 2**63 - 1]), "h": np.array([2**64 - 1], np.uint64), "i": np.array([3, 3, 1], np.uint64)}
+    for known in (arrays["a"][::3], np.zeros(0, np.uint64), arrays["h"]):
+        got = unframe(frame(arrays, known), known)
+        assert got.keys() == arrays.keys() and all(got[k].shape == v.shape and (got[k] == v).all() for k, v in arrays.items())
+
+
+@pytest.mark.parametrize("most_words", [0, 5, 200_000])
+def test_katz_known_words_change_nothing(spark, docs, most_words):
+    folder = f"{tempfile.mkdtemp(prefix='katz-')}/model"
+    key = lambda r: repr(r[:4])
+    want = sorted(katz_scores(docs, part_tokens=500, order=3, model_folder=folder).collect(), key=key)
+    got = sorted(katz_scores(docs, part_tokens=500, order=3, most_words=most_words).collect(), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-8)
+    kinds = {r[0] for f in ("counted", "weighed", "weighed2") for r in spark.read.parquet(f"{folder}/{f}").select("kind").distinct().collect()}
+    assert {"pairs", "triples", "stats", "backoff", "backoff2"} <= kinds
+
+
 def test_katz_of_nothing(spark, docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
