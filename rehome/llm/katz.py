@@ -218,7 +218,7 @@ def deal_pairs(texts: pa.Array, trains: np.ndarray, parts: int, hot: np.ndarray,
     part = place[token]
     heavy = np.isin(names, hot)[token]
     part[heavy] = (names[token[heavy]] ^ (names[history[heavy]] * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(parts)  # any odd number spreads them
-    by_part = np.argsort(part, kind="stable")
+    by_part = np.argsort(shrink(part), kind="stable")
     bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
     out = []
     width = np.int64(len(names))
@@ -228,7 +228,9 @@ def deal_pairs(texts: pa.Array, trains: np.ndarray, parts: int, hot: np.ndarray,
             continue
         pair = token[own].astype(np.int64) * width + history[own]
         rest = before[own] * np.int64(len(sizes)) + doc[own] if order > 2 else doc[own]
-        sort = np.lexsort((rest, pair))
+        # Tokens are in the order of their documents, and stay so.
+        g = before[own] if order > 2 else np.zeros(len(own), np.int32)
+        sort = np.argsort(pair * width + g, kind="stable") if width <= 1 << 21 else np.lexsort((g, pair))
         pair, rest, d = pair[sort], rest[sort], doc[own][sort]
         once = runs(pair, rest)
         times = np.diff(np.append(once, len(pair)))
@@ -299,19 +301,31 @@ class Part:
             if "gi" in x:
                 g[own] = number[x.pop("gi")]
             begin += size
-        order = np.lexsort((g, h, w))
-        w = w[order]
-        h = h[order]
-        g = g[order]
-        first = runs(w, h, g)
-        number = np.zeros(len(w), np.int32)
+        if len(self.names) <= 1 << 21:
+            # As one number three sort faster, and need less memory.
+            one = w.astype(np.int64)
+            for x in (h, g):
+                one <<= 21
+                one |= x
+            del w, h, g, x
+            order = np.argsort(one)
+            one = one[order]
+            first = runs(one)
+            one = one[first]
+            self.w, self.h, self.g = ((one >> shift & (1 << 21) - 1).astype(np.int32) for shift in (42, 21, 0))
+            del one
+        else:
+            order = np.lexsort((g, h, w))
+            w, h, g = w[order], h[order], g[order]
+            first = runs(w, h, g)
+            self.w, self.h, self.g = w[first], h[first], g[first]
+            del w, h, g
+        self.c3 = total(counts[order], first)
+        number = np.zeros(len(order), np.int32)
         number[first] = 1
-        self.of_entry = np.empty(len(w), np.int32)
+        self.of_entry = np.empty(len(order), np.int32)
         self.of_entry[order] = np.cumsum(number, dtype=np.int32) - 1
-        self.c3 = total(counts[order], first)
-        del counts, order, number
-        self.w, self.h, self.g = w[first], h[first], g[first]
-        del w, h, g, first
+        del counts, order, number, first
         self.pairs = runs(self.w, self.h)
         self.c = np.repeat(total(self.c3, self.pairs), np.diff(np.append(self.pairs, len(self.w))))
         by_word = runs(self.w)
@@ -393,6 +407,31 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
 
     histories = np.uint64(parts)
 
+    def entries(kind: str, q: np.ndarray, history: np.ndarray, batch: np.ndarray, d: np.ndarray, m: np.ndarray, named) -> list[tuple[str, int, bytes]]:
+        """Entries (batch, document, times) that ask for histories, a list for each part of the histories. ``named`` gives a list's histories."""
+        rows, q = [], q.astype(np.int64)
+        turn = np.lexsort((d, batch, history, q))
+        q = q[turn]
+        for a, b in zip(begin := runs(q), np.append(begin[1:], len(q))):
+            own = turn[a:b]
+            asked, number = np.unique(history[own], return_inverse=True)
+            batches, at_batch = np.unique(batch[own], return_inverse=True)
+            rows.append((kind, int(q[a]), packed(named(asked) | {"n": number, "batches": batches, "b": at_batch, "d": d[own], "m": m[own]})))
+        return rows
+
+    def fixes(found: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> list[tuple[str, int, bytes]]:
+        """What entries add to each document: ``found`` has lists of entries and the share of each of their histories."""
+        if not found:
+            return []
+        batch, d = np.concatenate([x["batches"].astype(np.int64)[x["b"]] for x, _ in found]), np.concatenate([x["d"].astype(np.int64) for x, _ in found])
+        value = np.concatenate([share[x["n"]] * x["m"] for x, share in found])
+        turn = np.lexsort((d, batch))
+        batch, d = batch[turn], d[turn]
+        first = runs(batch, d)
+        value, batch, d = total(value[turn], first), batch[first], d[first]
+        begin = runs(batch)
+        return [("fixes", int(batch[a]), frame({"d": d[a:b], "score": value[a:b]})) for a, b in zip(begin, np.append(begin[1:], len(batch)))]
+
     def meet(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pd.DataFrame({"kind": "docs", "key": block["batch"], "part": key[0], "data": block["data"]})
@@ -414,7 +453,9 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         base = np.log10(part.cw + 1.0)
         del top, over
         step = step.astype(np.uint8)
-        out, at = [], 0
+        out, at, missed, missed2 = [], 0, [], []
+        wanted = [(~seen, missed), (~deep & (part.h != part.start), missed2)][:order - 1]
+        is_known = part.cw > 0
         for name, x, size in zip(batches, lists, part.sizes):
             entry = part.of_entry[at:at + size]
             at += size
@@ -424,28 +465,25 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             filled = np.nonzero(small)[0]
             out.append(("sums", name, frame({
                 "d": x["docs"], "score": np.bincount(d, value[pair] * m, n), "base": np.bincount(d, base[pair] * m, n),
-                "known": np.bincount(d, (part.cw > 0)[pair] * m, n).astype(np.int64),
+                "known": np.bincount(d, is_known[pair] * m, n).astype(np.int64),
                 "small_at": np.diff(filled, prepend=0), "small": small[filled]})))
             d = x["docs"].astype(np.int64)[d]
-            if order > 2:
-                own = np.nonzero(~deep[pair] & (part.h[pair] != part.start))[0]
-                q = place_of(part.names[part.h[pair[own]]], part.names[part.g[pair[own]]], parts, hot_keys)
-                own = own[np.argsort(q, kind="stable")]
-                q.sort()
-                for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
-                    at_q = own[q_at:q_end]
-                    out.append(("missed2", int(q[q_at]), packed(two_words(part.names[part.h[pair[at_q]]], part.names[part.g[pair[at_q]]]) | {"batch": np.array([name]), "d": d[at_q], "m": m[at_q]})))
-            missed = np.nonzero(~seen[pair])[0]
-            if len(missed):
-                h = part.names[part.h[pair[missed]]]
-                q = h % histories
-                turn = np.lexsort((h, q))
-                for q_at, q_end in zip(b := runs(q[turn]), np.append(b[1:], len(turn))):
-                    own = missed[turn[q_at:q_end]]
-                    hk, hn = np.unique(part.names[part.h[pair[own]]], return_inverse=True)
-                    out.append(("missed", int(q[turn[q_at]]), packed({"batch": np.array([name]), "h": hk, "hn": hn, "d": d[own], "m": m[own]})))
+            for lacking, held in wanted:
+                own = np.nonzero(lacking[pair])[0]
+                held.append((pair[own], np.full(len(own), name), d[own], m[own].astype(np.int32)))
         rows = [(k, int(n), data) for k, n, data in out]
         del out, lists, value, base, step
+        # One list for each part of histories, with the entries of all batches: lists would else grow with batches times parts, squared.
+        pair, batch, d, m = map(np.concatenate, zip(*missed))
+        del missed
+        rows += entries("missed", part.names[part.h[pair]] % histories, part.h[pair], batch, d, m, lambda own: {"h": part.names[own]})
+        if order > 2:
+            pair, batch, d, m = map(np.concatenate, zip(*missed2))
+            h, g = part.h[pair], part.g[pair]
+            several = h.astype(np.int64) * len(part.names) + g
+            rows += entries("missed2", place_of(part.names[h], part.names[g], parts, hot_keys), several, batch, d, m, lambda own: two_words(part.names[own // len(part.names)], part.names[own % len(part.names)]))
+            del h, g, several
+        del missed2, pair, batch, d, m
         if order > 2:
             own = np.nonzero(deep)[0]
             q = place_of(part.names[part.h[own]], part.names[part.g[own]], parts, hot_keys)
@@ -513,16 +551,13 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         handed, mass, count = add("kinds", lambda x: x @ gives), add("mass"), add("count")
         share = np.log10(handed) - np.log10(1 - mass)
         rows = [("backoff", int(key[0]), frame({"h": names, "weight": 10 ** share / np.maximum(count, 1)}))] if tables else []
-        fixes: dict[int, list] = {}
+        known_names = len(names)
+        found = []
         for x in missed:
-            at = np.searchsorted(names, x["h"])
-            there = (at < len(names)) & (names[np.minimum(at, max(0, len(names) - 1))] == x["h"]) if len(names) else np.zeros(len(x["h"]), bool)
-            value = np.where(there, share[np.minimum(at, max(0, len(names) - 1))], 0.0) if len(names) else np.zeros(len(x["h"]))
-            d, back = np.unique(x["d"], return_inverse=True)
-            fixes.setdefault(int(x["batch"][0]), []).append((d, np.bincount(back, value[x["hn"]] * x["m"], len(d))))
-        for name, pieces in fixes.items():
-            d, back = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
-            rows.append(("fixes", name, frame({"d": d, "score": np.bincount(back, np.concatenate([p[1] for p in pieces]), len(d))})))
+            at = np.minimum(np.searchsorted(names, x["h"]), max(0, known_names - 1))
+            value = np.where(names[at] == x["h"], share[at], 0.0) if known_names else np.zeros(len(x["h"]))
+            found.append((x, value))
+        rows += fixes(found)
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
     def weigh_two(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
@@ -547,14 +582,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
                 rows.append(("backoff2", int(key[0]), frame(two_words(h, g) | {"weight": handed * size / left / total(c, first)})))
             del c, pair, sort, first, size, handed, left
         find = finder(h, g, share)
-        fixes: dict[int, list] = {}
-        for x in found["missed2"]:
-            value = find(x["h"][x["hi"]], x["g"][x["gi"]])
-            d, back = np.unique(x["d"], return_inverse=True)
-            fixes.setdefault(int(x["batch"][0]), []).append((d, np.bincount(back, value * x["m"], len(d))))
-        for name, pieces in fixes.items():
-            d, back = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
-            rows.append(("fixes", name, frame({"d": d, "score": np.bincount(back, np.concatenate([p[1] for p in pieces]), len(d))})))
+        rows += fixes([(x, find(x["h"][x["hi"]], x["g"][x["gi"]])) for x in found["missed2"]])
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
     by_history = counted(f"{folder}/counted", "stats").unionByName(counted(f"{folder}/counted", "missed"))

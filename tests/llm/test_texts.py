@@ -168,6 +168,17 @@ def test_katz_known_words_change_nothing(spark, docs, most_words):
     assert {"pairs", "triples", "stats", "backoff", "backoff2"} <= kinds
 
 
+def test_katz_lists_of_missed_histories_do_not_grow_with_batches(spark):
+    docs = spark.range(1, 1201, 1, 12).selectExpr("id AS doc_id", "concat('w', id * 31 % 197, ' v', id % 89, ' w', id * 17 % 211, ' u w', id % 7) AS text")
+    folder = f"{tempfile.mkdtemp(prefix='katz-')}/model"
+    got = katz_scores(docs, part_tokens=1500, order=3, model_folder=folder)
+    counts = {r[0]: r[1] for r in spark.read.parquet(f"{folder}/counted").groupBy("kind").count().collect()}
+    parts = counts["counts3"]
+    assert parts > 3 and 0 < counts["missed"] <= parts**2 and 0 < counts["missed2"] <= parts**2
+    want = katz_scores(docs.coalesce(1), part_tokens=10**6, order=3).collect()
+    assert [r.score for r in sorted(got.collect())] == pytest.approx([r.score for r in sorted(want)], abs=1e-8)
+
+
 def test_katz_of_nothing(spark, docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
