@@ -18,6 +18,7 @@ theirs in a third one, of the triples, dealt by the history as if it were a pair
 
 from __future__ import annotations
 
+import ctypes
 import json
 import math
 import uuid
@@ -110,6 +111,14 @@ def after_discount(counts: np.ndarray, small: np.ndarray) -> np.ndarray:
     return np.where(counts <= SMALL, small[np.minimum(counts, SMALL)], counts - REST)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, for a Python worker outlives its tasks and lies beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words; 0, 1 and 2 are kept for marks."""
     digest = xxhash.xxh64_intdigest
@@ -338,6 +347,15 @@ class Part:
             values = np.array([hot[int(k)] for k in known], np.int64)
             sums = np.where(is_hot, values[np.minimum(at, len(known) - 1)], sums)
         self.cw = np.repeat(sums, np.diff(np.append(by_word, len(self.w))))
+        # Not less than 32 bits, of which logarithms are in double precision.
+        self.c3, self.c, self.cw = (x.astype(np.int32) if not len(x) or x.max() < 2**31 else x for x in (self.c3, self.c, self.cw))
+
+    def places(self, h: np.ndarray, g: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+        """The part of each two-word history, as place_of has it."""
+        place = (self.names % np.uint64(parts)).astype(np.int32)[h]
+        heavy = np.nonzero(np.isin(self.names, hot)[h])[0]
+        place[heavy] = place_of(self.names[h[heavy]], self.names[g[heavy]], parts, hot)
+        return place
 
 
 def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text",
@@ -402,7 +420,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
                 keys.append(p)
                 data.append(packed(arrays))
             del lists
-            pa.default_memory_pool().release_unused()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["part", "batch", "data"])
 
     histories = np.uint64(parts)
@@ -481,12 +499,12 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
             pair, batch, d, m = map(np.concatenate, zip(*missed2))
             h, g = part.h[pair], part.g[pair]
             several = h.astype(np.int64) * len(part.names) + g
-            rows += entries("missed2", place_of(part.names[h], part.names[g], parts, hot_keys), several, batch, d, m, lambda own: two_words(part.names[own // len(part.names)], part.names[own % len(part.names)]))
+            rows += entries("missed2", part.places(h, g, parts, hot_keys), several, batch, d, m, lambda own: two_words(part.names[own // len(part.names)], part.names[own % len(part.names)]))
             del h, g, several
         del missed2, pair, batch, d, m
         if order > 2:
             own = np.nonzero(deep)[0]
-            q = place_of(part.names[part.h[own]], part.names[part.g[own]], parts, hot_keys)
+            q = part.places(part.h[own], part.g[own], parts, hot_keys)
             own = own[sort := np.lexsort((part.g[own], part.h[own], q))]
             q = q[sort]
             for q_at, q_end in zip(b := runs(q), np.append(b[1:], len(q))):
@@ -517,8 +535,17 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         rows.append(("counts", 0, frame({"n": np.bincount(np.minimum(c, SMALL + 2), minlength=SMALL + 3)[:SMALL + 2]})))
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
+    def then_free(task):
+        def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return task(key, block)
+            finally:
+                give_back()
+
+        return run
+
     dealt = rows.mapInArrow(deal, "part long, batch long, data binary")
-    dealt.groupBy("part").applyInPandas(meet, TABLE).write.partitionBy("kind").parquet(f"{folder}/counted")
+    dealt.groupBy("part").applyInPandas(then_free(meet), TABLE).write.partitionBy("kind").parquet(f"{folder}/counted")
 
     def counted(folder: str, kind: str) -> DataFrame:
         whole = spark.read.schema("key long, part long, data binary, kind string").parquet(folder)
@@ -586,11 +613,11 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
         return pd.DataFrame(rows, columns=["kind", "key", "data"]).assign(part=key[0])[["kind", "key", "part", "data"]]
 
     by_history = counted(f"{folder}/counted", "stats").unionByName(counted(f"{folder}/counted", "missed"))
-    by_history.groupBy("key").applyInPandas(weigh, TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed")
+    by_history.groupBy("key").applyInPandas(then_free(weigh), TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed")
 
     if order > 2:
         by_two = counted(f"{folder}/counted", "triples").unionByName(counted(f"{folder}/counted", "words")).unionByName(counted(f"{folder}/counted", "missed2"))
-        by_two.groupBy("key").applyInPandas(weigh_two, TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed2")
+        by_two.groupBy("key").applyInPandas(then_free(weigh_two), TABLE).write.partitionBy("kind").parquet(f"{folder}/weighed2")
 
     small_logs = np.concatenate([[0], np.log10(np.maximum(two[1:], 1e-300)), [0], np.log10(np.maximum(three[1:], 1e-300))])
     level = np.log10(tokens + types + 1.0)
