@@ -367,9 +367,10 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str
     the ``order`` - 1 tokens before it), ``order`` being 2 or 3; ``base_score`` the sum of log10((c + 1) / (N + V + 1)).
 
     What a part sends back has an entry for each document that has a token there, none for the others.
-    The tables lie in ``model_folder`` (else a new folder of the shared one), partitioned by kind: ``pairs`` and
+    With a ``model_folder`` the model's tables lie there, partitioned by kind: ``pairs`` and
     ``stats`` by part, ``backoff`` by history; with order 3 also ``triples`` and ``backoff2`` by the part of the two-word
-    history. The number of parts follows the training tokens, so a task holds about
+    history. Without one only what the scores need is written, to a new folder of the shared one, and the hashes of at most
+    ``most_words`` common words go to every task, so that lists of hashes are short. The number of parts follows the training tokens, so a task holds about
     ``part_tokens`` pairs or two thirds as many triples whatever the input. A word with over half a part's tokens is dealt by its history as well; there
     are at most twice as many such words as parts, and their counts go to every task. One pair is held
     by one part: a pair that a very large share of all documents has makes that part's list of documents longer.
